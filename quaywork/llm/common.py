@@ -36,7 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def n_buckets(spark: SparkSession) -> int:
     """Buckets for blobs of hashes: some for each shuffle partition, so that they spread evenly."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 class WordHashes(dict):

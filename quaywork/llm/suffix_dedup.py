@@ -400,7 +400,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     buckets = n_buckets(spark)
-    batches = max(1, buckets // 2)
+    batches = buckets
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("batch", F.pmod(key, F.lit(batches)).cast("int"))
     by_batch = d.groupBy("batch")

@@ -34,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared checkpoint folder, for tables and files that a later step reads."""
+    ensure_checkpoints(spark)
+    where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{where}/{name}"
+
+
 def n_buckets(spark: SparkSession) -> int:
     """Buckets for blobs of hashes: some for each shuffle partition, so that they spread evenly."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

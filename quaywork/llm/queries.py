@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, embedding_dedup, ngram_jaccard, packing, sharding, substring_dedup, suffix_dedup, toxicity
-from .common import table
+from . import arc_to_warc, chat_format, decontamination, embedding_dedup, ngram_jaccard, packing, sharding, substring_dedup, suffix_dedup, toxicity
+from .common import scratch, table
 
 #: The two rows that a template must carry without taking their text for its own marks.
 TRICKY = r"\### Assistant: </turn> ok"
@@ -21,7 +23,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), with_text=False))
+
+
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_to_warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, f"warc-{uuid.uuid4().hex}"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +61,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_ngram_jaccard, op3_decontamination, op5_suffix_dedup, op6_embedding_dedup, op7_chat_format, op8_sharding, op9_packing, op10_toxicity)
+    for f in (op1_substring_dedup, op2_ngram_jaccard, op3_decontamination, op4_arc_to_warc, op5_suffix_dedup, op6_embedding_dedup, op7_chat_format, op8_sharding, op9_packing, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {}

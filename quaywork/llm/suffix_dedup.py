@@ -158,8 +158,8 @@ class _Batch:
 
     def __init__(self, t: pa.Table, length: int, gram: int):
         ids, texts = t.column("doc_id").to_pylist(), t.column("text").to_pylist()
-        rows = sorted(((-(2**63) if i is None else i, x.encode("utf-8", "surrogatepass") if x else b"", i) for i, x in zip(ids, texts, strict=True)), key=lambda r: r[:2])
-        self.ids, self.texts, self.raw_ids = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+        rows = sorted((-(2**63) if i is None else i, x.encode("utf-8", "surrogatepass") if x else b"", k) for k, (i, x) in enumerate(zip(ids, texts, strict=True)))
+        self.ids, self.texts, self.order = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
         self.bytes = np.frombuffer(b"".join(self.texts), np.uint8)
         sizes = np.array([len(x) for x in self.texts], np.int64)
         self.begin = np.cumsum(sizes) - sizes
@@ -370,43 +370,51 @@ def _bucket_rows(length: int):
     return run
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64()))])
+_OUT = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int64())), ("stops", pa.list_(pa.int64())), ("text", pa.string())])
 
 
-def _apply_rows(length: int, gram: int, with_text: bool):
+def _apply_rows(length: int, gram: int, with_text: bool, carry: list[str]):
     def run(docs, spans):
         b = _Batch(docs, 2**62, gram)
         gone = _merged(np.frombuffer(b"".join(spans.column("gone").to_pylist()), _GONE))
         first, last = np.searchsorted(gone["row"], np.arange(len(b.ids))), np.searchsorted(gone["row"], np.arange(len(b.ids)), "right")
         out = {k: [] for k in _OUT.names}
-        for r, (i, text) in enumerate(zip(b.raw_ids, b.texts, strict=True)):
+        for r, text in enumerate(b.texts):
             mine = gone[first[r] : last[r]]
             starts, stops = mine["at"].tolist(), mine["stop"].tolist()
             kept = b"".join(text[a:z] for a, z in zip([0, *stops], [*starts, len(text)], strict=True)) if starts else text
-            for k, v in zip(_OUT.names, (i, kept if with_text else None, len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), starts, stops), strict=True):
+            shown = kept.decode("utf-8", "ignore") if with_text else None
+            for k, v in zip(_OUT.names, (len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), starts, stops, shown), strict=True):
                 out[k].append(v)
-        return pa.table(out, schema=_OUT)
+        given = docs.select(["doc_id", *carry]).take(pa.array(b.order, pa.int64()))
+        done = pa.table(out, schema=_OUT)
+        return pa.table({k: given.column(k) for k in given.column_names} | {k: done.column(k) for k in _OUT.names})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, with_text: bool = True) -> DataFrame:
-    """(doc_id, kept binary, n_bytes, n_removed, n_spans, kept_sha256, starts, stops): a row for each document.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, with_text: bool = True, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, ``carry`` columns, n_bytes, n_removed, n_spans, kept_sha256, starts, stops, text): a row for each document.
 
     Removed are the bytes inside any ``length``-byte string that also starts earlier: in a document with a smaller
-    id, or further left in the same. Null texts are empty; rows without an id come before all others; rows of one id
-    are one after another by their text, so of repeated rows the first stays. Long documents are one row and so one
-    task's work. ``kept`` is null without ``with_text``. Other columns are ignored.
+    id, or further left in the same; spans, counts and the digest are of bytes. ``text`` is what is left (null without
+    ``with_text``), without the odd bytes of characters that a span has cut. Null texts are empty; rows without an id
+    come before all others; rows of one id are one after another by their text, so of repeated rows the first stays.
+    A document is one row and so one task's work. Other columns are ignored.
     """
     spark = docs.sparkSession
     buckets = n_buckets(spark)
     batches = buckets
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("batch", F.pmod(key, F.lit(batches)).cast("int"))
+    kept = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
+    names = [f"carry_{k}" for k in range(len(carry))]
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *kept).withColumn("batch", F.pmod(key, F.lit(batches)).cast("int"))
     by_batch = d.groupBy("batch")
     anchors = by_batch.applyInArrow(_anchor_rows(length, gram, buckets), "bucket int, batch int, hashes binary, counts binary")
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated_rows, "batch int, hashes binary")
     stretches = by_batch.cogroup(repeated.groupBy("batch")).applyInArrow(_stretch_rows(length, gram, buckets), "bucket int, batch int, heads binary, bytes binary, gone binary")
     spans = stretches.groupBy("bucket").applyInArrow(_bucket_rows(length), "batch int, gone binary")
-    schema = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, stops array<long>"
-    return by_batch.cogroup(spans.groupBy("batch")).applyInArrow(_apply_rows(length, gram, with_text), schema)
+    types = dict(d.dtypes)
+    schema = ", ".join(["doc_id long", *[f"{n} {types[n]}" for n in names], "n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, stops array<long>, text string"])
+    out = by_batch.cogroup(spans.groupBy("batch")).applyInArrow(_apply_rows(length, gram, with_text, names), schema)
+    return out.withColumnsRenamed(dict(zip(names, carry, strict=True)))

@@ -95,7 +95,7 @@ def wilson_ci(k, n, z: float = 1.96) -> Column:
     p, zz = k / m, z * z
     centre = (p + zz / (2 * m)) / (1 + zz / m)
     half = z * F.sqrt(p * (1 - p) / m + zz / (4 * m * m)) / (1 + zz / m)
-    return F.struct(F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)).alias("low"), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(0.0)).alias("high"))
+    return F.struct(F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)).alias("low"), F.when(m.isNull(), 0.0).otherwise(F.least(F.lit(1.0), centre + half)).alias("high"))
 
 
 def bin_tradeable(n, implied, actual, min_n: int = 100, min_dev_pp: float = 3.0) -> Column:
@@ -165,9 +165,8 @@ ERF_TERMS = 96
 def erf(x) -> Column:
     """The error function to about 1e-15: exp(-x²) times a series of positive terms; ±1 beyond 5.9."""
     x = _c(x)
-    y, s = 2 * x * x, F.lit(1.0)
-    for k in range(ERF_TERMS, 0, -1):
-        s = 1 + s * y / (2 * k + 1)
+    y = 2 * x * x
+    s = F.aggregate(F.sequence(F.lit(ERF_TERMS), F.lit(1), F.lit(-1)), F.lit(1.0), lambda s, k: 1 + s * y / (2 * k + 1))
     return F.when(F.abs(x) > 5.2, F.signum(x)).otherwise(2 / math.sqrt(math.pi) * x * F.exp(-x * x) * s)
 
 

@@ -121,8 +121,9 @@ def parse_arc(content: bytes):
         at = end + 1 + length
 
 
-def _payload_at(url: str, block: bytes) -> int:
-    if not url.startswith(("http://", "https://")) or not block.startswith(b"HTTP/"):
+def _payload_at(block: bytes) -> int:
+    """Where the payload begins: after the headers of an HTTP response, else at the start."""
+    if not block.startswith(b"HTTP/"):
         return 0
     at = block.find(b"\r\n\r\n")
     return at + 4 if at >= 0 else len(block)
@@ -141,7 +142,7 @@ def convert(archives: DataFrame) -> DataFrame:
                 cols = [[] for _ in range(10)]
                 for n, r in enumerate(parse_arc(content or b"")):
                     d, block, url = r["Archive-date"].ljust(14, "0"), r["block"], r["URL"]
-                    p = _payload_at(url, block)
+                    p = _payload_at(block)
                     when = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
                     row = (f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{n}')}", url, r["IP-address"], when, r["Content-type"], block, p, digest32(block[p:]), digest32(block), "response" if p else "resource")
                     for c, v in zip(cols, row, strict=True):

@@ -11,8 +11,8 @@ under one global order share a token, and extended prefixes share a combination
    pairs within small parts of the token space, very frequent ones in triples, and the prefix is extended until its
    signatures outnumber the misses that are left (a part with m tokens under k-combinations counts m - k + 1).
 3. A signature's group pairs all its members while small, else all with its first one; pairs are verified on whole
-   sets. Where a large group still spans several components, all its pairs across components follow, so that no
-   link between components is lost.
+   sets. Where large groups still span several components, their members are compared across components in blocks
+   of sets, so that no link between components is lost.
 
 Nothing is capped: every pair that could link is verified or lies within one component already.
 """
@@ -61,6 +61,17 @@ def _blobs(bucket: np.ndarray, *columns: np.ndarray):
             yield int(b[s]), *(c[s:e].tobytes() for c in columns)
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """40 bits of each hash: within a bucket seldom the same for two tokens, and a chance meeting only costs a check."""
+    return (h >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].copy()
+
+
+def _long(b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = b.reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _prefix_rows(width: int, percent: int, buckets: int):
     def run(batches):
         for batch in batches:
@@ -86,7 +97,7 @@ def _prefix_rows(width: int, percent: int, buckets: int):
                 shared = np.minimum.reduceat(o, starts) != np.maximum.reduceat(o, starts)
                 met = o[np.repeat(shared, np.diff(np.r_[starts, len(h)]))]
                 h, o = h[starts], np.where(shared, COUNTED, o[starts])
-                rows += [(k, x, y, b"", b"") for k, x, y in _blobs((h % np.uint64(buckets)).astype(np.int64), h, o)]
+                rows += [(k, x, y, b"", b"") for k, x, y in _blobs((h % np.uint64(buckets)).astype(np.int64), _short(h), o)]
                 if len(met):
                     rows.append((int(met[0]) % buckets, b"", b"", b"", met.tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -102,7 +113,7 @@ def _cat(column, dtype):
 def _meet(t):
     """Per bucket: sizes as they are, and for documents, how many prefix tokens they share with others."""
     plain = np.array([len(x) > 0 for x in t.column("hashes").to_pylist()], bool)
-    h, o = _cat(t.column("hashes"), np.uint64), _cat(t.filter(pa.array(plain)).column("ids"), np.int64)
+    h, o = _long(_cat(t.column("hashes"), np.uint8)), _cat(t.filter(pa.array(plain)).column("ids"), np.int64)
     order = np.lexsort((o, h))
     h, o = h[order], o[order]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
@@ -116,20 +127,44 @@ def _meet(t):
 
 
 def _set_rows(width: int):
+    """(id, digest, n, tokens): the sets; of equal sets in a batch only the row of the smallest id has the tokens."""
+
     def run(batches):
         import xxhash
 
         for batch in batches:
-            ids, digests, blobs = [], [], []
+            ids, digests, sizes, blobs, first = [], [], [], [], {}
             for i, s in _sets(batch, width):
+                d = xxhash.xxh3_128_digest(s.tobytes())
+                if d not in first or (i is not None and i < ids[first[d]]):
+                    if d in first:
+                        blobs[first[d]] = None
+                    first[d] = len(ids)
+                    blobs.append(s.tobytes())
+                else:
+                    blobs.append(None)
                 ids.append(i)
-                blobs.append(s.tobytes())
-                digests.append(xxhash.xxh3_128_digest(blobs[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], names=["id", "digest", "tokens"])
+                digests.append(d)
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "digest", "n", "tokens"])
 
     return run
 
 
+def _head_rows(batches):
+    """From rows sorted by (digest, id): (id, head, node, tokens), tokens only at the first row of a set."""
+    now, head, node = None, None, None
+    for batch in batches:
+        out = [[], [], [], []]
+        for i, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            new = d != now
+            if new:
+                now, head, node = d, i, int.from_bytes(d[:8], "little", signed=True)
+            for c, v in zip(out, (i, head, node, t if new else None), strict=True):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["id", "head", "node", "tokens"])
+
+
 def _count_rows(buckets: int):
     def run(key, t):
         h, c = np.unique(_cat(t.column("tokens"), np.uint64), return_counts=True)
@@ -269,6 +304,69 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
+def _block_links(percent: int):
+    """Links between labels among the sets of one or two blocks, no more than join them up."""
+
+    def run(t):
+        ids, labels = t.column("id").to_numpy(), t.column("label").to_numpy()
+        sets = [np.frombuffer(b, np.uint64) for b in t.column("tokens").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        own = t.column("block").to_numpy()
+        order = np.argsort(own, kind="stable")
+        half = int((own == own.min()).sum()) if own.min() != own.max() else 0
+        left = order[:half] if half else order
+        right = order[half:] if half else order
+        found: list[tuple] = []
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        # tokens of both sides, in slices that keep the matrices small
+        x = np.concatenate([sets[k] for k in left])
+        y = np.concatenate([sets[k] for k in right])
+        xr, yr = np.repeat(np.arange(len(left)), sizes[left]), np.repeat(np.arange(len(right)), sizes[right])
+        vocabulary, counts = np.unique(np.concatenate([x, y] if half else [x]), return_counts=True)
+        vocabulary = vocabulary[counts > 1]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for s in range(0, len(vocabulary), 4096):
+            v = vocabulary[s : s + 4096]
+            m, n = np.zeros((len(left), len(v)), np.float32), np.zeros((len(right), len(v)), np.float32)
+            for mat, tok, row in ((m, x, xr), (n, y, yr)):
+                at = np.minimum(np.searchsorted(v, tok), len(v) - 1)
+                on = v[at] == tok
+                mat[row[on], at[on]] = 1
+            both += m @ n.T
+        union = sizes[left][:, None] + sizes[right][None, :] - both
+        for a, b in zip(*np.nonzero((100 * both >= percent * union) & (labels[left][:, None] != labels[right][None, :])), strict=True):
+            p, q = root(int(labels[left[a]])), root(int(labels[right[b]]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                found.append((int(ids[left[a]]), int(ids[right[b]])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
+def _across(left: DataFrame, heads: DataFrame, percent: int, block: int = 400) -> DataFrame:
+    """Links across labels within the groups of ``left`` (sig, id, label).
+
+    Groups that share members are taken together and cut into blocks of about ``block`` sets; each two blocks meet in
+    one task, which counts common tokens by a product of matrices and gives a spanning set of the links it finds.
+    """
+    low = left.groupBy("sig").agg(F.min("id").alias("low"))
+    groups = connected_components(left.join(low, "sig").select(F.col("id").alias("a"), F.col("low").alias("b")).where("a <> b"))
+    members = left.select("id", "label").distinct().join(groups.withColumnRenamed("node", "id"), "id")
+    many = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(many, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("lo"), F.greatest("block", k).alias("hi"))))
+    dealt = dealt.join(heads.select("id", "tokens"), "id").select("id", "label", "component", "block", "tokens", pair.alias("p"))
+    return dealt.select("id", "label", "component", "block", "tokens", "p.lo", "p.hi").groupBy("component", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each document.
 
@@ -279,37 +377,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = n_buckets(spark)
-    seen = cut(d.mapInArrow(_prefix_rows(width, percent, buckets), "bucket int, hashes binary, ids binary, sizes binary, met binary").groupBy("bucket").applyInArrow(_meet, "id long, n long, met long"))
+    seen = d.mapInArrow(_prefix_rows(width, percent, buckets), "bucket int, hashes binary, ids binary, sizes binary, met binary").groupBy("bucket").applyInArrow(_meet, "id long, n long, met long")
+    seen = cut(seen.groupBy("id", "n").agg(F.sum("met").alias("met"), F.count("*").cast("int").alias("rows")))
     need = 1 + F.floor(F.floor((F.min("n") * percent + 99) / 100) / 10)
     met = seen.groupBy("id").agg(F.sum("met").alias("met"), need.alias("need")).where("met >= need").select("id")
-    sets = cut(d.join(met, "id").mapInArrow(_set_rows(width), "id long, digest binary, tokens binary"))
-    first = sets.groupBy("digest").agg(F.min("id").alias("first"))
-    heads = first.select(F.col("first").alias("id"), "digest").join(sets, ["id", "digest"]).dropDuplicates(["id", "digest"])
-    # rows of one id may hold several sets: the node is (id, digest), numbered by a hash within the join below
-    heads = heads.select(F.xxhash64("id", "digest").alias("id"), "tokens")
+    sets = d.join(met, "id").mapInArrow(_set_rows(width), "id long, digest binary, n long, tokens binary").select("id", "digest", "tokens")
+    # a set is a node, numbered by its digest; ``head`` is the smallest id that has it
+    sets = cut(sets.repartition("digest").sortWithinPartitions("digest", "id").mapInArrow(_head_rows, "id long, head long, node long, tokens binary"))
     batches = max(1, buckets // 2)
-    heads = heads.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
-    counts = heads.select("batch", "tokens").groupBy("batch").applyInArrow(_count_rows(buckets), "bucket int, batch int, hashes binary, counts binary")
-    shared = counts.groupBy("bucket").applyInArrow(_shared_rows, "batch int, hashes binary, df binary")
-    sigs = heads.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_signature_rows(percent), "sig long, id long, n long")
-    sigs = cut(sigs)
+    heads = sets.where("tokens is not null").select(F.col("node").alias("id"), "tokens").withColumn("batch", F.pmod("id", F.lit(batches)).cast("int"))
+    by_batch = heads.groupBy("batch")
+    shared = by_batch.applyInArrow(_count_rows(buckets), "bucket int, batch int, hashes binary, counts binary").groupBy("bucket").applyInArrow(_shared_rows, "batch int, hashes binary, df binary")
+    sigs = cut(by_batch.cogroup(shared.groupBy("batch")).applyInArrow(_signature_rows(percent), "sig long, id long, n long"))
     pairs = sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_pair_rows(percent), "a long, b long").distinct()
     links = cut(_linked(pairs, heads, percent))
     labels = cut(connected_components(links))
     big = sigs.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > RARE).select("sig")
     wide = sigs.join(big, "sig").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
     split = wide.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    left = wide.join(split, "sig").select("sig", "id", "n", "label")
-    across = left.alias("x").join(left.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    more = _linked(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), heads, percent)
-    names = sets.join(first, "digest").select("id", F.xxhash64("first", "digest").alias("head")).distinct()
-    # back to ids: a node's links to the others, and the rows of one id or of one set, are edges alike
-    to_id = first.select(F.xxhash64("first", "digest").alias("head"), F.col("first").alias("id"))
-    found = links.union(more)
-    by_id = found.join(to_id.select(F.col("head").alias("a"), F.col("id").alias("u")), "a").join(to_id.select(F.col("head").alias("b"), F.col("id").alias("v")), "b").select("u", "v")
-    copies = names.join(to_id.withColumnRenamed("id", "v"), "head").select(F.col("id").alias("u"), "v")
-    component = connected_components(by_id.union(copies).where("u <> v"), "u", "v")
-    sizes = seen.where("n is not null").select("id", "n")
+    left = cut(wide.join(split, "sig").select("sig", "id", "label"))
+    found = links.union(_across(left, heads, percent))
+    # back to ids: a set's node is its head, and the other rows of the set are linked to it
+    to_id = sets.where("tokens is not null").select("node", "head")
+    by_id = found.join(to_id.select(F.col("node").alias("a"), F.col("head").alias("u")), "a").join(to_id.select(F.col("node").alias("b"), F.col("head").alias("v")), "b").select("u", "v")
+    component = connected_components(by_id.union(sets.select("id", "head")).where("u <> v"), "u", "v")
+    sizes = seen.where("n is not null").select("id", "n", F.explode(F.sequence(F.lit(1), "rows")))
     done = sizes.join(component.withColumnRenamed("node", "id"), "id", "left")
-    nameless = d.where("id is null").mapInArrow(_set_rows(width), "id long, digest binary, tokens binary").select("id", (F.length("tokens") / 8).cast("long").alias("n"), F.lit(None).cast("long").alias("component"))
+    nameless = d.where("id is null").mapInArrow(_set_rows(width), "id long, digest binary, n long, tokens binary").select("id", "n", F.lit(None).cast("long").alias("component"))
     return done.select("id", "n", F.coalesce("component", "id").alias("component")).union(nameless).toDF(id_col, "n_shingles", "component_id")

@@ -130,31 +130,28 @@ def entry_fill(signals: DataFrame, bars: DataFrame, risk: float = 0.02, min_rr:
     return signals.join(b, ["symbol", "i"]).where(reach & ok).drop("_h", "_l")
 
 
-def barrier_label(signals: DataFrame, bars: DataFrame, last: DataFrame | None = None) -> DataFrame:
+def barrier_label(signals: DataFrame, bars: DataFrame) -> DataFrame:
     """Each signal with its exit: the first later bar that reaches the stop or target (the stop if both), else the last
     bar's close, ``end_of_data``.
 
-    Bars are summed up in blocks of 64 by their least low and greatest high. A signal first looks through the rest of
-    its own block, then for the first later block that could hold its exit, then in that block: three small joins,
-    never all pairs of signals and bars.
+    Bars are summed up in blocks of 64 by their least low and greatest high, and each symbol's blocks lie in one array.
+    A signal looks into its own block and into the first later one that could hold its exit: one small join, never all
+    pairs of signals and bars. Equal rows are one signal.
     """
-    s = signals.withColumns({"sid": F.xxhash64(*signals.columns), "_blk": F.floor(F.col("i") / BLOCK).cast("long")})
-    b = bars.select("symbol", F.col("i").alias("j"), "low", "high", "close", F.floor(F.col("i") / BLOCK).cast("long").alias("_b"))
     long = F.col("direction") == "long"
+    b = bars.select("symbol", F.col("i").alias("j"), "low", "high", "close", F.floor(F.col("i") / BLOCK).cast("long").alias("_b"))
+    blocks = b.groupBy("symbol", "_b").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("j").alias("z"), F.max_by("close", "j").alias("zc"))
+    arr = blocks.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_b", "low", "high"))).alias("_arr"), F.max("z").alias("_end"), F.max_by("zc", "z").alias("_close"))
+    own = F.floor(F.col("i") / BLOCK).cast("long")
+    could = F.filter("_arr", lambda x: (x["_b"] > own) & F.when(long, (x["low"] <= F.col("stop")) | (x["high"] >= F.col("target"))).otherwise((x["high"] >= F.col("stop")) | (x["low"] <= F.col("target"))))
+    looks = F.concat(F.array(own), F.transform(F.slice(could, 1, 1), lambda x: x["_b"]))
+    s = signals.join(arr, "symbol").select(*signals.columns, "_end", "_close", F.explode(looks).alias("_b"))
     stopped, won = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop")), F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
-    own = s.join(b, (s.symbol == b.symbol) & (s._blk == b._b) & (b.j > s.i) & (stopped | won)).groupBy("sid").agg(F.min(F.struct("j", (~stopped).alias("_won"))).alias("hit"))
-    blocks = b.groupBy("symbol", "_b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    left = s.join(own, "sid", "left_anti")
-    # blocks that could hold an exit, as an array by symbol: a search in it, not a join of all blocks
-    arr = blocks.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_b", "low", "high"))).alias("_arr"))
-    cand = F.filter("_arr", lambda x: (x["_b"] > F.col("_blk")) & F.when(F.col("direction") == "long", (x["low"] <= F.col("stop")) | (x["high"] >= F.col("target"))).otherwise((x["high"] >= F.col("stop")) | (x["low"] <= F.col("target"))))
-    near = left.join(arr, "symbol").withColumn("_b", F.get(cand, F.lit(0))["_b"]).drop("_arr").where("_b is not null")
-    later = near.alias("s").join(b.alias("b"), (F.col("s.symbol") == F.col("b.symbol")) & (F.col("s._b") == F.col("b._b")) & (stopped | won)).groupBy("sid").agg(F.min(F.struct("j", (~stopped).alias("_won"))).alias("hit"))
-    hits = own.unionByName(later)
-    end = bars.groupBy("symbol").agg(F.max("i").alias("_end"), F.max_by("close", "i").alias("_close"))
-    out = s.join(hits, "sid", "left").join(end, "symbol")
-    kind = F.when(F.col("hit").isNull(), "end_of_data").when(F.col("hit._won"), "target").otherwise("stop")
-    price = F.when(F.col("hit").isNull(), F.col("_close")).when(F.col("hit._won"), F.col("target")).otherwise(F.col("stop"))
+    j = s.join(b.select("symbol", "_b", "j", "low", "high"), ["symbol", "_b"], "left")
+    hit = F.when((F.col("j") > F.col("i")) & (stopped | won), F.struct("j", (~stopped).alias("won")))
+    out = j.groupBy(*signals.columns, "_end", "_close").agg(F.min(hit).alias("hit"))
+    kind = F.when(F.col("hit").isNull(), "end_of_data").when(F.col("hit.won"), "target").otherwise("stop")
+    price = F.when(F.col("hit").isNull(), F.col("_close")).when(F.col("hit.won"), F.col("target")).otherwise(F.col("stop"))
     return out.select(*signals.columns, F.coalesce("hit.j", "_end").alias("exit_i"), price.alias("exit_price"), kind.alias("reason"))
 
 
@@ -283,13 +280,13 @@ def retention_report(in_sample: DataFrame, folds: DataFrame, by: list[str], fold
 
 
 def sweep(bars: DataFrame, configs: list[dict]) -> DataFrame:
-    """Every configuration over every symbol, each labelled and scored: the configurations are a union of one plan."""
-    out = None
+    """Every configuration over every symbol: signals by configuration, labelled and scored together."""
+    signals = None
     for n, c in enumerate(configs):
-        s = entry_fill(false_breakout(bars, **c), bars)
-        e = evaluate(trade_costs(barrier_label(s, bars)), min_trades=5).withColumn("config_id", F.lit(n))
-        out = e if out is None else out.unionByName(e)
-    return out
+        s = false_breakout(bars, **c).withColumn("config_id", F.lit(n))
+        signals = s if signals is None else signals.unionByName(s)
+    trades = trade_costs(barrier_label(entry_fill(signals, bars), bars))
+    return evaluate(trades, by=["config_id", "symbol"], min_trades=5)
 
 
 #: Templates by name: functions of bars to signals.

@@ -144,7 +144,7 @@ def traded_query(name: str, sql: str | None):
     return add
 
 
-_RET = "CASE WHEN (trade_side = 'sell_yes' AND result = 'no') THEN (cents / 100e0) / (1 - cents / 100e0) WHEN (trade_side <> 'sell_yes' AND result = 'yes') THEN (1 - cents / 100e0) / (cents / 100e0) ELSE -1e0 END"
+_RET = "CASE WHEN (trade_side = 'sell_yes' AND result = 'no') THEN (cents / 100e0) / nullif(1 - cents / 100e0, 0) WHEN (trade_side <> 'sell_yes' AND result = 'yes') THEN (1 - cents / 100e0) / nullif(cents / 100e0, 0) ELSE -1e0 END"
 traded_query("c10_bin_lookup", "SELECT ticker, slot, implied, actual, edge_pp, trade_side FROM traded")(lambda x: x.select("ticker", "slot", "implied", "actual", "edge_pp", "trade_side"))
 traded_query("d06_return_strata", f"""SELECT category, side, bin_low, n, win_rate, mean, sigma FROM (SELECT category, trade_side AS side, bin_low, count(*) AS n, avg(CASE WHEN ret > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, avg(ret) AS mean, stddev_samp(ret) AS sigma FROM (SELECT *, {_RET} AS ret FROM traded) r
  GROUP BY GROUPING SETS ((), (trade_side), (category), (trade_side, bin_low))) g WHERE bin_low IS NULL OR n >= 10""")(lambda x: C.return_strata(C.bet_returns(x)).select("category", "side", "bin_low", "n", "win_rate", "mean", "sigma"))

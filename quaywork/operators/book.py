@@ -146,3 +146,9 @@ def screen_candidates(c: DataFrame, now: int, lo: float = 0.25, hi: float = 0.55
     price = F.col("entry_price")
     verdict = F.when(price < price_lo, "price_low").when(price > price_hi, "price_high").otherwise(S.life_gate(frac, lo, hi))
     return c.withColumn("verdict", verdict)
+
+
+def rank_by_quality(c: DataFrame, cap: int, by: list[str], quality: Column) -> DataFrame:
+    """The ``cap`` candidates of most quality of each group; ties by id."""
+    w = Window.partitionBy(*by).orderBy(quality.desc(), "id")
+    return c.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)

@@ -289,6 +289,12 @@ def sweep(bars: DataFrame, configs: list[dict]) -> DataFrame:
     return evaluate(trades, by=["config_id", "symbol"], min_trades=5)
 
 
+def holdout(rows: DataFrame, bars: DataFrame, days: int) -> DataFrame:
+    """Rows in the last ``days`` of each symbol's bars."""
+    last = bars.groupBy("symbol").agg(F.max("t").alias("_z"))
+    return rows.join(last, "symbol").where(F.col("t") >= F.col("_z") - days * 86_400_000_000).drop("_z")
+
+
 #: Templates by name: functions of bars to signals.
 TEMPLATES = {"false_breakout": false_breakout, "kangaroo_tail": kangaroo_tail, "impulse_system": impulse_system, "channel_fade": channel_fade, "ema_divergence": ema_divergence}
 

@@ -288,3 +288,6 @@ query("i06_evaluate", None, ("bars",))(lambda b: O.evaluate(O.non_overlap(_trade
 query("i07_walk_forward", None, ("bars",))(lambda b: O.walk_forward(_sig(b), b))
 query("i08_sweep", None, ("bars",))(lambda b: O.sweep(b, [{"lookback": n, "min_width": w} for n in (20, 30) for w in (0.03, 0.1)]))
 query("h07_fresh_signals", None, ("bars",))(lambda b: O.fresh_signals(_sig(b), b))
+
+
+from . import more  # noqa: E402, F401  registers the rest

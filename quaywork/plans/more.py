@@ -45,20 +45,20 @@ query("a25_parse_ticks", "SELECT user_id AS file, id AS line, CAST(fold AS INTEG
 
 # --- scalar functions --------------------------------------------------------------------------------------------------
 
-scalar("b09_parse_price", "positions", "id", {"price": S.parse_price(F.concat((F.col("edge_pp") * 6).cast("string"), F.when(F.col("id") % 4 == 0, "x").otherwise("")))}, "CASE WHEN id % 4 = 0 THEN NULL WHEN edge_pp * 6 > 1 THEN least(1e0, edge_pp * 6 / 100e0) ELSE CAST(edge_pp * 6 AS DOUBLE) END AS price")
-scalar("b10_bucket_range", "positions", "id", {"mid": S.parse_bucket_range(F.concat(F.lit("$1,"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"), F.lit(" to 2,500.5")))["mid"]}, "(1000 + id % 1000 + 2500.5e0) / 2 AS mid")
-scalar("b11_threshold", "positions", "id", {"threshold": S.parse_threshold(F.concat(F.when(F.col("id") % 3 == 0, "Above ").otherwise("Below "), F.col("edge_pp").cast("string"), F.lit(".25%")))}, "CASE WHEN id % 3 = 0 THEN edge_pp + 0.25e0 END AS threshold")
-scalar("b15_time_offset_frac", "positions", "id", {"frac": S.time_offset_frac(F.col("entered") + 3 * HOUR, "entered", "entered", "closes")}, f"{3 * HOUR} / CAST(closes - entered AS DOUBLE) AS frac")
-scalar("b20_half_life", "positions", "id", {"hours": S.half_life(F.col("entry_price") * -1.5)}, "CASE WHEN 1 - entry_price * 1.5e0 > 0 AND 1 - entry_price * 1.5e0 < 1 THEN ln(0.5e0) / ln(1 - entry_price * 1.5e0) END AS hours")
-scalar("b21_rel_position", "positions", "id", {"pos": S.rel_position("risk_cents", "reward_cents", F.lit(4.0))}, "CAST(round_even((risk_cents - reward_cents) / 4e0, 0) AS INTEGER) AS pos")
-scalar("b30_signal_ok", "positions", "id", {"ok": S.signal_ok(F.when(F.col("side") == "sell_yes", "short").otherwise("long"), F.lit(50.0), "risk_cents", F.col("reward_cents") * 4.0)}, "CASE WHEN side = 'sell_yes' THEN reward_cents * 4e0 < 50 AND 50 < risk_cents ELSE risk_cents < 50 AND 50 < reward_cents * 4e0 END AND abs(reward_cents * 4e0 - 50) >= 2 * abs(50 - risk_cents) AS ok")
-_it = S.iron_triangle_size("entry_price", F.lit(2.0), F.lit(10000.0))
-scalar("b31_iron_triangle", "positions", "id", {"units": _it["units"], "risk": _it["risk"]}, "200e0 / abs(entry_price - 2) AS units, 200e0 AS risk")
-_pp = S.perp_close_pnl(F.when(F.col("side") == "sell_yes", "short").otherwise("long"), F.lit(3.0), "entry_price", F.lit(0.6), F.lit(0.01))
-scalar("b32_perp_close_pnl", "positions", "id", {"gross": _pp["gross"], "net": _pp["net"]}, "CASE WHEN side = 'sell_yes' THEN 3 * (entry_price - 0.6e0) ELSE 3 * (0.6e0 - entry_price) END AS gross, CASE WHEN side = 'sell_yes' THEN 3 * (entry_price - 0.6e0) ELSE 3 * (0.6e0 - entry_price) END - 3 * (entry_price + 0.6e0) * (0.00045e0 + 0.0005e0) - 0.01e0 AS net")
-scalar("b34_n_for_confidence", "positions", "id", {"n": S.n_for_confidence(F.col("entry_price") - 0.5)}, "CASE WHEN entry_price - 0.5e0 > 0 THEN CAST(ceil((1.6449e0 / (entry_price - 0.5e0)) * (1.6449e0 / (entry_price - 0.5e0))) AS BIGINT) END AS n")
-scalar("b36_ticker_norm", "positions", "id", {"coin": S.coin_of(F.concat("ticker", F.lit("-PERP"))), "perp": S.perp_name(F.concat("ticker", F.lit("_PERP")))}, "ticker AS coin, concat(ticker, '_PERP') AS perp")
-scalar("b38_roi", "positions", "id", {"roi": S.roi_pct("risk_cents", "reward_cents"), "kept": S.retention("risk_cents", "edge_pp")}, "(risk_cents / CAST(reward_cents AS DOUBLE) - 1) * 100 AS roi, risk_cents / CAST(nullif(edge_pp, 0) AS DOUBLE) AS kept")
+scalar("b09_parse_price", "positions", "id", lambda: {"price": S.parse_price(F.concat((F.col("edge_pp") * 6).cast("string"), F.when(F.col("id") % 4 == 0, "x").otherwise("")))}, "CASE WHEN id % 4 = 0 THEN NULL WHEN edge_pp * 6 > 1 THEN least(1e0, edge_pp * 6 / 100e0) ELSE CAST(edge_pp * 6 AS DOUBLE) END AS price")
+scalar("b10_bucket_range", "positions", "id", lambda: {"mid": S.parse_bucket_range(F.concat(F.lit("$1,"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"), F.lit(" to 2,500.5")))["mid"]}, "(1000 + id % 1000 + 2500.5e0) / 2 AS mid")
+scalar("b11_threshold", "positions", "id", lambda: {"threshold": S.parse_threshold(F.concat(F.when(F.col("id") % 3 == 0, "Above ").otherwise("Below "), F.col("edge_pp").cast("string"), F.lit(".25%")))}, "CASE WHEN id % 3 = 0 THEN edge_pp + 0.25e0 END AS threshold")
+scalar("b15_time_offset_frac", "positions", "id", lambda: {"frac": S.time_offset_frac(F.col("entered") + 3 * HOUR, "entered", "entered", "closes")}, f"{3 * HOUR} / CAST(closes - entered AS DOUBLE) AS frac")
+scalar("b20_half_life", "positions", "id", lambda: {"hours": S.half_life(F.col("entry_price") * -1.5)}, "CASE WHEN 1 - entry_price * 1.5e0 > 0 AND 1 - entry_price * 1.5e0 < 1 THEN ln(0.5e0) / ln(1 - entry_price * 1.5e0) END AS hours")
+scalar("b21_rel_position", "positions", "id", lambda: {"pos": S.rel_position("risk_cents", "reward_cents", F.lit(4.0))}, "CAST(round_even((risk_cents - reward_cents) / 4e0, 0) AS INTEGER) AS pos")
+scalar("b30_signal_ok", "positions", "id", lambda: {"ok": S.signal_ok(F.when(F.col("side") == "sell_yes", "short").otherwise("long"), F.lit(50.0), "risk_cents", F.col("reward_cents") * 4.0)}, "CASE WHEN side = 'sell_yes' THEN reward_cents * 4e0 < 50 AND 50 < risk_cents ELSE risk_cents < 50 AND 50 < reward_cents * 4e0 END AND abs(reward_cents * 4e0 - 50) >= 2 * abs(50 - risk_cents) AS ok")
+_it = lambda: S.iron_triangle_size("entry_price", F.lit(2.0), F.lit(10000.0))
+scalar("b31_iron_triangle", "positions", "id", lambda: {"units": _it()["units"], "risk": _it()["risk"]}, "200e0 / abs(entry_price - 2) AS units, 200e0 AS risk")
+_pp = lambda: S.perp_close_pnl(F.when(F.col("side") == "sell_yes", "short").otherwise("long"), F.lit(3.0), "entry_price", F.lit(0.6), F.lit(0.01))
+scalar("b32_perp_close_pnl", "positions", "id", lambda: {"gross": _pp()["gross"], "net": _pp()["net"]}, "CASE WHEN side = 'sell_yes' THEN 3 * (entry_price - 0.6e0) ELSE 3 * (0.6e0 - entry_price) END AS gross, CASE WHEN side = 'sell_yes' THEN 3 * (entry_price - 0.6e0) ELSE 3 * (0.6e0 - entry_price) END - 3 * (entry_price + 0.6e0) * (0.00045e0 + 0.0005e0) - 0.01e0 AS net")
+scalar("b34_n_for_confidence", "positions", "id", lambda: {"n": S.n_for_confidence(F.col("entry_price") - 0.5)}, "CASE WHEN entry_price - 0.5e0 > 0 THEN CAST(ceil((1.6449e0 / (entry_price - 0.5e0)) * (1.6449e0 / (entry_price - 0.5e0))) AS BIGINT) END AS n")
+scalar("b36_ticker_norm", "positions", "id", lambda: {"coin": S.coin_of(F.concat("ticker", F.lit("-PERP"))), "perp": S.perp_name(F.concat("ticker", F.lit("_PERP")))}, "ticker AS coin, concat(ticker, '_PERP') AS perp")
+scalar("b38_roi", "positions", "id", lambda: {"roi": S.roi_pct("risk_cents", "reward_cents"), "kept": S.retention("risk_cents", "edge_pp")}, "(risk_cents / CAST(reward_cents AS DOUBLE) - 1) * 100 AS roi, risk_cents / CAST(nullif(edge_pp, 0) AS DOUBLE) AS kept")
 _BOOKS = "(SELECT user_id, slot, list(yes_price ORDER BY yes_price DESC, trade_id) AS y FROM (SELECT *, (t - 1704067200000000) // 864000000000 AS slot FROM trades) x GROUP BY user_id, slot)"
 
 

@@ -34,36 +34,36 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     return add
 
 
-def scalar(name: str, relation: str, keys: str, columns: dict, sql: str) -> None:
-    """Registers scalar functions over a relation's rows."""
-    query(name, f"SELECT {keys}, {sql} FROM {relation}", (relation,))(lambda d: d.select(*[k.strip() for k in keys.split(",")], *[c.alias(n) for n, c in columns.items()]))
+def scalar(name: str, relation: str, keys: str, columns: Callable[[], dict], sql: str) -> None:
+    """Registers scalar functions over a relation's rows; ``columns`` is called when a session is there."""
+    query(name, f"SELECT {keys}, {sql} FROM {relation}", (relation,))(lambda d: d.select(*[k.strip() for k in keys.split(",")], *[c.alias(n) for n, c in columns().items()]))
 
 
 # --- scalar functions --------------------------------------------------------------------------------------------
 
-scalar("b01_categorize", "markets", "ticker, slot", {"category": S.categorize("event_ticker"), "by_prefix": S.categorize("event_ticker", "prefix")}, f"{S.category_sql('event_ticker')} AS category, {S.category_sql('event_ticker')} AS by_prefix")
-scalar("b02_midlife", "markets", "ticker, slot", {"mid": S.midlife("opened", "closed")}, "(opened + closed) // 2 AS mid")
-scalar("b03_price_to_cents", "trades", "trade_id", {"cents": S.price_to_cents("yes_price")}, "CAST(round_even(yes_price * 100, 0) AS INTEGER) AS cents")
-scalar("b04_price_bins", "trades", "trade_id", {"bin_cents": S.price_bin_5c(S.price_to_cents("yes_price")), "bin_frac": S.price_bin_frac("yes_price")}, "CAST(floor(CAST(round_even(yes_price * 100, 0) AS INTEGER) / 5) * 5 AS INTEGER) AS bin_cents, least(95, CAST(floor(floor(yes_price * 100) / 5) * 5 AS INTEGER)) AS bin_frac")
-scalar("b05_fee_adjusted_edge", "trades", "trade_id", {"edge": S.fee_adjusted_edge("yes_price", F.lit(0.5))}, "abs(0.5e0 - yes_price) - 0.14e0 * yes_price * (1 - yes_price) AS edge")
-scalar("b06_trade_side", "trades", "trade_id", {"side": S.trade_side("yes_price", F.lit(0.5))}, "CASE WHEN 0.5e0 < yes_price THEN 'sell_yes' WHEN 0.5e0 > yes_price THEN 'buy_yes' ELSE '' END AS side")
-scalar("b12_series", "markets", "ticker, slot", {"series": S.series_of("event_ticker"), "subseries": S.subseries_of("event_ticker")}, "split_part(event_ticker, '-', 1) AS series, regexp_replace(event_ticker, '-[^-]*$', '') AS subseries")
-scalar("b14_market_state", "markets", "ticker, slot", {"state": S.market_state("status", "result")}, "CASE WHEN status = 'settled' AND result IN ('yes', 'no') THEN 'resolved' WHEN status = 'settled' THEN 'void' ELSE 'open' END AS state")
-scalar("b16_life_gate", "positions", "id", {"decile": S.life_decile(S.life_fraction(F.col("entered") + 12 * DAY, "entered", "closes")), "gate": S.life_gate(S.life_fraction(F.col("entered") + 12 * DAY, "entered", "closes"))}, f"least(9, CAST(floor({12 * DAY}e0 / (closes - entered) * 10) AS INTEGER)) AS decile, CASE WHEN {12 * DAY}e0 / (closes - entered) < 0.25 THEN 'frac_lt_0.25' WHEN {12 * DAY}e0 / (closes - entered) > 0.55 THEN 'frac_gt_0.55' ELSE 'eligible' END AS gate")
-scalar("b19_gaps", "trades", "trade_id", {"gap": S.abs_gap("yes_price", "no_price"), "kl": S.kl_term("yes_price", "no_price")}, "abs(yes_price - no_price) AS gap, CASE WHEN yes_price > 1e-12 THEN yes_price * ln((yes_price + 1e-12) / (no_price + 1e-12)) ELSE 0e0 END AS kl")
-scalar("b23_mid_from_quote", "trades", "trade_id", {"mid": S.mid_from_quote("no_price", "yes_price", F.col("yes_price"))}, "CASE WHEN no_price > 0 AND no_price < 1 AND yes_price > 0 AND yes_price < 1 AND yes_price >= no_price THEN (no_price + yes_price) / 2 WHEN yes_price > 0 AND yes_price < 1 THEN yes_price END AS mid")
-scalar("b25_kelly_risk", "positions", "id", {"risk": S.kelly_risk("side", F.rint(F.col("entry_price") * 100), "edge_pp", F.lit(10000.0))}, """greatest(0e0, least((CASE WHEN side = 'sell_yes' THEN (round(entry_price * 100) / 100e0 - greatest(0.01e0, least(0.99e0, round(entry_price * 100) / 100e0 - edge_pp / 100e0))) / (round(entry_price * 100) / 100e0)
+scalar("b01_categorize", "markets", "ticker, slot", lambda: {"category": S.categorize("event_ticker"), "by_prefix": S.categorize("event_ticker", "prefix")}, f"{S.category_sql('event_ticker')} AS category, {S.category_sql('event_ticker')} AS by_prefix")
+scalar("b02_midlife", "markets", "ticker, slot", lambda: {"mid": S.midlife("opened", "closed")}, "(opened + closed) // 2 AS mid")
+scalar("b03_price_to_cents", "trades", "trade_id", lambda: {"cents": S.price_to_cents("yes_price")}, "CAST(round_even(yes_price * 100, 0) AS INTEGER) AS cents")
+scalar("b04_price_bins", "trades", "trade_id", lambda: {"bin_cents": S.price_bin_5c(S.price_to_cents("yes_price")), "bin_frac": S.price_bin_frac("yes_price")}, "CAST(floor(CAST(round_even(yes_price * 100, 0) AS INTEGER) / 5) * 5 AS INTEGER) AS bin_cents, least(95, CAST(floor(floor(yes_price * 100) / 5) * 5 AS INTEGER)) AS bin_frac")
+scalar("b05_fee_adjusted_edge", "trades", "trade_id", lambda: {"edge": S.fee_adjusted_edge("yes_price", F.lit(0.5))}, "abs(0.5e0 - yes_price) - 0.14e0 * yes_price * (1 - yes_price) AS edge")
+scalar("b06_trade_side", "trades", "trade_id", lambda: {"side": S.trade_side("yes_price", F.lit(0.5))}, "CASE WHEN 0.5e0 < yes_price THEN 'sell_yes' WHEN 0.5e0 > yes_price THEN 'buy_yes' ELSE '' END AS side")
+scalar("b12_series", "markets", "ticker, slot", lambda: {"series": S.series_of("event_ticker"), "subseries": S.subseries_of("event_ticker")}, "split_part(event_ticker, '-', 1) AS series, regexp_replace(event_ticker, '-[^-]*$', '') AS subseries")
+scalar("b14_market_state", "markets", "ticker, slot", lambda: {"state": S.market_state("status", "result")}, "CASE WHEN status = 'settled' AND result IN ('yes', 'no') THEN 'resolved' WHEN status = 'settled' THEN 'void' ELSE 'open' END AS state")
+scalar("b16_life_gate", "positions", "id", lambda: {"decile": S.life_decile(S.life_fraction(F.col("entered") + 12 * DAY, "entered", "closes")), "gate": S.life_gate(S.life_fraction(F.col("entered") + 12 * DAY, "entered", "closes"))}, f"least(9, CAST(floor({12 * DAY}e0 / (closes - entered) * 10) AS INTEGER)) AS decile, CASE WHEN {12 * DAY}e0 / (closes - entered) < 0.25 THEN 'frac_lt_0.25' WHEN {12 * DAY}e0 / (closes - entered) > 0.55 THEN 'frac_gt_0.55' ELSE 'eligible' END AS gate")
+scalar("b19_gaps", "trades", "trade_id", lambda: {"gap": S.abs_gap("yes_price", "no_price"), "kl": S.kl_term("yes_price", "no_price")}, "abs(yes_price - no_price) AS gap, CASE WHEN yes_price > 1e-12 THEN yes_price * ln((yes_price + 1e-12) / (no_price + 1e-12)) ELSE 0e0 END AS kl")
+scalar("b23_mid_from_quote", "trades", "trade_id", lambda: {"mid": S.mid_from_quote("no_price", "yes_price", F.col("yes_price"))}, "CASE WHEN no_price > 0 AND no_price < 1 AND yes_price > 0 AND yes_price < 1 AND yes_price >= no_price THEN (no_price + yes_price) / 2 WHEN yes_price > 0 AND yes_price < 1 THEN yes_price END AS mid")
+scalar("b25_kelly_risk", "positions", "id", lambda: {"risk": S.kelly_risk("side", F.rint(F.col("entry_price") * 100), "edge_pp", F.lit(10000.0))}, """greatest(0e0, least((CASE WHEN side = 'sell_yes' THEN (round(entry_price * 100) / 100e0 - greatest(0.01e0, least(0.99e0, round(entry_price * 100) / 100e0 - edge_pp / 100e0))) / (round(entry_price * 100) / 100e0)
  ELSE (greatest(0.01e0, least(0.99e0, round(entry_price * 100) / 100e0 + edge_pp / 100e0)) - round(entry_price * 100) / 100e0) / (1 - round(entry_price * 100) / 100e0) END) * 0.25e0 * 10000e0, 0.01e0 * 10000e0)) AS risk""")
-scalar("b26_equal_sigma_size", "positions", "id", {"size": S.equal_sigma_size((F.col("edge_pp") - 2) / 10, F.lit(10000.0))}, "CASE WHEN (edge_pp - 2) / 10e0 <= 0 THEN 0e0 ELSE least(0.02e0 * 10000e0 / ((edge_pp - 2) / 10e0 * sqrt(150e0)), 0.01e0 * 10000e0) END AS size")
-_rr = S.risk_reward("side", "entry_price", "risk_cents")
-scalar("b27_risk_reward", "positions", "id", {k: _rr[k] for k in ("contracts", "risk", "reward")}, """greatest(1, CAST(floor(risk_cents / (CASE WHEN side = 'sell_yes' THEN 1 - entry_price ELSE entry_price END)) AS INTEGER)) AS contracts,
+scalar("b26_equal_sigma_size", "positions", "id", lambda: {"size": S.equal_sigma_size((F.col("edge_pp") - 2) / 10, F.lit(10000.0))}, "CASE WHEN (edge_pp - 2) / 10e0 <= 0 THEN 0e0 ELSE least(0.02e0 * 10000e0 / ((edge_pp - 2) / 10e0 * sqrt(150e0)), 0.01e0 * 10000e0) END AS size")
+_rr = lambda: S.risk_reward("side", "entry_price", "risk_cents")
+scalar("b27_risk_reward", "positions", "id", lambda: {k: _rr()[k] for k in ("contracts", "risk", "reward")}, """greatest(1, CAST(floor(risk_cents / (CASE WHEN side = 'sell_yes' THEN 1 - entry_price ELSE entry_price END)) AS INTEGER)) AS contracts,
  greatest(1, CAST(floor(risk_cents / (CASE WHEN side = 'sell_yes' THEN 1 - entry_price ELSE entry_price END)) AS INTEGER)) * (CASE WHEN side = 'sell_yes' THEN 1 - entry_price ELSE entry_price END) AS risk,
  greatest(1, CAST(floor(risk_cents / (CASE WHEN side = 'sell_yes' THEN 1 - entry_price ELSE entry_price END)) AS INTEGER)) * (CASE WHEN side = 'sell_yes' THEN entry_price ELSE 1 - entry_price END) AS reward""")
 _PNL = "CASE WHEN (side = 'sell_yes' AND result = 'no') OR (side = 'buy_yes' AND result = 'yes') THEN reward_cents ELSE -risk_cents END"
-scalar("b28_binary_pnl", "positions", "id", {"pnl": S.binary_pnl("side", "result", "reward_cents", "risk_cents", F.lit(0)).cast("long")}, f"CAST({_PNL} AS BIGINT) AS pnl")
-scalar("b29_per_bet_return", "positions", "id", {"ret": S.per_bet_return("side", "entry_price", "result")}, "CASE WHEN side = 'sell_yes' AND result = 'no' THEN entry_price / (1 - entry_price) WHEN side = 'buy_yes' AND result = 'yes' THEN (1 - entry_price) / entry_price ELSE -1e0 END AS ret")
-scalar("b33_score", "positions", "id", {"score": S.score("entry_price", F.col("edge_pp") / 50, "risk_cents")}, "200 * entry_price - (CASE WHEN edge_pp / 50e0 > 0.2 THEN ((edge_pp / 50e0 - 0.2e0) / 0.1e0) * ((edge_pp / 50e0 - 0.2e0) / 0.1e0) * 200 ELSE 0 END) - (CASE WHEN risk_cents < 20 THEN 10e0 * (20 - risk_cents) ELSE 0 END) AS score")
-scalar("b37_hours_to_expiry", "positions", "id", {"hours": S.hours_to_expiry("closes", F.lit(900_000_000_000_000))}, "(closes - 900000000000000) / 3.6e9 AS hours")
+scalar("b28_binary_pnl", "positions", "id", lambda: {"pnl": S.binary_pnl("side", "result", "reward_cents", "risk_cents", F.lit(0)).cast("long")}, f"CAST({_PNL} AS BIGINT) AS pnl")
+scalar("b29_per_bet_return", "positions", "id", lambda: {"ret": S.per_bet_return("side", "entry_price", "result")}, "CASE WHEN side = 'sell_yes' AND result = 'no' THEN entry_price / (1 - entry_price) WHEN side = 'buy_yes' AND result = 'yes' THEN (1 - entry_price) / entry_price ELSE -1e0 END AS ret")
+scalar("b33_score", "positions", "id", lambda: {"score": S.score("entry_price", F.col("edge_pp") / 50, "risk_cents")}, "200 * entry_price - (CASE WHEN edge_pp / 50e0 > 0.2 THEN ((edge_pp / 50e0 - 0.2e0) / 0.1e0) * ((edge_pp / 50e0 - 0.2e0) / 0.1e0) * 200 ELSE 0 END) - (CASE WHEN risk_cents < 20 THEN 10e0 * (20 - risk_cents) ELSE 0 END) AS score")
+scalar("b37_hours_to_expiry", "positions", "id", lambda: {"hours": S.hours_to_expiry("closes", F.lit(900_000_000_000_000))}, "(closes - 900000000000000) / 3.6e9 AS hours")
 query("b07_wilson_ci", "SELECT *, greatest(0e0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)) AS low FROM (SELECT category, count(*) AS n, count(*) FILTER (result = 'yes') / CAST(count(*) AS DOUBLE) AS p FROM positions GROUP BY category) x", ("positions",))(
     lambda p: p.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("result") == "yes").alias("k")).select("category", "n", (F.col("k") / F.col("n")).alias("p"), S.wilson_ci("k", "n")["low"].alias("low"))
 )

@@ -63,4 +63,16 @@ QUERIES = {
     f.__name__: f
     for f in (op1_substring_dedup, op2_ngram_jaccard, op3_decontamination, op4_arc_to_warc, op5_suffix_dedup, op6_embedding_dedup, op7_chat_format, op8_sharding, op9_packing, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {}
+_BY = "ORDER BY turn NULLS FIRST, role, text"
+_LONGER = "4 * (length({0}) - length(replace({0}, '&', ''))) + 3 * ((length({0}) - length(replace({0}, '<|', ''))) // 2)"
+
+#: Of the others, the engine of the check has no checksum, tokenizer, language model, suffix array or graph search.
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_format": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'),
+ o AS (SELECT *, lag(role) OVER (PARTITION BY conv_id {_BY}) AS before FROM c),
+ m AS (SELECT *, CASE WHEN before = role THEN 8 ELSE 9 + length(role) + {_LONGER.format("role")} + CASE WHEN before IS NULL THEN 0 ELSE 8 END END + length(text) + {_LONGER.format("text")} AS chars FROM o)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_BY})) AS turns_sha256,
+ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' {_BY}), '')) AS loss_sha256, CAST(sum(chars) + 8 AS BIGINT) AS formatted_chars FROM m GROUP BY conv_id""",
+}

@@ -73,3 +73,13 @@ def implied_mean(l: DataFrame, value: str = "p") -> DataFrame:
     )
     mean = F.col("inner") + (1 - F.col("lo.above")) * (F.col("lo.strike") - F.col("step") / 2) + F.col("hi.above") * (F.col("hi.strike") + F.col("step") / 2)
     return g.select("event", "t", "strikes", F.when(F.col("strikes") >= 2, mean).alias("implied_mean"))
+
+
+def event_study(snap: DataFrame, x: str, y: str, min_n: int = 30) -> DataFrame:
+    """Regressions over all, by event, and over all with ``y`` dealt anew among the rows; ``label`` names each."""
+    from .asof import null_shuffle
+
+    each = ols(snap, x, y, ["event"], min_n).withColumnRenamed("event", "label")
+    whole = ols(snap.withColumn("label", F.lit("all")), x, y, ["label"], min_n)
+    dealt = null_shuffle(snap.select("event", "t", x, y), ["t", "event"], F.xxhash64("event", "t").cast("double"), [y])
+    return each.unionByName(whole).unionByName(ols(dealt.withColumn("label", F.lit("shuffled")), x, y, ["label"], min_n))

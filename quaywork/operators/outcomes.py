@@ -314,3 +314,10 @@ def from_pandas_template(fn):
         return bars.groupBy("symbol").applyInPandas(one, "symbol string, i long, direction string, entry double, stop double, target double")
 
     return run
+
+
+def validate_configs(configs: DataFrame, choices: dict[str, list[str]], ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """``configs`` with ``errors``: what each value that is missing, not a choice, or out of range breaks."""
+    tests = [F.when(F.col(c).isNull(), f"{c}: missing").when(~F.col(c).isin(ok), f"{c}: choice") for c, ok in choices.items()]
+    tests += [F.when(F.col(c).isNull(), f"{c}: missing").when((F.col(c) < lo) | (F.col(c) > hi), f"{c}: range") for c, (lo, hi) in ranges.items()]
+    return configs.withColumn("errors", F.array_compact(F.array(*tests)))

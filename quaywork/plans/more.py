@@ -9,9 +9,10 @@ from ..operators import asof as A
 from ..operators import bars as B
 from ..operators import book as K
 from ..operators import calibration as C
+from ..operators import ladder as L
 from ..operators import outcomes as O
 from ..sources import ingest as I
-from .registry import _PNL, DAY, HOUR, _slow, _trades, query, scalar, traded_query
+from .registry import _PNL, DAY, HOUR, _panel, _slow, _trades, query, scalar, traded_query
 
 # --- ingest ---------------------------------------------------------------------------------------------------------
 
@@ -98,3 +99,7 @@ query("d33_replay_report", None, ("bars",))(lambda b: _trades(b).groupBy("symbol
 query("d26_max_drawdown", "SELECT symbol, max((peak - close) / peak) AS max_dd FROM (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY i) AS peak FROM bars) x GROUP BY symbol", ("bars",))(lambda b: B.drawdown_series(b).groupBy("symbol").agg(F.max("drawdown").alias("max_dd")))
 traded_query("i15_scan_candidates", "SELECT ticker, slot, trade_side FROM traded WHERE edge_pp >= 5")(lambda x: x.where("edge_pp >= 5").select("ticker", "slot", "trade_side"))
 traded_query("d03_calibration_accuracy", "SELECT bin_low, count(*) AS n, count(*) FILTER (result = 'yes') / CAST(count(*) AS DOUBLE) AS rate FROM traded GROUP BY bin_low")(lambda x: x.groupBy("bin_low").agg(F.count("*").alias("n"), F.avg(F.when(F.col("result") == "yes", 1.0).otherwise(0.0)).alias("rate")))
+query("b35_validate_configs", "SELECT id, CASE WHEN template NOT IN ('click', 'view', 'purchase') THEN 'template: choice;' ELSE '' END || CASE WHEN score < 10 OR score > 300 THEN 'score: range;' ELSE '' END AS errors FROM runs", ("runs",))(lambda r: O.validate_configs(r, {"template": ["click", "view", "purchase"]}, {"score": (10.0, 300.0)}).select("id", F.array_join(F.transform("errors", lambda e: F.concat(e, F.lit(";"))), "").alias("errors")))
+query("c19_join_returns", "SELECT b.symbol, b.t, r.v AS fwd_ret FROM bars b LEFT JOIN (SELECT symbol, t, lead(close) OVER (PARTITION BY symbol ORDER BY i) / close - 1 AS v FROM bars) r ON b.symbol = r.symbol AND b.t = r.t", ("bars",))(lambda b: b.select("symbol", "t").join(B.forward_return(b).select("symbol", "t", "fwd_ret"), ["symbol", "t"], "left"))
+query("c20_markets_in_categories", f"SELECT ticker, slot FROM markets WHERE {S.category_sql('event_ticker')} IN ('sports', 'crypto')", ("markets",))(lambda m: A.restrict_to(m, m.where(S.categorize("event_ticker").isin("sports", "crypto")).select("event_ticker").distinct(), ["event_ticker"]).select("ticker", "slot"))
+query("d17_event_study", None, ("ladder",))(lambda l: L.event_study(L.snapshot_metrics(_panel(l)), "max_gap", "kl", 3))

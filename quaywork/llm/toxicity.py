@@ -20,25 +20,49 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, n_buckets
 
-ORDER, SHARED = 6, 4
+ORDER, SHARED = 5, 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _grams(text: str | None) -> np.ndarray:
-    """The ``ORDER`` bytes up to each byte of a normalised text, as numbers (the text begins after spaces)."""
+    """The ``ORDER`` (at most 6) bytes up to each byte of a normalised text, as numbers; the text begins after spaces."""
     words = text.encode("utf-8", "surrogatepass").translate(ALNUM).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    raw = np.frombuffer(b" " * ORDER + b" ".join(words) + b" ", np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b" " * 6 + b" ".join(words) + b" ", np.uint8).astype(np.uint64)
     two = (raw[:-1] << np.uint64(8)) | raw[1:]
     four = (two[:-2] << np.uint64(16)) | two[2:]
-    return ((four[:-2] << np.uint64(16)) | two[4:])[1:]
+    return _low((four[:-2] << np.uint64(16)) | two[4:], ORDER)[1:]
 
 
 def _low(g: np.ndarray, k: int) -> np.ndarray:
     return g & np.uint64((1 << (8 * k)) - 1)
 
 
+def _counted(parts, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of many arrays and their counts; sums up whenever ``at_once`` numbers have come."""
+    keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    held: list[np.ndarray] = []
+
+    def sum_up():
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        every, inv = np.unique(np.concatenate([keys[0], u]), return_inverse=True)
+        counts[0] = np.bincount(inv, np.concatenate([counts[0], c]), len(every)).astype(np.int64)
+        keys[0] = every
+        held.clear()
+
+    size = 0
+    for p in parts:
+        held.append(p)
+        size += len(p)
+        if size >= at_once:
+            sum_up()
+            size = 0
+    if held:
+        sum_up()
+    return keys[0], counts[0]
+
+
 def _gram_rows(batches):
     """From (label, text): (label, gram, count) as blobs, summed within the batch."""
     for batch in batches:
@@ -46,9 +70,8 @@ def _gram_rows(batches):
         labels = np.array(batch.column(0).to_pylist())
         texts = batch.column(1).to_pylist()
         for c in (0, 1):
-            own = [_grams(texts[k]) for k in np.flatnonzero(labels == c)]
-            if own:
-                g, n = np.unique(np.concatenate(own), return_counts=True)
+            g, n = _counted(_grams(texts[k]) for k in np.flatnonzero(labels == c))
+            if len(g):
                 rows.append((c, g.tobytes(), n.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)], names=["label", "gram", "n"])
 
@@ -62,8 +85,7 @@ def _count_rows(buckets: int):
 
     def run(batches):
         for batch in batches:
-            parts = [np.empty(0, np.uint64)] + [_low(_grams(t), SHARED) for t in batch.column(0).to_pylist()]
-            g, n = np.unique(np.concatenate(parts), return_counts=True)
+            g, n = _counted(_low(_grams(t.as_py()), SHARED) for t in batch.column(0))
             ctx, inv = np.unique(g >> np.uint64(8), return_inverse=True)
             h = np.r_[_tag(g, SHARED), _tag(ctx, SHARED - 1)]
             c = np.r_[n, np.bincount(inv, n, len(ctx)).astype(np.int64)] if len(g) else n
@@ -95,23 +117,30 @@ def _sum_rows(vocabulary):
 
 
 class _Table:
-    """Values by gram: slots with marks, so that a look-up is two reads and all but never answers for another gram."""
+    """Values by gram: slots with marks, so that a look-up is two reads and all but never answers for another gram.
 
-    bits = 22
+    Only the grams and values travel; each process makes the slots, about 16 for a gram, when it first needs them.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.marks, self.values = np.zeros(1 << self.bits, np.uint16), np.zeros(1 << self.bits, np.float32)
-        slot, mark = self._at(keys)
         order = np.argsort(np.abs(values), kind="stable")  # of grams with one slot, the weightiest stays
-        self.marks[slot[order]], self.values[slot[order]] = mark[order], values[order]
+        self.keys, self.values, self.bits, self.slots = keys[order], values[order].astype(np.float32), min(24, max(10, int(np.log2(len(keys) + 1)) + 5)), None
+
+    def __getstate__(self):
+        return self.__dict__ | {"slots": None}
 
     def _at(self, keys):
         h = keys * _STEP
         return (h >> np.uint64(64 - self.bits)).astype(np.int64), ((h >> np.uint64(20)) | np.uint64(1)).astype(np.uint16)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
+        if self.slots is None:
+            marks, values = np.zeros(1 << self.bits, np.uint16), np.zeros(1 << self.bits, np.float32)
+            slot, mark = self._at(self.keys)
+            marks[slot], values[slot] = mark, self.values
+            self.slots = marks, values
         slot, mark = self._at(keys)
-        return np.where(self.marks[slot] == mark, self.values[slot], np.float32(0))
+        return np.where(self.slots[0][slot] == mark, self.slots[1][slot], np.float32(0))
 
 
 class Model:

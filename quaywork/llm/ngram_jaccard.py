@@ -367,9 +367,12 @@ def _across(left: DataFrame, heads: DataFrame, percent: int, block: int = 400) -
     return dealt.select("id", "label", "component", "block", "tokens", "p.lo", "p.hi").groupBy("component", "lo", "hi").applyInArrow(_block_links(percent), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, few: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each document.
 
+    The ids that pass the first step are counted; up to ``few`` of them are broadcast to pick their texts where these
+    lie, more are joined by a shuffle.
+
     Words are runs of non-white bytes with A-Z lower-cased. A null or blank text has no shingles and links with
     nothing; equal texts link if they have words. Rows of one id are one node (each row is returned with the size
     of its own set). Rows without an id are returned with no component. Other columns are ignored.
@@ -381,6 +384,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = cut(seen.groupBy("id", "n").agg(F.sum("met").alias("met"), F.count("*").cast("int").alias("rows")))
     need = 1 + F.floor(F.floor((F.min("n") * percent + 99) / 100) / 10)
     met = seen.groupBy("id").agg(F.sum("met").alias("met"), need.alias("need")).where("met >= need").select("id")
+    met = F.broadcast(met) if met.count() <= few else met
     sets = d.join(met, "id").mapInArrow(_set_rows(width), "id long, digest binary, n long, tokens binary").select("id", "digest", "tokens")
     # a set is a node, numbered by its digest; ``head`` is the smallest id that has it
     sets = cut(sets.repartition("digest").sortWithinPartitions("digest", "id").mapInArrow(_head_rows, "id long, head long, node long, tokens binary"))

@@ -49,7 +49,7 @@ def n_buckets(spark: SparkSession) -> int:
 class WordHashes(dict):
     """64-bit hashes of byte words; forgets all when it has grown to ``limit`` words."""
 
-    limit = 400_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -28,15 +28,16 @@ class Tokens(dict):
     kept, up to ``limit`` of them; other texts are encoded whole.
     """
 
-    limit = 300_000
+    limit = 100_000
     beside = re.compile(r"\s | \s")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        self.fast, self.base = _ranks(path), None
+        if not self.fast:
+            from tokenizers import Tokenizer
 
-        self.base = Tokenizer.from_file(path)
-        self.base.encode_special_tokens = True
-        self.fast = _ranks(path)
+            self.base = Tokenizer.from_file(path)
+            self.base.encode_special_tokens = True
 
     def whole(self, text: str) -> bytes:
         ids = self.fast.encode_ordinary(text) if self.fast else self.base.encode(text, add_special_tokens=False).ids

@@ -189,7 +189,9 @@ class _Batch:
         self.start, self.stop = starts[keep], stops[keep]
         self.anchor = least[self.start]
         # strings that repeat within one stretch: the anchor has left the string, and the next one has it again
-        back = np.r_[0, np.cumsum(leads[:-1] & (least[1:] == least[:-1]))]
+        again = leads[:-1] & (least[1:] == least[:-1])
+        del leads, least
+        back = np.r_[np.int32(0), np.cumsum(again, dtype=np.int32)]
         self.twice = back[self.stop - 1] > back[self.start]
         self.row = np.searchsorted(self.begin, self.start, "right") - 1
         # rows without bytes begin where the next row does
@@ -250,12 +252,12 @@ def _stretch_rows(length: int, gram: int, buckets: int):
             at = np.minimum(np.searchsorted(h, b.anchor), len(h) - 1)
             on = np.flatnonzero(h[at] == b.anchor)
             batch = docs.column("batch")[0].as_py()
-            flat = b.bytes.tobytes()
+            flat = b.bytes
             seen: set = set()
             gone, kept, pieces = [], [], []
             for k in on.tolist():  # in order of id and place, so the first of equal stretches is the earliest
                 s, e = int(b.start[k]), int(b.stop[k])
-                piece = flat[s : e + length - 1]
+                piece = flat[s : e + length - 1].tobytes()
                 mark = xxhash.xxh3_128_digest(piece)
                 row = int(b.row[k])
                 place = s - int(b.begin[row])

@@ -158,6 +158,28 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.fuzzy_passages(empty).count() == 0
 
 
+def common_words(x, y):
+    row = [0] * (len(y) + 1)
+    for a in x:
+        new = [0]
+        for k, b in enumerate(y):
+            new.append(row[k] + 1 if a == b else max(row[k + 1], new[k]))
+        row = new
+    return row[-1]
+
+
+def test_two_passages_of_one_pair(spark):
+    one, two, exact = text(60, 300).split(), text(61, 70).split(), text(62, 80).split()
+    edited = two[:35] + ["changed"] + two[36:]
+    x = one + text(63, 100).split() + two + text(64, 100).split() + exact
+    y = one + text(65, 90).split() + edited + text(66, 110).split() + exact
+    rows = spark.createDataFrame([(1, " ".join(x)), (2, " ".join(y))], "doc_id long, text string")
+    got = sorted((r.start, r.stop, r.source_start, r.source_stop, r.similarity) for r in substring_dedup.fuzzy_passages(rows).collect())
+    assert [g[:4] for g in got] == [(0, 300, 0, 300), (390, 460, 400, 470), (570, 650, 570, 650)]
+    for s, e, p, q, similarity in got:
+        assert similarity == common_words(y[s:e], x[p:q]) / max(e - s, q - p)
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(0)
     x = r.standard_normal((300, 32))

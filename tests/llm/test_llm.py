@@ -180,6 +180,23 @@ def test_two_passages_of_one_pair(spark):
         assert similarity == common_words(y[s:e], x[p:q]) / max(e - s, q - p)
 
 
+def test_passage_with_scattered_seeds(spark):
+    whole = text(70, 80).split()
+    edited = whole[:20] + ["changed"] + whole[21:35] + ["other"] + whole[36:]
+    opening = whole[:40]
+    rows = [(1, opening + text(71, 60).split()), (2, text(72, 30).split() + whole), (3, opening + text(73, 60).split()), (4, text(74, 50).split() + edited)]
+    # every ten words of one passage also stand, alone, in a document before and one between
+    long = text(75, 70).split()
+    pieces = [long[k : k + 10] for k in range(0, 70, 10)]
+    rows += [(10 + k, text(80 + k, 60).split() + p) for k, p in enumerate(pieces)] + [(20, long + text(90, 50).split())]
+    rows += [(30 + k, text(100 + k, 60).split() + p) for k, p in enumerate(pieces)] + [(40, text(91, 50).split() + long)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.source_id): (r.start, r.stop, r.source_start, r.source_stop) for r in substring_dedup.fuzzy_passages(frame).collect()}
+    assert got[4, 2] == (50, 130, 30, 110)
+    assert got[40, 20] == (50, 120, 0, 70)
+    assert set(got) == {(4, 2), (40, 20)}
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(0)
     x = r.standard_normal((300, 32))

@@ -8,7 +8,7 @@ cut to fill what is left. So only a task's last sequence is short, and no row is
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 
 import numpy as np
@@ -20,42 +20,45 @@ COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _LOADED: dict = {}
 
 
-class Tokens(dict):
-    """Ids, as little-endian 32-bit bytes, of a space and the stretch of text after it.
+class Tokens:
+    """Ids of whole texts, as the tokenizer file gives them, its special tokens included.
 
-    The split pattern of the byte-level vocabulary joins a single space to what follows and ends every match before
-    it, so where no space has white space beside it, a text's ids are those of its stretches in turn. Stretches are
-    kept, up to ``limit`` of them; other texts are encoded whole.
+    Where the same vocabulary lies beside the file as ranks, those encode texts without special tokens, as the
+    faster of two equal ways.
     """
 
-    limit = 100_000
-    beside = re.compile(r"\s | \s")
-
     def __init__(self, path: str):
-        self.fast, self.base = _ranks(path), None
-        if not self.fast:
+        with open(path, encoding="utf-8") as f:
+            given = json.load(f)
+        self.path, self.base, self.fast = path, None, _ranks(path)
+        self.marks = tuple(t["content"] for t in given["added_tokens"])
+        # bytes of each id: a byte-level vocabulary writes a byte as one character
+        self.sizes = np.zeros(1 + max([*given["model"]["vocab"].values(), *(t["id"] for t in given["added_tokens"])]), np.int64)
+        for token, i in given["model"]["vocab"].items():
+            self.sizes[i] = len(token)
+        for t in given["added_tokens"]:
+            self.sizes[t["id"]] = len(t["content"].encode())
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast and not any(m in text for m in self.marks):
+            return np.array(self.fast.encode_ordinary(text), "<u4")
+        if self.base is None:
             from tokenizers import Tokenizer
 
-            self.base = Tokenizer.from_file(path)
-            self.base.encode_special_tokens = True
-
-    def whole(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast else self.base.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            self.base = Tokenizer.from_file(self.path)
+        return np.array(self.base.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def __missing__(self, part: str) -> bytes:
-        found = self.whole(" " + part)
-        if len(part) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[part] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if not self.fast or self.beside.search(text):
-            return self.whole(text)
-        first, *parts = text.split(" ")
-        return self.whole(first) + b"".join(map(self.__getitem__, parts))
+    def bears(self, ids: np.ndarray, spans: list) -> np.ndarray:
+        """Which ids begin within one of the byte ``spans`` (start, stop) of the text."""
+        ends = np.cumsum(self.sizes[ids])
+        begins = ends - self.sizes[ids]
+        on = np.zeros(len(ids) + 1, np.int64)
+        for start, stop in spans:
+            a, b = np.searchsorted(begins, [start, stop])
+            if b > a:
+                on[a] += 1
+                on[b] -= 1
+        return np.cumsum(on[:-1]) > 0
 
 
 def _ranks(path: str):
@@ -80,23 +83,50 @@ def _tokens(path: str) -> Tokens:
     return _LOADED[path]
 
 
+class Piece:
+    """Consecutive ids of one document; ``bears`` says which bear loss (None: all)."""
+
+    __slots__ = ("doc", "start", "ids", "total", "bears", "size", "loss")
+
+    def __init__(self, doc, start: int, ids: np.ndarray, total: int, bears: np.ndarray | None):
+        self.doc, self.start, self.ids, self.total, self.bears = doc, start, ids, total, bears
+        self.size = len(ids)
+        self.loss = self.size if bears is None else int(bears.sum())
+
+    def prefix(self, tokens: float, bearing: float) -> int:
+        """How many of its first ids stay within both."""
+        n = int(min(tokens, self.size))
+        if self.bears is None:
+            return int(min(n, bearing))
+        return int(np.searchsorted(np.cumsum(self.bears[:n]), bearing, "right"))
+
+    def cut(self, n: int) -> tuple[Piece, Piece]:
+        b = (None, None) if self.bears is None else (self.bears[:n], self.bears[n:])
+        return Piece(self.doc, self.start, self.ids[:n], self.total, b[0]), Piece(self.doc, self.start + n, self.ids[n:], self.total, b[1])
+
+
 class Packer:
-    """Places pieces (document, start, tokens, loss-bearing tokens) into sequences; keeps at most ``window`` waiting."""
+    """Places pieces into sequences; keeps at most ``window`` waiting. ``limits``: tokens, segments, loss-bearing tokens."""
 
     def __init__(self, limits: tuple[int, int, int], window: int, emit):
         self.limits, self.window, self.emit, self.sequence = np.array(limits, float), window, emit, 0
-        self.waiting: list[tuple] = []
+        self.waiting: list[Piece] = []
 
-    def add(self, piece: tuple) -> None:
-        self.waiting.append(piece)
+    def add(self, piece: Piece) -> None:
+        cap_tokens, _, cap_loss = self.limits
+        while piece.size > cap_tokens or piece.loss > cap_loss:  # whole sequences of a long document need no choice
+            full, piece = piece.cut(piece.prefix(cap_tokens, cap_loss))
+            self.emit(full, self.sequence, 0)
+            self.sequence += 1
+        if piece.size:
+            self.waiting.append(piece)
         if len(self.waiting) >= self.window:
             self.pack(self.window // 2)
 
     def pack(self, keep: int) -> None:
         cap_tokens, cap_segments, cap_loss = self.limits
         pieces = self.waiting
-        size = np.array([p[2] for p in pieces], float)
-        loss = np.array([p[3] for p in pieces], float)
+        size, loss = (np.array([getattr(p, k) for p in pieces], float) for k in ("size", "loss"))
         here = np.ones(len(pieces), bool)
         count = len(pieces)
         while count > keep:
@@ -107,23 +137,21 @@ class Packer:
                     # demand and what is left, each as a share of its limit
                     value = size * (tokens / cap_tokens**2) + segments / cap_segments**2 + loss * (bearing / cap_loss**2)
                     k = int(np.argmax(np.where(fits, value, -1)))
-                    doc, start, n, own, state = pieces[k]
+                    piece = pieces[k]
                     here[k] = False
                     count -= 1
                 else:
-                    room = int(min(tokens, bearing))
-                    if room < 1:
-                        break
                     k = int(np.argmin(np.where(here, size, np.inf)))
-                    doc, start, n, own, state = pieces[k]
-                    pieces[k] = (doc, start + room, n - room, max(0, own - room), state)
-                    size[k], loss[k] = n - room, max(0, own - room)
-                    n, own = room, min(own, room)
-                self.emit(doc, start, n, own, state, self.sequence, offset)
-                offset += n
-                tokens -= n
+                    room = pieces[k].prefix(tokens, bearing)
+                    if not room:
+                        break
+                    piece, pieces[k] = pieces[k].cut(room)
+                    size[k], loss[k] = pieces[k].size, pieces[k].loss
+                self.emit(piece, self.sequence, offset)
+                offset += piece.size
+                tokens -= piece.size
                 segments -= 1
-                bearing -= own
+                bearing -= piece.loss
             self.sequence += 1
         self.waiting = [p for p, on in zip(pieces, here, strict=True) if on]
 
@@ -139,25 +167,25 @@ def _pack_rows(path: str, end_id: int, limits: tuple[int, int, int], window: int
         first = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
 
-        def emit(doc, start, n, own, ids, sequence, offset):
-            rows.append((doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, first + sequence, offset, own))
+        def emit(p: Piece, sequence: int, offset: int):
+            rows.append((p.doc, p.start, p.size, zlib.crc32(p.ids.tobytes()), p.total, first + sequence, offset, p.loss))
 
         def flush():
             cols = list(zip(*rows, strict=True)) or [[]] * 8
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-        tokens, packer, end = _tokens(path), Packer(limits, window, emit), np.array([end_id], "<u4").tobytes()
-        longest = min(limits[0], limits[2])
+        tokens, packer, end = _tokens(path), Packer(limits, window, emit), np.array([end_id], "<u4")
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens.encode(text or "") + end
-                n, at = len(ids) // 4, 0
-                while n - at > longest:  # whole sequences of a long document need no choice
-                    emit(doc, at, longest, longest, ids, packer.sequence, 0)
-                    packer.sequence += 1
-                    at += longest
-                packer.add((doc, at, n - at, n - at, ids))
+            masks = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), masks, strict=True):
+                own = tokens.encode(text.as_py() or "")
+                bears = None
+                if spans is not None:
+                    bears = tokens.bears(own, [(s["start"], s["stop"]) for s in spans])
+                    bears = np.append(bears, bool(len(bears)) and bears[-1])
+                ids = np.concatenate([own, end])
+                packer.add(Piece(doc, 0, ids, len(ids), bears))
             yield flush()
         packer.close()
         yield flush()
@@ -165,13 +193,25 @@ def _pack_rows(path: str, end_id: int, limits: tuple[int, int, int], window: int
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, max_tokens: int = 2048, max_segments: int = 512, max_loss: int = 2048, window: int = 256) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, end_id: int = 1,
+    max_tokens: int = 2048, max_segments: int = 512, max_loss: int = 2048, window: int = 256,
+) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens): a row for each piece.
 
-    A document is its ids and ``end_id``; all its ids bear loss. ``tokenizer`` is a tokenizer file's path on every
-    machine. A null text is empty and gives its end id alone. Rows with equal or null ids are separate documents.
-    An empty table gives no rows; other columns are ignored. The same input files give the same sequences, also
-    when a task is run again.
+    A document is its ids, special tokens in the text taken as such, and ``end_id``. ``loss_col`` names an array of
+    (start, stop) byte spans of the text, those of replies in instruction data: ids that begin within one bear loss,
+    and so does the end id after such an id; without the column, or where it is null, all ids do. No sequence exceeds
+    ``max_tokens`` ids, ``max_segments`` pieces or ``max_loss`` loss-bearing ids (each 1 at least).
+
+    ``tokenizer`` is a tokenizer file's path on every machine. A null text is empty and gives its end id alone. Rows
+    with equal or null ids are separate documents. An empty table gives no rows; other columns are ignored. The same
+    input files give the same sequences, also when a task is run again. A document is one row and so one task's work.
     """
     limits = (max_tokens, max_segments, max_loss)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pack_rows(tokenizer, end_id, limits, window), COLUMNS)
+    if min(limits) < 1:
+        raise ValueError("limits are 1 at least")
+    cols = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")]
+    if loss_col:
+        cols.append(F.transform(loss_col, lambda s: F.struct(s["start"].cast("long").alias("start"), s["stop"].cast("long").alias("stop"))).alias("spans"))
+    return docs.select(*cols).mapInArrow(_pack_rows(tokenizer, end_id, limits, window), COLUMNS)

@@ -280,8 +280,48 @@ def test_fast_tokens_equal_the_tokenizer():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     base, fast = Tokenizer.from_file(path), packing.Tokens(path)
-    for t in ["", " ", "a", " a", "a ", "a  b", "a \n b", "it's  3.5%\t\tok", "été 中文", "x y z", "a\n\nb c", "we'll 've 's", "<|endof text|>"]:
-        assert np.frombuffer(fast.encode(t), "<u4").tolist() == base.encode(t, add_special_tokens=False).ids, repr(t)
+    for t in ["", " ", "a", " a", "a ", "a  b", "a \n b", "it's  3.5%\t\tok", "été 中文", "x y z", "a\n\nb c", "we'll 've 's", "<|endof text|>", "<|endoftext|>", "a <|endoftext|>\n<|endoftext|>é", "ab " * 60_000]:
+        ids = fast.encode(t)
+        assert ids.tolist() == base.encode(t, add_special_tokens=False).ids, repr(t[:50])
+        assert fast.sizes[ids].sum() == len(t.encode())
+    ids = fast.encode("ask: why? <|endoftext|>answer: é because")
+    on = fast.bears(ids, [(23, 40)])
+    at = np.cumsum(fast.sizes[ids]) - fast.sizes[ids]
+    assert on.tolist() == [23 <= a < 40 for a in at]
+
+
+@pytest.mark.parametrize("limits", [(64, 512, 2048), (2048, 3, 2048), (2048, 512, 20), (64, 4, 20)])
+def test_packing_limits_bind(spark, limits):
+    """Each of the three limits by itself, and all at once; ids that bear loss are those of the given spans."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = packing.Tokens(path)
+    rows = []
+    for k in range(120):
+        ask, reply = text(k, 3 + k % 20) + " ", text(k + 500, 2 + k % 31)
+        rows.append((k if k % 10 else None, ask + reply, [(len(ask), len(ask + reply))] if k % 3 else None, 5))
+    rows += [(7, "same id", None, 5), (8, None, [(0, 4)], 5), (9, "", [], 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans array<struct<start:int,stop:int>>, length int").coalesce(1)
+    got = packing.pack(d, path, loss_col="spans", max_tokens=limits[0], max_segments=limits[1], max_loss=limits[2], window=16).collect()
+    want = {"tokens": 0, "loss": 0}
+    for _, t, s, _ in rows:
+        ids = tokens.encode(t or "")
+        on = tokens.bears(ids, s) if s is not None else np.ones(len(ids), bool)
+        want["tokens"] += len(ids) + 1
+        want["loss"] += int(on.sum()) + (1 if s is None else int(len(on) > 0 and on[-1]))
+    assert sum(r.length for r in got) == want["tokens"] and sum(r.loss_tokens for r in got) == want["loss"]
+    assert sum(r.doc_id is None and r.start == 0 for r in got) == 12 and sum(r.doc_id == 7 and r.start == 0 for r in got) == 2
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    totals = [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in sequences.values()]
+    for s in sequences.values():
+        s.sort(key=lambda r: r.offset)
+        assert [r.offset for r in s] == np.cumsum([0, *[r.length for r in s]])[:-1].tolist()
+    assert all(a <= b for t in totals for a, b in zip(t, limits, strict=True))
+    # all but the last sequences are full in one of the three
+    assert sum(not any(a == b for a, b in zip(t, limits, strict=True)) for t in totals) <= 2 + len(totals) // 10
 
 
 def test_arc_versions():

@@ -82,29 +82,27 @@ def shingles(ids: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``, component being its smallest node.
 
-    Alternates large-star and small-star steps until the edges are stars; each round is checkpointed, nothing
-    goes to the driver but a count and a checksum. Rows with nulls or equal ends are left out.
+    Alternates large-star and small-star steps until the edges are stars, however many rounds that takes; nothing goes
+    to the driver but a count and a checksum. Each round's least neighbours and edges are checkpointed, so that both
+    sides of the join that meets them are plain shuffles, of which adaptive execution splits the parts that one node
+    with very many neighbours fills. Rows with nulls or equal ends are left out.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = cut(e.mapInArrow(_local_stars, "u long, v long").distinct())
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    before = mark(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    before, after = None, mark(e)
+    while after[0] and after != before:  # every round that is not the last lowers a node's least neighbour
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
-        e = cut(small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u > v").distinct())
-        after = mark(e)
-        if tuple(after) == tuple(before):
-            break
-        before = after
+        small = small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u > v")
+        e = cut(small.mapInArrow(_local_stars, "u long, v long").distinct())
+        before, after = after, mark(e)
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 

@@ -1,13 +1,14 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-The models are over characters (bytes of the lower-cased words between single spaces), so that they know the forms
-of a word. A bounded sample of labelled rows gives counts of ``ORDER``-grams for two classes; each class has an
-interpolated Kneser-Ney model of the orders ``ORDER`` down to ``SHARED`` + 1, lower orders by continuation counts.
-Below them both share one distribution, from counts of ``SHARED``-grams over all documents. The discount takes all of
-a count up to its size, so expressions that are rare in a class fall back to what both share and say nothing; nor does
-a character say anything that neither class has seen after its context. A document's evidence is the difference of
-its two length-normalised log-likelihoods; a logistic curve over that and the length, fitted on further labelled
-rows, turns it into a score.
+The models are over characters (bytes of the lower-cased words between single spaces), so that they know the forms of
+a word. A bounded sample of labelled rows gives counts of ``ORDER``-grams for two classes. Each class has interpolated
+Kneser-Ney estimates of the orders ``ORDER`` down to ``SHARED`` + 1, lower orders by continuation counts; below them
+both share one distribution, from counts over all documents. Where a gram's counts are too few to tell the classes
+apart, both take the estimate that all documents' counts of it give, in proportion to their own next lower order: so
+rare expressions are smoothed by counts that grow with the corpus, and say nothing of their own.
+
+A document has two length-normalised log-likelihoods, one for each class. A logistic curve over their difference and
+the length, fitted on further labelled rows, turns them into a score.
 """
 
 from __future__ import annotations
@@ -76,26 +77,42 @@ def _gram_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)], names=["label", "gram", "n"])
 
 
-def _tag(g: np.ndarray, k: int) -> np.ndarray:
-    return _low(g, k) | np.uint64(k << 56)
+def _tag(g: np.ndarray, k: int, context: bool = False) -> np.ndarray:
+    """A gram of ``k`` bytes, or the context of one, as a number that no other shares."""
+    return g | np.uint64((2 * k + context) << 57)
+
+
+def _vocabulary(grams: np.ndarray) -> np.ndarray:
+    """What is counted over all documents for these ``ORDER``-grams: themselves, their lower orders, and contexts."""
+    out = []
+    for k in range(ORDER, SHARED - 1, -1):
+        grams = np.unique(_low(grams, k))
+        out += [_tag(grams, k), _tag(np.unique(grams >> np.uint64(8)), k, True)]
+    return np.unique(np.concatenate(out))
 
 
 def _count_rows(buckets: int):
-    """Counts of ``SHARED``-grams and of their contexts, summed within some texts and dealt to buckets."""
+    """Counts of grams of all orders and of their contexts, summed within some texts and dealt to buckets."""
 
     def run(batches):
         for batch in batches:
-            g, n = _counted(_low(_grams(t.as_py()), SHARED) for t in batch.column(0))
-            ctx, inv = np.unique(g >> np.uint64(8), return_inverse=True)
-            h = np.r_[_tag(g, SHARED), _tag(ctx, SHARED - 1)]
-            c = np.r_[n, np.bincount(inv, n, len(ctx)).astype(np.int64)] if len(g) else n
+            g, n = _counted(_grams(t.as_py()) for t in batch.column(0))
+            h, c = [], []
+            for k in range(ORDER, SHARED - 1, -1):
+                if k < ORDER:
+                    g, inv = np.unique(_low(g, k), return_inverse=True)
+                    n = np.bincount(inv, n, len(g)).astype(np.int64)
+                ctx, inv = np.unique(g >> np.uint64(8), return_inverse=True)
+                h += [_tag(g, k), _tag(ctx, k, True)]
+                c += [n, np.bincount(inv, n, len(ctx)).astype(np.int64)]
+            h, c = np.concatenate(h), np.concatenate(c)
             bucket = (((h * _STEP) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             h, c, bucket = h[order], c[order], bucket[order]
             ends = np.flatnonzero(np.diff(bucket)) + 1
             spans = [(s, e) for s, e in zip(np.r_[0, ends], np.r_[ends, len(h)], strict=True) if e > s]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(bucket[s]) for s, _ in spans], pa.int32()), pa.array([h[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([c[s:e].astype(np.int64).tobytes() for s, e in spans], pa.binary())],
+                [pa.array([int(bucket[s]) for s, _ in spans], pa.int32()), pa.array([h[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([c[s:e].tobytes() for s, e in spans], pa.binary())],
                 names=["bucket", "hashes", "counts"],
             )
 
@@ -117,93 +134,112 @@ def _sum_rows(vocabulary):
 
 
 class _Table:
-    """Values by gram: slots with marks, so that a look-up is two reads and all but never answers for another gram.
-
-    Only the grams and values travel; each process makes the slots, about 16 for a gram, when it first needs them.
-    """
+    """Places of keys, exact: keys are sorted by a bijective hash, whose first bits say where to begin looking."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(np.abs(values), kind="stable")  # of grams with one slot, the weightiest stays
-        self.keys, self.values, self.bits, self.slots = keys[order], values[order].astype(np.float32), min(24, max(10, int(np.log2(len(keys) + 1)) + 5)), None
+        h = keys * _STEP
+        order = np.argsort(h)
+        self.h, self.values, self.start = h[order], values[order], None
+        self.bits = max(8, int(np.log2(len(keys) + 1)) + 2)
 
     def __getstate__(self):
-        return self.__dict__ | {"slots": None}
-
-    def _at(self, keys):
+        return self.__dict__ | {"start": None}  # made where it is used
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places among the values, which keys are there)."""
+        if self.start is None:
+            top = (self.h >> np.uint64(64 - self.bits)).astype(np.int64)
+            self.start = np.searchsorted(top, np.arange(1 << self.bits)).astype(np.int32)
+            self.h = np.append(self.h, np.uint64(2**64 - 1))
         h = keys * _STEP
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64), ((h >> np.uint64(20)) | np.uint64(1)).astype(np.uint16)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        if self.slots is None:
-            marks, values = np.zeros(1 << self.bits, np.uint16), np.zeros(1 << self.bits, np.float32)
-            slot, mark = self._at(self.keys)
-            marks[slot], values[slot] = mark, self.values
-            self.slots = marks, values
-        slot, mark = self._at(keys)
-        return np.where(self.slots[0][slot] == mark, self.slots[1][slot], np.float32(0))
+        at = self.start[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
+        found = self.h[at]
+        todo = np.flatnonzero(found < h)
+        while len(todo):
+            at[todo] += 1
+            found[todo] = self.h[at[todo]]
+            todo = todo[found[todo] < h[todo]]
+        ok = (found == h) & (at < len(self.values))
+        return np.where(ok, at, 0), ok
 
 
 class Model:
-    """Log-likelihood ratios of grams; ``curve`` turns evidence into log odds."""
+    """Log-probabilities of grams in both classes; ``curve`` turns a difference of likelihoods into log odds.
 
-    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]], discount: float, sure: float = 3.0):
-        self.sure, self.discount, self.counts, self.curve = sure, discount, counts, np.array([-3.0, 1.0, 0.0])
-        every = np.unique(np.concatenate([g for g, _ in counts.values()]))
-        self.vocabulary = np.unique(np.r_[_tag(every, SHARED), _tag(every >> np.uint64(8), SHARED - 1)])
+    A class estimate takes ``discount`` off each count. ``sure``: the classes are told apart by a gram where the log
+    ratio of its estimates, beyond that of its next lower order, is at least so many times its own standard error.
+    ``prior``: the weight, in counts, of the lower order in what all documents say of a gram.
+    """
+
+    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]], discount: float, sure: float = 3.0, prior: float = 8.0):
+        self.sure, self.discount, self.prior, self.counts, self.curve = sure, discount, prior, counts, np.array([-3.0, 1.0, 0.0])
+        self.vocabulary = _vocabulary(np.unique(np.concatenate([g for g, _ in counts.values()])))
 
     def fit(self, shared: np.ndarray) -> None:
         """``shared``: counts of ``self.vocabulary`` over all documents."""
         d = self.discount
 
-        def base(g):  # of the last byte of SHARED-grams
-            n = shared[np.searchsorted(self.vocabulary, _tag(g, SHARED))]
-            c = shared[np.searchsorted(self.vocabulary, _tag(g >> np.uint64(8), SHARED - 1))]
-            return (n + 1 / 256) / (c + 1)
+        def count(g, k, context=False):
+            return shared[np.searchsorted(self.vocabulary, _tag(g, k, context))]
 
-        levels: dict[int, dict] = {c: {} for c in self.counts}
-        for c, (g, n) in self.counts.items():
-            levels[c][ORDER] = (g, n.astype(float))
+        levels: dict[int, dict] = {c: {ORDER: (g, n.astype(float))} for c, (g, n) in self.counts.items()}
+        for c in levels:
             for k in range(ORDER - 1, SHARED, -1):  # distinct bytes before
                 u, before = np.unique(_low(levels[c][k + 1][0], k), return_counts=True)
                 levels[c][k] = (u, before.astype(float))
-        self.tables = {}
         grams = np.unique(np.concatenate([_low(g, SHARED) for g, _ in self.counts.values()]))
-        below = {c: (grams, base(grams)) for c in self.counts}
+        base = (count(grams, SHARED) + 1 / 256) / (count(grams >> np.uint64(8), SHARED, True) + 1)
+        raw, both, tied = {c: base for c in levels}, base, {c: np.log(base) for c in levels}
+        self.tables = {SHARED: _Table(grams, np.stack([tied[0], tied[1]], 1))}
         for k in range(SHARED + 1, ORDER + 1):
-            grams = np.unique(np.concatenate([levels[c][k][0] for c in levels]))
+            down, grams = grams, np.unique(np.concatenate([levels[c][k][0] for c in levels]))
+            low = np.searchsorted(down, _low(grams, k - 1))
+            ctx, at = np.unique(grams >> np.uint64(8), return_inverse=True)
             probs, doubt = {}, 0.0
             for c in levels:
                 g, n = levels[c][k]
-                ctx, at = np.unique(grams >> np.uint64(8), return_inverse=True)
                 own = np.zeros(len(grams))
                 own[np.searchsorted(grams, g)] = n
                 seen, kept = np.bincount(at, own, len(ctx)), np.maximum(own - d, 0)
                 left = np.where(seen > 0, 1 - np.bincount(at, kept, len(ctx)) / np.maximum(seen, 1), 1.0)
-                lower = below[c][1][np.searchsorted(below[c][0], _low(grams, k - 1))]
+                lower = raw[c][low]
                 probs[c] = kept / np.maximum(seen, 1)[at] + left[at] * lower
                 doubt = doubt + 1 / (1 + np.maximum(own, seen[at] * lower))
-            ratio = np.log(probs[1] / probs[0])
-            lower = np.log(below[1][1] / below[0][1])[np.searchsorted(below[0][0], _low(grams, k - 1))]
-            new = ratio - lower
-            some = np.abs(new) > self.sure * np.sqrt(doubt)  # the rest may be chance
-            self.tables[k] = _Table(grams[some], new[some])
-            below = {c: (grams, probs[c]) for c in levels}
+            apart = np.abs(np.log(probs[1] / probs[0]) - np.log(raw[1][low] / raw[0][low])) > self.sure * np.sqrt(doubt)
+            every = (count(grams, k) + self.prior * both[low]) / (count(grams >> np.uint64(8), k, True) + self.prior)
+            # told apart: the class's own step from the lower order; else the step that all documents show
+            tied = {c: tied[c][low] + np.where(apart, np.log(probs[c] / raw[c][low]), np.log(every / both[low])) for c in levels}
+            self.tables[k] = _Table(grams, np.stack([tied[0], tied[1]], 1))
+            raw, both = probs, every
         del self.counts, self.vocabulary
 
-    def evidence(self, text: str | None) -> tuple[float, int]:
-        """The mean log-likelihood ratio of a text's characters, and their number."""
+    def likelihoods(self, text: str | None) -> tuple[float, float, int]:
+        """The mean log-likelihood of a text's characters in class 0 and class 1, and their number.
+
+        A character's estimate is that of its longest known gram; one that no order knows is one of 256.
+        """
         g = _grams(text)
-        if not len(g):
-            return 0.0, 0
-        total = 0.0
+        total = np.zeros(2)
         for s in range(0, len(g), 1 << 15):
-            part = g[s : s + (1 << 15)]
-            total += sum(float(t.of(_low(part, k)).sum(dtype=np.float64)) for k, t in self.tables.items())
-        return total / len(g), len(g)
+            rest = g[s : s + (1 << 15)]
+            for k in range(ORDER, SHARED - 1, -1):
+                t = self.tables[k]
+                at, ok = t.of(_low(rest, k))
+                total += t.values[at[ok]].sum(0) if len(t.values) else 0
+                rest = rest[~ok]
+                if not len(rest):
+                    break
+            total -= len(rest) * np.log(256)
+        return (*(total / max(1, len(g))).tolist(), len(g))
+
+    def evidence(self, text: str | None) -> tuple[float, int]:
+        """The difference of the two length-normalised log-likelihoods, and the length."""
+        ordinary, toxic, n = self.likelihoods(text)
+        return toxic - ordinary, n
 
     @staticmethod
     def features(mean: np.ndarray, n: np.ndarray) -> np.ndarray:
-        # evidence by length, and by weight: a mean over more characters varies less
+        # the difference as it is, and by weight: a mean over more characters varies less
         return np.stack([np.ones(len(mean)), mean * 20, mean * np.sqrt(n)], 1)
 
     def score(self, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -237,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     spark = docs.sparkSession
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").withColumn("part", _bucket_of_id("id")).where("part <> 0")
-    order = F.xxhash64("id")
+    order, kind = F.xxhash64("id"), dict(labels.dtypes)[id_col]
     w = Window.partitionBy("label", "lane").orderBy("h", "id")
     # the smallest hashes of each class, first within lanes, so that no task ranks all rows
     ranked = given.where("part < 4").withColumns({"h": order, "lane": F.pmod(F.xxhash64("id", F.lit(1)), F.lit(64))})
@@ -248,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         picked = own if picked is None else picked.union(own)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = [(r[0], r[1]) for r in picked.collect()]  # bounded by 2 * sample
-    small = spark.createDataFrame(ids or [(0, 0)], "id long, label int").where(F.lit(bool(ids)))
+    small = spark.createDataFrame(ids, f"id {kind}, label int")
     # copies of a text would make its own expressions look common in its class
     rows = d.join(F.broadcast(small), "id").select("label", "text").distinct().mapInArrow(_gram_rows, "label int, gram binary, n binary").collect()
     counts = {}
@@ -267,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ready = spark.sparkContext.broadcast(model)
     held = given.where("part = 4").withColumn("h", order).orderBy("h", "id").limit(calibration).select("id", "label")
     held_ids = [(r[0], r[1]) for r in held.collect()]  # bounded by calibration
-    held = spark.createDataFrame(held_ids or [(0, 0)], "id long, label int").where(F.lit(bool(held_ids)))
+    held = spark.createDataFrame(held_ids, f"id {kind}, label int")
     fit = d.join(F.broadcast(held), "id").select("label", "text").mapInArrow(_evidence_rows(ready), "label int, mean double, n long").toPandas()
     if fit["label"].nunique() == 2:
         model.calibrate(fit["mean"].to_numpy(), fit["n"].to_numpy(), fit["label"].to_numpy())

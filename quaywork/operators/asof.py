@@ -15,18 +15,18 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     """Each left row with the last right row of its key at or before its time (``forward``: the first one after it).
 
     Right columns come back as ``right_time`` and the right table's others; names must not clash. Right rows with one
-    time are ordered by ``tie``. ``how`` is ``inner`` or ``left``. Rows with a null key or time match nothing. With
+    time are ordered by ``tie``, a column of any type that sorts. ``how`` is ``inner`` or ``left``. Rows with a null key or time match nothing. With
     ``slice_us`` keys are split into slices of that many microseconds.
     """
     cols = [c for c in right.columns if c not in on]
     sign = -1 if forward else 1
-    lt = left.select(*on, (F.col(left_time) * sign).alias("_t"), F.lit(0 if forward else 1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
-    rt = right.select(*on, (F.col(right_time) * sign).alias("_t"), F.lit(1 if forward else 0).alias("_side"), (F.col(tie).cast("long") * sign if tie else F.lit(None).cast("long")).alias("_tie"), F.struct(*[F.col(c) for c in cols]).alias("_r"))
+    lt = left.select(*on, (F.col(left_time) * sign).alias("_t"), F.lit(0 if forward else 1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
+    rt = right.select(*on, (F.col(right_time) * sign).alias("_t"), F.lit(1 if forward else 0).alias("_side"), (F.col(tie) if tie else F.lit(None).cast("long")).alias("_tie"), F.struct(*[F.col(c) for c in cols]).alias("_r"))
     rt = rt.where(F.col("_t").isNotNull())
     both = lt.unionByName(rt, allowMissingColumns=True)
     if slice_us:
         both = both.withColumn("_slice", F.floor(F.col("_t") / slice_us))
-        last = rt.withColumn("_slice", F.floor(F.col("_t") / slice_us)).groupBy(*on, "_slice").agg(F.max_by("_r", F.struct("_t", "_tie")).alias("_carry"))
+        last = rt.withColumn("_slice", F.floor(F.col("_t") / slice_us)).groupBy(*on, "_slice").agg(_latest("_r", forward).alias("_carry"))
         seen = both.select(*on, "_slice").distinct().join(last, [*on, "_slice"], "left")
         before = Window.partitionBy(*on).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         carried = seen.select(*on, "_slice", F.last("_carry", ignorenulls=True).over(before).alias("_carry"))
@@ -34,7 +34,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
         keys = [*on, "_slice"]
     else:
         keys = list(on)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy("_t", "_side", F.desc("_tie") if forward else F.asc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
     found = F.last("_r", ignorenulls=True).over(w)
     out = both.withColumn("_m", F.coalesce(found, F.col("_carry")) if slice_us else found).where("_l is not null")
     out = out.withColumn("_m", F.when(F.col("_t").isNotNull(), F.col("_m")))
@@ -43,6 +43,13 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     return out.select("_l.*", *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
+def _latest(value: str, forward: bool) -> Column:
+    """The value of the last row by time and then by tie (``forward``: the one with the least tie, whatever its type)."""
+    if not forward:
+        return F.max_by(value, F.struct("_t", "_tie"))
+    return F.min_by(value, F.struct(-F.col("_t"), "_tie"))
+
+
 def asof_join_global(left: DataFrame, right: DataFrame, left_time: str, right_time: str, bucket: int = 86_400_000_000, how: str = "left", tie: str | None = None) -> DataFrame:
     """An as-of join without a key: time buckets are the key, and each bucket gets the last right row before it.
 
@@ -134,19 +141,30 @@ def null_shuffle(df: DataFrame, order: list[str], by: Column, values: list[str])
 
 
 def global_rank(df: DataFrame, order: list[Column], buckets: int | None = None) -> DataFrame:
-    """``df`` with ``rank`` (from 0) in the given order, ranges of the first order column at a time."""
+    """``df`` with ``rank`` (from 0) in the given order, of any types that sort; nulls first.
+
+    Rows are dealt to ranges of the whole order by Spark's sampled range partitioning, so a value of the first column
+    that very many rows have is split by the columns after it. Each range's rank begins after the rows of those before.
+    """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.withColumn("_o", order[0].cast("double"))
-    cuts = d.agg(F.percentile_approx("_o", [k / buckets for k in range(1, buckets)], 10000)).first()[0] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col("_o") >= c).cast("int")
-    d = d.withColumn("_p", part)
-    sizes = d.groupBy("_p").agg(F.count("*").alias("_c")).collect()  # a row for each bucket
-    seen, before = 0, []
-    for r in sorted(sizes, key=lambda r: r["_p"]):
-        before.append((r["_p"], seen))
-        seen += r["_c"]
-    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_p int, _before long")
-    w = Window.partitionBy("_p").orderBy(*order)
-    return d.withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(offsets), "_p").withColumn("rank", F.col("_before") + F.col("_r")).drop("_p", "_o", "_r", "_before")
+    keys = {f"_k{n}": c for n, c in enumerate(order)}
+    d = df.withColumns(keys).repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+    # numbers by partition: the place within one is in the low 33 bits
+    d = d.withColumn("_n", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_n", 33), "_r": F.col("_n").bitwiseAND((1 << 33) - 1)})
+    d = _kept(d)
+    sizes = d.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    return d.join(F.broadcast(offsets), "_p").withColumn("rank", F.col("_before") + F.col("_r")).drop("_p", "_n", "_r", "_before", *keys)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, so that ranges sampled once hold for every later use."""
+    sc = df.sparkSession.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
+        import tempfile
+
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)

@@ -81,5 +81,5 @@ def event_study(snap: DataFrame, x: str, y: str, min_n: int = 30) -> DataFrame:
 
     each = ols(snap, x, y, ["event"], min_n).withColumnRenamed("event", "label")
     whole = ols(snap.withColumn("label", F.lit("all")), x, y, ["label"], min_n)
-    dealt = null_shuffle(snap.select("event", "t", x, y), ["t", "event"], F.xxhash64("event", "t").cast("double"), [y])
+    dealt = null_shuffle(snap.select("event", "t", x, y), ["t", "event"], F.md5(F.concat_ws("|", "event", F.col("t").cast("string"))), [y])
     return each.unionByName(whole).unionByName(ols(dealt.withColumn("label", F.lit("shuffled")), x, y, ["label"], min_n))

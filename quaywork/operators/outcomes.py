@@ -168,7 +168,7 @@ def non_overlap(labelled: DataFrame, by: list[str] = ("symbol",)) -> DataFrame:
     skipped. A fold over each group's signals in order (never its bars)."""
 
     def run(pdf):
-        pdf = pdf.sort_values(["i", "direction"])
+        pdf = pdf.sort_values(["i", "direction", "entry", "stop", "target"])
         keep, free = [], -1
         for i, x in zip(pdf["i"], pdf["exit_i"], strict=True):
             keep.append(i > free)
@@ -178,51 +178,111 @@ def non_overlap(labelled: DataFrame, by: list[str] = ("symbol",)) -> DataFrame:
     return labelled.groupBy(*by).applyInPandas(run, labelled.schema)
 
 
-def nav_fold(trades: DataFrame, by: list[str] = ("symbol",), nav0: float = 10_000.0, risk: float = 0.02, floor: float = 5_000.0, ceiling: float = 1_000_000.0, breaker: float = 0.06, month: str = "month") -> DataFrame:
-    """Compounds each group's trades in order: risk is a share of the value (at most ``ceiling``), a month that loses
-    ``breaker`` of its first value is skipped from then on, and a value under ``floor`` ends the run."""
-    schema = ", ".join([*[f"{c} {t}" for c, t in trades.dtypes], "nav double, pnl double"])
+def simulate(labelled: DataFrame, by: list[str] = ("symbol",), nav0: float = 10_000.0, risk: float = 0.02, floor: float = 5_000.0, ceiling: float = 1_000_000.0, breaker: float = 0.06, fee: float = 0.00045, slip: float = 0.0005, month: str = "month") -> DataFrame:
+    """The trades that one book for each group takes from labelled signals, with units, gross, cost, net and its value
+    before and after.
+
+    One fold over a group's signals in order decides breaker, overlap and compounding together: a month that has lost
+    ``breaker`` of its first value takes nothing more, and what it does not take blocks no later signal; a signal at or
+    before the last exit is skipped; risk is a share of the value (at most ``ceiling``), a stake over the value is
+    skipped; a value under ``floor`` ends the run. ``month`` is that of the signal's bar. The labels were found in
+    parallel before; only this recursion is a group's single task.
+    """
+    keys = list(by)
+    schema = ", ".join([*[f"{c} {t}" for c, t in labelled.dtypes], "units double, gross double, cost double, net double, nav_before double, nav double, hold_bars long"])
 
     def run(pdf):
-        pdf = pdf.sort_values(["i", "direction"])
-        nav, now, base, halted, out = nav0, None, nav0, False, []
-        for r in pdf.itertuples(index=False):
-            m = getattr(r, month)
+        pdf = pdf.sort_values(["i", "direction", "entry", "stop", "target"])
+        nav, now, base, halted, free = nav0, None, nav0, False, -1
+        kept, rows = [], []
+        for k, (i, up, entry, stop, out, price, m) in enumerate(zip(pdf["i"], pdf["direction"] == "long", pdf["entry"], pdf["stop"], pdf["exit_i"], pdf["exit_price"], pdf[month], strict=True)):
             if m != now:
                 now, base, halted = m, nav, False
-            if halted or nav < floor:
-                out.append((None, None))
+            if halted or i <= free:
                 continue
-            scale = min(nav, ceiling) * risk / (nav0 * 0.02)
-            pnl = r.net * scale
-            nav = min(max(0.0, nav + pnl), ceiling)
-            halted = nav <= base * (1 - breaker)
-            out.append((nav, pnl))
-        pdf["nav"], pdf["pnl"] = [x[0] for x in out], [x[1] for x in out]
-        return pdf[pdf["nav"].notna()]
-
-    return trades.groupBy(*by).applyInPandas(run, schema)
-
-
-def evaluate(trades: DataFrame, by: list[str] = ("symbol",), nav0: float = 10_000.0, min_trades: int = 20) -> DataFrame:
-    """By group: trades, return, profit factor (gross), win rate (net), drawdown, score and status."""
-    w = Window.partitionBy(*by).orderBy("i", "direction").rowsBetween(Window.unboundedPreceding, 0)
-    v = trades.withColumn("_nav", F.lit(nav0) + F.sum("net").over(w))
-    v = v.withColumn("_dd", 1 - F.col("_nav") / F.greatest(F.lit(nav0), F.max("_nav").over(w)))
-    g = v.groupBy(*by).agg(F.count("*").alias("n_trades"), (F.sum("net") / nav0).alias("pct_return"), F.sum(F.greatest("gross", F.lit(0.0))).alias("_up"), F.sum(F.greatest(-F.col("gross"), F.lit(0.0))).alias("_down"), F.avg(F.when(F.col("net") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.max("_dd").alias("max_dd"))
-    g = g.withColumn("profit_factor", F.col("_up") / F.nullif("_down", F.lit(0.0))).drop("_up", "_down")
-    status = F.when(F.col("pct_return") <= -0.5, "catastrophic").when(F.col("n_trades") < min_trades, "rejected").when(F.coalesce("profit_factor", F.lit(9e9)) <= 1.3, "rejected").otherwise("scored")
-    g = g.withColumn("status", status)
+            value = min(nav, ceiling)
+            units = value * risk / abs(entry - stop)
+            if units * entry > value:
+                continue
+            gross = units * ((price - entry) if up else (entry - price))
+            cost = units * (entry + price) * (fee + slip)
+            before, nav = value, max(0.0, min(nav + gross - cost, ceiling))
+            free, halted = out, base > 0 and (base - nav) / base >= breaker
+            kept.append(k)
+            rows.append((units, gross, cost, gross - cost, before, nav, out - i))
+            if nav < floor:
+                break
+        out = pdf.iloc[kept].copy()
+        for n, c in enumerate(("units", "gross", "cost", "net", "nav_before", "nav")):
+            out[c] = [float(r[n]) for r in rows]
+        out["hold_bars"] = [int(r[6]) for r in rows]
+        return out
+
+    return labelled.groupBy(*keys).applyInPandas(run, schema)
+
+
+def trade_stats(trades: DataFrame, bars: DataFrame, by: list[str] = ("symbol",), nav0: float = 10_000.0) -> DataFrame:
+    """By group of simulated trades: count, profit factor (gross; null without a loss), win rate, means, returns, drawdown
+    in value and in bars, and the Sharpe ratio of net over value before, made annual by the symbol's median bar and
+    the mean hold (0 with fewer than two trades or no deviation)."""
+    w = Window.partitionBy(*by).orderBy("i", "direction")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    v = trades.withColumn("_peak", F.greatest(F.lit(nav0), F.max("nav").over(before)))
+    v = v.withColumn("_new", F.col("nav") >= F.col("_peak")).withColumns({"_dd": F.when(~F.col("_new"), (F.col("_peak") - F.col("nav")) / F.col("_peak")).otherwise(0.0), "_from": F.coalesce(F.last(F.when(F.col("_new"), F.col("exit_i")), ignorenulls=True).over(upto), F.lit(0))})
+    ret = F.when(F.col("nav_before") > 0, F.col("net") / F.col("nav_before"))
+    g = v.groupBy(*by).agg(
+        F.count("*").alias("n_trades"), F.sum(F.greatest("gross", F.lit(0.0))).alias("_up"), F.sum(F.greatest(-F.col("gross"), F.lit(0.0))).alias("_down"), F.avg(F.when(F.col("net") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
+        F.avg("net").alias("avg_pnl"), F.avg("hold_bars").alias("avg_hold"), F.max_by("nav", F.struct("i", "direction")).alias("nav_final"), F.greatest(F.lit(nav0), F.max("nav")).alias("nav_peak"), F.max("_dd").alias("max_dd"),
+        F.max(F.when(F.col("_new"), F.lit(0)).otherwise(F.col("exit_i") - F.col("_from"))).cast("long").alias("longest_dd"), F.avg(ret).alias("_mean"), F.stddev_pop(ret).alias("_sd"), F.count(ret).alias("_rets"),
+    )
+    step = bars.withColumn("_d", F.col("t") - F.lag("t").over(Window.partitionBy("symbol").orderBy("i"))).groupBy("symbol").agg(F.percentile("_d", F.lit(0.5)).alias("_bar"))
+    g = g.join(F.broadcast(step) if list(by) == ["symbol"] else step, "symbol", "left")  # a row for each symbol
+    per_year = F.when(F.col("_bar") > 0, 365 * 86_400e6 / F.col("_bar")).otherwise(2190.0)
+    sharpe = F.when((F.col("_rets") >= 2) & (F.col("_sd") >= 1e-10), F.col("_mean") / F.col("_sd") * F.sqrt(per_year / F.greatest("avg_hold", F.lit(1.0)))).otherwise(0.0)
+    out = g.withColumns({"profit_factor": F.col("_up") / F.nullif("_down", F.lit(0.0)), "total_return": F.col("nav_final") - nav0, "pct_return": (F.col("nav_final") - nav0) / nav0, "sharpe": sharpe})
+    return out.drop("_up", "_down", "_mean", "_sd", "_rets", "_bar")
+
+
+def monthly_returns(trades: DataFrame, bars: DataFrame, by: list[str] = ("symbol",)) -> DataFrame:
+    """By group and month of the exit bar (``yyyy-MM``, UTC): the net profit."""
+    t = bars.select("symbol", F.col("i").alias("exit_i"), F.date_format(F.timestamp_micros("t"), "yyyy-MM").alias("exit_month"))
+    return trades.join(t, ["symbol", "exit_i"]).groupBy(*by, "exit_month").agg(F.sum("net").alias("net"))
+
+
+def evaluate(trades: DataFrame, bars: DataFrame, by: list[str] = ("symbol",), nav0: float = 10_000.0, floor: float = 5_000.0, min_trades: int = 20, min_factor: float = 1.3) -> DataFrame:
+    """``trade_stats`` with a status and score: catastrophic if the value ends under ``floor``, rejected with fewer than
+    ``min_trades`` trades or a profit factor of at most ``min_factor``, else scored."""
+    g = trade_stats(trades, bars, by, nav0)
+    thin = F.coalesce(F.col("profit_factor"), F.lit(float("inf"))) <= min_factor
+    g = g.withColumn("status", F.when(F.col("nav_final") < floor, "catastrophic").when((F.col("n_trades") < min_trades) | thin, "rejected").otherwise("scored"))
     return g.withColumn("score", F.when(F.col("status") == "scored", S.score("pct_return", "max_dd", "n_trades")).when(F.col("status") == "catastrophic", -1000.0))
 
 
-def walk_forward(signals: DataFrame, bars: DataFrame, k: int = 5) -> DataFrame:
-    """Signals labelled within ``k`` consecutive folds of each symbol's bars: exits never leave their fold."""
+def replay_report(trades: DataFrame, by: list[str] = ("symbol",)) -> DataFrame:
+    """By group of simulated trades: count, gross, fees, net, and the mean of net over its deviation."""
+    return trades.groupBy(*by).agg(F.count("*").alias("trades"), F.sum("gross").alias("gross"), F.sum("cost").alias("fees"), F.sum("net").alias("net"), (F.avg("net") / F.nullif(F.stddev_pop("net"), F.lit(0.0))).alias("sharpe"))
+
+
+def by_month(rows: DataFrame, bars: DataFrame) -> DataFrame:
+    """Signals with ``month``, that of their bar (``yyyy-MM``, UTC)."""
+    m = bars.select("symbol", "i", F.date_format(F.timestamp_micros("t"), "yyyy-MM").alias("month"))
+    return rows.join(m, ["symbol", "i"])
+
+
+def run_book(signals: DataFrame, bars: DataFrame, by: list[str] = ("symbol",)) -> DataFrame:
+    """Signals to simulated trades: fills, labels, months and the fold."""
+    return simulate(by_month(barrier_label(entry_fill(signals, bars), bars), bars), by)
+
+
+def walk_forward(signals: DataFrame, bars: DataFrame, k: int = 5, min_trades: int = 20) -> DataFrame:
+    """Each of ``k`` consecutive folds of a symbol's bars evaluated by itself: a book that starts anew and exits that never
+    leave the fold. (symbol, fold, the columns of ``evaluate``)"""
     f = B.equal_slices(bars, k, ["symbol"], "i")
     key = F.concat_ws("/", "symbol", "slice")
-    folds = f.select(key.alias("symbol"), "i", "low", "high", "close")
+    folds = f.select(key.alias("symbol"), "i", "t", "low", "high", "close")
     named = signals.join(f.select("symbol", "i", "slice"), ["symbol", "i"]).withColumn("symbol", key).drop("slice")
-    return barrier_label(named, folds)
+    out = evaluate(run_book(named, folds), folds, min_trades=min_trades)
+    return out.withColumns({"fold": F.substring_index("symbol", "/", -1).cast("int"), "symbol": F.regexp_replace("symbol", "/[0-9]+$", "")})
 
 
 def status_rollup(results: DataFrame, by: list[str]) -> DataFrame:
@@ -279,14 +339,20 @@ def retention_report(in_sample: DataFrame, folds: DataFrame, by: list[str], fold
     return j.withColumn("survives", F.coalesce((F.col("folds_scored") >= folds_pass) & (F.col("retention") >= least), F.lit(False)))
 
 
+def cross_configs(configs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Every configuration with every symbol. ``configs`` are tried by hand or by a search, so few: they are exploded out of
+    one array row, not joined."""
+    one = configs.agg(F.collect_list(F.struct(*configs.columns)).alias("_c"))
+    return symbols.select("symbol").distinct().join(F.broadcast(one), F.lit(True)).select("symbol", F.explode("_c").alias("_x")).select("symbol", "_x.*")
+
+
 def sweep(bars: DataFrame, configs: list[dict]) -> DataFrame:
-    """Every configuration over every symbol: signals by configuration, labelled and scored together."""
+    """Every configuration over every symbol: signals by configuration, labelled, simulated and scored together."""
     signals = None
     for n, c in enumerate(configs):
         s = false_breakout(bars, **c).withColumn("config_id", F.lit(n))
         signals = s if signals is None else signals.unionByName(s)
-    trades = trade_costs(barrier_label(entry_fill(signals, bars), bars))
-    return evaluate(trades, by=["config_id", "symbol"], min_trades=5)
+    return evaluate(run_book(signals, bars, ["config_id", "symbol"]), bars, ["config_id", "symbol"], min_trades=5)
 
 
 def holdout(rows: DataFrame, bars: DataFrame, days: int) -> DataFrame:
@@ -316,8 +382,27 @@ def from_pandas_template(fn):
     return run
 
 
-def validate_configs(configs: DataFrame, choices: dict[str, list[str]], ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """``configs`` with ``errors``: what each value that is missing, not a choice, or out of range breaks."""
-    tests = [F.when(F.col(c).isNull(), f"{c}: missing").when(~F.col(c).isin(ok), f"{c}: choice") for c, ok in choices.items()]
-    tests += [F.when(F.col(c).isNull(), f"{c}: missing").when((F.col(c) < lo) | (F.col(c) > hi), f"{c}: range") for c, (lo, hi) in ranges.items()]
-    return configs.withColumn("errors", F.array_compact(F.array(*tests)))
+def validate_configs(configs: DataFrame, schema: dict[str, dict], ordered: list[tuple[str, str]] = (), column: str = "params") -> DataFrame:
+    """``configs`` with ``errors``, from a map of strings in ``column``: ``<name>: missing``, ``unknown``, ``type``, ``choice``,
+    ``range`` or ``<a> >= <b>``.
+
+    ``schema`` names each parameter's ``type`` (int, double, boolean or string), and maybe ``choices``, ``low`` and
+    ``high``; a parameter with ``optional`` may be missing. ``ordered`` lists pairs of which the first must be the lesser.
+    """
+    value = lambda k: F.try_element_at(column, F.lit(k))
+    unknown = F.transform(F.array_except(F.map_keys(column), F.array(*[F.lit(k) for k in schema])), lambda k: F.concat(k, F.lit(": unknown")))
+    tests = []
+    for k, rule in schema.items():
+        v = value(k)
+        kind = rule.get("type", "string")
+        typed = v if kind == "string" else v.try_cast(kind)
+        test = F.when(v.isNull(), F.lit(None) if rule.get("optional") else F.lit(f"{k}: missing")).when(typed.isNull(), f"{k}: type")
+        if "choices" in rule:
+            test = test.when(~v.isin([str(c) for c in rule["choices"]]), f"{k}: choice")
+        if "low" in rule:
+            test = test.when(typed < rule["low"], f"{k}: range")
+        if "high" in rule:
+            test = test.when(typed > rule["high"], f"{k}: range")
+        tests.append(test)
+    tests += [F.when(value(a).try_cast("double") >= value(b).try_cast("double"), f"{a} >= {b}") for a, b in ordered]
+    return configs.withColumn("errors", F.concat(F.array_compact(F.array(*tests)), F.array_sort(unknown)))

@@ -12,7 +12,7 @@ from ..operators import calibration as C
 from ..operators import ladder as L
 from ..operators import outcomes as O
 from ..sources import ingest as I
-from .registry import _PNL, DAY, HOUR, _panel, _slow, _trades, query, scalar, traded_query
+from .registry import _PNL, DAY, HOUR, _panel, _slow, query, scalar, traded_query
 
 # --- ingest ---------------------------------------------------------------------------------------------------------
 
@@ -92,14 +92,10 @@ query("f06_best_side", "SELECT ticker, side, edge FROM (SELECT ticker, side, max
 query("g01_union_by_name", "SELECT ticker, t FROM trades WHERE n > 5 UNION ALL SELECT ticker, opened FROM markets", ("trades", "markets"))(lambda t, m: t.where("n > 5").select("ticker", "t").unionByName(m.select(F.col("opened").alias("t"), "ticker")))
 query("g02_distinct_by", "SELECT ticker, trade_id FROM trades QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY t, trade_id) = 1", ("trades",))(lambda t: I.merged(t.limit(0).withColumn("o", F.struct(-F.col("t"), -F.col("trade_id"))), t.withColumn("o", F.struct(-F.col("t"), -F.col("trade_id"))), ["ticker"], "last", "o").select("ticker", "trade_id"))
 query("g03_missing_fields", "SELECT DISTINCT template, CASE WHEN template = 'click' THEN 0 ELSE 1 END AS missing FROM runs", ("runs",))(lambda r: r.select("template", F.size(F.array_except(F.array(F.lit("click")), F.array("template"))).alias("missing")).distinct())
-query("i10_funding_adjust", None, ("bars", "funding"))(lambda b, f: A.interval_sum_join(_trades(b).select("symbol", F.col("i").alias("a"), F.col("exit_i").alias("z"), "net"), f.select(F.concat(F.lit("Brand#1"), F.substring("symbol", 2, 1)).alias("symbol"), (F.floor(F.col("t") / DAY) - 19700).cast("long").alias("k"), "rate"), ["symbol"], "a", "z", "k", "rate", "funding"))
 query("i11_holdout_trades", "SELECT symbol, i FROM bars JOIN (SELECT symbol, max(t) AS z FROM bars GROUP BY symbol) m USING (symbol) WHERE t >= z - 86400000000 * 90", ("bars",))(lambda b: O.holdout(b, b, 90).select("symbol", "i"))
-query("d32_cross_coin_report", None, ("bars",))(lambda b: O.fold_rollup(O.evaluate(_trades(b), min_trades=5).withColumn("config", F.lit("base")), ["config"]))
-query("d33_replay_report", None, ("bars",))(lambda b: _trades(b).groupBy("symbol").agg(F.count("*").alias("trades"), F.sum("gross").alias("gross"), F.sum("cost").alias("fees"), F.sum("net").alias("net"), (F.avg("net") / F.nullif(F.stddev_pop("net"), F.lit(0.0))).alias("sharpe")))
 query("d26_max_drawdown", "SELECT symbol, max((peak - close) / peak) AS max_dd FROM (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY i) AS peak FROM bars) x GROUP BY symbol", ("bars",))(lambda b: B.drawdown_series(b).groupBy("symbol").agg(F.max("drawdown").alias("max_dd")))
 traded_query("i15_scan_candidates", "SELECT ticker, slot, trade_side FROM traded WHERE edge_pp >= 5")(lambda x: x.where("edge_pp >= 5").select("ticker", "slot", "trade_side"))
 traded_query("d03_calibration_accuracy", "SELECT bin_low, count(*) AS n, count(*) FILTER (result = 'yes') / CAST(count(*) AS DOUBLE) AS rate FROM traded GROUP BY bin_low")(lambda x: x.groupBy("bin_low").agg(F.count("*").alias("n"), F.avg(F.when(F.col("result") == "yes", 1.0).otherwise(0.0)).alias("rate")))
 query("b35_validate_configs", "SELECT id, CASE WHEN template NOT IN ('click', 'view', 'purchase') THEN 'template: choice;' ELSE '' END || CASE WHEN score < 10 OR score > 300 THEN 'score: range;' ELSE '' END AS errors FROM runs", ("runs",))(lambda r: O.validate_configs(r, {"template": ["click", "view", "purchase"]}, {"score": (10.0, 300.0)}).select("id", F.array_join(F.transform("errors", lambda e: F.concat(e, F.lit(";"))), "").alias("errors")))
 query("c19_join_returns", "SELECT b.symbol, b.t, r.v AS fwd_ret FROM bars b LEFT JOIN (SELECT symbol, t, lead(close) OVER (PARTITION BY symbol ORDER BY i) / close - 1 AS v FROM bars) r ON b.symbol = r.symbol AND b.t = r.t", ("bars",))(lambda b: b.select("symbol", "t").join(B.forward_return(b).select("symbol", "t", "fwd_ret"), ["symbol", "t"], "left"))
 query("c20_markets_in_categories", f"SELECT ticker, slot FROM markets WHERE {S.category_sql('event_ticker')} IN ('sports', 'crypto')", ("markets",))(lambda m: A.restrict_to(m, m.where(S.categorize("event_ticker").isin("sports", "crypto")).select("event_ticker").distinct(), ["event_ticker"]).select("ticker", "slot"))
-query("d17_event_study", None, ("ladder",))(lambda l: L.event_study(L.snapshot_metrics(_panel(l)), "max_gap", "kl", 3))

@@ -78,16 +78,16 @@ _PIT = f"""SELECT *, CAST(round_even(yes_price * 100, 0) AS INTEGER) AS cents FR
  SELECT m.*, t.t AS trade_t, t.yes_price, t.trade_id, abs(t.t - m.mid) / CAST(m.closed - m.opened AS DOUBLE) AS offset_frac FROM ({_RESOLVED}) m ASOF JOIN ({_LAST}) t ON m.ticker = t.ticker AND m.mid >= t.t) j WHERE offset_frac <= 0.25"""
 query("b13_resolved_filter", "SELECT ticker, slot, volume FROM markets WHERE result IN ('yes', 'no') AND volume >= 10 AND closed > opened", ("markets",))(lambda m: C.resolved(m).select("ticker", "slot", "volume"))
 query("c01_asof_join", f"SELECT ticker, slot, trade_id, cents, offset_frac FROM ({_PIT}) p", ("trades", "markets"))(lambda t, m: C.pit_prices(t, m).select("ticker", "slot", "trade_id", "cents", "offset_frac"))
-query("c02_asof_left", f"SELECT m.ticker, m.slot, t.trade_id FROM markets m ASOF LEFT JOIN (SELECT * FROM ({_LAST}) z WHERE trade_id % 7 = 0) t ON m.ticker = t.ticker AND m.opened >= t.t", ("trades", "markets"))(
-    lambda t, m: A.asof_join(m, t.where("trade_id % 7 = 0").select("ticker", F.col("t").alias("tt"), "trade_id"), ["ticker"], "opened", "tt", "left", "trade_id", slice_us=5 * DAY).select("ticker", "slot", "trade_id")
+query("c02_asof_left", f"SELECT m.ticker, m.slot, t.trade_id FROM markets m ASOF LEFT JOIN ({_LAST}) t ON m.ticker = t.ticker AND m.opened >= t.t", ("trades", "markets"))(
+    lambda t, m: A.asof_join(m, t.select("ticker", F.col("t").alias("tt"), "trade_id"), ["ticker"], "opened", "tt", "left", "trade_id", slice_us=5 * DAY).select("ticker", "slot", "trade_id")
 )
 query("c03_asof_global", "SELECT id, t.trade_id FROM (SELECT id, 1704067200000000 + id % 700 * 3600000000 AS at FROM positions) p ASOF LEFT JOIN (SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY t ORDER BY trade_id DESC) = 1) t ON p.at >= t.t", ("positions", "trades"))(
     lambda p, t: A.asof_join_global(p.select("id", (F.lit(1704067200000000) + F.col("id") % 700 * HOUR).alias("at")), t.select("t", "trade_id"), "at", "t", tie="trade_id").select("id", "trade_id")
 )
 query("c04_asof_fallback", f"""SELECT m.ticker, m.slot, coalesce(b.trade_id, f.trade_id) AS trade_id FROM markets m
- ASOF LEFT JOIN (SELECT * FROM ({_LAST}) z WHERE trade_id % 7 = 0) b ON m.ticker = b.ticker AND m.opened >= b.t
- ASOF LEFT JOIN (SELECT * FROM trades WHERE trade_id % 7 = 0 QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY trade_id) = 1) f ON m.ticker = f.ticker AND m.opened < f.t WHERE coalesce(b.trade_id, f.trade_id) IS NOT NULL""", ("trades", "markets"))(
-    lambda t, m: A.asof_with_fallback(m, t.where("trade_id % 7 = 0").select("ticker", F.col("t").alias("tt"), "trade_id"), ["ticker"], "opened", "tt", "forward", "trade_id").select("ticker", "slot", "trade_id")
+ ASOF LEFT JOIN ({_LAST}) b ON m.ticker = b.ticker AND m.opened >= b.t
+ ASOF LEFT JOIN (SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY trade_id) = 1) f ON m.ticker = f.ticker AND m.opened < f.t WHERE coalesce(b.trade_id, f.trade_id) IS NOT NULL""", ("trades", "markets"))(
+    lambda t, m: A.asof_with_fallback(m, t.select("ticker", F.col("t").alias("tt"), "trade_id"), ["ticker"], "opened", "tt", "forward", "trade_id").select("ticker", "slot", "trade_id")
 )
 query("c06_semi_join", "SELECT trade_id FROM trades WHERE ticker IN (SELECT ticker FROM markets WHERE result = 'yes' AND volume >= 25)", ("trades", "markets"))(lambda t, m: A.restrict_to(t, m.where("result = 'yes' AND volume >= 25"), ["ticker"]).select("trade_id"))
 query("c07_anti_join", "SELECT trade_id FROM trades WHERE ticker NOT IN (SELECT ticker FROM markets WHERE result = 'yes' AND volume >= 25)", ("trades", "markets"))(lambda t, m: A.exclude_known(t, m.where("result = 'yes' AND volume >= 25"), ["ticker"]).select("trade_id"))
@@ -152,8 +152,6 @@ traded_query("d05_sigma_table", f"""SELECT g.level, g.category, g.side, g.bin_lo
  SELECT CASE WHEN bin_low IS NOT NULL THEN 'bin' WHEN category IS NOT NULL THEN 'pool' ELSE 'aggregate' END AS level, category, trade_side AS side, bin_low, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sigma FROM (SELECT *, {_RET} AS ret FROM traded) r GROUP BY GROUPING SETS ((category, trade_side, bin_low), (category, trade_side), ())) g
  LEFT JOIN (SELECT category, trade_side AS side, stddev_samp({_RET}) AS sigma FROM traded GROUP BY category, trade_side) p ON g.category = p.category AND g.side = p.side WHERE g.level <> 'bin' OR g.n >= 5""")(lambda x: C.sigma_table(C.bet_returns(x)).select("level", "category", "side", "bin_low", "n", "mean", "sigma", "shrunk"))
 traded_query("d36_category_results", f"SELECT category, trade_side, count(*) AS trades, sum({_RET}) AS total, avg(CASE WHEN {_RET} > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, avg(edge_pp) AS mean_edge FROM traded GROUP BY category, trade_side")(C.category_results)
-traded_query("i12_flat_backtest", None)(lambda x: C.flat_backtest(x))
-traded_query("c11_sigma_lookup", None)(lambda x: C.sigma_lookup(x.withColumn("side", F.col("trade_side")), C.sigma_table(C.bet_returns(x))).select("ticker", "slot", "sigma", "sigma_level"))
 
 # --- books ----------------------------------------------------------------------------------------------------------
 
@@ -211,11 +209,6 @@ query("e17_previous_event", f"SELECT symbol, i, last_value(CASE WHEN up THEN i E
 query("e18_first_confirm", f"SELECT symbol, i, CASE WHEN lead(close, 1) OVER w > close THEN 1 WHEN lead(close, 2) OVER w > close THEN 2 WHEN lead(close, 3) OVER w > close THEN 3 END AS confirm FROM bars {_W}", ("bars",))(lambda b: B.first_confirm(b, 3, lambda c: c > F.col("close")).select("symbol", "i", "confirm"))
 query("e10_resample_last", f"SELECT s.ticker, s.step_t, g.last FROM (SELECT ticker, unnest(range(min(t // {6 * HOUR}) * {6 * HOUR}, max(t // {6 * HOUR}) * {6 * HOUR} + 1, {6 * HOUR})) AS step_t FROM trades GROUP BY ticker) s LEFT JOIN (SELECT ticker, t // {6 * HOUR} * {6 * HOUR} AS step_t, yes_price AS last FROM trades QUALIFY row_number() OVER (PARTITION BY ticker, t // {6 * HOUR} ORDER BY t DESC, trade_id DESC) = 1) g USING (ticker, step_t)", ("trades",))(lambda t: B.resample_last(t, 6 * HOUR, ["ticker"], "t", "yes_price", "trade_id"))
 query("d23_coin_profile", """SELECT symbol, count(*) AS bars, stddev_samp(r) * sqrt(365e0) AS vol, avg(abs(r)) AS mean_abs, max(dd) AS max_dd FROM (SELECT symbol, close / lag(close) OVER w - 1 AS r, (max(close) OVER w - close) / max(close) OVER w AS dd FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i)) x GROUP BY symbol HAVING count(*) >= 30""", ("bars",))(lambda b: B.coin_profile(b).drop("autocorr"))
-query("d24_cohort_summary", None, ("bars",))(lambda b: B.cohort_summary(B.coin_profile(b)))
-query("e02_ema", None, ("bars",))(lambda b: B.ema(b, "close", [12, 26]).select("symbol", "i", "ema_12", "ema_26"))
-query("e05_force_index", None, ("bars",))(lambda b: B.force_index(b).select("symbol", "i", "force_index"))
-query("e06_macd_hist", None, ("bars",))(lambda b: B.macd_hist(b).select("symbol", "i", "macd_hist"))
-query("e07_ewma_vol", None, ("bars",))(lambda b: B.ewma_vol(b).select("symbol", "i", "sigma"))
 
 # --- ladders ----------------------------------------------------------------------------------------------------------
 
@@ -236,7 +229,6 @@ query("d15_fold_stats", f"""SELECT fold, count(*) AS n, avg(CASE WHEN max_gap >
 query("d16_ols", f"SELECT event, count(*) AS n, regr_slope(kl, max_gap) AS slope, regr_intercept(kl, max_gap) AS intercept, regr_r2(kl, max_gap) AS r2 FROM {_SNAP} s GROUP BY event", ("ladder",))(lambda l: L.ols(L.snapshot_metrics(_panel(l)), "max_gap", "kl", ["event"], 3).drop("t_stat"))
 query("d18_signed_gap", f"SELECT strike AS position, count(*) AS n, avg(p - q) AS mean, stddev_samp(p - q) AS sigma, median(p - q) AS median FROM {_PANEL} x GROUP BY strike", ("ladder",))(lambda l: L.signed_gap_table(_panel(l), "strike").drop("t_stat"))
 query("d19_gap_by_decile", f"SELECT decile, count(*) AS n, avg(max_gap) AS mean_gap, median(max_gap) AS median_gap, avg(kl) AS mean_kl FROM (SELECT s.*, least(9, CAST(floor((s.t - o) / CAST(c - o AS DOUBLE) * 10) AS INTEGER)) AS decile FROM {_SNAP} s JOIN (SELECT event, min(t) AS o, max(t) AS c FROM ladder GROUP BY event) e USING (event)) x GROUP BY decile", ("ladder",))(lambda l: L.gap_by_decile(L.snapshot_metrics(_panel(l)), l.groupBy("event").agg(F.min("t").alias("opened"), F.max("t").alias("closed"))))
-query("d22_implied_mean", None, ("ladder",))(lambda l: L.implied_mean(L.normalize_ladder(l)))
 
 # --- runs, signals and outcomes ------------------------------------------------------------------------------------------
 
@@ -249,45 +241,15 @@ query("f01_top_configs", "SELECT template, place, id, score FROM (SELECT *, row_
 query("f02_last_n_runs", "SELECT id, template, status FROM runs WHERE status <> 'error' ORDER BY id DESC LIMIT 25", ("runs",))(lambda r: O.last_n_runs(r, 25, True).select("id", "template", "status"))
 query("g04_duplicate_configs", "SELECT id, previous FROM (SELECT id, lag(id) OVER (PARTITION BY template, config, cohort ORDER BY id) AS previous FROM runs) x WHERE id - previous <= 10", ("runs",))(O.duplicate_configs)
 query("i09_retention", "SELECT i.template, i.cohort, f.folds_scored, f.fold_mean / nullif(i.score, 0) AS retention FROM (SELECT template, cohort, max(score) AS score FROM runs WHERE status = 'scored' GROUP BY 1, 2) i LEFT JOIN (SELECT template, cohort, count(*) AS folds_scored, avg(score) AS fold_mean FROM runs WHERE status = 'scored' GROUP BY 1, 2) f USING (template, cohort)", ("runs",))(lambda r: O.retention_report(r.where("status = 'scored'").groupBy("template", "cohort").agg(F.max("score").alias("score")), r, ["template", "cohort"]).select("template", "cohort", "folds_scored", "retention"))
-for _name, _key in (("false_breakout", "h02"), ("kangaroo_tail", "h05"), ("impulse_system", "h03"), ("channel_fade", "h04"), ("ema_divergence", "h06")):
-    query(f"{_key}_{_name}", None, ("bars",))(lambda b, f=O.TEMPLATES[_name]: f(b))
 
 
 def _slow(b):
+    """Weekly bars."""
     from pyspark.sql import Window
 
     w = b.withColumn("_w", F.floor(F.col("t") / (7 * DAY))).groupBy("symbol", "_w").agg(F.min("t").alias("t"), F.max_by("close", "t").alias("close"))
     return w.withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy("t")).cast("long") - 1).drop("_w")
 
 
-query("h01_triple_screen", None, ("bars",))(lambda b: O.triple_screen(b, _slow(b)))
-_SIG = "(SELECT symbol, i, CASE WHEN close >= open THEN 'long' ELSE 'short' END AS direction, close AS entry, CASE WHEN close >= open THEN close * 0.9e0 ELSE close * 1.1e0 END AS stop, CASE WHEN close >= open THEN close * 1.25e0 ELSE close * 0.75e0 END AS target FROM bars WHERE i % 11 = 3)"
-
-
-def _sig(b):
-    up = F.col("close") >= F.col("open")
-    c = F.col("close")
-    return b.where("i % 11 = 3").select("symbol", "i", F.when(up, "long").otherwise("short").alias("direction"), c.alias("entry"), F.when(up, c * 0.9).otherwise(c * 1.1).alias("stop"), F.when(up, c * 1.25).otherwise(c * 0.75).alias("target"))
-
-
-_HIT = "CASE WHEN s.direction = 'long' THEN b.low <= s.stop ELSE b.high >= s.stop END"
-query("i02_barrier_label", f"""SELECT s.symbol, s.i, s.direction, coalesce(h.j, e.z) AS exit_i, CASE WHEN h.j IS NULL THEN e.zc WHEN h.stopped THEN s.stop ELSE s.target END AS exit_price, CASE WHEN h.j IS NULL THEN 'end_of_data' WHEN h.stopped THEN 'stop' ELSE 'target' END AS reason FROM {_SIG} s
- LEFT JOIN (SELECT s.symbol, s.i, b.i AS j, {_HIT} AS stopped FROM {_SIG} s JOIN bars b ON b.symbol = s.symbol AND b.i > s.i AND ({_HIT} OR CASE WHEN s.direction = 'long' THEN b.high >= s.target ELSE b.low <= s.target END) QUALIFY row_number() OVER (PARTITION BY s.symbol, s.i ORDER BY b.i) = 1) h ON s.symbol = h.symbol AND s.i = h.i
- JOIN (SELECT symbol, max(i) AS z, arg_max(close, i) AS zc FROM bars GROUP BY symbol) e ON s.symbol = e.symbol""", ("bars",))(lambda b: O.barrier_label(_sig(b), b).select("symbol", "i", "direction", "exit_i", "exit_price", "reason"))
-query("i01_entry_fill", f"SELECT s.symbol, s.i, s.direction FROM {_SIG} s JOIN bars b ON b.symbol = s.symbol AND b.i = s.i WHERE CASE WHEN s.direction = 'long' THEN b.high >= s.entry ELSE b.low <= s.entry END AND abs(s.entry - s.stop) >= 1e-8 AND abs(s.target - s.entry) >= 2e0 * abs(s.entry - s.stop) AND 0.02e0 * s.entry / abs(s.entry - s.stop) <= 1", ("bars",))(lambda b: O.entry_fill(_sig(b), b).select("symbol", "i", "direction"))
-
-
-def _trades(b):
-    return O.trade_costs(O.barrier_label(O.entry_fill(_sig(b), b), b))
-
-
-query("i04_trade_costs", None, ("bars",))(lambda b: _trades(b).select("symbol", "i", "units", "gross", "cost", "net"))
-query("i03_non_overlap", None, ("bars",))(lambda b: O.non_overlap(_trades(b)))
-query("i05_nav_fold", None, ("bars",))(lambda b: O.nav_fold(O.non_overlap(_trades(b)).withColumn("month", F.floor(F.col("i") / 30))))
-query("i06_evaluate", None, ("bars",))(lambda b: O.evaluate(O.non_overlap(_trades(b))))
-query("i07_walk_forward", None, ("bars",))(lambda b: O.walk_forward(_sig(b), b))
-query("i08_sweep", None, ("bars",))(lambda b: O.sweep(b, [{"lookback": n, "min_width": w} for n in (20, 30) for w in (0.03, 0.1)]))
-query("h07_fresh_signals", None, ("bars",))(lambda b: O.fresh_signals(_sig(b), b))
-
-
+from . import trading  # noqa: E402, F401  signals, labels and books
 from . import more  # noqa: E402, F401  registers the rest

@@ -50,12 +50,12 @@ def categorize(ticker, precedence: str = "sql", taxonomy=CATEGORIES) -> Column:
     return out.otherwise("other")
 
 
-def category_sql(column: str, taxonomy=CATEGORIES) -> str:
+def category_sql(column: str, taxonomy=CATEGORIES, precedence: str = "sql") -> str:
     """The same taxonomy as the text of a CASE expression, for SQL."""
-    whens = []
-    for name, (prefixes, parts) in taxonomy.items():
-        tests = [f"{column} LIKE '{p}%'" for p in prefixes] + [f"{column} LIKE '%{p}%'" for p in parts]
-        whens.append(f"WHEN {' OR '.join(tests)} THEN '{name}'")
+    starts = [(name, [f"{column} LIKE '{p}%'" for p in prefixes]) for name, (prefixes, _) in taxonomy.items()]
+    holds = [(name, [f"{column} LIKE '%{p}%'" for p in parts]) for name, (_, parts) in taxonomy.items()]
+    both = starts + holds if precedence == "prefix" else [(name, a + b) for (name, a), (_, b) in zip(starts, holds, strict=True)]
+    whens = [f"WHEN {' OR '.join(tests)} THEN '{name}'" for name, tests in both if tests]
     return "CASE " + " ".join(whens) + " ELSE 'other' END"
 
 

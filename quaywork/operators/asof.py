@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import kept
+
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, how: str = "inner", tie: str | None = None, forward: bool = False, slice_us: int | None = None) -> DataFrame:
     """Each left row with the last right row of its key at or before its time (``forward``: the first one after it).
@@ -115,6 +117,14 @@ def closing_lines(positions: DataFrame, trades: DataFrame, quotes: DataFrame | N
     return out.withColumns({"line": line, "line_source": F.when(F.col("quote_mid").isNotNull(), "quote").when(line.isNotNull(), "trade")}).where("line is not null")
 
 
+def snapshot_closing_lines(positions: DataFrame, quotes: DataFrame, mid: Column, tie: str | None = None) -> DataFrame:
+    """Each position with ``line``, the mid of the last quote at or before its close; one look-up: where that quote has no
+    mid the position is dropped, whatever earlier ones say."""
+    q = quotes.withColumn("_mid", mid).select("ticker", F.col("t").alias("quote_t"), F.col("_mid").alias("line"), *([tie] if tie else []))
+    out = asof_join(positions, q, ["ticker"], "closes", "quote_t", "inner", tie)
+    return out.where("line is not null").drop(*([tie] if tie else []))
+
+
 def shifted_self_join(df: DataFrame, key: list[str], time: str, value: str, horizon: int) -> DataFrame:
     """``df`` with ``later``: the value of the same key exactly ``horizon`` later, null where there is no such row."""
     later = df.select(*key, (F.col(time) - horizon).alias(time), F.col(value).alias("later"))
@@ -151,20 +161,8 @@ def global_rank(df: DataFrame, order: list[Column], buckets: int | None = None)
     d = df.withColumns(keys).repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
     # numbers by partition: the place within one is in the low 33 bits
     d = d.withColumn("_n", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_n", 33), "_r": F.col("_n").bitwiseAND((1 << 33) - 1)})
-    d = _kept(d)
+    d = kept(d)  # ranges sampled once hold for both uses
     sizes = d.groupBy("_p").agg(F.count("*").alias("_c"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     offsets = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     return d.join(F.broadcast(offsets), "_p").withColumn("rank", F.col("_before") + F.col("_r")).drop("_p", "_n", "_r", "_before", *keys)
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that ranges sampled once hold for every later use."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
-        import tempfile
-
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)

@@ -38,6 +38,32 @@ def summarize_bins(g: DataFrame, min_n: int) -> DataFrame:
     )
 
 
+def train_curves(pit: DataFrame, cutoff: int, min_n: int = 10) -> DataFrame:
+    """The bins of markets that closed before ``cutoff``; none is left out for its size."""
+    return calibration_bins(pit.where(F.col("closed") < cutoff), min_n=min_n)
+
+
+def calibration_accuracy(traded: DataFrame, curves: DataFrame) -> DataFrame:
+    """By bin of traded rows: n, their share of yes, the curves' aggregate rate, and the gap between the two in points."""
+    g = traded.groupBy("bin_low").agg(F.count("*").alias("n"), F.avg(F.when(F.col("result") == "yes", 1.0).otherwise(0.0)).alias("rate"))
+    agg = curves.where("scope = 'aggregate'").select("bin_low", F.col("actual_rate").alias("predicted"))
+    return g.join(agg, "bin_low", "left").withColumn("gap_pp", (F.col("rate") - F.col("predicted")) * 100)
+
+
+def scan_candidates(markets: DataFrame, books: DataFrame, curves: DataFrame, min_edge_pp: float = 5.0, categories: list[str] | None = None, on: list[str] = ("ticker",), min_n: int = 1) -> DataFrame:
+    """Markets with an order book, each side at the price it can be traded at: those whose bin's side is that side and
+    whose edge is enough, the better side where both are."""
+    from .book import best_side
+
+    m = markets.withColumn("category", S.categorize("event_ticker"))
+    m = m if categories is None else m.where(F.col("category").isin(categories))
+    j = m.join(books, list(on)).withColumn("_x", S.executable_prices("yes", "no"))
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"_x.{k}").alias("price")) for k in ("sell_yes", "buy_yes")])
+    s = j.select(*on, "category", F.explode(sides).alias("s")).select(*on, "category", "s.side", "s.price").where("price > 0 and price < 1").withColumn("cents", S.price_to_cents("price"))
+    c = bin_lookup(s, curves, min_n, "live").where((F.col("trade_side") == F.col("side")) & (F.col("edge_pp") >= min_edge_pp))
+    return best_side(c.withColumn("edge", F.col("edge_pp")).select(*on, "category", "side", "price", "implied", "actual", "edge"), list(on))
+
+
 def time_split(df: DataFrame, time: str, frac: float = 0.7) -> DataFrame:
     """One row, ``cutoff``: the time of row floor(frac * rows) in order of time (that row's number counts from 0).
 

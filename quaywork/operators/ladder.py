@@ -83,3 +83,45 @@ def event_study(snap: DataFrame, x: str, y: str, min_n: int = 30) -> DataFrame:
     whole = ols(snap.withColumn("label", F.lit("all")), x, y, ["label"], min_n)
     dealt = null_shuffle(snap.select("event", "t", x, y), ["t", "event"], F.md5(F.concat_ws("|", "event", F.col("t").cast("string"))), [y])
     return each.unionByName(whole).unionByName(ols(dealt.withColumn("label", F.lit("shuffled")), x, y, ["label"], min_n))
+
+
+def empirical_bucket_prob(panel: DataFrame, bars: DataFrame, lookback_us: int = 30 * 86_400_000_000, horizon: int = 25, min_n: int = 30, no_lookahead: bool = False) -> DataFrame:
+    """``panel`` (event, t, symbol, spot, lo, hi) with ``q``: the share of the symbol's returns over ``horizon`` bars, those
+    that begin in the ``lookback_us`` before t, that take the spot into the bucket; snapshots with fewer than ``min_n``
+    returns are left out, and shares are scaled to 1 over a snapshot's buckets (null where none is hit).
+
+    Returns that begin just before t end after it; ``no_lookahead`` takes only those that have ended by then. Returns
+    lie in arrays by day, so a snapshot meets as many rows as it has days.
+    """
+    day = 86_400_000_000
+    w = Window.partitionBy("symbol").orderBy("i")
+    end = F.lead("t", horizon).over(w)
+    r = bars.select("symbol", "t", end.alias("z"), (F.lead("close", horizon).over(w) / F.col("close") - 1).alias("r")).where("r is not null")
+    days = r.groupBy("symbol", F.floor(F.col("t") / day).alias("d")).agg(F.collect_list(F.struct("t", "z", "r")).alias("rs"))
+    snaps = panel.select("event", "t", "symbol").distinct()
+    spread = snaps.withColumn("d", F.explode(F.sequence(F.floor((F.col("t") - lookback_us) / day), F.floor(F.col("t") / day))))
+    inside = lambda x: (x["t"] >= F.col("t") - lookback_us) & (x["t"] < F.col("t")) & ((x["z"] <= F.col("t")) if no_lookahead else F.lit(True))
+    got = spread.join(days, ["symbol", "d"]).select("event", "t", "symbol", F.transform(F.filter("rs", inside), lambda x: x["r"]).alias("rs"))
+    samples = got.groupBy("event", "t", "symbol").agg(F.flatten(F.collect_list("rs")).alias("rs")).where(F.size("rs") >= min_n)
+    j = panel.join(samples, ["event", "t", "symbol"])
+    hit = F.filter("rs", lambda x: (F.col("spot") * (1 + x) >= F.col("lo")) & (F.col("spot") * (1 + x) < F.col("hi")))
+    j = j.withColumns({"samples": F.size("rs").cast("long"), "_q": F.size(hit) / F.size("rs")}).drop("rs")
+    total = F.sum("_q").over(Window.partitionBy("event", "t"))
+    return j.withColumn("q", F.col("_q") / F.nullif(total, F.lit(0.0))).drop("_q")
+
+
+def universe_compare(panel: DataFrame, l: DataFrame, bands: dict[str, tuple[int, int | None]], horizon: int, base: str) -> DataFrame:  # noqa: E741
+    """The gaps of events in bands of trade count: snapshots, median gap, its ratio to band ``base``'s, 90th percentile, and the
+    gap's reversion over ``horizon``."""
+    from .asof import restrict_to
+
+    parts = [restrict_to(panel, events_by_count(l, lo, hi), ["event"]).withColumn("band", F.lit(name)) for name, (lo, hi) in bands.items()]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    snaps = both.groupBy("band", "event", "t").agg(F.max(S.abs_gap("p", "q")).alias("max_gap"))
+    later = snaps.select("band", "event", (F.col("t") - horizon).alias("t"), F.col("max_gap").alias("later"))
+    g = snaps.join(later, ["band", "event", "t"], "left").withColumn("change", F.col("later") - F.col("max_gap"))
+    g = g.groupBy("band").agg(F.count("*").alias("n"), F.percentile("max_gap", F.lit(0.5)).alias("median"), F.percentile("max_gap", F.lit(0.9)).alias("p90"), F.regr_slope("change", "max_gap").alias("beta"))
+    first = g.where(F.col("band") == base).select(F.col("median").alias("_m"))  # one row
+    return g.join(F.broadcast(first), F.lit(True), "left").withColumn("ratio", F.col("median") / F.nullif("_m", F.lit(0.0))).drop("_m")

@@ -168,7 +168,7 @@ def non_overlap(labelled: DataFrame, by: list[str] = ("symbol",)) -> DataFrame:
     skipped. A fold over each group's signals in order (never its bars)."""
 
     def run(pdf):
-        pdf = pdf.sort_values(["i", "direction", "entry", "stop", "target"])
+        pdf = pdf.sort_values([c for c in ("i", "direction", "entry", "stop", "target") if c in pdf])
         keep, free = [], -1
         for i, x in zip(pdf["i"], pdf["exit_i"], strict=True):
             keep.append(i > free)

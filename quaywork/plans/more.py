@@ -31,15 +31,12 @@ query("a07_normalize_markets", "SELECT ticker, event_ticker, split_part(event_ti
     lambda m: I.normalize_markets(m.select(F.to_json(F.struct("ticker", "event_ticker", F.upper("status").alias("status"), "result", F.when(F.col("slot") == 0, F.col("volume")).alias("volume"), F.col("volume").cast("double").cast("string").alias("volume_fp"), F.lit(45).alias("yes_bid"), F.lit("0.46").alias("yes_bid_dollars"))).alias("raw"))).select("ticker", "event_ticker", "series_ticker", "status", "result", "volume", "yes_bid")
 )
 query("a11_normalize_events", "SELECT event_ticker, CASE WHEN slot = 0 THEN 'title' ELSE 'sub' END AS title FROM markets", ("markets",))(lambda m: I.normalize_events(m.select(F.to_json(F.struct("event_ticker", F.when(F.col("slot") == 0, "title").otherwise("").alias("title"), F.lit("sub").alias("sub_title"))).alias("raw"))).select("event_ticker", "title"))
-query("a12_merge_first", "SELECT trade_id, n FROM (SELECT trade_id, n, 0 AS s FROM trades WHERE trade_id % 3 <> 0 UNION ALL SELECT trade_id, n + 100, 1 FROM trades WHERE trade_id % 2 = 0) u QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY s) = 1", ("trades",))(lambda t: I.merged(t.where("trade_id % 3 <> 0").select("trade_id", "n"), t.where("trade_id % 2 = 0").select("trade_id", (F.col("n") + 100).alias("n")), ["trade_id"]))
-query("a13_merge_last", "SELECT ticker, slot, volume FROM markets QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY closed DESC) = 1", ("markets",))(lambda m: I.merged(m.where("slot < 2"), m.where("slot >= 1"), ["ticker"], "last", "closed").select("ticker", "slot", "volume"))
 query("a17_watermarks", "SELECT ticker, trade_id AS last_id, t AS last_t FROM trades QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY t DESC, trade_id DESC) = 1", ("trades",))(I.watermarks)
 query("a18_new_since", "SELECT t.trade_id FROM trades t JOIN (SELECT ticker, trade_id AS last_id, t AS last_t FROM trades WHERE trade_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY t DESC, trade_id DESC) = 1) w ON t.ticker = w.ticker AND t.t >= w.last_t AND t.trade_id <> w.last_id", ("trades",))(lambda t: I.new_since(t, I.watermarks(t.where("trade_id % 2 = 0"))).select("trade_id"))
 query("a19_backfill_worklist", f"SELECT ticker, slot, tier FROM (SELECT *, split_part(event_ticker, '-', 1) AS series, CASE WHEN closed < 1704067200000000 + {15 * DAY} THEN 'historical' ELSE 'live' END AS tier FROM markets WHERE status = 'settled' AND closed < 1704067200000000 + {25 * DAY} AND user_id % 5 <> 0) m QUALIFY dense_rank() OVER (PARTITION BY series ORDER BY closed, event_ticker) <= 9", ("markets",))(lambda m: I.backfill_worklist(m, m.where("user_id % 5 = 0"), 1704067200000000 + 15 * DAY, 1704067200000000 + 25 * DAY, 9).select("ticker", "slot", "tier"))
 query("a20_ingest_summary", "SELECT series, count(DISTINCT event_ticker) AS events, count(*) AS markets, count(n) AS with_trades, CAST(sum(coalesce(n, 0)) AS BIGINT) AS trades FROM (SELECT DISTINCT split_part(event_ticker, '-', 1) AS series, event_ticker, ticker FROM markets) m LEFT JOIN (SELECT ticker, count(*) AS n FROM trades WHERE trade_id % 3 = 0 GROUP BY ticker) t USING (ticker) GROUP BY series", ("markets", "trades"))(lambda m, t: I.ingest_summary(m, t.where("trade_id % 3 = 0")))
 query("a21_freshness", f"SELECT symbol, last_t, CASE WHEN last_t IS NULL THEN 'stale' WHEN 1000000000000000 - last_t > {7 * DAY} THEN 'very_stale' WHEN 1000000000000000 - last_t > {2 * DAY} THEN 'stale' ELSE 'fresh' END AS state FROM (SELECT DISTINCT symbol FROM bars) u LEFT JOIN (SELECT symbol, max(t) AS last_t FROM bars WHERE symbol <> 'Brand#11' GROUP BY symbol) l USING (symbol)", ("bars",))(lambda b: I.freshness(b.where("symbol <> 'Brand#11'"), b, DAY, 1_000_000_000_000_000))
 query("a22_load_current", "SELECT symbol, t, rate FROM funding WHERE t = (SELECT max(t) FROM funding)", ("funding",))(lambda f: I.load_current(f, "t").select("symbol", "t", "rate"))
-query("a23_cohorts", "SELECT DISTINCT cohort, concat('U', CAST(user_id AS STRING), '-PERP') AS symbol FROM runs", ("runs",))(lambda r: I.read_cohorts(r.groupBy("cohort").agg(F.collect_set(F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("_PERP"))).alias("s")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("cohort", "s")))).alias("raw"))))
 query("a25_parse_ticks", "SELECT user_id AS file, id AS line, CAST(fold AS INTEGER) AS entered, max(CASE WHEN id % 3 = 0 THEN id END) OVER (PARTITION BY user_id ORDER BY id) AS seen FROM runs QUALIFY id % 3 <> 0", ("runs",))(
     lambda r: I.parse_ticks(r.select(F.col("user_id").alias("file"), F.col("id").alias("line"), F.when(F.col("id") % 3 == 0, F.concat(F.date_format(F.timestamp_seconds("id"), "yyyy-MM-dd HH:mm:ss"), F.lit(" tick"))).otherwise(F.concat(F.lit("entered="), F.col("fold").cast("string"), F.lit(" rejected=1"))).alias("value"))).select("file", "line", "entered", F.unix_timestamp("at").alias("seen"))
 )
@@ -76,7 +73,6 @@ query("a10_flatten_l2", f"SELECT user_id, slot, y[1] AS bid_px_0, y[2] AS bid_px
 
 # --- joins and reports ---------------------------------------------------------------------------------------------------
 
-query("c18_cross_configs", "SELECT c.k, s.symbol FROM (SELECT unnest(range(4)) AS k) c, (SELECT DISTINCT symbol FROM bars) s", ("bars",))(lambda b: b.select("symbol").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>"))).select("k", "symbol"))
 query("c05_align_timeframes", """SELECT b.symbol, b.i, coalesce(w.v, 0) AS long_v FROM bars b ASOF LEFT JOIN (SELECT symbol, min(t) AS wt, arg_max(close, t) AS v FROM (SELECT *, t // 604800000000 AS w FROM bars) x GROUP BY symbol, w) w ON b.symbol = w.symbol AND b.t >= w.wt""", ("bars",))(lambda b: A.align_timeframes(b, _slow(b).withColumn("v", F.col("close")).select("symbol", "t", "v"), ["symbol"], "t", "v").select("symbol", "i", "long_v"))
 query("c16_coalesced_sources", """SELECT p.id, coalesce(q.yes_price, t.yes_price) AS line, CASE WHEN q.yes_price IS NOT NULL THEN 'quote' ELSE 'trade' END AS line_source FROM (SELECT id, concat('T', CAST(id % 150 AS STRING)) AS tk, 1704067200000000 + id % 700 * 3600000000 AS at FROM positions) p
  ASOF LEFT JOIN (SELECT * FROM trades WHERE trade_id % 9 = 0 AND yes_price > 0 AND yes_price < 1 QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY trade_id DESC) = 1) q ON p.tk = q.ticker AND p.at >= q.t
@@ -89,13 +85,8 @@ query("d31_cell_report", "SELECT template, cohort, count(*) AS n, count(s) AS sc
 query("d35_strategy_kpis", f"SELECT side AS strategy, CAST(1000000 + sum(CASE WHEN status = 'closed' THEN {_PNL} ELSE 0 END) AS BIGINT) AS nav, count(*) FILTER (status = 'open') AS open FROM positions GROUP BY side", ("positions",))(lambda p: K.portfolio_summary(p, 1_000_000, 0, ["side"]).select(F.col("side").alias("strategy"), "nav", "open"))
 query("f03_rank_by_quality", "SELECT category, id FROM positions WHERE status = 'open' QUALIFY row_number() OVER (PARTITION BY category ORDER BY edge_pp / risk_cents DESC, id) <= 20", ("positions",))(lambda p: K.rank_by_quality(p.where("status = 'open'"), 20, ["category"], F.col("edge_pp") / F.col("risk_cents")).select("category", "id"))
 query("f06_best_side", "SELECT ticker, side, edge FROM (SELECT ticker, side, max(edge_pp) AS edge FROM positions GROUP BY ticker, side) x QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY edge DESC, side DESC) = 1", ("positions",))(lambda p: K.best_side(p.groupBy("ticker", "side").agg(F.max("edge_pp").alias("edge")), ["ticker"]))
-query("g01_union_by_name", "SELECT ticker, t FROM trades WHERE n > 5 UNION ALL SELECT ticker, opened FROM markets", ("trades", "markets"))(lambda t, m: t.where("n > 5").select("ticker", "t").unionByName(m.select(F.col("opened").alias("t"), "ticker")))
 query("g02_distinct_by", "SELECT ticker, trade_id FROM trades QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY t, trade_id) = 1", ("trades",))(lambda t: I.merged(t.limit(0).withColumn("o", F.struct(-F.col("t"), -F.col("trade_id"))), t.withColumn("o", F.struct(-F.col("t"), -F.col("trade_id"))), ["ticker"], "last", "o").select("ticker", "trade_id"))
-query("g03_missing_fields", "SELECT DISTINCT template, CASE WHEN template = 'click' THEN 0 ELSE 1 END AS missing FROM runs", ("runs",))(lambda r: r.select("template", F.size(F.array_except(F.array(F.lit("click")), F.array("template"))).alias("missing")).distinct())
 query("i11_holdout_trades", "SELECT symbol, i FROM bars JOIN (SELECT symbol, max(t) AS z FROM bars GROUP BY symbol) m USING (symbol) WHERE t >= z - 86400000000 * 90", ("bars",))(lambda b: O.holdout(b, b, 90).select("symbol", "i"))
 query("d26_max_drawdown", "SELECT symbol, max((peak - close) / peak) AS max_dd FROM (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY i) AS peak FROM bars) x GROUP BY symbol", ("bars",))(lambda b: B.drawdown_series(b).groupBy("symbol").agg(F.max("drawdown").alias("max_dd")))
-traded_query("i15_scan_candidates", "SELECT ticker, slot, trade_side FROM traded WHERE edge_pp >= 5")(lambda x: x.where("edge_pp >= 5").select("ticker", "slot", "trade_side"))
-traded_query("d03_calibration_accuracy", "SELECT bin_low, count(*) AS n, count(*) FILTER (result = 'yes') / CAST(count(*) AS DOUBLE) AS rate FROM traded GROUP BY bin_low")(lambda x: x.groupBy("bin_low").agg(F.count("*").alias("n"), F.avg(F.when(F.col("result") == "yes", 1.0).otherwise(0.0)).alias("rate")))
-query("b35_validate_configs", "SELECT id, CASE WHEN template NOT IN ('click', 'view', 'purchase') THEN 'template: choice;' ELSE '' END || CASE WHEN score < 10 OR score > 300 THEN 'score: range;' ELSE '' END AS errors FROM runs", ("runs",))(lambda r: O.validate_configs(r, {"template": ["click", "view", "purchase"]}, {"score": (10.0, 300.0)}).select("id", F.array_join(F.transform("errors", lambda e: F.concat(e, F.lit(";"))), "").alias("errors")))
 query("c19_join_returns", "SELECT b.symbol, b.t, r.v AS fwd_ret FROM bars b LEFT JOIN (SELECT symbol, t, lead(close) OVER (PARTITION BY symbol ORDER BY i) / close - 1 AS v FROM bars) r ON b.symbol = r.symbol AND b.t = r.t", ("bars",))(lambda b: b.select("symbol", "t").join(B.forward_return(b).select("symbol", "t", "fwd_ret"), ["symbol", "t"], "left"))
 query("c20_markets_in_categories", f"SELECT ticker, slot FROM markets WHERE {S.category_sql('event_ticker')} IN ('sports', 'crypto')", ("markets",))(lambda m: A.restrict_to(m, m.where(S.categorize("event_ticker").isin("sports", "crypto")).select("event_ticker").distinct(), ["event_ticker"]).select("ticker", "slot"))

@@ -41,7 +41,7 @@ def scalar(name: str, relation: str, keys: str, columns: Callable[[], dict], sql
 
 # --- scalar functions --------------------------------------------------------------------------------------------
 
-scalar("b01_categorize", "markets", "ticker, slot", lambda: {"category": S.categorize("event_ticker"), "by_prefix": S.categorize("event_ticker", "prefix")}, f"{S.category_sql('event_ticker')} AS category, {S.category_sql('event_ticker')} AS by_prefix")
+scalar("b01_categorize", "markets", "ticker, slot", lambda: {"category": S.categorize("event_ticker"), "by_prefix": S.categorize("event_ticker", "prefix")}, f"{S.category_sql('event_ticker')} AS category, {S.category_sql('event_ticker', precedence='prefix')} AS by_prefix")
 scalar("b02_midlife", "markets", "ticker, slot", lambda: {"mid": S.midlife("opened", "closed")}, "(opened + closed) // 2 AS mid")
 scalar("b03_price_to_cents", "trades", "trade_id", lambda: {"cents": S.price_to_cents("yes_price")}, "CAST(round_even(yes_price * 100, 0) AS INTEGER) AS cents")
 scalar("b04_price_bins", "trades", "trade_id", lambda: {"bin_cents": S.price_bin_5c(S.price_to_cents("yes_price")), "bin_frac": S.price_bin_frac("yes_price")}, "CAST(floor(CAST(round_even(yes_price * 100, 0) AS INTEGER) / 5) * 5 AS INTEGER) AS bin_cents, least(95, CAST(floor(floor(yes_price * 100) / 5) * 5 AS INTEGER)) AS bin_frac")
@@ -253,3 +253,4 @@ def _slow(b):
 
 from . import trading  # noqa: E402, F401  signals, labels and books
 from . import more  # noqa: E402, F401  registers the rest
+from . import tables  # noqa: E402, F401  written tables, candidates and studies

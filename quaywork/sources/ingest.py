@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .paths import exists, kept, remove
 
 
 def _json(name: str, path: str | None = None):
@@ -85,22 +88,97 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], keep: str = "first",
 
 
 def upsert_partitioned(new: DataFrame, root: str, keys: list[str], part: str, keep: str = "first", order: str | None = None) -> DataFrame:
-    """Merges ``new`` into the table at ``root``, rewriting only the partitions it touches; gives rows by partition.
+    """Merges ``new`` into the table at ``root`` by ``keys`` within each partition, rewriting only the partitions it touches;
+    (``part``, rows, added).
 
-    The partitions are read by a pruned scan, merged into a staging folder beside the table, and swapped in by
-    dynamic overwrite, so a run that fails half-way leaves the table as it was or merged, and a repeat changes nothing.
+    The partitions are read by a pruned scan and merged into a staging folder of this run's own, then swapped in by
+    dynamic overwrite. Columns that only the table or only ``new`` has stay, null where a row lacks them. A run that
+    fails leaves each partition as it was or merged, and a repeat makes up for the rest. One writer at a time.
     """
     spark = new.sparkSession
     days = [r[0] for r in new.select(part).distinct().collect()]  # the partitions touched
-    try:
-        old = spark.read.parquet(root).where(F.col(part).isin(days))
-    except Exception:  # noqa: BLE001  no table yet
-        old = new.limit(0)
-    staged = f"{root.rstrip('/')}__staged"
-    merged(old.select(*new.columns), new, keys, keep, order).write.mode("overwrite").parquet(staged)
+    there = exists(spark, root)
+    old = spark.read.option("mergeSchema", "true").parquet(root).where(F.col(part).isin(days)) if there else new.limit(0)
+    if there:  # a partition's values are read by what they look like
+        old = old.withColumn(part, F.col(part).cast(new.schema[part].dataType))
+    staged = f"{root.rstrip('/')}__staged_{uuid.uuid4().hex}"
+    merged(old, new, list(dict.fromkeys([part, *keys])), keep, order).write.parquet(staged)
+    before = kept(old.groupBy(part).agg(F.count("*").alias("_before")))
     ready = spark.read.parquet(staged)
     ready.repartition(part).sortWithinPartitions(part, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(root)
-    return ready.groupBy(part).agg(F.count("*").alias("rows"))
+    counts = kept(ready.groupBy(part).agg(F.count("*").alias("rows")))
+    remove(spark, staged)
+    return counts.join(before, part, "left").select(part, "rows", (F.col("rows") - F.coalesce("_before", F.lit(0))).alias("added"))
+
+
+def upsert_events(new: DataFrame, root: str, part: str = "date", order: str = "pulled_at") -> DataFrame:
+    """The latest pull of each event in its day."""
+    return upsert_partitioned(new, root, ["event_ticker"], part, "last", order)
+
+
+def append_dedup(new: DataFrame, root: str, keys: list[str], part: str) -> DataFrame:
+    """Rows of a series that the table lacks; existing ones win."""
+    return upsert_partitioned(new, root, keys, part)
+
+
+def upsert_shadow(new: DataFrame, root: str) -> DataFrame:
+    """Rejections, the first seen of a ticker and day; one row: total, added."""
+    dated = new if "reject_date" in new.columns else new.withColumn("reject_date", F.to_date("ts"))
+    return upsert_partitioned(dated, root, ["ticker"], "reject_date").agg(F.sum("rows").alias("total"), F.sum("added").alias("added"))
+
+
+def union_by_name(*frames: DataFrame) -> DataFrame:
+    """All rows of tables by column name; columns that one lacks are null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def missing_fields(required, present):
+    """A column of the names in ``required`` that the array ``present`` lacks, in order. Either may be a list of names."""
+    col = lambda x: F.array(*[F.lit(v) for v in x]) if isinstance(x, (list, tuple)) else F.col(x) if isinstance(x, str) else x
+    return F.array_sort(F.array_except(col(required), col(present)))
+
+
+def ordered(df: DataFrame, cols: list[str], within: bool = False) -> DataFrame:
+    """Rows in order of ``cols``, over all or ``within`` each partition, for panels that are the same each time."""
+    return df.sortWithinPartitions(*cols) if within else df.orderBy(*cols)
+
+
+def register_view(df: DataFrame, name: str) -> DataFrame:
+    """Makes ``df`` known to SQL by ``name``, and gives it."""
+    df.createOrReplaceTempView(name)
+    return df
+
+
+def read_partitioned(spark: SparkSession, root: str, part: str = "date", values: list | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A table by partitions: only those of ``values`` are listed and read, and only ``columns``."""
+    d = spark.read.parquet(root)
+    d = d if values is None else d.where(F.col(part).isin(list(values)))
+    return d if columns is None else d.select(*columns)
+
+
+def read_bars(spark: SparkSession, root: str, symbols: list[str] | None = None, interval: str | None = None) -> DataFrame:
+    """Bars of a tree by symbol (and interval), in the columns that the indicators use."""
+    d = read_partitioned(spark, root, "symbol", symbols)
+    return d if interval is None else d.where(F.col("interval") == interval)
+
+
+def read_funding(spark: SparkSession, root: str, coins: list[str] | None = None) -> DataFrame:
+    """Funding ticks by coin; a coin that is not there gives no rows."""
+    return read_partitioned(spark, root, "coin", coins, ["coin", "t", "funding_rate"])
+
+
+def sink_parquet(df: DataFrame, root: str, part: list[str], sort: list[str], mode: str = "overwrite") -> None:
+    """A tree by partitions, a file for each, rows in order, so that later scans prune by file and by row group."""
+    df.repartition(*part).sortWithinPartitions(*part, *sort).write.mode(mode).partitionBy(*part).parquet(root)
+
+
+def sink_text(df: DataFrame, path: str, kind: str = "csv", mode: str = "overwrite") -> None:
+    """CSV with a header, or a JSON object on each line; nulls stay apart from empty texts."""
+    w = df.write.mode(mode)
+    w.option("header", True).option("nullValue", "\\N").csv(path) if kind == "csv" else w.option("ignoreNullFields", False).json(path)
 
 
 def watermarks(trades: DataFrame) -> DataFrame:
@@ -152,12 +230,10 @@ def parse_ticks(lines: DataFrame, order: str = "line", text: str = "value", by:
     return d.select(*by, order, "at", *[num(k).alias(k) for k in ("entered", "rejected", "candidates", "resolved", "voided", "shadow")]).where("entered is not null")
 
 
-def append_runs(df: DataFrame, root: str, spark: SparkSession) -> None:
-    """Appends rows with ids that go on from the greatest one there."""
-    try:
-        top = spark.read.parquet(root).agg(F.max("id")).first()[0] or 0
-    except Exception:  # noqa: BLE001  no table yet
-        top = 0
+def append_runs(df: DataFrame, root: str) -> None:
+    """Appends rows with ids that go on from the greatest one there. One writer at a time."""
     from ..operators.asof import global_rank
 
+    spark = df.sparkSession
+    top = (spark.read.parquet(root).agg(F.max("id")).first()[0] or 0) if exists(spark, root) else 0
     global_rank(df, [F.xxhash64(*df.columns), *[F.col(c) for c in df.columns]]).withColumn("id", F.col("rank") + top + 1).drop("rank").write.mode("append").parquet(root)

@@ -54,47 +54,56 @@ def stream_shadow(rejections: DataFrame, delay: str = "2 days") -> DataFrame:
 
 
 def stream_barriers(bars: DataFrame, positions: DataFrame) -> DataFrame:
-    """Exits of open positions as bars arrive: state is each symbol's open positions; the stop wins ties."""
+    """Exits of open positions as bars arrive; the stop wins ties.
+
+    Both are streams: positions (id, symbol, ts, direction, stop, target) and bars (symbol, ts, high, low) are one
+    stream of events by symbol, and the state is a symbol's open positions. A position is held against the bars after
+    its ``ts`` that arrive with it or later; it may open at any time.
+    """
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
-    book = {}
-    for r in positions.collect():  # the open book, a bounded table of the day's positions
-        book.setdefault(r["symbol"], []).append((r["id"], r["direction"], r["stop"], r["target"]))
-
     class Exits(StatefulProcessor):
         def init(self, handle):
-            self.open = handle.getListState("open", "id long, direction string, stop double, target double")
-            self.seen = handle.getValueState("seen", "yes boolean")
+            self.open = handle.getListState("open", "id long, ts timestamp, direction string, stop double, target double")
 
         def handleInputRows(self, key, rows, timers):
-            if not self.seen.exists():
-                self.seen.update((True,))
-                for p in book.get(key[0], []):
-                    self.open.appendValue(p)
             held = list(self.open.get())
-            frame = pd.concat(list(rows)).sort_values("ts")
+            frame = pd.concat(list(rows))
+            held += [(p.id, p.ts, p.direction, p.stop, p.target) for p in frame[frame["id"].notna()].itertuples()]
             out = []
-            for b in frame.itertuples():
+            for b in frame[frame["id"].isna()].sort_values("ts").itertuples():
                 left = []
                 for p in held:
-                    up = p[1] == "long"
-                    if b.low <= p[2] if up else b.high >= p[2]:
-                        out.append((p[0], key[0], b.ts, p[2], "stop"))
-                    elif b.high >= p[3] if up else b.low <= p[3]:
-                        out.append((p[0], key[0], b.ts, p[3], "target"))
+                    up = p[2] == "long"
+                    if b.ts <= p[1]:
+                        left.append(p)
+                    elif b.low <= p[3] if up else b.high >= p[3]:
+                        out.append((int(p[0]), key[0], b.ts, p[3], "stop"))
+                    elif b.high >= p[4] if up else b.low <= p[4]:
+                        out.append((int(p[0]), key[0], b.ts, p[4], "target"))
                     else:
                         left.append(p)
                 held = left
             self.open.clear()
             if held:
-                self.open.put([tuple(p) for p in held])
+                self.open.put([(int(p[0]), *p[1:]) for p in held])
             yield pd.DataFrame(out, columns=["id", "symbol", "ts", "price", "reason"])
 
         def close(self):
             pass
 
-    return bars.groupBy("symbol").transformWithStateInPandas(Exits(), "id long, symbol string, ts timestamp, price double, reason string", "append", "none")
+    events = positions.select("symbol", "ts", "id", "direction", "stop", "target").unionByName(bars.select("symbol", "ts", "high", "low"), allowMissingColumns=True)
+    return events.groupBy("symbol").transformWithStateInPandas(Exits(), "id long, symbol string, ts timestamp, price double, reason string", "append", "none")
+
+
+def stream_freshness(bars: DataFrame, threshold: str = "8 hours", delay: str = "1 hour") -> DataFrame:
+    """(symbol, last_ts, stale_at): a row whenever a symbol has been silent for ``threshold``, once the watermark says so.
+
+    A symbol's bars form sessions that end with such a silence, so the state is one open session for each symbol.
+    """
+    g = bars.withWatermark("ts", delay).groupBy(F.session_window("ts", threshold).alias("w"), "symbol").agg(F.max("ts").alias("last_ts"))
+    return g.select("symbol", "last_ts", F.col("w.end").alias("stale_at"))
 
 
 def stream_daily_snapshot(events: DataFrame, root: str, checkpoint: str):

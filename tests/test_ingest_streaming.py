@@ -73,13 +73,55 @@ def test_stream_trades_and_bars(spark, tmp_path):
     assert sorted(r.trade_id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["a", "b"]
 
 
+def streamed(spark, tmp_path, name, schema, rows):
+    src = f"file://{tmp_path}/{name}"
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    return spark.readStream.schema(schema).parquet(src)
+
+
+def run(spark, tmp_path, stream, name):
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp-{name}").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    return spark.sql(f"SELECT * FROM {name}").collect()
+
+
 def test_stream_barriers(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    src = f"file://{tmp_path}/bars"
-    bars = [("x", dt.datetime(2024, 1, d), h, low) for d, h, low in ((1, 101.0, 99.0), (2, 115.0, 93.0), (3, 120.0, 90.0))]
-    spark.createDataFrame(bars, "symbol string, ts timestamp, high double, low double").write.parquet(src)
-    pos = spark.createDataFrame([(1, "x", "long", 95.0, 110.0), (2, "x", "short", 130.0, 91.0)], "id long, symbol string, direction string, stop double, target double")
-    s = streams.stream_barriers(spark.readStream.schema("symbol string, ts timestamp, high double, low double").parquet(src), pos)
-    q = s.writeStream.format("memory").queryName("exits").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    assert sorted((r.id, r.ts.day, r.reason) for r in spark.sql("SELECT * FROM exits").collect()) == [(1, 2, "stop"), (2, 3, "target")]
+    bars = streamed(spark, tmp_path, "bars", "symbol string, ts timestamp, high double, low double", [("x", dt.datetime(2024, 1, d), h, low) for d, h, low in ((1, 101.0, 99.0), (2, 115.0, 93.0), (3, 120.0, 90.0))])
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, "x", at, "long", 95.0, 110.0), (2, "x", at, "short", 130.0, 91.0), (3, "x", dt.datetime(2024, 1, 2), "long", 95.0, 119.0), (4, "y", at, "long", 1.0, 2.0)]
+    pos = streamed(spark, tmp_path, "pos", "id long, symbol string, ts timestamp, direction string, stop double, target double", rows)
+    got = run(spark, tmp_path, streams.stream_barriers(bars, pos), "exits")
+    assert sorted((r.id, r.ts.day, r.reason) for r in got) == [(1, 2, "stop"), (2, 3, "target"), (3, 3, "stop")]
+
+
+def test_stream_freshness_bars_shadow(spark, tmp_path):
+    hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [("a", hour(0)), ("a", hour(3)), ("b", hour(0)), ("b", hour(10)), ("b", hour(20)), ("b", hour(40)), ("c", hour(39))]
+    got = run(spark, tmp_path, streams.stream_freshness(streamed(spark, tmp_path, "f", "symbol string, ts timestamp", rows)), "fresh")
+    assert sorted((r.symbol, (r.last_ts - hour(0)).total_seconds() / 3600) for r in got) == [("a", 3.0), ("b", 0.0), ("b", 10.0), ("b", 20.0)]
+    ticks = [(k, "x", dt.datetime(2024, 1, 1, 0, k), float(k % 7), 1) for k in range(40)] + [(99, "x", dt.datetime(2024, 1, 2), 1.0, 1)]
+    got = run(spark, tmp_path, streams.stream_bars(streamed(spark, tmp_path, "t", "id long, symbol string, ts timestamp, price double, size long", ticks)), "bars15")
+    assert sorted((r.start.minute, r.open, r.close, r.trades) for r in got) == [(0, 0.0, 0.0, 15), (15, 1.0, 1.0, 15), (30, 2.0, 4.0, 10)]
+    shadow = [("k", hour(h), h) for h in (1, 2, 30)]
+    got = run(spark, tmp_path, streams.stream_shadow(streamed(spark, tmp_path, "s", "ticker string, ts timestamp, n int", shadow)), "shadowed")
+    assert sorted(r.reject_date.day for r in got) == [1, 2]
+
+
+def test_upsert_keeps_columns_and_other_errors(spark, tmp_path):
+    root = f"file://{tmp_path}/u"
+    old = spark.createDataFrame([("a", 1, "x", "p"), ("b", 2, "y", "p")], "k string, n int, note string, part string")
+    got = ingest.upsert_partitioned(old, root, ["k"], "part").collect()
+    assert [(r.rows, r.added) for r in got] == [(2, 2)]
+    got = ingest.upsert_partitioned(spark.createDataFrame([("b", 9, 0.5, "p"), ("c", 3, 0.7, "p")], "k string, n int, extra double, part string"), root, ["k"], "part").collect()
+    assert [(r.rows, r.added) for r in got] == [(3, 1)]
+    rows = {r.k: (r.n, r.note, r.extra) for r in spark.read.option("mergeSchema", "true").parquet(root).collect()}
+    assert rows == {"a": (1, "x", None), "b": (2, "y", None), "c": (3, None, 0.7)}
+    bad = tmp_path / "bad"
+    bad.mkdir()
+    (bad / "x.parquet").write_text("not parquet")
+    import pytest
+
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        ingest.upsert_partitioned(old, f"file://{bad}", ["k"], "part")
+    assert (bad / "x.parquet").exists()

@@ -74,3 +74,34 @@ def test_pandas_template(spark):
     run = outcomes.from_pandas_template(lambda p: pd.DataFrame({"i": [int(p["i"].max())], "direction": ["long"], "entry": [10.0], "stop": [9.0], "target": [13.0]}))
     b = read(spark, SF, "bars")
     assert run(b).count() == b.select("symbol").distinct().count()
+
+
+def test_asof_ties_of_any_type(spark):
+    left = spark.createDataFrame([("a", 5)], "k string, t long")
+    right = spark.createDataFrame([("a", 5, "t-10"), ("a", 5, "t-9"), ("a", 6, "t-2"), ("a", 6, "t-1")], "k string, rt long, id string")
+    assert asof.asof_join(left, right, ["k"], "t", "rt", "left", "id").first().id == "t-9"
+    assert asof.asof_join(left, right, ["k"], "t", "rt", "left", "id", slice_us=2).first().id == "t-9"
+    assert asof.asof_join(left, right, ["k"], "t", "rt", "left", "id", forward=True).first().id == "t-1"
+
+
+def test_global_rank_of_any_type(spark):
+    rows = [("b", 1), (None, 2), ("a", 3), ("a", 1), ("hot", 0)] + [("hot", k) for k in range(1, 400)]
+    d = spark.createDataFrame(rows, "s string, n int")
+    got = sorted((r["rank"], r.s, r.n) for r in asof.global_rank(d, [F.col("s"), F.col("n")]).collect())
+    assert [g[1:] for g in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])) and [g[0] for g in got] == list(range(len(rows)))
+
+
+def book(spark, rows, **kw):
+    cols = "symbol string, i long, direction string, entry double, stop double, target double, exit_i long, exit_price double, month string"
+    return sorted(outcomes.simulate(spark.createDataFrame(rows, cols), fee=0.0, slip=0.0, **kw).collect(), key=lambda r: r.i)
+
+
+def test_book_breaker_overlap_and_floor(spark):
+    lose = lambda i, out, m: ("x", i, "long", 100.0, 90.0, 130.0, out, 90.0, m)
+    # three losses of 2 % reach the breaker of a month; the month after begins anew
+    rows = [lose(1, 2, "a"), lose(3, 4, "a"), lose(5, 6, "a"), lose(7, 60, "a"), lose(8, 9, "b"), lose(9, 10, "b"), lose(10, 11, "b")]
+    got = book(spark, rows, breaker=0.05)
+    assert [r.i for r in got] == [1, 3, 5, 8, 10]  # 7 is halted and so blocks nothing, 9 overlaps
+    assert got[2].nav == pytest.approx(10_000 * 0.98**3) and got[0].units == pytest.approx(20.0)
+    deep = [lose(k, k, f"m{k}") for k in range(100)]
+    assert book(spark, deep, floor=9_000.0)[-1].nav < 9_000 and len(book(spark, deep, floor=9_000.0)) == 6

@@ -253,5 +253,8 @@ def round_trip(pages: DataFrame, path: str) -> DataFrame:
     write_warc(mark_revisits(records, "page_id"), path)
     back = read_warc(spark, path).select("id", "kind", "digest", "refers_to", "payload_bytes", F.regexp_extract("http", r"X-Page-Id: (-?\d+)", 1).try_cast("long").alias("page_id"))
     targets = back.join(back.where("refers_to is not null").select(F.col("refers_to").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("refers_to"), F.col("page_id").alias("target"))
-    return back.join(targets, "refers_to", "left").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("target").alias("refers_to"))
+    # a response looks for itself, so that not all of them share the key null
+    keyed = back.withColumn("key", F.coalesce("refers_to", "id")).join(targets.withColumnRenamed("refers_to", "key"), "key", "left")
+    target = F.when(F.col("refers_to").isNotNull(), F.col("target"))
+    return keyed.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), target.alias("refers_to"))
 

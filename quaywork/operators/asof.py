@@ -103,14 +103,14 @@ def interval_sum_join(intervals: DataFrame, ticks: DataFrame, on: list[str], sta
     return b.withColumn(out, F.when(F.col(start) < F.col(stop), F.coalesce("_s1", zero) - F.coalesce("_s0", zero)).otherwise(zero)).drop("_at", "_t0", "_s0", "_t1", "_s1")
 
 
-def closing_lines(positions: DataFrame, trades: DataFrame, quotes: DataFrame | None, mid: Column | None = None) -> DataFrame:
+def closing_lines(positions: DataFrame, trades: DataFrame, quotes: DataFrame | None, mid: Column | None = None, tie: str | None = None) -> DataFrame:
     """Each position with the last quote's mid at or before its close, else the last trade's price; ``line_source``
-    says which; positions with neither are dropped."""
+    says which; positions with neither are dropped. Quotes of one time are ordered by ``tie``."""
     t = trades.select("ticker", F.col("t").alias("trade_t"), F.col("yes_price").alias("trade_price"), F.col("trade_id"))
     out = asof_join(positions, t, ["ticker"], "closes", "trade_t", "left", "trade_id")
     if quotes is not None:
-        q = quotes.select("ticker", F.col("t").alias("quote_t"), mid.alias("quote_mid"))
-        out = asof_join(out, q, ["ticker"], "closes", "quote_t", "left")
+        q = quotes.select("ticker", F.col("t").alias("quote_t"), mid.alias("quote_mid"), *([F.col(tie).alias("_quote_tie")] if tie else []))
+        out = asof_join(out, q, ["ticker"], "closes", "quote_t", "left", "_quote_tie" if tie else None).drop("_quote_tie")
     else:
         out = out.withColumn("quote_mid", F.lit(None).cast("double"))
     line = F.coalesce("quote_mid", "trade_price")

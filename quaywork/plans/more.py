@@ -74,12 +74,12 @@ query("a10_flatten_l2", f"SELECT user_id, slot, y[1] AS bid_px_0, y[2] AS bid_px
 # --- joins and reports ---------------------------------------------------------------------------------------------------
 
 query("c05_align_timeframes", """SELECT b.symbol, b.i, coalesce(w.v, 0) AS long_v FROM bars b ASOF LEFT JOIN (SELECT symbol, min(t) AS wt, arg_max(close, t) AS v FROM (SELECT *, t // 604800000000 AS w FROM bars) x GROUP BY symbol, w) w ON b.symbol = w.symbol AND b.t >= w.wt""", ("bars",))(lambda b: A.align_timeframes(b, _slow(b).withColumn("v", F.col("close")).select("symbol", "t", "v"), ["symbol"], "t", "v").select("symbol", "i", "long_v"))
-query("c16_coalesced_sources", """SELECT p.id, coalesce(q.yes_price, t.yes_price) AS line, CASE WHEN q.yes_price IS NOT NULL THEN 'quote' ELSE 'trade' END AS line_source FROM (SELECT id, concat('T', CAST(id % 150 AS STRING)) AS tk, 1704067200000000 + id % 700 * 3600000000 AS at FROM positions) p
- ASOF LEFT JOIN (SELECT * FROM trades WHERE trade_id % 9 = 0 AND yes_price > 0 AND yes_price < 1 QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY trade_id DESC) = 1) q ON p.tk = q.ticker AND p.at >= q.t
- ASOF LEFT JOIN (SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY trade_id DESC) = 1) t ON p.tk = t.ticker AND p.at >= t.t WHERE coalesce(q.yes_price, t.yes_price) IS NOT NULL""", ("positions", "trades"))(
-    lambda p, t: A.closing_lines(p.withColumns({"ticker": F.concat(F.lit("T"), (F.col("id") % 150).cast("string")), "closes": F.lit(1704067200000000) + F.col("id") % 700 * HOUR}), t, t.where("trade_id % 9 = 0"), S.mid_from_quote(F.lit(None).cast("double"), F.lit(None).cast("double"), "yes_price")).select("id", "line", "line_source")
+query("c16_coalesced_sources", """SELECT p.id, coalesce(q.mid, t.yes_price) AS line, CASE WHEN q.mid IS NOT NULL THEN 'quote' ELSE 'trade' END AS line_source FROM (SELECT id, concat('T', CAST(id % 150 AS STRING)) AS tk, 1704067200000000 + id % 700 * 3600000000 AS at FROM positions) p
+ ASOF LEFT JOIN (SELECT *, CASE WHEN no_price > 0 AND no_price < 2 AND yes_price > 0 AND yes_price < 1 AND yes_price >= no_price / 2 THEN (no_price / 2 + yes_price) / 2 END AS mid FROM trades QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY trade_id DESC) = 1) q ON p.tk = q.ticker AND p.at >= q.t
+ ASOF LEFT JOIN (SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY trade_id DESC) = 1) t ON p.tk = t.ticker AND p.at >= t.t WHERE coalesce(q.mid, t.yes_price) IS NOT NULL""", ("positions", "trades"))(
+    lambda p, t: A.closing_lines(p.withColumns({"ticker": F.concat(F.lit("T"), (F.col("id") % 150).cast("string")), "closes": F.lit(1704067200000000) + F.col("id") % 700 * HOUR}), t, t, S.mid_from_quote(F.col("no_price") / 2, "yes_price", F.lit(None).cast("double")), "trade_id").select("id", "line", "line_source")
 )
-query("c21_positions_with_market", "SELECT p.id, m.slot FROM (SELECT id, concat('T', CAST(id % 200 AS STRING)) AS tk FROM positions) p LEFT JOIN (SELECT * FROM markets WHERE slot = 0) m ON p.tk = m.ticker", ("positions", "markets"))(lambda p, m: p.select("id", F.concat(F.lit("T"), (F.col("id") % 200).cast("string")).alias("ticker")).join(m.where("slot = 0"), "ticker", "left").select("id", "slot"))
+query("c21_positions_with_market", "SELECT p.id, p.slot, m.volume FROM (SELECT id, concat('T', CAST(id % 200 AS STRING)) AS tk, id % 3 AS slot FROM positions) p LEFT JOIN markets m ON p.tk = m.ticker AND p.slot = m.slot", ("positions", "markets"))(lambda p, m: p.select("id", F.concat(F.lit("T"), (F.col("id") % 200).cast("string")).alias("ticker"), (F.col("id") % 3).alias("slot")).join(m, ["ticker", "slot"], "left").select("id", "slot", "volume"))
 query("d04_checks", f"SELECT name, value, passed FROM (SELECT 'wins' AS name, CAST(count(*) FILTER (p > 0) AS DOUBLE) AS value, count(*) FILTER (p > 0) > 100 AS passed FROM (SELECT {_PNL} AS p FROM positions WHERE status = 'closed') x UNION ALL SELECT 'pnl', CAST(sum(p) AS DOUBLE), sum(p) > 0 FROM (SELECT {_PNL} AS p FROM positions WHERE status = 'closed') y) z", ("positions",))(lambda p: C.checks(K.closed_book_summary(p), {"wins": (">", 100), "pnl": (">", 0)}))
 query("d31_cell_report", "SELECT template, cohort, count(*) AS n, count(s) AS scored, max(s) AS best FROM (SELECT *, CASE WHEN status = 'scored' THEN score END AS s FROM runs) x GROUP BY template, cohort", ("runs",))(lambda r: O.search_report(r, ["template", "cohort"]).select("template", "cohort", "n", "scored", "best"))
 query("d35_strategy_kpis", f"SELECT side AS strategy, CAST(1000000 + sum(CASE WHEN status = 'closed' THEN {_PNL} ELSE 0 END) AS BIGINT) AS nav, count(*) FILTER (status = 'open') AS open FROM positions GROUP BY side", ("positions",))(lambda p: K.portfolio_summary(p, 1_000_000, 0, ["side"]).select(F.col("side").alias("strategy"), "nav", "open"))

@@ -184,10 +184,23 @@ def _clv(p, t):
 
 query("b24_clv", f"SELECT id, clv FROM ({_CLV}) c", ("positions", "trades"))(lambda p, t: _clv(p, t).select("id", "clv"))
 query("d07_clv_summary", f"""SELECT CASE WHEN status IS NOT NULL THEN 'status' WHEN side IS NOT NULL THEN 'side' WHEN category IS NOT NULL THEN 'category' ELSE 'all' END AS scope, coalesce(status, side, category, 'all') AS key, count(*) AS n, avg(clv) AS mean, median(clv) AS median, coalesce(stddev_samp(clv), 0) AS sigma, avg(CASE WHEN clv > 0 THEN 1e0 ELSE 0e0 END) AS beat_rate FROM ({_CLV}) c GROUP BY GROUPING SETS ((), (status), (side), (category))""", ("positions", "trades"))(lambda p, t: K.clv_summary(_clv(p, t)))
-query("i18_settle", """SELECT p.id, p.ticker, p.category, CASE WHEN m.status IS NULL THEN 'missing' WHEN m.status = 'settled' THEN 'resolved' ELSE 'open' END AS state, CAST(CASE WHEN m.status = 'settled' THEN CASE WHEN (p.side = 'sell_yes' AND m.result = 'no') OR (p.side = 'buy_yes' AND m.result = 'yes') THEN reward_cents ELSE -risk_cents END ELSE 0 END AS BIGINT) AS pnl
- FROM (SELECT * REPLACE (concat('T', CAST(id % 200 AS STRING)) AS ticker) FROM positions WHERE status = 'open') p LEFT JOIN (SELECT * FROM markets WHERE slot = 0) m ON p.ticker = m.ticker""", ("positions", "markets"))(lambda p, m: K.settle(p.withColumn("ticker", F.concat(F.lit("T"), (F.col("id") % 200).cast("string"))), m.where("slot = 0")))
-query("i17_shadow_replay", """SELECT reason, count(*) AS n, CAST(sum(CASE WHEN (side = 'sell_yes' AND m.result = 'no') OR (side = 'buy_yes' AND m.result = 'yes') THEN reward_cents ELSE -risk_cents END) AS BIGINT) AS pnl FROM (SELECT *, concat('T', CAST(id % 200 AS STRING)) AS tk, CASE WHEN id % 3 = 0 THEN 'cap' ELSE 'price' END AS reason FROM positions WHERE status = 'voided') p JOIN (SELECT * FROM markets WHERE slot = 0) m ON p.tk = m.ticker GROUP BY reason""", ("positions", "markets"))(
-    lambda p, m: K.shadow_replay(p.where("status = 'voided'").withColumns({"ticker": F.concat(F.lit("T"), (F.col("id") % 200).cast("string")), "reason": F.when(F.col("id") % 3 == 0, "cap").otherwise("price")}), m.where("slot = 0"))
+_HELD = "concat('T', CAST(id % 200 AS STRING), '-', CAST(id % 3 AS STRING))"
+_SLOTS = "(SELECT * REPLACE (concat(ticker, '-', CAST(slot AS STRING)) AS ticker) FROM markets)"
+
+
+def _held(p):
+    """Positions in the market of one slot each."""
+    return p.withColumn("ticker", F.concat(F.lit("T"), (F.col("id") % 200).cast("string"), F.lit("-"), (F.col("id") % 3).cast("string")))
+
+
+def _slots(m):
+    return m.withColumn("ticker", F.concat("ticker", F.lit("-"), F.col("slot").cast("string")))
+
+
+query("i18_settle", f"""SELECT p.id, p.ticker, p.category, CASE WHEN m.status IS NULL THEN 'missing' WHEN m.status = 'settled' THEN 'resolved' ELSE 'open' END AS state, CAST(CASE WHEN m.status = 'settled' THEN CASE WHEN (p.side = 'sell_yes' AND m.result = 'no') OR (p.side = 'buy_yes' AND m.result = 'yes') THEN reward_cents ELSE -risk_cents END ELSE 0 END AS BIGINT) AS pnl
+ FROM (SELECT * REPLACE ({_HELD} AS ticker) FROM positions WHERE status = 'open') p LEFT JOIN {_SLOTS} m ON p.ticker = m.ticker""", ("positions", "markets"))(lambda p, m: K.settle(_held(p), _slots(m)))
+query("i17_shadow_replay", f"""SELECT reason, count(*) AS n, CAST(sum(CASE WHEN (side = 'sell_yes' AND m.result = 'no') OR (side = 'buy_yes' AND m.result = 'yes') THEN reward_cents ELSE -risk_cents END) AS BIGINT) AS pnl FROM (SELECT *, {_HELD} AS tk, CASE WHEN id % 5 = 0 THEN 'cap' ELSE 'price' END AS reason FROM positions WHERE status = 'voided') p JOIN {_SLOTS} m ON p.tk = m.ticker GROUP BY reason""", ("positions", "markets"))(
+    lambda p, m: K.shadow_replay(_held(p.where("status = 'voided'")).withColumn("reason", F.when(F.col("id") % 5 == 0, "cap").otherwise("price")), _slots(m))
 )
 
 # --- bars -----------------------------------------------------------------------------------------------------------

@@ -108,6 +108,30 @@ def test_stream_freshness_bars_shadow(spark, tmp_path):
     assert sorted(r.reject_date.day for r in got) == [1, 2]
 
 
+def test_stream_l2_candidates_settle_snapshots(spark, tmp_path):
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    at = lambda name: (f"file://{tmp_path}/out-{name}", f"file://{tmp_path}/cp-out-{name}")
+    level = lambda px: [(px, "1", 1)]
+    books = streamed(spark, tmp_path, "l2", "coin string, ts timestamp, levels array<array<struct<px string, sz string, n int>>>", [("a", day(1), [level("10"), level("12")]), ("a", day(2), [level("20"), []])])
+    assert streams.stream_l2(books, *at("l2")).awaitTermination(120)
+    got = spark.read.parquet(at("l2")[0]).collect()
+    assert sorted((r.date.day, r.mid, r.spread) for r in got if r.mid) == [(1, 11.0, 2.0)] and len(got) == 2
+    quotes = streamed(spark, tmp_path, "q", "event_ticker string, yes_price double", [("KXBTC-1", 0.42), ("KXBTC-2", 0.93), ("ZZ-1", 0.41)])
+    bins = spark.createDataFrame([("crypto", 40, 60, 0.30), ("aggregate", 40, 60, 0.41), ("crypto", 90, 60, 0.99)], "scope string, bin_low int, n long, actual_rate double")
+    found = run(spark, tmp_path, streams.stream_candidates(quotes, bins), "candidates")
+    assert sorted((r.event_ticker, r.trade_side, round(r.edge_pp, 6)) for r in found) == [("KXBTC-1", "sell_yes", 12.5), ("KXBTC-2", "buy_yes", 6.5)]
+    updates = streamed(spark, tmp_path, "u", "ticker string, ts timestamp, status string, result string", [("A", day(2), "active", ""), ("A", day(3), "settled", "no"), ("B", day(3), "settled", "")])
+    held = streamed(spark, tmp_path, "h", "id long, ticker string, entered_at timestamp, side string, reward_cents long, risk_cents long", [(1, "A", day(1), "sell_yes", 30, 70), (2, "A", day(4), "sell_yes", 30, 70), (3, "B", day(1), "buy_yes", 30, 70)])
+    settled = run(spark, tmp_path, streams.stream_settle(updates, held), "settled")
+    assert sorted((r.id, r.state) for r in settled) == [(1, "resolved"), (3, "void")]
+    assert [r.pnl for r in settled if r.id == 1] == [30]
+    assert streams.stream_quote_snapshots(quotes, *at("quotes")).awaitTermination(120)
+    assert spark.read.parquet(at("quotes")[0]).count() == 3
+    events = streamed(spark, tmp_path, "d", "book string, ts timestamp, nav long", [("p", day(1, 3), 5), ("p", day(1, 9), 7), ("p", day(2), 8)])
+    assert streams.stream_daily_snapshot(events, *at("daily")).awaitTermination(120)
+    assert sorted((r.ts.day, r.nav) for r in spark.read.parquet(at("daily")[0]).collect()) == [(1, 7), (2, 8)]
+
+
 def test_upsert_keeps_columns_and_other_errors(spark, tmp_path):
     root = f"file://{tmp_path}/u"
     old = spark.createDataFrame([("a", 1, "x", "p"), ("b", 2, "y", "p")], "k string, n int, note string, part string")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_to_warc, chat_format, decontamination, embedding_dedup, ngram_jaccard, packing, periodic_runs, sharding, substring_dedup, suffix_dedup, toxicity, whitening
+from . import arc_to_warc, chat_format, decontamination, embedding_dedup, ngram_jaccard, packing, periodic_runs, quality, sharding, substring_dedup, suffix_dedup, toxicity, whitening
 from .common import scratch, table
 
 #: The two rows that a template must carry without taking their text for its own marks.
@@ -67,9 +67,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_ngram_jaccard, op3_decontamination, op4_arc_to_warc, op5_suffix_dedup, op6_embedding_dedup, op7_chat_format, op8_sharding, op9_packing, op10_toxicity, op11_periodic_runs, op12_whitening)
+    for f in (op1_substring_dedup, op2_ngram_jaccard, op3_decontamination, op4_arc_to_warc, op5_suffix_dedup, op6_embedding_dedup, op7_chat_format, op8_sharding, op9_packing, op10_toxicity, op11_periodic_runs, op12_whitening, op13_quality)
 }
 _BY = "ORDER BY turn NULLS FIRST, role, text"
 _LONGER = "4 * (length({0}) - length(replace({0}, '&', ''))) + 3 * ((length({0}) - length(replace({0}, '<|', ''))) // 2)"

@@ -27,9 +27,10 @@ def exact_quantiles(df: DataFrame, by: list[str], column: str | Column, quantile
     edges = [(max(0.0, q - slack), min(1.0, q + slack)) for q in quantiles.values()]
     asked = sorted({x for pair in edges for x in pair})
     sketch = F.percentile_approx("_v", asked, ACCURACY)
-    g = d.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), sketch.alias("_s"))
+    g = d.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_s"))
     at = lambda x: F.element_at("_s", asked.index(x) + 1)
-    wanted = [F.struct(F.lit(k).alias("q"), at(lo).alias("lo"), at(hi).alias("hi"), ((F.col("_n") - 1) * F.lit(float(q))).alias("place")) for k, (q, (lo, hi)) in enumerate(zip(quantiles.values(), edges, strict=True))]
+    few = F.col("_n") < ACCURACY  # there a rank's neighbour may lie beyond the slack
+    wanted = [F.struct(F.lit(k).alias("q"), F.when(few, F.col("_min")).otherwise(at(lo)).alias("lo"), F.when(few, F.col("_max")).otherwise(at(hi)).alias("hi"), ((F.col("_n") - 1) * F.lit(float(q))).alias("place")) for k, (q, (lo, hi)) in enumerate(zip(quantiles.values(), edges, strict=True))]
     g = g.select(*keys, F.array(*wanted).alias("_w"))
     rows = d.join(g if by else F.broadcast(g), keys)  # without groups, g is one row
     rows = rows.select(*keys, "_v", F.explode("_w").alias("_w")).where("_v <= _w.hi")

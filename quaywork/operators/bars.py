@@ -16,23 +16,70 @@ def _full(c: Column, n: int, w, agg) -> Column:
     return F.when(F.count(c).over(f) == n, agg(c).over(f))
 
 
-def ema(bars: DataFrame, column: str, spans: list[int], by: list[str] = ("symbol",), order: str = "i") -> DataFrame:
-    """``bars`` with ``ema_<span>`` columns: exponential means that begin at the first value.
+#: Bars in a block of a scan, and blocks in a group of blocks.
+BLOCK, GROUP = 64, 256
+
+
+def _compose(f, g):
+    """The map that applies ``f``, then ``g``. A map of a stretch has the mean after it: ``a * mean + b``, or ``seed`` where
+    no value came before (null: nor in it)."""
+    later = F.when(f["seed"].isNull(), g["seed"]).otherwise(g["a"] * f["seed"] + g["b"])
+    return F.struct((f["a"] * g["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), later.alias("seed"))
+
+
+def _after(mean: Column, m) -> Column:
+    return F.when(mean.isNull(), m["seed"]).otherwise(m["a"] * mean + m["b"])
+
+
+def _running(start: Column, stretches: Column, names: list[str]) -> Column:
+    """(k, the means before it) of each of some stretches in order, from the means ``start``."""
+    before = lambda means, x: F.struct(x["k"].alias("k"), means.alias("before"))
+    step = lambda acc, x: F.struct(F.struct(*[_after(acc["means"][n], x[n]).alias(n) for n in names]).alias("means"), F.concat(acc["done"], F.array(before(acc["means"], x))).alias("done"))
+    kind = f"array<struct<k: bigint, before: struct<{', '.join(f'{n}: double' for n in names)}>>>"
+    return F.aggregate(stretches, F.struct(start.alias("means"), F.array().cast(kind).alias("done")), step, lambda acc: acc["done"])
 
-    The recursion runs over each symbol's bars in Arrow batches, all spans in one pass; a symbol's series is one
-    task's work, as the recursion reaches back to its first bar.
+
+def affine_means(rows: DataFrame, columns: dict[str, tuple[Column, Column]], by: list[str], order: str) -> DataFrame:
+    """``rows`` with a column for each of ``columns`` (name: value, share of a new value): recursive means that begin at the
+    first value; a null leaves the mean as it is. ``order`` numbers the rows of a key from 0 on, without gaps.
+
+    A mean after a bar is an affine map of the mean before it, and so is that after a block of bars. Blocks of
+    ``BLOCK`` bars are made into maps by running sums, each block a partition of its own; blocks are composed in groups
+    of ``GROUP``, groups over the key, and what enters a group, then a block, comes back down. So one key's bars are
+    spread over as many tasks as it has blocks, and a step holds at most the blocks of a group or the groups of a key.
     """
-    names = [f"ema_{s}" for s in spans]
-    keys = list(by)
+    keys, names = list(by), list(columns)
+    block = F.floor(F.col(order) / BLOCK).cast("long")
+    w = Window.partitionBy(*keys, "_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = rows.withColumn("_k", block).withColumns({f"_x_{n}": x.cast("double") for n, (x, _) in columns.items()} | {f"_s_{n}": share.cast("double") for n, (_, share) in columns.items()})
+    d = d.withColumns({f"_p_{n}": F.count(f"_x_{n}").over(w) for n in names})
+    made = {}
+    for n in names:
+        x, share, p = F.col(f"_x_{n}"), F.col(f"_s_{n}"), F.col(f"_p_{n}")
+        keep = F.when(share < 1, 1 - share)  # nothing of the mean is kept by a share of 1
+        b = F.pow(keep, p) * F.sum(share * F.pow(keep, -p) * x).over(w)
+        first, last = F.first(f"_x_{n}", ignorenulls=True).over(w), F.last(f"_x_{n}", ignorenulls=True).over(w)
+        seed = b + F.pow(keep, p - 1) * keep * first
+        some = lambda y: F.when(p > 0, y)
+        made[n] = F.struct(F.coalesce(some(F.coalesce(F.pow(keep, p), F.lit(0.0))), F.lit(1.0)).alias("a"), F.coalesce(some(F.coalesce(b, last)), F.lit(0.0)).alias("b"), some(F.coalesce(seed, last)).alias("seed"))
+    d = d.withColumns({f"_m_{n}": m for n, m in made.items()}).drop(*[f"_{c}_{n}" for c in "xsp" for n in names])
+    maps = d.groupBy(*keys, "_k").agg(F.max_by(F.struct(*[F.col(f"_m_{n}").alias(n) for n in names]), order).alias("_m"))
+    maps = maps.withColumn("_g", F.floor(F.col("_k") / GROUP).cast("long"))
+    groups = maps.groupBy(*keys, "_g").agg(F.array_sort(F.collect_list(F.struct(F.col("_k").alias("k"), *[F.col(f"_m.{n}").alias(n) for n in names]))).alias("_all"))
+    unit = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(None).cast("double").alias("seed"))
+    whole = F.aggregate("_all", F.struct(*[unit.alias(n) for n in names]), lambda acc, x: F.struct(*[_compose(acc[n], x[n]).alias(n) for n in names]))
+    of_key = groups.withColumn("_m", whole).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_g").alias("k"), *[F.col(f"_m.{n}").alias(n) for n in names]))).alias("_all"))
+    nothing = F.struct(*[F.lit(None).cast("double").alias(n) for n in names])
+    entering = of_key.select(*keys, F.explode(_running(nothing, F.col("_all"), names)).alias("_e")).select(*keys, F.col("_e.k").alias("_g"), F.col("_e.before").alias("_start"))
+    into = groups.join(entering, [*keys, "_g"]).select(*keys, F.explode(_running(F.col("_start"), F.col("_all"), names)).alias("_e"))
+    into = into.select(*keys, F.col("_e.k").alias("_k"), F.col("_e.before").alias("_before"))
+    out = d.join(into, [*keys, "_k"])
+    return out.select(*rows.columns, *[_after(F.col("_before")[n], F.col(f"_m_{n}")).alias(n) for n in names])
 
-    def run(pdf):
-        pdf = pdf.sort_values(order)
-        for s, n in zip(spans, names, strict=True):
-            pdf[n] = pdf[column].ewm(span=s, adjust=False).mean()
-        return pdf
 
-    schema = ", ".join([*[f"{c} {t}" for c, t in bars.dtypes], *[f"{n} double" for n in names]])
-    return bars.groupBy(*keys).applyInPandas(run, schema)
+def ema(bars: DataFrame, column: str, spans: list[int], by: list[str] = ("symbol",), order: str = "i") -> DataFrame:
+    """``bars`` with ``ema_<span>`` columns: exponential means that begin at the first value, share 2 / (span + 1) each."""
+    return affine_means(bars, {f"ema_{s}": (F.col(column), F.lit(2.0 / (s + 1))) for s in spans}, list(by), order)
 
 
 def stochastic_k(bars: DataFrame, period: int = 14, by=("symbol",)) -> DataFrame:
@@ -142,6 +189,27 @@ def rolling_range(bars: DataFrame, n: int, by=("symbol",)) -> DataFrame:
     return bars.withColumns({"support": F.when(full, F.min("low").over(f)), "resistance": F.when(full, F.max("high").over(f)), "mean_volume": _full(F.col("volume"), n, w, F.avg)})
 
 
+def rolling_by(rows: DataFrame, length: str, values: dict[str, tuple[str, str]], by: list[str] = ("symbol",), order: str = "i") -> DataFrame:
+    """``rows`` with a column for each of ``values`` (name: ``min``, ``max`` or ``sum``, and a column) over as many rows before a row
+    as its column ``length`` says; null until there are as many. ``order`` numbers the rows of a key without gaps.
+
+    A window's frame is the same for all rows, so a length that is a column takes two halves: rows are cut in blocks of
+    their length, and the rows before a row are the rest of one block, from the row ``length`` back, and the beginning of
+    the next. All lengths share these windows, and their partitions are single blocks, not whole keys.
+    """
+    keys = [*by, length]
+    block, phase = F.floor(F.col(order) / F.col(length)), F.col(order) % F.col(length)
+    w = Window.partitionBy(*keys, block)
+    agg = {"min": F.min, "max": F.max, "sum": F.sum}
+    out = rows.withColumns({f"_head_{n}": agg[f](c).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)) for n, (f, c) in values.items()})
+    out = out.withColumns({f"_tail_{n}": agg[f](c).over(w.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)) for n, (f, c) in values.items()})
+    back = Window.partitionBy(*keys, phase).orderBy(order)
+    join = {"min": F.least, "max": F.greatest, "sum": lambda a, b: a + F.coalesce(b, F.lit(0))}
+    out = out.withColumns({f"_far_{n}": F.lag(f"_tail_{n}").over(back) for n in values} | {"_ok": F.lag(order).over(back)})
+    found = {n: F.when(F.col("_ok").isNotNull(), join[f](F.col(f"_far_{n}"), F.col(f"_head_{n}"))) for n, (f, _) in values.items()}
+    return out.withColumns(found).drop("_ok", *[f"_{k}_{n}" for k in ("head", "tail", "far") for n in values])
+
+
 def coin_profile(bars: DataFrame, min_bars: int = 30, per_year: float = 365.0) -> DataFrame:
     """By symbol: bars, annual deviation, mean absolute return, worst drawdown, and lag-one autocorrelation."""
     w = _w(["symbol"], "i")

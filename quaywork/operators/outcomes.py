@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from . import bars as B
 
-BLOCK = 64
+#: Children of a node of the tree of bars, and its levels: 64 bars, 64 * 64 bars, ...
+FAN, LEVELS = 64, 4
 
 
 def _signals(df: DataFrame, direction, entry, stop, target, when, at=None, min_rr: float = 2.0) -> DataFrame:
@@ -130,29 +131,60 @@ def entry_fill(signals: DataFrame, bars: DataFrame, risk: float = 0.02, min_rr:
     return signals.join(b, ["symbol", "i"]).where(reach & ok).drop("_h", "_l")
 
 
+def _nodes(bars: DataFrame) -> list[DataFrame]:
+    """The tree over each symbol's bars: level k has nodes of ``FAN`` children of level k - 1 (bars are children of level 0),
+    each child with its number, least low and greatest high; all children of the last level are in one node."""
+    child = F.struct(F.col("_c").alias("c"), "low", "high")
+    below = bars.select("symbol", F.col("i").alias("_c"), "low", "high")
+    levels = []
+    for k in range(LEVELS):
+        node = F.floor(F.col("_c") / FAN).cast("long") if k < LEVELS - 1 else F.lit(0).cast("long")
+        levels.append(below.groupBy("symbol", node.alias("_node")).agg(F.array_sort(F.collect_list(child)).alias("_kids"), F.min("low").alias("low"), F.max("high").alias("high")))
+        below = levels[-1].select("symbol", F.col("_node").alias("_c"), "low", "high")
+    return levels
+
+
 def barrier_label(signals: DataFrame, bars: DataFrame) -> DataFrame:
     """Each signal with its exit: the first later bar that reaches the stop or target (the stop if both), else the last
-    bar's close, ``end_of_data``.
+    bar's close, ``end_of_data``. Equal rows are one signal.
 
-    Bars are summed up in blocks of 64 by their least low and greatest high, and each symbol's blocks lie in one array.
-    A signal looks into its own block and into the first later one that could hold its exit: one small join, never all
-    pairs of signals and bars. Equal rows are one signal.
+    The search goes over a tree of least lows and greatest highs: ``FAN`` bars, as many blocks of bars, and so on. A
+    leaf carries the children of the nodes above it, so one join tells a signal whether its exit is among the bars of its
+    block, or in which later block of which level; from there each level down is a join with the children of one node. A
+    signal looks at ``FAN`` children a level, however long the series, and the joins' keys are single nodes.
     """
     long = F.col("direction") == "long"
-    b = bars.select("symbol", F.col("i").alias("j"), "low", "high", "close", F.floor(F.col("i") / BLOCK).cast("long").alias("_b"))
-    blocks = b.groupBy("symbol", "_b").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("j").alias("z"), F.max_by("close", "j").alias("zc"))
-    arr = blocks.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_b", "low", "high"))).alias("_arr"), F.max("z").alias("_end"), F.max_by("zc", "z").alias("_close"))
-    own = F.floor(F.col("i") / BLOCK).cast("long")
-    could = F.filter("_arr", lambda x: (x["_b"] > own) & F.when(long, (x["low"] <= F.col("stop")) | (x["high"] >= F.col("target"))).otherwise((x["high"] >= F.col("stop")) | (x["low"] <= F.col("target"))))
-    looks = F.concat(F.array(own), F.transform(F.slice(could, 1, 1), lambda x: x["_b"]))
-    s = signals.join(arr, "symbol").select(*signals.columns, "_end", "_close", F.explode(looks).alias("_b"))
-    stopped, won = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop")), F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
-    j = s.join(b.select("symbol", "_b", "j", "low", "high"), ["symbol", "_b"], "left")
-    hit = F.when((F.col("j") > F.col("i")) & (stopped | won), F.struct("j", (~stopped).alias("won")))
-    out = j.groupBy(*signals.columns, "_end", "_close").agg(F.min(hit).alias("hit"))
-    kind = F.when(F.col("hit").isNull(), "end_of_data").when(F.col("hit.won"), "target").otherwise("stop")
-    price = F.when(F.col("hit").isNull(), F.col("_close")).when(F.col("hit.won"), F.col("target")).otherwise(F.col("stop"))
-    return out.select(*signals.columns, F.coalesce("hit.j", "_end").alias("exit_i"), price.alias("exit_price"), kind.alias("reason"))
+    under, over = F.when(long, F.col("stop")).otherwise(F.col("target")), F.when(long, F.col("target")).otherwise(F.col("stop"))
+    reached = lambda x: (x["low"] <= F.col("_under")) | (x["high"] >= F.col("_over"))
+    levels = _nodes(bars)
+    last = bars.groupBy("symbol").agg(F.max("i").alias("_end"), F.max_by("close", "i").alias("_close"))
+    leaf = levels[0].select("symbol", F.col("_node").alias("_n0"), F.col("_kids").alias("_k0"))
+    for k in range(1, LEVELS):
+        above = F.floor(F.col(f"_n{k - 1}") / FAN).cast("long") if k < LEVELS - 1 else F.lit(0).cast("long")
+        leaf = leaf.withColumn(f"_n{k}", above).join(levels[k].select("symbol", F.col("_node").alias(f"_n{k}"), F.col("_kids").alias(f"_k{k}")), ["symbol", f"_n{k}"])
+    leaf = leaf.join(last, "symbol").drop(*[f"_n{k}" for k in range(1, LEVELS)])
+    own, tasks = signals.columns, int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the search is more work than the bytes of its signals show: a number keeps their tasks from being merged
+    s = signals.withColumns({"_n0": F.floor(F.col("i") / FAN).cast("long"), "_under": under, "_over": over}).repartition(tasks, "symbol", "_n0").join(leaf.hint("merge"), ["symbol", "_n0"])
+    beyond = lambda at: lambda x: (x["c"] > at) & reached(x)
+    at, found = F.col("i"), []
+    for k in range(LEVELS):
+        # the first later child of this level; only the first level that has one counts
+        x = F.get(F.filter(f"_k{k}", beyond(at)), F.lit(0))
+        found.append(F.when(x.isNotNull(), F.struct(F.lit(k).alias("level"), x.alias("x"))))
+        at = F.floor(at / FAN).cast("long")
+    hit = s.withColumn("_hit", F.coalesce(*found))
+    s = hit.select(*own, "_n0", "_under", "_over", "_end", "_close", F.col("_hit.level").alias("_level"), F.col("_hit.x").alias("_x")).distinct().drop("_n0")
+    for k in range(LEVELS - 1, 0, -1):
+        down = F.col("_level") == k
+        kids = levels[k - 1].select("symbol", F.col("_node"), F.col("_kids"))
+        # signals with nothing to look up keep keys of their own
+        s = s.withColumn("_node", F.when(down, F.col("_x.c")).otherwise(-1 - F.col("i"))).join(kids, ["symbol", "_node"], "left")
+        s = s.withColumns({"_x": F.when(down, F.get(F.filter("_kids", reached), F.lit(0))).otherwise(F.col("_x")), "_level": F.when(down, k - 1).otherwise(F.col("_level"))}).drop("_node", "_kids")
+    stopped = F.when(long, F.col("_x.low") <= F.col("stop")).otherwise(F.col("_x.high") >= F.col("stop"))
+    kind = F.when(F.col("_x").isNull(), "end_of_data").when(stopped, "stop").otherwise("target")
+    price = F.when(F.col("_x").isNull(), F.col("_close")).when(stopped, F.col("stop")).otherwise(F.col("target"))
+    return s.select(*own, F.coalesce("_x.c", "_end").alias("exit_i"), price.alias("exit_price"), kind.alias("reason"))
 
 
 def trade_costs(labelled: DataFrame, fee: float = 0.00045, slip: float = 0.0005, nav: float = 10_000.0, risk: float = 0.02) -> DataFrame:
@@ -163,19 +195,52 @@ def trade_costs(labelled: DataFrame, fee: float = 0.00045, slip: float = 0.0005,
     return labelled.withColumns({"units": units, "gross": gross, "cost": cost, "net": gross - cost})
 
 
+_ORDER = ("i", "direction", "entry", "stop", "target")
+
+
+def _fold(labelled: DataFrame, by: list[str], begin, step, added: str) -> DataFrame:
+    """The rows that ``step(state, row)`` takes, with the values it gives for the columns ``added``.
+
+    Each group's rows come in order, in Arrow batches of a partition that is sorted by group; ``begin`` gives the state
+    at a group's first row. A group is never held: what a task keeps is one state and one batch.
+    """
+    import pandas as pd
+
+    keys, own = list(by), labelled.columns
+    line = labelled.repartition(*keys).sortWithinPartitions(*keys, *[c for c in _ORDER if c in own and c not in keys])
+    names = [a.split()[0] for a in added.split(",") if a.strip()]
+
+    def run(batches):
+        now, state = None, None
+        for pdf in batches:
+            kept, made = [], []
+            for k, (key, row) in enumerate(zip(zip(*[pdf[c] for c in keys], strict=True), pdf.itertuples(index=False), strict=True)):
+                if key != now:
+                    now, state = key, begin()
+                values = step(state, row)
+                if values is not None:
+                    kept.append(k)
+                    made.append(values)
+            out = pdf.iloc[kept].copy()
+            for j, n in enumerate(names):
+                out[n] = pd.Series([m[j] for m in made], index=out.index, dtype="int64" if n.endswith("bars") else "float64")
+            yield out
+
+    kinds = {c: t for c, t in labelled.dtypes} | dict(a.split() for a in added.split(",") if a.strip())
+    return line.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds.items()))
+
+
 def non_overlap(labelled: DataFrame, by: list[str] = ("symbol",)) -> DataFrame:
     """The trades that a book of one position at a time takes: a signal at or before the exit of the last taken trade is
     skipped. A fold over each group's signals in order (never its bars)."""
 
-    def run(pdf):
-        pdf = pdf.sort_values([c for c in ("i", "direction", "entry", "stop", "target") if c in pdf])
-        keep, free = [], -1
-        for i, x in zip(pdf["i"], pdf["exit_i"], strict=True):
-            keep.append(i > free)
-            free = x if i > free else free
-        return pdf[keep]
+    def step(state, row):
+        if row.i <= state["free"]:
+            return None
+        state["free"] = row.exit_i
+        return ()
 
-    return labelled.groupBy(*by).applyInPandas(run, labelled.schema)
+    return _fold(labelled, by, lambda: {"free": -1}, step, "")
 
 
 def simulate(labelled: DataFrame, by: list[str] = ("symbol",), nav0: float = 10_000.0, risk: float = 0.02, floor: float = 5_000.0, ceiling: float = 1_000_000.0, breaker: float = 0.06, fee: float = 0.00045, slip: float = 0.0005, month: str = "month") -> DataFrame:
@@ -186,39 +251,29 @@ def simulate(labelled: DataFrame, by: list[str] = ("symbol",), nav0: float = 10_
     ``breaker`` of its first value takes nothing more, and what it does not take blocks no later signal; a signal at or
     before the last exit is skipped; risk is a share of the value (at most ``ceiling``), a stake over the value is
     skipped; a value under ``floor`` ends the run. ``month`` is that of the signal's bar. The labels were found in
-    parallel before; only this recursion is a group's single task.
+    parallel before; only this recursion goes through a group in order.
     """
-    keys = list(by)
-    schema = ", ".join([*[f"{c} {t}" for c, t in labelled.dtypes], "units double, gross double, cost double, net double, nav_before double, nav double, hold_bars long"])
-
-    def run(pdf):
-        pdf = pdf.sort_values(["i", "direction", "entry", "stop", "target"])
-        nav, now, base, halted, free = nav0, None, nav0, False, -1
-        kept, rows = [], []
-        for k, (i, up, entry, stop, out, price, m) in enumerate(zip(pdf["i"], pdf["direction"] == "long", pdf["entry"], pdf["stop"], pdf["exit_i"], pdf["exit_price"], pdf[month], strict=True)):
-            if m != now:
-                now, base, halted = m, nav, False
-            if halted or i <= free:
-                continue
-            value = min(nav, ceiling)
-            units = value * risk / abs(entry - stop)
-            if units * entry > value:
-                continue
-            gross = units * ((price - entry) if up else (entry - price))
-            cost = units * (entry + price) * (fee + slip)
-            before, nav = value, max(0.0, min(nav + gross - cost, ceiling))
-            free, halted = out, base > 0 and (base - nav) / base >= breaker
-            kept.append(k)
-            rows.append((units, gross, cost, gross - cost, before, nav, out - i))
-            if nav < floor:
-                break
-        out = pdf.iloc[kept].copy()
-        for n, c in enumerate(("units", "gross", "cost", "net", "nav_before", "nav")):
-            out[c] = [float(r[n]) for r in rows]
-        out["hold_bars"] = [int(r[6]) for r in rows]
-        return out
-
-    return labelled.groupBy(*keys).applyInPandas(run, schema)
+
+    def step(s, row):
+        if s["dead"]:
+            return None
+        if getattr(row, month) != s["month"]:
+            s |= {"month": getattr(row, month), "base": s["nav"], "halted": False}
+        if s["halted"] or row.i <= s["free"]:
+            return None
+        nav, up = s["nav"], row.direction == "long"
+        value = min(nav, ceiling)
+        units = value * risk / abs(row.entry - row.stop)
+        if units * row.entry > value:
+            return None
+        gross = units * ((row.exit_price - row.entry) if up else (row.entry - row.exit_price))
+        cost = units * (row.entry + row.exit_price) * (fee + slip)
+        after = max(0.0, min(nav + gross - cost, ceiling))
+        s |= {"nav": after, "free": row.exit_i, "halted": s["base"] > 0 and (s["base"] - after) / s["base"] >= breaker, "dead": after < floor}
+        return units, gross, cost, gross - cost, value, after, row.exit_i - row.i
+
+    begin = lambda: {"nav": nav0, "month": None, "base": nav0, "halted": False, "free": -1, "dead": False}
+    return _fold(labelled, by, begin, step, "units double, gross double, cost double, net double, nav_before double, nav double, hold_bars long")
 
 
 def trade_stats(trades: DataFrame, bars: DataFrame, by: list[str] = ("symbol",), nav0: float = 10_000.0) -> DataFrame:
@@ -346,13 +401,124 @@ def cross_configs(configs: DataFrame, symbols: DataFrame) -> DataFrame:
     return symbols.select("symbol").distinct().join(F.broadcast(one), F.lit(True)).select("symbol", F.explode("_c").alias("_x")).select("symbol", "_x.*")
 
 
-def sweep(bars: DataFrame, configs: list[dict]) -> DataFrame:
-    """Every configuration over every symbol: signals by configuration, labelled, simulated and scored together."""
+#: The furthest bar ahead of its own that a configuration may look at.
+AHEAD = 10
+#: Templates that take their parameters from columns: their parameters, with the default of each.
+PARAMETERS: dict[str, dict[str, dict]] = {
+    "false_breakout": {"lookback": {"type": "int", "low": 2, "high": 500, "default": 30}, "min_width": {"type": "double", "low": 0, "default": 0.05}, "confirm": {"type": "int", "low": 1, "high": AHEAD, "default": 3}, "min_rr": {"type": "double", "low": 0, "default": 2.0}},
+    "kangaroo_tail": {"context": {"type": "int", "low": 2, "high": 500, "default": 10}, "multiple": {"type": "double", "low": 1, "default": 2.0}, "target": {"type": "double", "low": 0, "default": 1.0}, "lag": {"type": "int", "low": 1, "high": AHEAD, "default": 1}, "min_rr": {"type": "double", "low": 0, "default": 2.0}},
+    "channel_fade": {"span": {"type": "int", "low": 1, "high": 500, "default": 22}, "width": {"type": "double", "low": 0, "high": 1, "default": 0.05}, "gap": {"type": "int", "low": 1, "default": 5}, "min_rr": {"type": "double", "low": 0, "default": 2.0}},
+}
+
+
+def checked_configs(configs: DataFrame) -> DataFrame:
+    """``configs`` (config_id, template, params: a map of strings) with ``errors``, by the parameters of each template."""
+    errors = None
+    for name, rules in PARAMETERS.items():
+        own = parameter_errors({k: {**r, "optional": True} for k, r in rules.items()}, column="params")
+        errors = F.when(F.col("template") == name, own) if errors is None else errors.when(F.col("template") == name, own)
+    return configs.withColumn("errors", errors.otherwise(F.array(F.lit("template: choice"))))
+
+
+def _of_template(configs: DataFrame, name: str) -> DataFrame:
+    """The configurations of one template: config_id and a column for each parameter."""
+    value = lambda k, r: F.coalesce(F.try_element_at("params", F.lit(k)).try_cast(r["type"]), F.lit(r["default"]).cast(r["type"])).alias(k)
+    return configs.where(F.col("template") == name).select("config_id", *[value(k, r) for k, r in PARAMETERS[name].items()])
+
+
+def _with_lengths(bars: DataFrame, configs: DataFrame, length: str) -> DataFrame:
+    """Every bar with every distinct value of a parameter: the values, no more than there are configurations, are
+    exploded out of one array row."""
+    one = configs.agg(F.sort_array(F.collect_set(length)).alias("_all"))
+    return bars.join(F.broadcast(one), F.lit(True)).withColumn(length, F.explode("_all")).drop("_all")
+
+
+def _with_ahead(bars: DataFrame) -> DataFrame:
+    """Bars with the next ``AHEAD`` of their symbol, their heights and their neighbours' heights, and the last number."""
+    w = Window.partitionBy("symbol").orderBy("i")
+    b = bars.withColumns({"_ahead": F.collect_list(F.struct("close", "low", "high")).over(w.rowsBetween(1, AHEAD)), "_last": F.max("i").over(Window.partitionBy("symbol")), "_h": F.col("high") - F.col("low")})
+    return b.withColumns({"_p": F.lag("_h").over(w), "_n": F.lead("_h").over(w)})
+
+
+def _configured(rows: DataFrame, direction, entry, stop, target, when, at) -> DataFrame:
+    out = rows.where(when).select("config_id", "symbol", at.alias("i"), direction.alias("direction"), entry.alias("entry"), stop.alias("stop"), target.alias("target"), "min_rr")
+    return out.where(S.signal_ok("direction", "entry", "stop", "target", F.col("min_rr"))).drop("min_rr")
+
+
+def false_breakouts(bars: DataFrame, configs: DataFrame) -> DataFrame:
+    """``false_breakout`` of every configuration: ranges once for each distinct ``lookback``, bars outside them with the
+    configurations of that lookback."""
+    c = _of_template(configs, "false_breakout")
+    r = B.rolling_by(_with_lengths(_with_ahead(bars), c, "lookback"), "lookback", {"support": ("min", "low"), "resistance": ("max", "high")})
+    r = r.where("close < support or close > resistance").join(c, "lookback")
+    long = F.col("close") < F.col("support")
+    near = F.slice("_ahead", F.lit(1), F.col("confirm"))
+    back = F.transform(near, lambda x: F.when(long, x["close"] > F.col("support")).otherwise(x["close"] < F.col("resistance")))
+    j = F.array_position(back, True).cast("int")
+    r = r.withColumn("_j", j).where("_j > 0")
+    since = F.slice("_ahead", F.lit(1), F.col("_j"))
+    low, high = F.least("low", F.array_min(F.transform(since, lambda x: x["low"]))), F.greatest("high", F.array_max(F.transform(since, lambda x: x["high"])))
+    wide = (F.col("resistance") - F.col("support")) / ((F.col("resistance") + F.col("support")) / 2) >= F.col("min_width")
+    long = F.col("close") < F.col("support")
+    entry = F.get("_ahead", F.col("_j") - 1)["close"]
+    return _configured(r, F.when(long, "long").otherwise("short"), entry, F.when(long, low).otherwise(high), F.when(long, F.col("resistance")).otherwise(F.col("support")), wide & (F.col("i") <= F.col("_last") - F.col("confirm")), F.col("i") + F.col("_j"))
+
+
+def kangaroo_tails(bars: DataFrame, configs: DataFrame) -> DataFrame:
+    """``kangaroo_tail`` of every configuration: mean heights once for each distinct ``context``."""
+    c = _of_template(configs, "kangaroo_tail")
+    r = B.rolling_by(_with_lengths(_with_ahead(bars), c, "context"), "context", {"_sum": ("sum", "_h")}).join(c, "context")
+    least = F.col("multiple") * F.col("_sum") / F.col("context")
+    mid = (F.col("high") + F.col("low")) / 2
+    tall = (F.col("_h") >= least) & (F.col("_p") < least) & (F.col("_n") < least) & (F.col("i") >= F.col("context") + 1) & (F.col("i") <= F.col("_last") - F.col("lag") - 1)
+    up, down = F.least("open", "close") >= mid, F.greatest("open", "close") <= mid
+    e = F.get("_ahead", F.col("lag") - 1)["close"]
+    return _configured(r, F.when(up, "long").otherwise("short"), e, mid, F.when(up, e + F.col("target") * F.col("_h")).otherwise(e - F.col("target") * F.col("_h")), tall & (up | down), F.col("i") + F.col("lag"))
+
+
+def channel_fades(bars: DataFrame, configs: DataFrame) -> DataFrame:
+    """``channel_fade`` of every configuration: means once for each distinct ``span``; only bars that touch a channel go on."""
+    c = _of_template(configs, "channel_fade")
+    m = B.affine_means(_with_lengths(bars, c, "span"), {"mean": (F.col("close"), 2 / (F.col("span") + 1))}, ["symbol", "span"], "i").join(c, "span")
+    lower, upper = F.col("mean") * (1 - F.col("width")), F.col("mean") * (1 + F.col("width"))
+    m = m.withColumn("_side", F.explode(F.array_compact(F.array(F.when(F.col("low") < lower, "long"), F.when(F.col("high") > upper, "short")))))
+    w = Window.partitionBy("config_id", "symbol", "_side").orderBy("i")
+    m = m.withColumn("_was", F.lag(F.struct("i", "low", "high", "close")).over(w))
+    long = F.col("_side") == "long"
+    shallow = F.when(long, (F.col("low") > F.col("_was.low")) & (F.col("close") > F.col("_was.close"))).otherwise((F.col("high") < F.col("_was.high")) & (F.col("close") < F.col("_was.close")))
+    m = m.where((F.col("i") - F.col("_was.i") >= F.col("gap")) & shallow)
+    # a bar that fades both sides is a long one
+    m = m.withColumn("_first", F.row_number().over(Window.partitionBy("config_id", "symbol", "i").orderBy("_side"))).where("_first = 1")
+    stop = F.when(long, F.col("low") - (lower - F.col("low")) / 2).otherwise(F.col("high") + (F.col("high") - upper) / 2)
+    return _configured(m, F.col("_side"), F.col("close"), stop, F.col("mean"), F.lit(True), F.col("i"))
+
+
+#: Templates over a relation of configurations.
+CONFIGURED = {"false_breakout": false_breakouts, "kangaroo_tail": kangaroo_tails, "channel_fade": channel_fades}
+
+
+def sweep(bars: DataFrame, configs: DataFrame, min_trades: int = 5) -> DataFrame:
+    """Every configuration (config_id, template, params) over every symbol: (config_id, symbol, the columns of ``evaluate``,
+    reason), one row for each pair.
+
+    Configurations are a relation, so one plan holds any number of them: each template takes its parameters from
+    columns, and windows are shared by distinct lengths. A configuration with errors is not run: status ``error``, its
+    errors the reason. A pair without a trade is ``rejected``.
+    """
+    checked = checked_configs(configs)
+    good = checked.where(F.size("errors") == 0)
     signals = None
-    for n, c in enumerate(configs):
-        s = false_breakout(bars, **c).withColumn("config_id", F.lit(n))
-        signals = s if signals is None else signals.unionByName(s)
-    return evaluate(run_book(signals, bars, ["config_id", "symbol"]), bars, ["config_id", "symbol"], min_trades=5)
+    for fn in CONFIGURED.values():
+        found = fn(bars, good)
+        signals = found if signals is None else signals.unionByName(found)
+    by = ["config_id", "symbol"]
+    ev = evaluate(run_book(signals, bars, by), bars, by, min_trades=min_trades)
+    all_pairs = cross_configs(checked.select("config_id", "template", "errors"), bars)
+    out = all_pairs.join(ev, by, "left").withColumn("n_trades", F.coalesce("n_trades", F.lit(0)))
+    wrong = F.size("errors") > 0
+    out = out.withColumn("status", F.when(wrong, "error").otherwise(F.coalesce("status", F.lit("rejected"))))
+    reason = F.when(wrong, F.array_join("errors", "; ")).when(F.col("status") == "catastrophic", "value under the floor").when(F.col("status") == "rejected", F.when(F.col("n_trades") < min_trades, "too few trades").otherwise("profit factor"))
+    return out.withColumn("reason", reason).drop("errors")
 
 
 def holdout(rows: DataFrame, bars: DataFrame, days: int) -> DataFrame:
@@ -382,13 +548,9 @@ def from_pandas_template(fn):
     return run
 
 
-def validate_configs(configs: DataFrame, schema: dict[str, dict], ordered: list[tuple[str, str]] = (), column: str = "params") -> DataFrame:
-    """``configs`` with ``errors``, from a map of strings in ``column``: ``<name>: missing``, ``unknown``, ``type``, ``choice``,
-    ``range`` or ``<a> >= <b>``.
-
-    ``schema`` names each parameter's ``type`` (int, double, boolean or string), and maybe ``choices``, ``low`` and
-    ``high``; a parameter with ``optional`` may be missing. ``ordered`` lists pairs of which the first must be the lesser.
-    """
+def parameter_errors(schema: dict[str, dict], ordered: list[tuple[str, str]] = (), column: str = "params"):
+    """The errors of a map of strings, as an array: ``<name>: missing``, ``unknown``, ``type``, ``choice``, ``range`` or
+    ``<a> >= <b>``; see ``validate_configs``."""
     value = lambda k: F.try_element_at(column, F.lit(k))
     unknown = F.transform(F.array_except(F.map_keys(column), F.array(*[F.lit(k) for k in schema])), lambda k: F.concat(k, F.lit(": unknown")))
     tests = []
@@ -405,4 +567,14 @@ def validate_configs(configs: DataFrame, schema: dict[str, dict], ordered: list[
             test = test.when(typed > rule["high"], f"{k}: range")
         tests.append(test)
     tests += [F.when(value(a).try_cast("double") >= value(b).try_cast("double"), f"{a} >= {b}") for a, b in ordered]
-    return configs.withColumn("errors", F.concat(F.array_compact(F.array(*tests)), F.array_sort(unknown)))
+    return F.concat(F.array_compact(F.array(*tests)), F.array_sort(unknown))
+
+
+def validate_configs(configs: DataFrame, schema: dict[str, dict], ordered: list[tuple[str, str]] = (), column: str = "params") -> DataFrame:
+    """``configs`` with ``errors``, from a map of strings in ``column``: ``<name>: missing``, ``unknown``, ``type``, ``choice``,
+    ``range`` or ``<a> >= <b>``.
+
+    ``schema`` names each parameter's ``type`` (int, double, boolean or string), and maybe ``choices``, ``low`` and
+    ``high``; a parameter with ``optional`` may be missing. ``ordered`` lists pairs of which the first must be the lesser.
+    """
+    return configs.withColumn("errors", parameter_errors(schema, ordered, column))

@@ -11,6 +11,7 @@ from ..operators import calibration as C
 from ..operators import ladder as L
 from ..operators import outcomes as O
 from ..sources.adapters import with_relations
+from ..sources.paths import kept
 from .registry import _CURVES, _RET, _SNAP, _TRADED, DAY, ORACLE_SQL, QUERIES, _panel, _slow, query, traded_query
 
 
@@ -20,9 +21,12 @@ def chain(uses: tuple[str, ...], parts: list[tuple[str, str]], last: str) -> str
     return head + "".join(f",\n{n} AS ({t})" for n, t in parts) + "\n" + last
 
 
-def chained(name: str, uses: tuple[str, ...], parts: list[tuple[str, str]], last: str):
+def chained(name: str, uses: tuple[str, ...], parts: list[tuple[str, str]], last: str, keep: bool = False):
+    """Registers a query with a twin of several parts; with ``keep`` its relations are written once and read from there, as
+    it would find them as tables."""
+
     def add(f):
-        query(name, None, uses)(f)
+        query(name, None, uses)((lambda *tables: f(*[kept(t) for t in tables])) if keep else f)
         ORACLE_SQL[name] = chain(uses, parts, last)
         return f
 
@@ -39,7 +43,7 @@ _MEANS = (
  e.e12 + (b.close - e.e12) * 2e0 / 13 AS e12, e.e26 + (b.close - e.e26) * 2e0 / 27 AS e26, e.e13 + (b.close - e.e13) * 2e0 / 14 AS e13, e.e22 + (b.close - e.e22) * 2e0 / 23 AS e22, e.s9 FROM e JOIN bars b ON b.symbol = e.symbol AND b.i = e.i + 1) x""",
 )
 chained("e02_ema", ("bars",), [_MEANS], "SELECT symbol, i, e12 AS ema_12, e26 AS ema_26 FROM e")(lambda b: B.ema(b, "close", [12, 26]).select("symbol", "i", "ema_12", "ema_26"))
-chained("e06_macd_hist", ("bars",), [_MEANS], "SELECT symbol, i, e12 - e26 - s9 AS macd_hist FROM e")(lambda b: B.macd_hist(b).select("symbol", "i", "macd_hist"))
+chained("e06_macd_hist", ("bars",), [_MEANS], "SELECT symbol, i, e12 - e26 - s9 AS macd_hist FROM e", keep=True)(lambda b: B.macd_hist(b).select("symbol", "i", "macd_hist"))
 _FORCE = [
     ("f", "SELECT symbol, i, (close - lag(close) OVER (PARTITION BY symbol ORDER BY i)) * volume AS x FROM bars"),
     ("e", "SELECT symbol, i, x AS v FROM f WHERE i = 1 UNION ALL SELECT f.symbol, f.i, e.v + (f.x - e.v) * 2e0 / 3 FROM e JOIN f ON f.symbol = e.symbol AND f.i = e.i + 1"),
@@ -80,7 +84,7 @@ _IMPULSE = [
     ("k", "SELECT *, lag(colour) OVER w AS pc, lag(lo) OVER w AS pl, lag(hi) OVER w AS ph FROM v WINDOW w AS (PARTITION BY symbol ORDER BY i)"),
     ("o", "SELECT symbol, i, CASE WHEN pc = 'red' AND colour <> 'red' THEN 'long' ELSE 'short' END AS direction, close AS entry, CASE WHEN pc = 'red' AND colour <> 'red' THEN pl ELSE ph END AS stop, CASE WHEN pc = 'red' AND colour <> 'red' THEN close + 2 * (close - pl) ELSE close - 2 * (ph - close) END AS target FROM k WHERE (pc = 'red' AND colour <> 'red') OR (pc = 'green' AND colour <> 'green')"),
 ]
-chained("h03_impulse_system", ("bars",), _IMPULSE, f"SELECT {_COLS} FROM o WHERE {_OK}")(lambda b: O.impulse_system(b))
+chained("h03_impulse_system", ("bars",), _IMPULSE, f"SELECT {_COLS} FROM o WHERE {_OK}", keep=True)(lambda b: O.impulse_system(b))
 _PREV = "last_value(CASE WHEN {f} THEN {c} END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _prev = lambda f, c: _PREV.format(f=f, c=c)
 _FADE = [
@@ -90,7 +94,7 @@ _FADE = [
     ("q", "SELECT *, coalesce(lo AND i - li >= 5 AND low > ll AND close > lc, false) AS l, coalesce(hi AND i - hi_i >= 5 AND high < hh AND close < hc, false) AS s FROM p"),
     ("o", "SELECT symbol, i, CASE WHEN l THEN 'long' ELSE 'short' END AS direction, close AS entry, CASE WHEN l THEN low - (lower - low) / 2 ELSE high + (high - upper) / 2 END AS stop, e22 AS target FROM q WHERE l OR s"),
 ]
-chained("h04_channel_fade", ("bars",), _FADE, f"SELECT {_COLS} FROM o WHERE {_OK}")(lambda b: O.channel_fade(b))
+chained("h04_channel_fade", ("bars",), _FADE, f"SELECT {_COLS} FROM o WHERE {_OK}", keep=True)(lambda b: O.channel_fade(b))
 _DIVERGE = [
     _MEANS,
     ("m", "SELECT *, e12 - e26 - s9 AS h, count(*) OVER f = 5 AND low = min(low) OVER f AS is_low, count(*) OVER f = 5 AND high = max(high) OVER f AS is_high FROM e WINDOW f AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"),
@@ -100,7 +104,7 @@ _DIVERGE = [
     ("n", "SELECT *, CASE k WHEN 1 THEN c1 WHEN 2 THEN c2 WHEN 3 THEN c3 END AS x, CASE WHEN l THEN low ELSE high END AS y FROM j WHERE k IS NOT NULL"),
     ("o", "SELECT symbol, i + k AS i, CASE WHEN l THEN 'long' ELSE 'short' END AS direction, x AS entry, y AS stop, CASE WHEN l THEN greatest(e22, x + 2 * (x - y)) ELSE least(e22, x - 2 * (y - x)) END AS target FROM n"),
 ]
-chained("h06_ema_divergence", ("bars",), _DIVERGE, f"SELECT {_COLS} FROM o WHERE {_OK}")(lambda b: O.ema_divergence(b))
+chained("h06_ema_divergence", ("bars",), _DIVERGE, f"SELECT {_COLS} FROM o WHERE {_OK}", keep=True)(lambda b: O.ema_divergence(b))
 _SCREEN = [
     _MEANS,
     ("wk", "SELECT symbol, t, close, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i FROM (SELECT symbol, min(t) AS t, arg_max(close, t) AS close FROM bars GROUP BY symbol, t // 604800000000) x"),
@@ -110,7 +114,7 @@ _SCREEN = [
     ("k", "SELECT *, CASE WHEN count(*) OVER f = 14 THEN (close - min(low) OVER f) / nullif(max(high) OVER f - min(low) OVER f, 0) * 100 END AS sk, min(low) OVER g AS lo, max(high) OVER g AS hi, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM b WINDOW f AS (PARTITION BY symbol ORDER BY i ROWS 13 PRECEDING), g AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), w AS (PARTITION BY symbol ORDER BY i)"),
     ("o", "SELECT symbol, i, CASE WHEN l THEN 'long' ELSE 'short' END AS direction, CASE WHEN l THEN ph * 1.0001e0 ELSE pl * 0.9999e0 END AS entry, CASE WHEN l THEN lo ELSE hi END AS stop, CASE WHEN l THEN e13 + 2 * (e13 - lo) ELSE e13 - 2 * (hi - e13) END AS target FROM (SELECT *, sk < 30 AND long_trend > 0 AS l, sk > 70 AND long_trend < 0 AS s FROM k WHERE i >= 5) x WHERE l OR s"),
 ]
-chained("h01_triple_screen", ("bars",), _SCREEN, f"SELECT {_COLS} FROM o WHERE {_OK}")(lambda b: O.triple_screen(b, _slow(b)))
+chained("h01_triple_screen", ("bars",), _SCREEN, f"SELECT {_COLS} FROM o WHERE {_OK}", keep=True)(lambda b: O.triple_screen(b, _slow(b)))
 
 # --- labels and books -----------------------------------------------------------------------------------------------
 
@@ -186,19 +190,19 @@ def _run(b):
     return O.run_book(_sig(b), b)
 
 
-chained("i01_entry_fill", ("bars",), [_SIG, _FILL], "SELECT symbol, i, direction FROM fill")(lambda b: O.entry_fill(_sig(b), b).select("symbol", "i", "direction"))
-chained("i02_barrier_label", ("bars",), [_SIG, *_labels("lab", "sig")], "SELECT symbol, i, direction, exit_i, exit_price, reason FROM lab")(lambda b: O.barrier_label(_sig(b), b).select("symbol", "i", "direction", "exit_i", "exit_price", "reason"))
+chained("i01_entry_fill", ("bars",), [_SIG, _FILL], "SELECT symbol, i, direction FROM fill", keep=True)(lambda b: O.entry_fill(_sig(b), b).select("symbol", "i", "direction"))
+chained("i02_barrier_label", ("bars",), [_SIG, *_labels("lab", "sig")], "SELECT symbol, i, direction, exit_i, exit_price, reason FROM lab", keep=True)(lambda b: O.barrier_label(_sig(b), b).select("symbol", "i", "direction", "exit_i", "exit_price", "reason"))
 _COST = "SELECT symbol, i, units, units * d AS gross, units * (entry + exit_price) * 0.00095e0 AS cost, units * d - units * (entry + exit_price) * 0.00095e0 AS net, exit_i FROM (SELECT *, 200e0 / abs(entry - stop) AS units, CASE WHEN direction = 'long' THEN exit_price - entry ELSE entry - exit_price END AS d FROM lab) x"
-chained("i04_trade_costs", ("bars",), [*_BASE, ("cost", _COST)], "SELECT symbol, i, units, gross, cost, net FROM cost")(lambda b: O.trade_costs(O.barrier_label(O.entry_fill(_sig(b), b), b)).select("symbol", "i", "units", "gross", "cost", "net"))
+chained("i04_trade_costs", ("bars",), [*_BASE, ("cost", _COST)], "SELECT symbol, i, units, gross, cost, net FROM cost", keep=True)(lambda b: O.trade_costs(O.barrier_label(O.entry_fill(_sig(b), b), b)).select("symbol", "i", "units", "gross", "cost", "net"))
 _FREE = [
     ("line", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i, direction, entry, stop, target) AS k FROM lab"),
     ("fold", "SELECT DISTINCT symbol, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS free, false AS taken FROM line UNION ALL SELECT l.symbol, l.k, CASE WHEN l.i > s.free THEN l.exit_i ELSE s.free END, l.i > s.free FROM fold s JOIN line l ON l.symbol = s.symbol AND l.k = s.k + 1"),
 ]
-chained("i03_non_overlap", ("bars",), [*_BASE, *_FREE], "SELECT l.symbol, l.i, l.direction, l.exit_i, l.reason FROM fold s JOIN line l USING (symbol, k) WHERE s.taken")(lambda b: O.non_overlap(O.barrier_label(O.entry_fill(_sig(b), b), b)).select("symbol", "i", "direction", "exit_i", "reason"))
-chained("i05_nav_fold", ("bars",), _RUN, "SELECT symbol, i, exit_i, month, units, gross, cost, net, nav_before, nav, hold_bars FROM sim")(lambda b: _run(b).select("symbol", "i", "exit_i", "month", "units", "gross", "cost", "net", "nav_before", "nav", "hold_bars"))
-chained("d25_trade_stats", ("bars",), [*_RUN, *_stats()], f"SELECT symbol, {', '.join(_STAT_COLS)} FROM stats")(lambda b: O.trade_stats(_run(b), b).select("symbol", *_STAT_COLS))
-chained("d25_monthly_returns", ("bars",), _RUN, "SELECT s.symbol, strftime(make_timestamp(b.t), '%Y-%m') AS exit_month, sum(s.net) AS net FROM sim s JOIN bars b ON b.symbol = s.symbol AND b.i = s.exit_i GROUP BY 1, 2")(lambda b: O.monthly_returns(_run(b), b))
-chained("i06_evaluate", ("bars",), [*_RUN, *_stats(), ("ev", _evaluated())], f"SELECT symbol, {', '.join(_EVAL)} FROM ev")(lambda b: O.evaluate(_run(b), b).select("symbol", *_EVAL))
+chained("i03_non_overlap", ("bars",), [*_BASE, *_FREE], "SELECT l.symbol, l.i, l.direction, l.exit_i, l.reason FROM fold s JOIN line l USING (symbol, k) WHERE s.taken", keep=True)(lambda b: O.non_overlap(O.barrier_label(O.entry_fill(_sig(b), b), b)).select("symbol", "i", "direction", "exit_i", "reason"))
+chained("i05_nav_fold", ("bars",), _RUN, "SELECT symbol, i, exit_i, month, units, gross, cost, net, nav_before, nav, hold_bars FROM sim", keep=True)(lambda b: _run(b).select("symbol", "i", "exit_i", "month", "units", "gross", "cost", "net", "nav_before", "nav", "hold_bars"))
+chained("d25_trade_stats", ("bars",), [*_RUN, *_stats()], f"SELECT symbol, {', '.join(_STAT_COLS)} FROM stats", keep=True)(lambda b: O.trade_stats(_run(b), b).select("symbol", *_STAT_COLS))
+chained("d25_monthly_returns", ("bars",), _RUN, "SELECT s.symbol, strftime(make_timestamp(b.t), '%Y-%m') AS exit_month, sum(s.net) AS net FROM sim s JOIN bars b ON b.symbol = s.symbol AND b.i = s.exit_i GROUP BY 1, 2", keep=True)(lambda b: O.monthly_returns(_run(b), b))
+chained("i06_evaluate", ("bars",), [*_RUN, *_stats(), ("ev", _evaluated())], f"SELECT symbol, {', '.join(_EVAL)} FROM ev", keep=True)(lambda b: O.evaluate(_run(b), b).select("symbol", *_EVAL))
 _FOLDS = [
     _SIG,
     ("sl", "SELECT symbol, i, CAST(least(i // (count(*) OVER (PARTITION BY symbol) // 5), 4) AS INTEGER) AS slice FROM bars"),
@@ -206,20 +210,59 @@ _FOLDS = [
     ("fs", "SELECT concat(s.symbol, '/', sl.slice) AS symbol, s.i, s.direction, s.entry, s.stop, s.target FROM sig s JOIN sl USING (symbol, i)"),
     ("fill", _filled("fs", "fb")), *_labels("lab", "fill", "fb"), *_book("lab"), *_stats("", "fb"), ("ev", _evaluated()),
 ]
-chained("i07_walk_forward", ("bars",), _FOLDS, f"SELECT split_part(symbol, '/', 1) AS symbol, CAST(split_part(symbol, '/', 2) AS INTEGER) AS fold, {', '.join(_EVAL)} FROM ev")(lambda b: O.walk_forward(_sig(b), b).select("symbol", "fold", *_EVAL))
-_CONFIGS = [{"lookback": n, "min_width": w} for n in (20, 30) for w in (0.03, 0.1)]
-_SWEEP = [
-    ("sig", " UNION ALL ".join(f"SELECT {k} AS config_id, x.* FROM ({breakout_sql(c['lookback'], c['min_width'])}) x" for k, c in enumerate(_CONFIGS))),
-    ("fill", _filled(key="s.config_id, ")), *_labels("lab", "fill", key="config_id, "), *_book("lab", "config_id, "), *_stats("config_id, "), ("ev", _evaluated(min_trades=5)),
+chained("i07_walk_forward", ("bars",), _FOLDS, f"SELECT split_part(symbol, '/', 1) AS symbol, CAST(split_part(symbol, '/', 2) AS INTEGER) AS fold, {', '.join(_EVAL)} FROM ev", keep=True)(lambda b: O.walk_forward(_sig(b), b).select("symbol", "fold", *_EVAL))
+N_CONFIGS = 100
+
+
+def _params(k: int) -> tuple[str, dict]:
+    """Configuration ``k``: its template, and its parameters."""
+    m = k // 3
+    if k % 3 == 0:
+        return "false_breakout", {"lookback": 15 + 5 * (m % 4), "min_width": (2 + m % 5) / 100, "confirm": 1 + m % 3, "min_rr": 2 + (m % 2) / 2}
+    if k % 3 == 1:
+        return "kangaroo_tail", {"context": 5 + 5 * (m % 3), "multiple": 1.5 + m % 3 / 4, "target": 1 + m % 2, "lag": 1 + m % 3, "min_rr": 1 + m % 2}
+    return "channel_fade", {"span": 10 + 4 * (m % 4), "width": (2 + m % 4) / 100, "gap": 3 + m % 5, "min_rr": 2}
+
+
+def _configs(spark):
+    rows = [(k, *_params(k)) for k in range(N_CONFIGS)] + [(N_CONFIGS, "false_breakout", {"confirm": 11, "depth": 1})]
+    return spark.createDataFrame([(k, t, {n: str(x) for n, x in p.items()}) for k, t, p in rows], "config_id long, template string, params map<string, string>")
+
+
+_AHEAD = ", ".join(f"lead({c}, {j}) OVER w AS {c[0]}{j}" for c in ("close", "low", "high") for j in (1, 2, 3))
+_BACK = " ".join(f"WHEN confirm >= {j} AND CASE WHEN close < support THEN c{j} > support ELSE c{j} < resistance END THEN {j}" for j in (1, 2, 3))
+_RR = _OK.replace("2e0 * abs(entry - stop)", "min_rr * abs(entry - stop)")
+_CFG = [
+    ("cfg", f"SELECT CAST(k AS BIGINT) AS config_id, CAST(k // 3 AS INTEGER) AS m, CAST(k % 3 AS INTEGER) AS kind FROM range({N_CONFIGS}) t(k)"),
+    ("brk", "SELECT config_id, 15 + 5 * (m % 4) AS lookback, (2 + m % 5) / 100e0 AS min_width, 1 + m % 3 AS confirm, 2 + (m % 2) / 2e0 AS min_rr FROM cfg WHERE kind = 0"),
+    ("tail", "SELECT config_id, 5 + 5 * (m % 3) AS context, 1.5e0 + (m % 3) / 4e0 AS multiple, 1 + m % 2 AS goal, 1 + m % 3 AS lag, 1 + m % 2 AS min_rr FROM cfg WHERE kind = 1"),
+    ("fade", "SELECT config_id, 10 + 4 * (m % 4) AS span, (2 + m % 4) / 100e0 AS width, 3 + m % 5 AS gap, 2 AS min_rr FROM cfg WHERE kind = 2"),
+    ("near", f"SELECT *, high - low AS h, max(i) OVER (PARTITION BY symbol) AS z, lag(high - low) OVER w AS hp, lead(high - low) OVER w AS hn, {_AHEAD} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i)"),
+    ("ranges", "SELECT n.*, l.lookback, CASE WHEN i >= lookback THEN min(low) OVER f END AS support, CASE WHEN i >= lookback THEN max(high) OVER f END AS resistance FROM near n, (SELECT DISTINCT lookback FROM brk) l WINDOW f AS (PARTITION BY symbol, lookback ORDER BY i ROWS BETWEEN lookback PRECEDING AND 1 PRECEDING)"),
+    ("out1", f"""SELECT config_id, symbol, i + j AS i, CASE WHEN close < support THEN 'long' ELSE 'short' END AS direction, CASE j WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END AS entry,
+ CASE WHEN close < support THEN CASE j WHEN 1 THEN least(low, l1) WHEN 2 THEN least(low, l1, l2) ELSE least(low, l1, l2, l3) END ELSE CASE j WHEN 1 THEN greatest(high, h1) WHEN 2 THEN greatest(high, h1, h2) ELSE greatest(high, h1, h2, h3) END END AS stop,
+ CASE WHEN close < support THEN resistance ELSE support END AS target, min_rr FROM (SELECT *, CASE {_BACK} END AS j FROM ranges JOIN brk USING (lookback) WHERE (close < support OR close > resistance) AND (resistance - support) / ((resistance + support) / 2) >= min_width AND i <= z - confirm) x WHERE j IS NOT NULL"""),
+    ("heights", "SELECT n.*, l.context, avg(h) OVER (PARTITION BY symbol, context ORDER BY i ROWS BETWEEN context PRECEDING AND 1 PRECEDING) AS mh FROM near n, (SELECT DISTINCT context FROM tail) l"),
+    ("out2", """SELECT config_id, symbol, i + lag AS i, CASE WHEN up THEN 'long' ELSE 'short' END AS direction, e AS entry, mid AS stop, CASE WHEN up THEN e + goal * h ELSE e - goal * h END AS target, min_rr FROM (SELECT *, (high + low) / 2 AS mid, CASE lag WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END AS e, least(open, close) >= (high + low) / 2 AS up, greatest(open, close) <= (high + low) / 2 AS down
+ FROM heights JOIN tail USING (context)) x WHERE h >= multiple * mh AND hp < multiple * mh AND hn < multiple * mh AND i >= context + 1 AND i <= z - lag - 1 AND (up OR down)"""),
+    ("means", "SELECT b.symbol, b.i, b.low, b.high, b.close, l.span, b.close AS mean FROM bars b, (SELECT DISTINCT span FROM fade) l WHERE b.i = 0 UNION ALL SELECT b.symbol, b.i, b.low, b.high, b.close, m.span, m.mean + (b.close - m.mean) * 2e0 / (m.span + 1) FROM means m JOIN bars b ON b.symbol = m.symbol AND b.i = m.i + 1"),
+    ("sides", "SELECT m.*, config_id, width, gap, min_rr, side FROM means m JOIN fade USING (span), (VALUES ('long'), ('short')) v(side) WHERE CASE side WHEN 'long' THEN low < mean * (1 - width) ELSE high > mean * (1 + width) END"),
+    ("prior", "SELECT *, lag(i) OVER w AS pi, lag(low) OVER w AS pl, lag(high) OVER w AS ph, lag(close) OVER w AS pc FROM sides WINDOW w AS (PARTITION BY config_id, symbol, side ORDER BY i)"),
+    ("out3", "SELECT config_id, symbol, i, side AS direction, close AS entry, CASE side WHEN 'long' THEN low - (mean * (1 - width) - low) / 2 ELSE high + (high - mean * (1 + width)) / 2 END AS stop, mean AS target, min_rr FROM prior WHERE i - pi >= gap AND CASE side WHEN 'long' THEN low > pl AND close > pc ELSE high < ph AND close < pc END QUALIFY row_number() OVER (PARTITION BY config_id, symbol, i ORDER BY side) = 1"),
+    ("sig", f"SELECT config_id, symbol, i, direction, entry, stop, target FROM (SELECT * FROM out1 UNION ALL SELECT * FROM out2 UNION ALL SELECT * FROM out3) x WHERE {_RR}"),
 ]
-chained("i08_sweep", ("bars",), _SWEEP, f"SELECT config_id, symbol, {', '.join(_EVAL)} FROM ev")(lambda b: O.sweep(b, _CONFIGS).select("config_id", "symbol", *_EVAL))
+_SWEEP = [*_CFG, ("fill", _filled(key="s.config_id, ")), *_labels("lab", "fill", key="config_id, "), *_book("lab", "config_id, "), *_stats("config_id, "), ("ev", _evaluated(min_trades=5))]
+_PAIRS = f"""SELECT c.config_id, c.template, s.symbol, coalesce(e.n_trades, 0) AS n_trades, {", ".join("e." + c for c in _STAT_COLS[1:])}, e.score, CASE WHEN c.bad THEN 'error' ELSE coalesce(e.status, 'rejected') END AS status,
+ CASE WHEN c.bad THEN 'confirm: range; depth: unknown' WHEN e.status = 'catastrophic' THEN 'value under the floor' WHEN coalesce(e.status, 'rejected') = 'rejected' THEN CASE WHEN coalesce(e.n_trades, 0) < 5 THEN 'too few trades' ELSE 'profit factor' END END AS reason
+ FROM (SELECT config_id, CASE kind WHEN 0 THEN 'false_breakout' WHEN 1 THEN 'kangaroo_tail' ELSE 'channel_fade' END AS template, false AS bad FROM cfg UNION ALL SELECT {N_CONFIGS}, 'false_breakout', true) c CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN ev e ON e.config_id = c.config_id AND e.symbol = s.symbol"""
+chained("i08_sweep", ("bars",), _SWEEP, _PAIRS, keep=True)(lambda b: O.sweep(b, _configs(b.sparkSession)).select("config_id", "template", "symbol", *_EVAL, "reason"))
 chained("h07_fresh_signals", ("bars",), [_SIG], f"SELECT {_COLS} FROM sig JOIN (SELECT symbol, max(i) AS i FROM bars GROUP BY symbol) z USING (symbol, i)")(lambda b: O.fresh_signals(_sig(b), b))
 _FUND = "(SELECT concat('Brand#1', substr(symbol, 2, 1)) AS symbol, t // 86400000000 - 19700 AS k, rate FROM funding)"
-chained("i10_funding_adjust", ("bars", "funding"), [*_BASE, ("cost", _COST)], f"SELECT c.symbol, c.i AS a, c.exit_i AS z, c.net, CAST(coalesce(sum(f.rate), 0) AS BIGINT) AS funding FROM cost c LEFT JOIN {_FUND} f ON f.symbol = c.symbol AND f.k >= c.i AND f.k < c.exit_i GROUP BY c.symbol, c.i, c.exit_i, c.net")(
+chained("i10_funding_adjust", ("bars", "funding"), [*_BASE, ("cost", _COST)], f"SELECT c.symbol, c.i AS a, c.exit_i AS z, c.net, CAST(coalesce(sum(f.rate), 0) AS BIGINT) AS funding FROM cost c LEFT JOIN {_FUND} f ON f.symbol = c.symbol AND f.k >= c.i AND f.k < c.exit_i GROUP BY c.symbol, c.i, c.exit_i, c.net", keep=True)(
     lambda b, f: A.interval_sum_join(O.trade_costs(O.barrier_label(O.entry_fill(_sig(b), b), b)).select("symbol", F.col("i").alias("a"), F.col("exit_i").alias("z"), "net"), f.select(F.concat(F.lit("Brand#1"), F.substring("symbol", 2, 1)).alias("symbol"), (F.floor(F.col("t") / DAY) - 19700).cast("long").alias("k"), "rate"), ["symbol"], "a", "z", "k", "rate", "funding").withColumn("funding", F.col("funding").cast("long"))
 )
-chained("d32_cross_coin_report", ("bars",), [*_RUN, *_stats(), ("ev", _evaluated(min_trades=5))], "SELECT 'base' AS config, count(*) FILTER (status = 'scored') AS scored, avg(CASE WHEN status = 'scored' THEN score END) AS mean, min(CASE WHEN status = 'scored' THEN score WHEN status = 'catastrophic' THEN -1000 ELSE -9999 END) AS worst, count(*) AS folds, CASE WHEN count(*) FILTER (status = 'scored') >= 2 THEN stddev_pop(CASE WHEN status = 'scored' THEN score END) ELSE 0 END AS sigma, count(*) FILTER (status = 'scored') = count(*) AS consistent FROM ev")(lambda b: O.fold_rollup(O.evaluate(_run(b), b, min_trades=5).withColumn("config", F.lit("base")), ["config"]))
-chained("d33_replay_report", ("bars",), _RUN, "SELECT symbol, count(*) AS trades, sum(gross) AS gross, sum(cost) AS fees, sum(net) AS net, avg(net) / nullif(stddev_pop(net), 0) AS sharpe FROM sim GROUP BY symbol")(lambda b: O.replay_report(_run(b)))
+chained("d32_cross_coin_report", ("bars",), [*_RUN, *_stats(), ("ev", _evaluated(min_trades=5))], "SELECT 'base' AS config, count(*) FILTER (status = 'scored') AS scored, avg(CASE WHEN status = 'scored' THEN score END) AS mean, min(CASE WHEN status = 'scored' THEN score WHEN status = 'catastrophic' THEN -1000 ELSE -9999 END) AS worst, count(*) AS folds, CASE WHEN count(*) FILTER (status = 'scored') >= 2 THEN stddev_pop(CASE WHEN status = 'scored' THEN score END) ELSE 0 END AS sigma, count(*) FILTER (status = 'scored') = count(*) AS consistent FROM ev", keep=True)(lambda b: O.fold_rollup(O.evaluate(_run(b), b, min_trades=5).withColumn("config", F.lit("base")), ["config"]))
+chained("d33_replay_report", ("bars",), _RUN, "SELECT symbol, count(*) AS trades, sum(gross) AS gross, sum(cost) AS fees, sum(net) AS net, avg(net) / nullif(stddev_pop(net), 0) AS sharpe FROM sim GROUP BY symbol", keep=True)(lambda b: O.replay_report(_run(b)))
 
 # --- ladders and lookups without a twin before -----------------------------------------------------------------------
 

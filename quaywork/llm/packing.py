@@ -9,6 +9,7 @@ cut to fill what is left. So only a task's last sequence is short, and no row is
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _LOADED: dict = {}
+#: Runs of so many blanks go to the tokenizer itself: the fast encoder's pattern runs out of stack on about 15 times as many.
+LONG_BLANK = 1 << 16
+BLANKS = re.compile(r"\s{%d}" % (LONG_BLANK - 1) + r"\s")
 
 
 class Tokens:
@@ -40,8 +44,13 @@ class Tokens:
             self.sizes[t["id"]] = len(t["content"].encode())
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast and not any(m in text for m in self.marks):
-            return np.array(self.fast.encode_ordinary(text), "<u4")
+        if self.fast and not any(m in text for m in self.marks) and not (len(text) > LONG_BLANK and BLANKS.search(text)):
+            try:
+                return np.array(self.fast.encode_ordinary(text), "<u4")
+            except (KeyboardInterrupt, SystemExit, GeneratorExit):
+                raise
+            except BaseException:  # noqa: BLE001 - the fast encoder's panics are no Exceptions; the other one takes any text
+                pass
         if self.base is None:
             from tokenizers import Tokenizer
 

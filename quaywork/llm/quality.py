@@ -107,10 +107,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # copies of a text are one example
     rows = d.join(F.broadcast(small), "id").select("label", "text").distinct().mapInArrow(_feature_rows, "label int, x binary").collect()
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64)
     y = np.array([r["label"] for r in rows])
+    if len(set(y.tolist())) < 2:
+        return None
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64)
     order = np.lexsort((*x.T[::-1], y))  # whatever order the rows came in
-    return Model(x[order], y[order], pairs) if len(set(y.tolist())) == 2 else None
+    return Model(x[order], y[order], pairs)
 
 
 def values(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries become whole numbers: floor(SCALE * c) + OFFSET, held within a double's whole numbers.
-SCALE, OFFSET, EDGE = 1024.0, 100_000, float(1 << 53)
+#: Entries become whole numbers: floor(SCALE * c) + OFFSET, of EDGE at most on either side, so that differences are longs.
+SCALE, OFFSET, EDGE = 1024.0, 100_000, float(1 << 61)
 LANES = 32
 
 
@@ -241,7 +241,7 @@ def leading(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0), np.zeros((len(v), 0))
     d, off, mirrors = tridiagonal(v / scale)
     values = largest_eigenvalues(d, off, min(k, len(v)))
-    values = values[values > len(v) * np.finfo(float).eps * d.sum()]
+    values = values[values > 8 * len(v) * np.finfo(float).eps * d.sum()]  # what is less is rounding
     u = eigenvectors(d, off, values)
     for j in range(len(mirrors) - 1, -1, -1):
         m = mirrors[j]

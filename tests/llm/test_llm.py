@@ -357,3 +357,19 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) > 0.9
     bare = toxicity.train(d, labels.limit(0))
     assert toxicity.digest(d, bare).count() == 1503
+
+
+def test_packing_takes_long_runs_of_blanks(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = {1: " " * 2_000_000, 2: "\n" * 2_000_000, 3: "a" * 1_000_000, 4: "x" + " " * 70_000 + "y"}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path).collect()
+    for k, t in texts.items():
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        own = sorted((r for r in rows if r.doc_id == k), key=lambda r: r.start)
+        assert [r.start for r in own] == np.concatenate([[0], np.cumsum([r.length for r in own])[:-1]]).tolist()
+        assert {r.doc_tokens for r in own} == {len(ids)} and sum(r.length for r in own) == len(ids)
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)

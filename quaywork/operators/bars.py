@@ -135,13 +135,58 @@ def resample_last(ticks: DataFrame, step: int, by: list[str], time: str, value:
     return spine.join(got, [*by, "step_t"], "left")
 
 
+#: Rows of a numbered series that are scanned together.
+SCAN = 4_096
+
+
+def running(df: DataFrame, values: dict[str, tuple[str, str | Column]], by: list[str], order: list[str], block: Column) -> DataFrame:
+    """``df`` with a column for each of ``values`` (name: ``sum``, ``min`` or ``max``, and a column) over a key's rows up to and
+    with each, in ``order``.
+
+    ``block`` never falls in that order. A block's total is what the rows after it see of it, so a key is a window over its
+    blocks, and its rows are windows within blocks: no task holds more rows than a block has or than a key has blocks.
+    """
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}
+    both = {"sum": lambda x, y: F.coalesce(x + y, x, y), "min": F.least, "max": F.greatest}
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    d = df.withColumn("_blk", block)
+    totals = d.groupBy(*by, "_blk").agg(*[agg[f](col(c)).alias(f"_all_{n}") for n, (f, c) in values.items()])
+    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_blk", *[agg[f](f"_all_{n}").over(before).alias(f"_pre_{n}") for n, (f, _) in values.items()])
+    within = Window.partitionBy(*by, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"_own_{n}": agg[f](col(c)).over(within) for n, (f, c) in values.items()})
+    on = [d[k].eqNullSafe(totals[k]) for k in (*by, "_blk")]
+    both_sides = d.join(totals, on)
+    return both_sides.select(*[d[c] for c in df.columns], *[both[f](both_sides[f"_pre_{n}"], both_sides[f"_own_{n}"]).alias(n) for n, (f, _) in values.items()])
+
+
 def drawdown_series(bars: DataFrame, by=("symbol",)) -> DataFrame:
-    peak = F.max("close").over(_w(list(by), "i").rowsBetween(Window.unboundedPreceding, 0))
-    return bars.withColumns({"peak": peak, "drawdown": (peak - F.col("close")) / peak})
+    """Bars with the highest close so far and the fall from it, scanned by blocks of bars."""
+    d = running(bars, {"peak": ("max", "close")}, list(by), ["i"], F.floor(F.col("i") / SCAN))
+    return d.withColumn("drawdown", (F.col("peak") - F.col("close")) / F.col("peak"))
+
+
+def max_drawdown(bars: DataFrame, by=("symbol",)) -> DataFrame:
+    """By key: the worst fall from the highest close so far.
+
+    A block of bars is its highest close, its lowest and its own worst fall. Of a block the worst fall is that or the one
+    from the highest close of the blocks before to its lowest, as a fall grows with the height that it begins from.
+    """
+    keys = list(by)
+    blocks = drawdown_blocks(bars, keys)
+    before = F.max("_high").over(Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1))
+    return blocks.withColumn("_peak", before).groupBy(*keys).agg(F.max(F.greatest("_worst", (F.col("_peak") - F.col("_low")) / F.col("_peak"))).alias("max_dd"))
+
+
+def drawdown_blocks(bars: DataFrame, keys: list[str]) -> DataFrame:
+    within = Window.partitionBy(*keys, "_blk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    d = bars.withColumn("_blk", F.floor(F.col("i") / SCAN)).withColumn("_top", F.max("close").over(within))
+    return d.groupBy(*keys, "_blk").agg(F.max("close").alias("_high"), F.min("close").alias("_low"), F.max((F.col("_top") - F.col("close")) / F.col("_top")).alias("_worst"))
 
 
-def cum_min(df: DataFrame, column: str, by: list[str], order: str) -> DataFrame:
-    return df.withColumn("cum_min", F.min(column).over(_w(by, order).rowsBetween(Window.unboundedPreceding, 0)))
+def cum_min(df: DataFrame, column: str, by: list[str], order: str, block: Column | None = None) -> DataFrame:
+    """The least value so far; ``block`` as in ``running``, by default of an order that numbers rows."""
+    return running(df, {"cum_min": ("min", column)}, by, [order], F.floor(F.col(order) / SCAN) if block is None else block)
 
 
 def equal_slices(df: DataFrame, k: int, by: list[str], order: str) -> DataFrame:
@@ -189,9 +234,10 @@ def rolling_range(bars: DataFrame, n: int, by=("symbol",)) -> DataFrame:
     return bars.withColumns({"support": F.when(full, F.min("low").over(f)), "resistance": F.when(full, F.max("high").over(f)), "mean_volume": _full(F.col("volume"), n, w, F.avg)})
 
 
-def rolling_by(rows: DataFrame, length: str, values: dict[str, tuple[str, str]], by: list[str] = ("symbol",), order: str = "i") -> DataFrame:
+def rolling_by(rows: DataFrame, length: str, values: dict[str, tuple[str, str]], by: list[str] = ("symbol",), order: str = "i", partial: bool = False) -> DataFrame:
     """``rows`` with a column for each of ``values`` (name: ``min``, ``max`` or ``sum``, and a column) over as many rows before a row
-    as its column ``length`` says; null until there are as many. ``order`` numbers the rows of a key without gaps.
+    as its column ``length`` says; null until there are as many, or with ``partial`` over those there are. ``order`` numbers
+    the rows of a key from 0 on without gaps.
 
     A window's frame is the same for all rows, so a length that is a column takes two halves: rows are cut in blocks of
     their length, and the rows before a row are the rest of one block, from the row ``length`` back, and the beginning of
@@ -206,7 +252,7 @@ def rolling_by(rows: DataFrame, length: str, values: dict[str, tuple[str, str]],
     back = Window.partitionBy(*keys, phase).orderBy(order)
     join = {"min": F.least, "max": F.greatest, "sum": lambda a, b: a + F.coalesce(b, F.lit(0))}
     out = out.withColumns({f"_far_{n}": F.lag(f"_tail_{n}").over(back) for n in values} | {"_ok": F.lag(order).over(back)})
-    found = {n: F.when(F.col("_ok").isNotNull(), join[f](F.col(f"_far_{n}"), F.col(f"_head_{n}"))) for n, (f, _) in values.items()}
+    found = {n: F.when(F.col("_ok").isNotNull(), join[f](F.col(f"_far_{n}"), F.col(f"_head_{n}"))).otherwise(F.col(f"_head_{n}") if partial else None) for n, (f, _) in values.items()}
     return out.withColumns(found).drop("_ok", *[f"_{k}_{n}" for k in ("head", "tail", "far") for n in values])
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.paths import kept
+from .bars import rolling_by, running
+from .selection import exact_quantiles
 
 DAY = 86_400_000_000
 
@@ -67,9 +70,9 @@ def open_interest_curve(p: DataFrame) -> DataFrame:
 
 
 def cum_pnl(p: DataFrame, by: list[str] = ("category",)) -> DataFrame:
-    """Running profit of closed positions in order of close time, then id."""
-    w = Window.partitionBy(*by).orderBy("closes", "id").rowsBetween(Window.unboundedPreceding, 0)
-    return p.where("status = 'closed'").select(*by, "id", "closes", F.sum(pnl_cents()).over(w).alias("cum_pnl"))
+    """Running profit of closed positions in order of close time, then id, scanned by the day of the close."""
+    closed = p.where("status = 'closed'").select(*by, "id", "closes", pnl_cents().alias("_pnl"))
+    return running(closed, {"cum_pnl": ("sum", "_pnl")}, list(by), ["closes", "id"], _day("closes")).drop("_pnl")
 
 
 def closed_book_summary(p: DataFrame) -> DataFrame:
@@ -99,15 +102,23 @@ def admission_screen(c: DataFrame, per_day: int, event_cap_cents: int) -> DataFr
 
 
 def rolling_quality(c: DataFrame, n: int = 100, by: list[str] = ("category",)) -> DataFrame:
-    """Whether a candidate's edge reaches the mean of the ``n`` before it of its group (true for the first)."""
-    w = Window.partitionBy(*by).orderBy("entered", "id").rowsBetween(-n, -1)
-    mean = F.avg("edge_pp").over(w)
-    return c.withColumns({"prior_mean": mean, "admit": F.coalesce(F.col("edge_pp") >= mean, F.lit(True))})
+    """Whether a candidate's edge reaches the mean of the ``n`` before it of its group (true for the first).
+
+    A group's rows are numbered by a running count over the days of entry; sums of the rows before come from blocks of
+    ``n`` numbers. No window spans a group.
+    """
+    keys = list(by)
+    r = running(c, {"_r": ("sum", F.lit(1))}, keys, ["entered", "id"], _day("entered")).withColumns({"_r": F.col("_r") - 1, "_n": F.lit(n), "_one": F.when(F.col("edge_pp").isNotNull(), 1)})
+    r = rolling_by(r, "_n", {"_sum": ("sum", "edge_pp"), "_count": ("sum", "_one")}, keys, "_r", partial=True)
+    mean = F.col("_sum") / F.nullif(F.col("_count"), F.lit(0))
+    r = r.withColumns({"prior_mean": mean, "admit": F.coalesce(F.col("edge_pp") >= mean, F.lit(True))})
+    return r.drop("_r", "_n", "_one", "_sum", "_count")
 
 
 def top_quantile(df: DataFrame, column: str, q: float = 0.9) -> DataFrame:
-    cut = df.agg(F.percentile(column, F.lit(q)).alias("_q"))
-    return df.join(F.broadcast(cut), F.col(column) >= F.col("_q")).drop("_q")
+    """Rows whose value reaches the exact quantile of all."""
+    cut = exact_quantiles(df, [], column, {"_q": q})
+    return df.join(F.broadcast(cut), F.col(column) >= F.col("_q")).drop("_q")  # one row
 
 
 def clv(lines: DataFrame) -> DataFrame:
@@ -116,11 +127,12 @@ def clv(lines: DataFrame) -> DataFrame:
 
 
 def clv_summary(rows: DataFrame) -> DataFrame:
-    """Closing-line value over all, by status, side and category: n, mean, median, deviation, share that beat it."""
-    sets = [[], [F.col("status")], [F.col("side")], [F.col("category")]]
-    g = rows.groupingSets(sets, "status", "side", "category").agg(F.count("*").alias("n"), F.avg("clv").alias("mean"), F.median("clv").alias("median"), F.coalesce(F.stddev_samp("clv"), F.lit(0.0)).alias("sigma"), F.avg(F.when(F.col("beat"), 1.0).otherwise(0.0)).alias("beat_rate"))
-    scope = F.when(F.col("status").isNotNull(), "status").when(F.col("side").isNotNull(), "side").when(F.col("category").isNotNull(), "category").otherwise("all")
-    return g.select(scope.alias("scope"), F.coalesce("status", "side", "category", F.lit("all")).alias("key"), "n", "mean", "median", "sigma", "beat_rate")
+    """Closing-line value over all, by status, side and category: n, mean, exact median, deviation, share that beat it."""
+    of = lambda scope, key: F.struct(F.lit(scope).alias("scope"), key.alias("key"))
+    scopes = F.array(of("all", F.lit("all")), *[of(c, F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in ("status", "side", "category")])
+    d = kept(rows.select("clv", "beat", "status", "side", "category")).select("clv", "beat", F.explode(scopes).alias("_x")).select("clv", "beat", "_x.*")
+    g = d.groupBy("scope", "key").agg(F.count("*").alias("n"), F.avg("clv").alias("mean"), F.coalesce(F.stddev_samp("clv"), F.lit(0.0)).alias("sigma"), F.avg(F.when(F.col("beat"), 1.0).otherwise(0.0)).alias("beat_rate"))
+    return g.join(exact_quantiles(d, ["scope", "key"], "clv", {"median": 0.5}), ["scope", "key"], "left").select("scope", "key", "n", "mean", "median", "sigma", "beat_rate")
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:

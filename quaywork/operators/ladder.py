@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.paths import kept
+from .selection import exact_quantiles
 
 
 def normalize_ladder(l: DataFrame, value: str = "mass") -> DataFrame:  # noqa: E741
@@ -42,22 +44,24 @@ def fold_stats(snap: DataFrame, fold: str, horizon: int, tau: float = 0.03) -> D
     from .asof import shifted_self_join
 
     later = shifted_self_join(snap.select("event", "t", "max_gap"), ["event"], "t", "max_gap", horizon).select("event", "t", (F.col("later") - F.col("max_gap")).alias("change"))
-    j = snap.join(later, ["event", "t"])
-    g = j.groupBy(fold).agg(F.count("*").alias("n"), F.avg(F.when(F.col("max_gap") > tau, 1.0).otherwise(0.0)).alias("over"), F.percentile("max_gap", F.lit(0.5)).alias("median"), F.percentile("max_gap", F.lit(0.9)).alias("p90"), F.avg("kl").alias("mean_kl"), F.count("change").alias("pairs"), F.regr_slope("change", "max_gap").alias("beta"))
+    j = kept(snap.join(later, ["event", "t"]).select(fold, "max_gap", "kl", "change"))
+    g = j.groupBy(fold).agg(F.count("*").alias("n"), F.avg(F.when(F.col("max_gap") > tau, 1.0).otherwise(0.0)).alias("over"), F.avg("kl").alias("mean_kl"), F.count("change").alias("pairs"), F.regr_slope("change", "max_gap").alias("beta"))
+    g = g.join(exact_quantiles(j, [fold], "max_gap", {"median": 0.5, "p90": 0.9}), fold, "left")
     return g.withColumn("half_life", S.half_life("beta"))
 
 
 def signed_gap_table(panel: DataFrame, position: str) -> DataFrame:
     """By relative position: n, mean signed gap, deviation, median and t."""
-    gap = F.col("p") - F.col("q")
-    g = panel.groupBy(F.col(position).alias("position")).agg(F.count("*").alias("n"), F.avg(gap).alias("mean"), F.stddev_samp(gap).alias("sigma"), F.median(gap).alias("median"))
+    d = kept(panel.select(F.col(position).alias("position"), (F.col("p") - F.col("q")).alias("gap")))
+    g = d.groupBy("position").agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sigma")).join(exact_quantiles(d, ["position"], "gap", {"median": 0.5}), "position", "left")
     return g.withColumn("t_stat", F.col("mean") / F.nullif(F.col("sigma") / F.sqrt("n"), F.lit(0.0)))
 
 
 def gap_by_decile(snap: DataFrame, span: DataFrame) -> DataFrame:
     """By decile of each event's life: mean and median gap, mean divergence."""
-    j = snap.join(span, "event").withColumn("decile", S.life_decile(S.life_fraction("t", "opened", "closed")))
-    return j.groupBy("decile").agg(F.count("*").alias("n"), F.avg("max_gap").alias("mean_gap"), F.median("max_gap").alias("median_gap"), F.avg("kl").alias("mean_kl"))
+    j = kept(snap.join(span, "event").select("max_gap", "kl", S.life_decile(S.life_fraction("t", "opened", "closed")).alias("decile")))
+    g = j.groupBy("decile").agg(F.count("*").alias("n"), F.avg("max_gap").alias("mean_gap"), F.avg("kl").alias("mean_kl"))
+    return g.join(exact_quantiles(j, ["decile"], "max_gap", {"median_gap": 0.5}), "decile", "left")
 
 
 def implied_mean(l: DataFrame, value: str = "p") -> DataFrame:
@@ -85,27 +89,48 @@ def event_study(snap: DataFrame, x: str, y: str, min_n: int = 30) -> DataFrame:
     return each.unionByName(whole).unionByName(ols(dealt.withColumn("label", F.lit("shuffled")), x, y, ["label"], min_n))
 
 
+def _first_at_least(values, test, most: int = 32):
+    """The number of leading ``values`` (sorted) before the first for which ``test`` holds, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+
+    def half(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        up = test(F.get(values, mid))
+        return F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(up, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(up, mid).otherwise(s["hi"]).alias("hi")))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int"))
+    return F.aggregate(steps, start, half, lambda s: s["lo"])
+
+
 def empirical_bucket_prob(panel: DataFrame, bars: DataFrame, lookback_us: int = 30 * 86_400_000_000, horizon: int = 25, min_n: int = 30, no_lookahead: bool = False) -> DataFrame:
     """``panel`` (event, t, symbol, spot, lo, hi) with ``q``: the share of the symbol's returns over ``horizon`` bars, those
     that begin in the ``lookback_us`` before t, that take the spot into the bucket; snapshots with fewer than ``min_n``
-    returns are left out, and shares are scaled to 1 over a snapshot's buckets (null where none is hit).
+    returns are left out, and shares are scaled to 1 over a snapshot's buckets (null where none is hit). Equal rows of
+    ``panel`` are one bucket.
 
-    Returns that begin just before t end after it; ``no_lookahead`` takes only those that have ended by then. Returns
-    lie in arrays by day, so a snapshot meets as many rows as it has days.
+    Returns that begin just before t end after it; ``no_lookahead`` takes only those that have ended by then. A symbol's
+    returns lie in sorted blocks by day. A bucket meets the blocks of its days one by one: of a day that lies within its
+    time whole, two ranks are found by halving; the few days at the edges are filtered; counts are summed over days. No
+    row holds more than a day's returns.
     """
     day = 86_400_000_000
     w = Window.partitionBy("symbol").orderBy("i")
     end = F.lead("t", horizon).over(w)
     r = bars.select("symbol", "t", end.alias("z"), (F.lead("close", horizon).over(w) / F.col("close") - 1).alias("r")).where("r is not null")
-    days = r.groupBy("symbol", F.floor(F.col("t") / day).alias("d")).agg(F.collect_list(F.struct("t", "z", "r")).alias("rs"))
-    snaps = panel.select("event", "t", "symbol").distinct()
-    spread = snaps.withColumn("d", F.explode(F.sequence(F.floor((F.col("t") - lookback_us) / day), F.floor(F.col("t") / day))))
-    inside = lambda x: (x["t"] >= F.col("t") - lookback_us) & (x["t"] < F.col("t")) & ((x["z"] <= F.col("t")) if no_lookahead else F.lit(True))
-    got = spread.join(days, ["symbol", "d"]).select("event", "t", "symbol", F.transform(F.filter("rs", inside), lambda x: x["r"]).alias("rs"))
-    samples = got.groupBy("event", "t", "symbol").agg(F.flatten(F.collect_list("rs")).alias("rs")).where(F.size("rs") >= min_n)
-    j = panel.join(samples, ["event", "t", "symbol"])
-    hit = F.filter("rs", lambda x: (F.col("spot") * (1 + x) >= F.col("lo")) & (F.col("spot") * (1 + x) < F.col("hi")))
-    j = j.withColumns({"samples": F.size("rs").cast("long"), "_q": F.size(hit) / F.size("rs")}).drop("rs")
+    days = r.groupBy("symbol", F.floor(F.col("t") / day).alias("d")).agg(
+        F.sort_array(F.collect_list(F.struct("r", F.col("t").alias("rt"), "z"))).alias("_rs"), F.min("t").alias("_from"), F.max("t").alias("_upto"), F.max("z").alias("_ended"))
+    days = days.withColumn("_sorted", F.transform("_rs", lambda x: x["r"]))
+    buckets = panel.select(F.struct(*panel.columns).alias("_b"), "t", "symbol", "spot", "lo", "hi").distinct()
+    spread = buckets.withColumn("d", F.explode(F.sequence(F.floor((F.col("t") - lookback_us) / day), F.floor(F.col("t") / day)))).join(days, ["symbol", "d"])
+    whole = (F.col("_from") >= F.col("t") - lookback_us) & (F.col("_upto") < F.col("t")) & (F.col("spot") >= 0) & ((F.col("_ended") <= F.col("t")) if no_lookahead else F.lit(True))
+    inside = lambda x: (x["rt"] >= F.col("t") - lookback_us) & (x["rt"] < F.col("t")) & ((x["z"] <= F.col("t")) if no_lookahead else F.lit(True))
+    price = lambda x: F.col("spot") * (1 + x)
+    hits = lambda xs: F.size(F.filter(xs, lambda x: (price(x["r"]) >= F.col("lo")) & (price(x["r"]) < F.col("hi"))))
+    ranks = F.greatest(F.lit(0), _first_at_least(F.col("_sorted"), lambda x: price(x) >= F.col("hi")) - _first_at_least(F.col("_sorted"), lambda x: price(x) >= F.col("lo")))
+    own = F.filter("_rs", inside)
+    d = spread.select("_b", F.when(whole, F.size("_sorted")).otherwise(F.size(own)).alias("_n"), F.when(whole, ranks).otherwise(hits(own)).alias("_hits"))
+    j = d.groupBy("_b").agg(F.sum("_n").alias("samples"), F.sum("_hits").alias("_hits")).where(F.col("samples") >= min_n)
+    j = j.select("_b.*", "samples", (F.col("_hits") / F.col("samples")).alias("_q"))
     total = F.sum("_q").over(Window.partitionBy("event", "t"))
     return j.withColumn("q", F.col("_q") / F.nullif(total, F.lit(0.0))).drop("_q")
 
@@ -121,7 +146,7 @@ def universe_compare(panel: DataFrame, l: DataFrame, bands: dict[str, tuple[int,
         both = both.unionByName(p)
     snaps = both.groupBy("band", "event", "t").agg(F.max(S.abs_gap("p", "q")).alias("max_gap"))
     later = snaps.select("band", "event", (F.col("t") - horizon).alias("t"), F.col("max_gap").alias("later"))
-    g = snaps.join(later, ["band", "event", "t"], "left").withColumn("change", F.col("later") - F.col("max_gap"))
-    g = g.groupBy("band").agg(F.count("*").alias("n"), F.percentile("max_gap", F.lit(0.5)).alias("median"), F.percentile("max_gap", F.lit(0.9)).alias("p90"), F.regr_slope("change", "max_gap").alias("beta"))
+    j = kept(snaps.join(later, ["band", "event", "t"], "left").select("band", "max_gap", (F.col("later") - F.col("max_gap")).alias("change")))
+    g = j.groupBy("band").agg(F.count("*").alias("n"), F.regr_slope("change", "max_gap").alias("beta")).join(exact_quantiles(j, ["band"], "max_gap", {"median": 0.5, "p90": 0.9}), "band", "left")
     first = g.where(F.col("band") == base).select(F.col("median").alias("_m"))  # one row
     return g.join(F.broadcast(first), F.lit(True), "left").withColumn("ratio", F.col("median") / F.nullif("_m", F.lit(0.0))).drop("_m")

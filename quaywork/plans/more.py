@@ -87,6 +87,6 @@ query("f03_rank_by_quality", "SELECT category, id FROM positions WHERE status =
 query("f06_best_side", "SELECT ticker, side, edge FROM (SELECT ticker, side, max(edge_pp) AS edge FROM positions GROUP BY ticker, side) x QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY edge DESC, side DESC) = 1", ("positions",))(lambda p: K.best_side(p.groupBy("ticker", "side").agg(F.max("edge_pp").alias("edge")), ["ticker"]))
 query("g02_distinct_by", "SELECT ticker, trade_id FROM trades QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY t, trade_id) = 1", ("trades",))(lambda t: I.merged(t.limit(0).withColumn("o", F.struct(-F.col("t"), -F.col("trade_id"))), t.withColumn("o", F.struct(-F.col("t"), -F.col("trade_id"))), ["ticker"], "last", "o").select("ticker", "trade_id"))
 query("i11_holdout_trades", "SELECT symbol, i FROM bars JOIN (SELECT symbol, max(t) AS z FROM bars GROUP BY symbol) m USING (symbol) WHERE t >= z - 86400000000 * 90", ("bars",))(lambda b: O.holdout(b, b, 90).select("symbol", "i"))
-query("d26_max_drawdown", "SELECT symbol, max((peak - close) / peak) AS max_dd FROM (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY i) AS peak FROM bars) x GROUP BY symbol", ("bars",))(lambda b: B.drawdown_series(b).groupBy("symbol").agg(F.max("drawdown").alias("max_dd")))
+query("d26_max_drawdown", "SELECT symbol, max((peak - close) / peak) AS max_dd FROM (SELECT symbol, close, max(close) OVER (PARTITION BY symbol ORDER BY i) AS peak FROM bars) x GROUP BY symbol", ("bars",))(lambda b: B.max_drawdown(b))
 query("c19_join_returns", "SELECT b.symbol, b.t, r.v AS fwd_ret FROM bars b LEFT JOIN (SELECT symbol, t, lead(close) OVER (PARTITION BY symbol ORDER BY i) / close - 1 AS v FROM bars) r ON b.symbol = r.symbol AND b.t = r.t", ("bars",))(lambda b: b.select("symbol", "t").join(B.forward_return(b).select("symbol", "t", "fwd_ret"), ["symbol", "t"], "left"))
 query("c20_markets_in_categories", f"SELECT ticker, slot FROM markets WHERE {S.category_sql('event_ticker')} IN ('sports', 'crypto')", ("markets",))(lambda m: A.restrict_to(m, m.where(S.categorize("event_ticker").isin("sports", "crypto")).select("event_ticker").distinct(), ["event_ticker"]).select("ticker", "slot"))

@@ -267,3 +267,4 @@ def _slow(b):
 from . import trading  # noqa: E402, F401  signals, labels and books
 from . import more  # noqa: E402, F401  registers the rest
 from . import tables  # noqa: E402, F401  written tables, candidates and studies
+from . import flows  # noqa: E402, F401  streams

@@ -1,24 +1,38 @@
-"""Structured Streaming counterparts: each gives a streaming DataFrame, or writes with its own checkpoint."""
+"""Structured Streaming counterparts: each gives a streaming DataFrame, or writes with its own checkpoint.
+
+Streams with timers (``stream_barriers``, ``stream_freshness``, ``stream_settle``) keep state in RocksDB: a session sets
+``spark.sql.streaming.stateStore.providerClass`` to its provider. Their results do not depend on how rows fall into
+batches, as long as none comes later than the watermark's delay.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import calibration as C
 from ..sources import ingest
+from . import machines
+
+DAY_US = 86_400_000_000
+
+
+def _started(df: DataFrame, each: Callable[[DataFrame, int], object], checkpoint: str):
+    return df.writeStream.foreachBatch(lambda b, n: each(b, n) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_trades(trades: DataFrame, root: str, checkpoint: str, delay: str = "1 hour"):
     """Trades without repeats of an id within ``delay``, merged by batches into a table by day; a batch that runs twice
     changes nothing."""
     once = trades.withWatermark("created_time", delay).dropDuplicatesWithinWatermark(["trade_id"]).withColumn("date", F.to_date("created_time"))
-    return once.writeStream.foreachBatch(lambda b, _: ingest.upsert_partitioned(b, root, ["trade_id"], "date") and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _started(once, lambda b, _: ingest.upsert_partitioned(b, root, ["trade_id"], "date"), checkpoint)
 
 
-def stream_l2(snapshots: DataFrame, root: str, checkpoint: str):
-    flat = ingest.flatten_l2(snapshots).withColumn("date", F.to_date("ts"))
+def stream_l2(snapshots: DataFrame, root: str, checkpoint: str, levels: int = 10):
+    flat = ingest.flatten_l2(snapshots, levels).withColumn("date", F.to_date("ts"))
     return flat.writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).partitionBy("date").trigger(availableNow=True).start()
 
 
@@ -29,18 +43,38 @@ def stream_bars(ticks: DataFrame, step: str = "15 minutes", delay: str = "1 hour
     return g.select(F.col("window.start").alias("start"), "symbol", "open", "high", "low", "close", "volume", "trades")
 
 
-def stream_candidates(quotes: DataFrame, bins: DataFrame, min_edge_pp: float = 5.0) -> DataFrame:
-    """Quotes joined with static bins: those of enough edge at the quoted price, with their side."""
-    j = C.bin_lookup(quotes.withColumns({"category": S.categorize("event_ticker"), "cents": S.price_to_cents("yes_price")}), bins, mode="batch", min_n=1)
-    return j.where(F.col("edge_pp") >= min_edge_pp)
+def stream_candidates(books: DataFrame, markets: DataFrame, curves: DataFrame, root: str, checkpoint: str, sigmas: DataFrame | None = None, on: list[str] = ("ticker",), min_edge_pp: float = 5.0, min_n: int = 1):
+    """Order books as they come, joined with the static markets, calibration curves and deviations: the better side of each
+    book that has enough edge, written by batches.
 
+    A batch is a folder of its own, so one that runs twice replaces what it wrote.
+    """
 
-def stream_settle(updates: DataFrame, positions: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Open positions joined with the final update of their market, both as streams within ``delay``."""
-    u = updates.where(S.market_state("status", "result") != "open").withWatermark("ts", delay).select("ticker", "ts", F.col("status").alias("m_status"), F.col("result").alias("m_result"))
-    p = positions.withWatermark("entered_at", delay)
-    j = p.join(u, (p.ticker == u.ticker) & (u.ts >= p.entered_at) & (u.ts <= p.entered_at + F.expr("INTERVAL 60 DAYS"))).drop(u.ticker)
-    return j.select("id", "ticker", S.market_state("m_status", "m_result").alias("state"), S.binary_pnl("side", "m_result", "reward_cents", "risk_cents", F.lit(0)).alias("pnl"))
+    def scan(b: DataFrame, n: int) -> None:
+        found = C.scan_candidates(markets, b, curves, min_edge_pp, on=list(on), min_n=min_n)
+        if sigmas is not None:
+            found = C.sigma_lookup(found.withColumn("bin_low", S.price_bin_5c(S.price_to_cents("price"))), sigmas)
+        found.write.mode("overwrite").parquet(f"{root}/batch={n}")
+
+    return _started(books, scan, checkpoint)
+
+
+def stream_settle(updates: DataFrame, positions: DataFrame, delay: str = "1 hour", keep_us: int = 30 * DAY_US) -> DataFrame:
+    """(id, ticker, state, pnl, revision) of positions as their markets end, both sides as streams.
+
+    A market is one key. Its state is its last final update by time (``updates``: ticker, ts, status, result) and its
+    positions (``positions``: id, ticker, entered_at, side, reward_cents, risk_cents), whichever comes first and however
+    long between. A position that was entered by the time of that update is resolved, with its profit, or void; a later
+    update that says otherwise gives a row of the next ``revision``. What is settled is kept for such corrections, for
+    ``keep_us`` after the last row of the market; what is not is kept as long as it takes. Rows may have a time of arrival,
+    ``seen_at`` (else it is that of the batch): the watermark and timers go by it, so old positions and updates are
+    not late.
+    """
+    seen = lambda d: F.col("seen_at") if "seen_at" in d.columns else F.current_timestamp()
+    u = updates.select("ticker", seen(updates).alias("at"), F.unix_micros("ts").alias("us"), F.lit(None).cast("long").alias("id"), S.market_state("status", "result").alias("a"), F.lower("result").alias("b"), F.lit(0).cast("long").alias("reward"), F.lit(0).cast("long").alias("risk")).where("a <> 'open'")
+    p = positions.select("ticker", seen(positions).alias("at"), F.unix_micros("entered_at").alias("us"), "id", F.col("side").alias("a"), F.lit("").alias("b"), F.col("reward_cents").cast("long").alias("reward"), F.col("risk_cents").cast("long").alias("risk"))
+    both = u.unionByName(p).withWatermark("at", delay).withColumn("seen", F.unix_micros("at"))
+    return both.groupBy("ticker").transformWithStateInPandas(machines.Settlement(keep_us), "id long, ticker string, state string, pnl long, revision int", "append", "eventTime")
 
 
 def stream_quote_snapshots(quotes: DataFrame, root: str, checkpoint: str):
@@ -48,65 +82,50 @@ def stream_quote_snapshots(quotes: DataFrame, root: str, checkpoint: str):
 
 
 def stream_shadow(rejections: DataFrame, delay: str = "2 days") -> DataFrame:
-    """The first rejection of each ticker and day."""
-    r = rejections.withColumn("reject_date", F.to_date("ts")).withWatermark("ts", delay)
-    return r.dropDuplicatesWithinWatermark(["ticker", "reject_date"])
+    """The first rejection by time of each ticker and day (of equal times that of the least values), once the day is over."""
+    own = [c for c in rejections.columns if c != "ticker"]
+    first = rejections.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "ticker").agg(F.min(F.struct("ts", *[c for c in own if c != "ts"])).alias("_x"))
+    return first.select("ticker", F.to_date("window.start").alias("reject_date"), *[F.col("_x")[c].alias(c) for c in own])
 
 
-def stream_barriers(bars: DataFrame, positions: DataFrame) -> DataFrame:
-    """Exits of open positions as bars arrive; the stop wins ties.
+def stream_barriers(bars: DataFrame, positions: DataFrame, ends: DataFrame | None = None, delay: str = "1 hour", expire_us: int | None = None) -> DataFrame:
+    """(id, symbol, ts, price, reason): exits of open positions as bars pass; the stop wins ties.
 
-    Both are streams: positions (id, symbol, ts, direction, stop, target) and bars (symbol, ts, high, low) are one
-    stream of events by symbol, and the state is a symbol's open positions. A position is held against the bars after
-    its ``ts`` that arrive with it or later; it may open at any time.
+    All are streams: bars (symbol, ts, high, low, close), positions (id, symbol, ts, direction, stop, target) and maybe
+    ``ends`` (symbol, ts) of series. A symbol is one key; its rows wait, whatever their order, until the watermark has
+    passed them, and a timer then takes them in order of time. A position is held against the bars after its ``ts``; with
+    ``expire_us`` it ends so long after it (``expired``, at the last close), and at its series' end as ``end_of_data``.
+    State is what waits and what is open, and nothing of a symbol that has ended.
     """
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Exits(StatefulProcessor):
-        def init(self, handle):
-            self.open = handle.getListState("open", "id long, ts timestamp, direction string, stop double, target double")
-
-        def handleInputRows(self, key, rows, timers):
-            held = list(self.open.get())
-            frame = pd.concat(list(rows))
-            held += [(p.id, p.ts, p.direction, p.stop, p.target) for p in frame[frame["id"].notna()].itertuples()]
-            out = []
-            for b in frame[frame["id"].isna()].sort_values("ts").itertuples():
-                left = []
-                for p in held:
-                    up = p[2] == "long"
-                    if b.ts <= p[1]:
-                        left.append(p)
-                    elif b.low <= p[3] if up else b.high >= p[3]:
-                        out.append((int(p[0]), key[0], b.ts, p[3], "stop"))
-                    elif b.high >= p[4] if up else b.low <= p[4]:
-                        out.append((int(p[0]), key[0], b.ts, p[4], "target"))
-                    else:
-                        left.append(p)
-                held = left
-            self.open.clear()
-            if held:
-                self.open.put([(int(p[0]), *p[1:]) for p in held])
-            yield pd.DataFrame(out, columns=["id", "symbol", "ts", "price", "reason"])
-
-        def close(self):
-            pass
-
-    events = positions.select("symbol", "ts", "id", "direction", "stop", "target").unionByName(bars.select("symbol", "ts", "high", "low"), allowMissingColumns=True)
-    return events.groupBy("symbol").transformWithStateInPandas(Exits(), "id long, symbol string, ts timestamp, price double, reason string", "append", "none")
-
-
-def stream_freshness(bars: DataFrame, threshold: str = "8 hours", delay: str = "1 hour") -> DataFrame:
-    """(symbol, last_ts, stale_at): a row whenever a symbol has been silent for ``threshold``, once the watermark says so.
-
-    A symbol's bars form sessions that end with such a silence, so the state is one open session for each symbol.
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    parts = [
+        bars.select("symbol", "ts", F.lit("b").alias("kind"), *none("long", "id"), *none("boolean", "up"), F.col("high").alias("x"), F.col("low").alias("y"), F.col("close").alias("z")),
+        positions.select("symbol", "ts", F.lit("p").alias("kind"), "id", (F.col("direction") == "long").alias("up"), F.col("stop").alias("x"), F.col("target").alias("y"), *none("double", "z")),
+    ]
+    if ends is not None:
+        parts.append(ends.select("symbol", "ts", F.lit("z").alias("kind"), *none("long", "id"), *none("boolean", "up"), *none("double", "x", "y", "z")))
+    events = parts[0]
+    for p in parts[1:]:
+        events = events.unionByName(p)
+    timed = events.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    out = timed.groupBy("symbol").transformWithStateInPandas(machines.Exits(expire_us), "id long, symbol string, us long, price double, reason string", "append", "eventTime")
+    return out.select("id", "symbol", F.timestamp_micros("us").alias("ts"), "price", "reason")
+
+
+def stream_freshness(bars: DataFrame, universe: DataFrame | None = None, stale_us: int = 8 * 3_600_000_000, very_us: int = 7 * DAY_US, delay: str = "1 hour") -> DataFrame:
+    """(symbol, last_ts, state, at): a row whenever a symbol has been silent for ``stale_us`` (``stale``) and ``very_us``
+    (``very_stale``), and when it comes back (``fresh``).
+
+    ``universe`` (symbol, since) is the state that the stream begins with: a symbol that never has a bar is ``stale`` from
+    ``since`` on, ``last_ts`` null. A symbol's state is its last time and one timer, armed anew by every bar.
     """
-    g = bars.withWatermark("ts", delay).groupBy(F.session_window("ts", threshold).alias("w"), "symbol").agg(F.max("ts").alias("last_ts"))
-    return g.select("symbol", "last_ts", F.col("w.end").alias("stale_at"))
+    first = None if universe is None else universe.select("symbol", F.unix_micros("since").alias("us")).groupBy("symbol")
+    timed = bars.select("symbol", "ts").withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    out = timed.groupBy("symbol").transformWithStateInPandas(machines.Silence(stale_us, very_us), "symbol string, last_us long, state string, at_us long", "append", "eventTime", first)
+    return out.select("symbol", F.timestamp_micros("last_us").alias("last_ts"), "state", F.timestamp_micros("at_us").alias("at"))
 
 
 def stream_daily_snapshot(events: DataFrame, root: str, checkpoint: str):
-    """The last snapshot of each day, merged by batches."""
-    dated = events.withColumn("date", F.to_date("ts"))
-    return dated.writeStream.foreachBatch(lambda b, _: ingest.upsert_partitioned(b, root, ["date", "book"], "date", "last", "ts") and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """The last snapshot of each day, merged by batches into a table by month."""
+    dated = events.withColumns({"date": F.to_date("ts"), "month": F.date_format("ts", "yyyy-MM")})
+    return _started(dated, lambda b, _: ingest.upsert_partitioned(b, root, ["date", "book"], "month", "last", "ts"), checkpoint)

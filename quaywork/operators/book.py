@@ -140,9 +140,10 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
     return g.orderBy(F.desc("n"), "value").limit(top) if top else g
 
 
-def best_side(sides: DataFrame, by: list[str]) -> DataFrame:
-    """The side of the larger edge for each market; selling on ties."""
-    return sides.groupBy(*by).agg(F.max_by(F.struct("side", "edge"), F.struct("edge", (F.col("side") == "sell_yes").cast("int"))).alias("x")).select(*by, "x.side", "x.edge")
+def best_side(sides: DataFrame, by: list[str], carry: list[str] = ()) -> DataFrame:
+    """The side of the larger edge for each market, with its values of ``carry``; selling on ties."""
+    best = F.max_by(F.struct("side", "edge", *carry), F.struct("edge", (F.col("side") == "sell_yes").cast("int")))
+    return sides.groupBy(*by).agg(best.alias("x")).select(*by, "x.*")
 
 
 def shadow_replay(shadow: DataFrame, markets: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def scan_candidates(markets: DataFrame, books: DataFrame, curves: DataFrame, min
     sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"_x.{k}").alias("price")) for k in ("sell_yes", "buy_yes")])
     s = j.select(*on, "category", F.explode(sides).alias("s")).select(*on, "category", "s.side", "s.price").where("price > 0 and price < 1").withColumn("cents", S.price_to_cents("price"))
     c = bin_lookup(s, curves, min_n, "live").where((F.col("trade_side") == F.col("side")) & (F.col("edge_pp") >= min_edge_pp))
-    return best_side(c.withColumn("edge", F.col("edge_pp")).select(*on, "category", "side", "price", "implied", "actual", "edge"), list(on))
+    return best_side(c.withColumn("edge", F.col("edge_pp")).select(*on, "category", "side", "price", "implied", "actual", "edge"), list(on), ["category", "price", "implied", "actual"])
 
 
 def time_split(df: DataFrame, time: str, frac: float = 0.7) -> DataFrame:

@@ -548,6 +548,66 @@ def from_pandas_template(fn):
     return run
 
 
+def template_table_function(fn):
+    """A template from a function of one symbol's bars (pandas, in order) and parameters, as a function that SQL calls on a
+    table: ``SELECT * FROM name(TABLE(bars), MAP('lookback', '20'))``.
+
+    The function asks for its table by symbol in order of ``i``, so Spark shuffles and sorts the bars and each symbol is
+    one call. Parameters are a map of strings. To be registered by ``spark.udtf.register``.
+    """
+    from pyspark.sql.functions import AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructType
+
+    class Signals:
+        @staticmethod
+        def analyze(table, params=None):
+            names = [f.name for f in table.dataType.fields]
+            missing = [c for c in ("symbol", "i", "open", "high", "low", "close") if c not in names]
+            if missing:
+                raise ValueError(f"bars without {', '.join(missing)}")
+            schema = StructType()
+            for name, kind in (("symbol", StringType()), ("i", LongType()), ("direction", StringType()), ("entry", DoubleType()), ("stop", DoubleType()), ("target", DoubleType())):
+                schema = schema.add(name, kind)
+            return AnalyzeResult(schema, partitionBy=[PartitioningColumn("symbol")], orderBy=[OrderingColumn("i")])
+
+        def __init__(self):
+            self.rows, self.params = [], {}
+
+        def eval(self, row, params=None):
+            self.rows.append((row["symbol"], row["i"], row["open"], row["high"], row["low"], row["close"]))
+            self.params = params or {}
+
+        def terminate(self):
+            import pandas as pd
+
+            bars = pd.DataFrame(self.rows, columns=["symbol", "i", "open", "high", "low", "close"])
+            for r in fn(bars, self.params).itertuples(index=False):
+                yield bars["symbol"].iloc[0], int(r.i), r.direction, float(r.entry), float(r.stop), float(r.target)
+
+    return udtf(Signals)
+
+
+def breakout_frame(bars, params):
+    """``false_breakout`` of one symbol as a plug-in: a function of a pandas frame in order of ``i`` and parameters."""
+    import numpy as np
+
+    n, width, confirm, rr = int(params.get("lookback", 30)), float(params.get("min_width", 0.05)), int(params.get("confirm", 3)), float(params.get("min_rr", 2.0))
+    low, high, close = (bars[c].to_numpy() for c in ("low", "high", "close"))
+    support, resistance = bars["low"].shift(1).rolling(n).min().to_numpy(), bars["high"].shift(1).rolling(n).max().to_numpy()
+    out = []
+    for k in np.flatnonzero(((close < support) | (close > resistance)) & ((resistance - support) / ((resistance + support) / 2) >= width)):
+        up = close[k] < support[k]
+        j = next((j for j in range(k + 1, k + confirm + 1) if k + confirm < len(close) and (close[j] > support[k] if up else close[j] < resistance[k])), None)
+        if j is None:
+            continue
+        e, stop, target = close[j], (low[k : j + 1].min() if up else high[k : j + 1].max()), (resistance[k] if up else support[k])
+        if (stop < e < target if up else target < e < stop) and min(e, stop, target) > 0 and abs(target - e) >= rr * abs(e - stop):
+            out.append((bars["i"].iloc[k] + j - k, "long" if up else "short", e, stop, target))
+    import pandas as pd
+
+    return pd.DataFrame(out, columns=["i", "direction", "entry", "stop", "target"])
+
+
 def parameter_errors(schema: dict[str, dict], ordered: list[tuple[str, str]] = (), column: str = "params"):
     """The errors of a map of strings, as an array: ``<name>: missing``, ``unknown``, ``type``, ``choice``, ``range`` or
     ``<a> >= <b>``; see ``validate_configs``."""

@@ -3,6 +3,7 @@ reads what the stream has written. Their twins are the batch forms."""
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,14 @@ from ..functions import scalars as S
 from ..operators import asof as A
 from ..operators import book as K
 from ..operators import calibration as C
-from ..sources.adapters import with_relations
+from ..operators import outcomes as O
+from ..sources.adapters import PREFIXES, with_relations
 from ..sources.paths import kept, new_path
 from ..streaming import streams
 from .more import _BOOKS, _books
 from .registry import _HELD, _SLOTS, DAY, HOUR, ORACLE_SQL, _held, _slots, query
 from .tables import _CANDIDATES
-from .trading import _SIG, _labels, _sig, chain
+from .trading import _SIG, _labels, _sig, breakout_sql, chain
 
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -196,3 +198,29 @@ def _j10(p: DataFrame) -> DataFrame:
 
 query("j10_stream_daily", None, ("positions",))(_j10)
 ORACLE_SQL["j10_stream_daily"] = "SELECT day, nav, open FROM (" + ORACLE_SQL["d11_daily_snapshots"] + ") d"
+
+
+# --- plug-ins, SQL text and scalars over any numbers ------------------------------------------------------------------
+
+
+def _k01(b: DataFrame) -> DataFrame:
+    """A template registered as a table function, and called from SQL."""
+    spark = b.sparkSession
+    spark.udtf.register("breakout_signals", O.template_table_function(O.breakout_frame))
+    return spark.sql("SELECT * FROM breakout_signals(TABLE({bars}), MAP('lookback', '30'))", bars=b)
+
+
+query("k01_template_function", breakout_sql(), ("bars",))(_k01)
+
+
+def _k03(m: DataFrame) -> DataFrame:
+    """The generated CASE as part of a statement of its own."""
+    return m.sparkSession.sql(f"SELECT {S.category_sql('event_ticker')} AS category, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM {{m}} GROUP BY 1", m=m)
+
+
+#: The category of each of the prefixes of ``adapters.PREFIXES``.
+_KIND = dict(zip(PREFIXES, ("sports", "sports", "crypto", "crypto", "financial", "financial", "weather", "economics", "economics", "politics", "politics", "other"), strict=True))
+_VALUES = ", ".join(f"('{p}', '{c}')" for p, c in _KIND.items())
+query("k03_category_sql", f"SELECT c AS category, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM markets JOIN (VALUES {_VALUES}) v(p, c) ON split_part(event_ticker, '-', 1) = p GROUP BY 1", ("markets",))(_k03)
+_ERF = ", ".join(f"({k}, CAST('{math.erf((k - 49) / 12)!r}' AS DOUBLE))" for k in range(1, 99))
+query("k04_erf", f"SELECT id, v.y AS erf FROM positions JOIN (VALUES {_ERF}) v(k, y) ON v.k = 1 + id % 98", ("positions",))(lambda p: p.select("id", S.erf((F.col("id") % 98 - 48) / 12).alias("erf")))

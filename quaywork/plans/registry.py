@@ -67,7 +67,7 @@ scalar("b37_hours_to_expiry", "positions", "id", lambda: {"hours": S.hours_to_ex
 query("b07_wilson_ci", "SELECT *, greatest(0e0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n)) AS low FROM (SELECT category, count(*) AS n, count(*) FILTER (result = 'yes') / CAST(count(*) AS DOUBLE) AS p FROM positions GROUP BY category) x", ("positions",))(
     lambda p: p.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("result") == "yes").alias("k")).select("category", "n", (F.col("k") / F.col("n")).alias("p"), S.wilson_ci("k", "n")["low"].alias("low"))
 )
-_ERF_SQL = "(CASE WHEN abs(x) > 5.2 THEN sign(x) * 1e0 ELSE 1.1283791670955126e0 * x * exp(-x * x) * (" + "1e0 + (2 * x * x) / " .join([""] + [f"{2 * k + 1}e0 * (" for k in range(1, S.ERF_TERMS + 1)]).removeprefix("") + "1e0" + ")" * S.ERF_TERMS + ") END)"
+_ERF_SQL = "(CASE WHEN abs(x) > 5.2 THEN sign(x) * 1e0 ELSE 1.1283791670955126e0 * x * exp(-x * x) * (" + "1e0 + (2 * x * x) / " .join([""] + [f"{2 * k + 1}e0 * (" for k in range(1, 96 + 1)]).removeprefix("") + "1e0" + ")" * 96 + ") END)"
 query("b17_normal_cdf", f"SELECT id, 0.5e0 * (1 + {_ERF_SQL}) AS cdf FROM (SELECT id, (entry_price * 8 - 4) / 1.4142135623730951e0 AS x FROM positions) z", ("positions",))(lambda p: p.select("id", S.normal_cdf(F.col("entry_price") * 8 - 4).alias("cdf")))
 
 # --- joins ----------------------------------------------------------------------------------------------------------

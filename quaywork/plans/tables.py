@@ -33,9 +33,9 @@ def _day(d, column="t"):
     return d.withColumn("day", F.floor((F.col(column) - T0) / (10 * DAY)).cast("int"))
 
 
-#: The first batch has a column that the second lacks, and the other way round; they share a sixth of the trades.
-query("a12_upsert_trades", """SELECT trade_id, n, a, b FROM (SELECT trade_id, n, n * 2 AS a, NULL AS b, 0 AS s FROM trades WHERE trade_id % 3 <> 0 UNION ALL SELECT trade_id, n + 100, NULL, n * 3, 1 FROM trades WHERE trade_id % 2 = 0) u QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY s) = 1""", ("trades",))(
-    lambda t: _written(_day(t).where("trade_id % 3 <> 0").selectExpr("trade_id", "n", "n * 2 AS a", "day"), _day(t).where("trade_id % 2 = 0").selectExpr("trade_id", "n + 100 AS n", "n * 3 AS b", "day"), lambda d, root: I.upsert_partitioned(d, root, ["trade_id"], "day")).select("trade_id", "n", "a", "b")
+#: The first batch has a column that the second lacks, and the other way round; every trade is in one of them, a sixth in both.
+query("a12_upsert_trades", """SELECT trade_id, n, a, b FROM (SELECT trade_id, n, n * 2 AS a, NULL AS b, 0 AS s FROM trades WHERE trade_id % 3 <> 0 UNION ALL SELECT trade_id, n + 100, NULL, n * 3, 1 FROM trades WHERE trade_id % 3 = 0 OR trade_id % 4 = 0) u QUALIFY row_number() OVER (PARTITION BY trade_id ORDER BY s) = 1""", ("trades",))(
+    lambda t: _written(_day(t).where("trade_id % 3 <> 0").selectExpr("trade_id", "n", "n * 2 AS a", "day"), _day(t).where("trade_id % 3 = 0 OR trade_id % 4 = 0").selectExpr("trade_id", "n + 100 AS n", "n * 3 AS b", "day"), lambda d, root: I.upsert_partitioned(d, root, ["trade_id"], "day")).select("trade_id", "n", "a", "b")
 )
 query("a13_upsert_markets", "SELECT ticker, slot, volume FROM markets QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY closed DESC) = 1", ("markets",))(
     lambda m: _written(m.where("slot < 2").withColumn("part", F.lit(0)), m.where("slot >= 1").withColumn("part", F.lit(0)), lambda d, root: I.upsert_partitioned(d, root, ["ticker"], "part", "last", "closed")).select("ticker", "slot", "volume")

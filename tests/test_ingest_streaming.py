@@ -3,8 +3,10 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from quaywork.plans.registry import flows
 from quaywork.sources import ingest
 from quaywork.streaming import streams
 
@@ -85,46 +87,108 @@ def run(spark, tmp_path, stream, name):
     return spark.sql(f"SELECT * FROM {name}").collect()
 
 
-def test_stream_barriers(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    bars = streamed(spark, tmp_path, "bars", "symbol string, ts timestamp, high double, low double", [("x", dt.datetime(2024, 1, d), h, low) for d, h, low in ((1, 101.0, 99.0), (2, 115.0, 93.0), (3, 120.0, 90.0))])
-    at = dt.datetime(2024, 1, 1)
-    rows = [(1, "x", at, "long", 95.0, 110.0), (2, "x", at, "short", 130.0, 91.0), (3, "x", dt.datetime(2024, 1, 2), "long", 95.0, 119.0), (4, "y", at, "long", 1.0, 2.0)]
-    pos = streamed(spark, tmp_path, "pos", "id long, symbol string, ts timestamp, direction string, stop double, target double", rows)
-    got = run(spark, tmp_path, streams.stream_barriers(bars, pos), "exits")
-    assert sorted((r.id, r.ts.day, r.reason) for r in got) == [(1, 2, "stop"), (2, 3, "target"), (3, 3, "stop")]
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get(flows.ROCKS[0])
+    spark.conf.set(*flows.ROCKS)
+    yield
+    spark.conf.set(flows.ROCKS[0], before)
 
 
-def test_stream_freshness_bars_shadow(spark, tmp_path):
-    hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
-    rows = [("a", hour(0)), ("a", hour(3)), ("b", hour(0)), ("b", hour(10)), ("b", hour(20)), ("b", hour(40)), ("c", hour(39))]
-    got = run(spark, tmp_path, streams.stream_freshness(streamed(spark, tmp_path, "f", "symbol string, ts timestamp", rows)), "fresh")
-    assert sorted((r.symbol, (r.last_ts - hour(0)).total_seconds() / 3600) for r in got) == [("a", 3.0), ("b", 0.0), ("b", 10.0), ("b", 20.0)]
+def day(d, h=0):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(days=d - 1, hours=h)
+
+
+def arrivals(spark, tmp_path, name, schema, batches):
+    """A stream of batches, in their order."""
+    src = f"file://{tmp_path}/{name}"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+BARS = [("x", day(1), 101.0, 99.0, 100.0), ("x", day(2), 115.0, 93.0, 100.0), ("x", day(3), 120.0, 90.0, 104.0), ("y", day(2), 10.0, 9.0, 9.5), ("y", day(6), 10.0, 9.0, 9.25)]
+POSITIONS = [(1, "x", day(1), "long", 95.0, 110.0), (2, "x", day(1), "short", 130.0, 91.0), (3, "x", day(2), "long", 95.0, 119.0), (4, "y", day(1), "long", 1.0, 20.0), (5, "z", day(1), "long", 1.0, 2.0)]
+ENDS = [("y", day(7)), ("~", day(40))]
+EXITS = [(1, day(2), 95.0, "stop"), (2, day(3), 91.0, "target"), (3, day(3), 95.0, "stop"), (4, day(6), 9.25, "end_of_data")]
+
+
+@pytest.mark.parametrize("split", ["one", "each", "positions last", "bars backwards"])
+def test_stream_barriers_in_any_batches(spark, tmp_path, rocks, split):
+    """Rows of a batch, and rows of up to the delay before, may come in any order."""
+    bars = {"one": [BARS], "each": [[b] for b in sorted(BARS, key=lambda b: b[1])], "positions last": [BARS], "bars backwards": [[b] for b in BARS[::-1]]}[split]
+    positions = {"one": [POSITIONS], "each": [[p] for p in POSITIONS], "positions last": [[p] for p in POSITIONS[::-1]], "bars backwards": [POSITIONS]}[split]
+    b = arrivals(spark, tmp_path, "b", "symbol string, ts timestamp, high double, low double, close double", bars)
+    p = arrivals(spark, tmp_path, "p", "id long, symbol string, ts timestamp, direction string, stop double, target double", positions)
+    e = arrivals(spark, tmp_path, "e", "symbol string, ts timestamp", [ENDS[1:]] if split == "x" else [ENDS])
+    got = run(spark, tmp_path, streams.stream_barriers(b, p, e, delay="60 days"), "none_yet") if split == "one" else []
+    assert got == []  # nothing is decided before the watermark has passed it
+    late = arrivals(spark, tmp_path, "e2", "symbol string, ts timestamp", [ENDS[:1], *[[("~", day(1))]] * 6, [("~", day(99))]])
+    got = run(spark, tmp_path, streams.stream_barriers(b, p, late, delay="20 days"), f"exits_{split.replace(' ', '_')}")
+    assert sorted((r.id, r.ts, r.price, r.reason) for r in got) == EXITS
+
+
+def test_stream_barriers_expire(spark, tmp_path, rocks):
+    b = arrivals(spark, tmp_path, "b", "symbol string, ts timestamp, high double, low double, close double", [BARS + [("~", day(40), 1.0, 1.0, 1.0)]])
+    p = arrivals(spark, tmp_path, "p", "id long, symbol string, ts timestamp, direction string, stop double, target double", [POSITIONS])
+    got = run(spark, tmp_path, streams.stream_barriers(b, p, expire_us=4 * 86_400_000_000), "expired")
+    assert sorted((r.id, r.ts, r.price, r.reason) for r in got) == [*EXITS[:3], (4, day(5), 9.5, "expired"), (5, day(5), None, "expired")]
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_stream_freshness(spark, tmp_path, rocks, split):
+    hour = lambda h: day(1, h)
+    rows = [("a", hour(0)), ("b", hour(0)), ("a", hour(3)), ("b", hour(10)), ("b", hour(20)), ("c", hour(39)), ("b", hour(40)), ("~", hour(45))]
+    bars = arrivals(spark, tmp_path, "f", "symbol string, ts timestamp", [[r] for r in rows] if split else [rows])
+    universe = spark.createDataFrame([(s, hour(0)) for s in ("a", "b", "c", "never")], "symbol string, since timestamp")
+    got = run(spark, tmp_path, streams.stream_freshness(bars, universe, 8 * 3_600_000_000, 30 * 3_600_000_000), f"fresh_{split}")
+    last = {}
+    for r in sorted(got, key=lambda r: (r.at, r.state)):
+        last[r.symbol] = (r.last_ts, r.state, r.at)
+    assert last["a"] == (hour(3), "very_stale", hour(33)) and last["never"] == (None, "stale", hour(8)) and last.get("c", (None, "fresh"))[1] == "fresh"
+    assert last.get("b", (None, "fresh"))[1] == "fresh"
+    if split:
+        assert [(r.state, r.at) for r in sorted(got, key=lambda r: r.at) if r.symbol == "b"] == [("stale", hour(28)), ("fresh", hour(40))]
+
+
+def test_stream_bars_shadow(spark, tmp_path):
     ticks = [(k, "x", dt.datetime(2024, 1, 1, 0, k), float(k % 7), 1) for k in range(40)] + [(99, "x", dt.datetime(2024, 1, 2), 1.0, 1)]
     got = run(spark, tmp_path, streams.stream_bars(streamed(spark, tmp_path, "t", "id long, symbol string, ts timestamp, price double, size long", ticks)), "bars15")
     assert sorted((r.start.minute, r.open, r.close, r.trades) for r in got) == [(0, 0.0, 0.0, 15), (15, 1.0, 1.0, 15), (30, 2.0, 4.0, 10)]
-    shadow = [("k", hour(h), h) for h in (1, 2, 30)]
-    got = run(spark, tmp_path, streams.stream_shadow(streamed(spark, tmp_path, "s", "ticker string, ts timestamp, n int", shadow)), "shadowed")
-    assert sorted(r.reject_date.day for r in got) == [1, 2]
+    rows = [[("k", day(1, 2), 2)], [("k", day(1, 1), 1), ("k", day(2, 6), 30)], [("k", day(9), 99)]]  # the first by time comes second
+    got = run(spark, tmp_path, streams.stream_shadow(arrivals(spark, tmp_path, "s", "ticker string, ts timestamp, n int", rows)), "shadowed")
+    assert sorted((r.reject_date.day, r.n) for r in got) == [(1, 1), (2, 30)]
+
+
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_stream_settle_in_any_order(spark, tmp_path, rocks, order):
+    u, p = "ticker string, ts timestamp, status string, result string", "id long, ticker string, entered_at timestamp, side string, reward_cents long, risk_cents long"
+    ups = [("A", day(2), "active", ""), ("A", day(300), "settled", "no"), ("B", day(3), "settled", ""), ("A", day(301), "settled", "yes"), ("C", day(5), "settled", "yes")]
+    held = [(1, "A", day(1), "sell_yes", 30, 70), (2, "A", day(400), "sell_yes", 30, 70), (3, "B", day(1), "buy_yes", 30, 70), (4, "C", day(-900), "buy_yes", 30, 70), (5, "D", day(1), "buy_yes", 30, 70)]
+    ups, held = ([ups], [held]) if order == 0 else ([[x] for x in (ups if order == 1 else ups[::-1])], [[x] for x in (held if order == 1 else held[::-1])])
+    got = run(spark, tmp_path, streams.stream_settle(arrivals(spark, tmp_path, "u", u, ups), arrivals(spark, tmp_path, "h", p, held)), f"settled_{order}")
+    last = {r.id: r for r in sorted(got, key=lambda r: r.revision)}
+    assert {k: (r.ticker, r.state, r.pnl) for k, r in last.items()} == {1: ("A", "resolved", -70), 3: ("B", "void", 0), 4: ("C", "resolved", 30)}
+    if order == 1:
+        assert [(r.pnl, r.revision) for r in sorted(got, key=lambda r: r.revision) if r.id == 1] == [(30, 0), (-70, 1)]
 
 
 def test_stream_l2_candidates_settle_snapshots(spark, tmp_path):
-    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
     at = lambda name: (f"file://{tmp_path}/out-{name}", f"file://{tmp_path}/cp-out-{name}")
-    level = lambda px: [(px, "1", 1)]
-    books = streamed(spark, tmp_path, "l2", "coin string, ts timestamp, levels array<array<struct<px string, sz string, n int>>>", [("a", day(1), [level("10"), level("12")]), ("a", day(2), [level("20"), []])])
+    step = lambda px: [(px, "1", 1)]
+    books = streamed(spark, tmp_path, "l2", "coin string, ts timestamp, levels array<array<struct<px string, sz string, n int>>>", [("a", day(1), [step("10"), step("12")]), ("a", day(2), [step("20"), []])])
     assert streams.stream_l2(books, *at("l2")).awaitTermination(120)
     got = spark.read.parquet(at("l2")[0]).collect()
     assert sorted((r.date.day, r.mid, r.spread) for r in got if r.mid) == [(1, 11.0, 2.0)] and len(got) == 2
-    quotes = streamed(spark, tmp_path, "q", "event_ticker string, yes_price double", [("KXBTC-1", 0.42), ("KXBTC-2", 0.93), ("ZZ-1", 0.41)])
-    bins = spark.createDataFrame([("crypto", 40, 60, 0.30), ("aggregate", 40, 60, 0.41), ("crypto", 90, 60, 0.99)], "scope string, bin_low int, n long, actual_rate double")
-    found = run(spark, tmp_path, streams.stream_candidates(quotes, bins), "candidates")
-    assert sorted((r.event_ticker, r.trade_side, round(r.edge_pp, 6)) for r in found) == [("KXBTC-1", "sell_yes", 12.5), ("KXBTC-2", "buy_yes", 6.5)]
-    updates = streamed(spark, tmp_path, "u", "ticker string, ts timestamp, status string, result string", [("A", day(2), "active", ""), ("A", day(3), "settled", "no"), ("B", day(3), "settled", "")])
-    held = streamed(spark, tmp_path, "h", "id long, ticker string, entered_at timestamp, side string, reward_cents long, risk_cents long", [(1, "A", day(1), "sell_yes", 30, 70), (2, "A", day(4), "sell_yes", 30, 70), (3, "B", day(1), "buy_yes", 30, 70)])
-    settled = run(spark, tmp_path, streams.stream_settle(updates, held), "settled")
-    assert sorted((r.id, r.state) for r in settled) == [(1, "resolved"), (3, "void")]
-    assert [r.pnl for r in settled if r.id == 1] == [30]
+    level = lambda x: [(x, 1)]
+    books_of = streamed(spark, tmp_path, "q", "ticker string, yes array<struct<price double, size int>>, no array<struct<price double, size int>>", [("a", level(0.42), level(0.01)), ("b", level(0.02), level(0.07)), ("c", level(0.41), level(0.01))])
+    markets = spark.createDataFrame([("a", "KXBTC-1"), ("b", "KXBTC-2"), ("c", "ZZ-1")], "ticker string, event_ticker string")
+    curves = spark.createDataFrame([("crypto", 40, 60, 0.30), ("aggregate", 40, 60, 0.41), ("crypto", 90, 60, 0.99)], "scope string, bin_low int, n long, actual_rate double")
+    sigmas = spark.createDataFrame([("bin", "crypto", "sell_yes", 40, 0.5), ("aggregate", None, None, None, 0.9)], "level string, category string, side string, bin_low int, shrunk double")
+    assert streams.stream_candidates(books_of, markets, curves, *at("candidates"), sigmas=sigmas).awaitTermination(120)
+    found = spark.read.parquet(at("candidates")[0]).collect()
+    assert sorted((r.ticker, r.side, round(r.edge, 6), r.sigma) for r in found) == [("a", "sell_yes", 12.5, 0.5), ("b", "buy_yes", 6.5, 0.9)]
+    quotes = streamed(spark, tmp_path, "qs", "event_ticker string, yes_price double", [("KXBTC-1", 0.42), ("KXBTC-2", 0.93), ("ZZ-1", 0.41)])
     assert streams.stream_quote_snapshots(quotes, *at("quotes")).awaitTermination(120)
     assert spark.read.parquet(at("quotes")[0]).count() == 3
     events = streamed(spark, tmp_path, "d", "book string, ts timestamp, nav long", [("p", day(1, 3), 5), ("p", day(1, 9), 7), ("p", day(2), 8)])

@@ -313,9 +313,34 @@ def evaluate(trades: DataFrame, bars: DataFrame, by: list[str] = ("symbol",), na
     return g.withColumn("score", F.when(F.col("status") == "scored", S.score("pct_return", "max_dd", "n_trades")).when(F.col("status") == "catastrophic", -1000.0))
 
 
-def replay_report(trades: DataFrame, by: list[str] = ("symbol",)) -> DataFrame:
-    """By group of simulated trades: count, gross, fees, net, and the mean of net over its deviation."""
-    return trades.groupBy(*by).agg(F.count("*").alias("trades"), F.sum("gross").alias("gross"), F.sum("cost").alias("fees"), F.sum("net").alias("net"), (F.avg("net") / F.nullif(F.stddev_pop("net"), F.lit(0.0))).alias("sharpe"))
+def replay_report(trades: DataFrame, by: list[str] = ("symbol",), bar_days: float = 1.0) -> DataFrame:
+    """By group of simulated trades with their ``funding``: count, gross, fees, funding, net without and with it, the Sharpe
+    ratio, final value and drawdown of both (returns over the first value, annual by the mean hold; the worse drawdown).
+
+    Values and their peaks are running totals by blocks of bars.
+    """
+    keys, block = list(by), F.floor(F.col("i") / B.SCAN)
+    first = trades.groupBy(*keys).agg(F.min_by("nav_before", "i").alias("_v0"))
+    t = trades.withColumn("_funded", F.col("net") - F.col("funding")).join(first, keys)
+    t = B.running(t, {"_a": ("sum", "net"), "_b": ("sum", "_funded")}, keys, ["i"], block)
+    t = t.withColumns({c: F.col(c) + F.col("_v0") for c in ("_a", "_b")})
+    t = B.running(t, {"_pa": ("max", "_a"), "_pb": ("max", "_b")}, keys, ["i"], block)
+    fall = lambda v, p: (F.greatest(p, "_v0") - F.col(v)) / F.greatest(p, "_v0")
+    g = t.groupBy(*keys).agg(
+        F.count("*").alias("trades"), F.sum("gross").alias("gross"), F.sum("cost").alias("fees"), F.sum("funding").alias("funding"), F.sum("net").alias("net"), F.sum("_funded").alias("net_funded"), F.first("_v0").alias("_v0"), F.avg("hold_bars").alias("_hold"),
+        *[x for n, c in (("", "net"), ("_funded", "_funded")) for x in (F.avg(F.col(c) / F.col("_v0")).alias(f"_m{n}"), F.stddev_pop(F.col(c) / F.col("_v0")).alias(f"_s{n}"))], F.max(F.greatest(fall("_a", "_pa"), fall("_b", "_pb"), F.lit(0.0))).alias("max_dd"))
+    year = F.sqrt(365 / F.greatest(F.col("_hold") * bar_days, F.lit(1e-6)))
+    sharpe = lambda n: F.when((F.col("trades") >= 2) & (F.col(f"_s{n}") > 0), F.col(f"_m{n}") / F.col(f"_s{n}") * year).otherwise(0.0)
+    g = g.withColumns({"sharpe": sharpe(""), "sharpe_funded": sharpe("_funded"), "final_nav": F.col("_v0") + F.col("net"), "final_nav_funded": F.col("_v0") + F.col("net_funded")})
+    return g.drop("_v0", "_hold", "_m", "_s", "_m_funded", "_s_funded")
+
+
+def replay_totals(report: DataFrame, mean_sharpe: float = 1.0, median_sharpe: float = 0.5, drawdown: float = 0.25) -> DataFrame:
+    """One row over the groups of a replay (few: one a symbol): sums, funding in percent of the net's size, median and mean
+    Sharpe ratio with funding, worst drawdown, and whether all three criteria hold."""
+    g = report.agg(F.count("*").alias("groups"), *[F.sum(c).alias(c) for c in ("gross", "fees", "funding", "net", "net_funded")], F.median("sharpe_funded").alias("median_sharpe"), F.avg("sharpe_funded").alias("mean_sharpe"), F.max("max_dd").alias("max_dd"))
+    go = (F.col("mean_sharpe") >= mean_sharpe) & (F.col("median_sharpe") >= median_sharpe) & (F.col("max_dd") <= drawdown)
+    return g.withColumns({"funding_pct": F.coalesce(F.col("funding") / F.nullif(F.abs("net"), F.lit(0.0)) * 100, F.lit(0.0)), "go": go})
 
 
 def by_month(rows: DataFrame, bars: DataFrame) -> DataFrame:
@@ -380,6 +405,13 @@ def last_n_runs(runs: DataFrame, n: int, exclude_errors: bool = False) -> DataFr
     return r.orderBy(F.desc("id")).limit(n)
 
 
+def stagnation(runs: DataFrame, n: int) -> DataFrame:
+    """One row: the last ``n`` templates, newest first, and whether there are as many and all are one."""
+    last = last_n_runs(runs, n).agg(F.sort_array(F.collect_list(F.struct("id", "template")), asc=False).alias("_l"))
+    names = F.transform("_l", lambda x: x["template"])
+    return last.select(names.alias("templates"), ((F.size("_l") == n) & (F.size(F.array_distinct(names)) == 1)).alias("stagnant"))
+
+
 def duplicate_configs(runs: DataFrame, window: int = 10) -> DataFrame:
     """Runs whose (template, config, cohort) occurs among the ``window`` runs before them, by id."""
     key = F.xxhash64("template", "config", "cohort")

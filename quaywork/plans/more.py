@@ -12,6 +12,7 @@ from ..operators import calibration as C
 from ..operators import ladder as L
 from ..operators import outcomes as O
 from ..sources import ingest as I
+from ..sources.paths import new_path
 from .registry import _PNL, DAY, HOUR, _panel, _slow, query, scalar, traded_query
 
 # --- ingest ---------------------------------------------------------------------------------------------------------
@@ -37,6 +38,17 @@ query("a19_backfill_worklist", f"SELECT ticker, slot, tier FROM (SELECT *, split
 query("a20_ingest_summary", "SELECT series, count(DISTINCT event_ticker) AS events, count(*) AS markets, count(n) AS with_trades, CAST(sum(coalesce(n, 0)) AS BIGINT) AS trades FROM (SELECT DISTINCT split_part(event_ticker, '-', 1) AS series, event_ticker, ticker FROM markets) m LEFT JOIN (SELECT ticker, count(*) AS n FROM trades WHERE trade_id % 3 = 0 GROUP BY ticker) t USING (ticker) GROUP BY series", ("markets", "trades"))(lambda m, t: I.ingest_summary(m, t.where("trade_id % 3 = 0")))
 query("a21_freshness", f"SELECT symbol, last_t, CASE WHEN last_t IS NULL THEN 'stale' WHEN 1000000000000000 - last_t > {7 * DAY} THEN 'very_stale' WHEN 1000000000000000 - last_t > {2 * DAY} THEN 'stale' ELSE 'fresh' END AS state FROM (SELECT DISTINCT symbol FROM bars) u LEFT JOIN (SELECT symbol, max(t) AS last_t FROM bars WHERE symbol <> 'Brand#11' GROUP BY symbol) l USING (symbol)", ("bars",))(lambda b: I.freshness(b.where("symbol <> 'Brand#11'"), b, DAY, 1_000_000_000_000_000))
 query("a22_load_current", "SELECT symbol, t, rate FROM funding WHERE t = (SELECT max(t) FROM funding)", ("funding",))(lambda f: I.load_current(f, "t").select("symbol", "t", "rate"))
+
+
+def _versions(f):
+    """Three versions, the first saved anew; the current one and that by name."""
+    spark, root = f.sparkSession, new_path(f.sparkSession, "calibrations")
+    for name, part in (("a", 0), ("b", 1), ("a", 2), ("c", 3)):
+        I.save_version(f.where(F.col("rate") % 4 == part), root, name)
+    return I.load_version(spark, root).withColumn("version", F.lit("current")).union(I.load_version(spark, root, "a").withColumn("version", F.lit("a")))
+
+
+query("a22_versions_by_name", "SELECT symbol, t, rate, CASE WHEN rate % 4 = 3 THEN 'current' ELSE 'a' END AS version FROM funding WHERE rate % 4 IN (2, 3)", ("funding",))(_versions)
 query("a25_parse_ticks", "SELECT user_id AS file, id AS line, CAST(fold AS INTEGER) AS entered, max(CASE WHEN id % 3 = 0 THEN id END) OVER (PARTITION BY user_id ORDER BY id) AS seen FROM runs QUALIFY id % 3 <> 0", ("runs",))(
     lambda r: I.parse_ticks(r.select(F.col("user_id").alias("file"), F.col("id").alias("line"), F.when(F.col("id") % 3 == 0, F.concat(F.date_format(F.timestamp_seconds("id"), "yyyy-MM-dd HH:mm:ss"), F.lit(" tick"))).otherwise(F.concat(F.lit("entered="), F.col("fold").cast("string"), F.lit(" rejected=1"))).alias("value"))).select("file", "line", "entered", F.unix_timestamp("at").alias("seen"))
 )

@@ -239,7 +239,7 @@ query("c08_join_panels", f"SELECT event, t, strike, p, q FROM {_PANEL} x", ("lad
 _SNAP = f"(SELECT event, t, max(abs(p - q)) AS max_gap, avg(abs(p - q)) AS mean_gap, sum(CASE WHEN p > 1e-12 THEN p * ln((p + 1e-12) / (q + 1e-12)) ELSE 0 END) AS kl, count(*) AS buckets FROM {_PANEL} x GROUP BY event, t)"
 query("d14_snapshot_metrics", f"SELECT * FROM {_SNAP} s", ("ladder",))(lambda l: L.snapshot_metrics(_panel(l)))
 query("d15_fold_stats", f"""SELECT fold, count(*) AS n, avg(CASE WHEN max_gap > 0.03 THEN 1e0 ELSE 0e0 END) AS over, median(max_gap) AS median, quantile_cont(max_gap, 0.9) AS p90, avg(kl) AS mean_kl, count(change) AS pairs FROM (SELECT a.*, b.max_gap - a.max_gap AS change, a.t // {30 * DAY} % 3 AS fold FROM {_SNAP} a LEFT JOIN {_SNAP} b ON a.event = b.event AND b.t = a.t + {30 * DAY}) x GROUP BY fold""", ("ladder",))(lambda l: L.fold_stats(L.snapshot_metrics(_panel(l)).withColumn("fold", (F.col("t") / (30 * DAY)).cast("long") % 3), "fold", 30 * DAY).drop("beta", "half_life"))
-query("d16_ols", f"SELECT event, count(*) AS n, regr_slope(kl, max_gap) AS slope, regr_intercept(kl, max_gap) AS intercept, regr_r2(kl, max_gap) AS r2 FROM {_SNAP} s GROUP BY event", ("ladder",))(lambda l: L.ols(L.snapshot_metrics(_panel(l)), "max_gap", "kl", ["event"], 3).drop("t_stat"))
+query("d16_ols", f"SELECT event, n, slope, intercept, slope / nullif(sqrt(greatest(0, syy - slope * slope * sxx) / nullif(n - 2, 0) / nullif(sxx, 0)), 0) AS t_stat, r2 FROM (SELECT event, count(*) AS n, regr_slope(kl, max_gap) AS slope, regr_intercept(kl, max_gap) AS intercept, regr_r2(kl, max_gap) AS r2, regr_sxx(kl, max_gap) AS sxx, regr_syy(kl, max_gap) AS syy FROM {_SNAP} s GROUP BY event) x", ("ladder",))(lambda l: L.ols(L.snapshot_metrics(_panel(l)), "max_gap", "kl", ["event"], 3))
 query("d18_signed_gap", f"SELECT strike AS position, count(*) AS n, avg(p - q) AS mean, stddev_samp(p - q) AS sigma, median(p - q) AS median FROM {_PANEL} x GROUP BY strike", ("ladder",))(lambda l: L.signed_gap_table(_panel(l), "strike").drop("t_stat"))
 query("d19_gap_by_decile", f"SELECT decile, count(*) AS n, avg(max_gap) AS mean_gap, median(max_gap) AS median_gap, avg(kl) AS mean_kl FROM (SELECT s.*, least(9, CAST(floor((s.t - o) / CAST(c - o AS DOUBLE) * 10) AS INTEGER)) AS decile FROM {_SNAP} s JOIN (SELECT event, min(t) AS o, max(t) AS c FROM ladder GROUP BY event) e USING (event)) x GROUP BY decile", ("ladder",))(lambda l: L.gap_by_decile(L.snapshot_metrics(_panel(l)), l.groupBy("event").agg(F.min("t").alias("opened"), F.max("t").alias("closed"))))
 
@@ -251,6 +251,7 @@ query("d27_status_rollup", "SELECT template, cohort, count(*) AS n, count(*) FIL
 query("d28_fold_rollup", "SELECT template, user_id, count(*) FILTER (status = 'scored') AS scored, avg(CASE WHEN status = 'scored' THEN score END) AS mean, min(CASE WHEN status = 'scored' THEN score WHEN status = 'catastrophic' THEN -1000 ELSE -9999 END) AS worst, count(*) AS folds, CASE WHEN count(*) FILTER (status = 'scored') >= 2 THEN stddev_pop(CASE WHEN status = 'scored' THEN score END) ELSE 0 END AS sigma, count(*) FILTER (status = 'scored') = count(*) AS consistent FROM runs GROUP BY template, user_id", ("runs",))(lambda r: O.fold_rollup(r, ["template", "user_id"]))
 query("d30_search_report", "SELECT template, count(*) AS n, count(s) AS scored, count(s) / CAST(count(*) AS DOUBLE) AS rate, max(s) AS best, max(CASE WHEN r = m - m // 2 THEN s END) AS median, avg(CASE WHEN r <= 10 THEN s END) AS top_mean FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY s DESC NULLS LAST, id) AS r, count(s) OVER (PARTITION BY template) AS m FROM (SELECT *, CASE WHEN status = 'scored' THEN score END AS s FROM runs) x) y GROUP BY template", ("runs",))(O.search_report)
 query("f01_top_configs", "SELECT template, place, id, score FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY score DESC, id) AS place FROM runs WHERE status = 'scored') x WHERE place <= 5", ("runs",))(lambda r: O.top_configs(r, 5).select("template", "place", "id", "score"))
+query("f02_stagnation", "SELECT to_json(list(template ORDER BY id DESC)) AS templates, count(*) = 12 AND count(DISTINCT template) = 1 AS stagnant FROM (SELECT * FROM runs ORDER BY id DESC LIMIT 12) x", ("runs",))(lambda r: O.stagnation(r, 12).select(F.to_json("templates").alias("templates"), "stagnant"))
 query("f02_last_n_runs", "SELECT id, template, status FROM runs WHERE status <> 'error' ORDER BY id DESC LIMIT 25", ("runs",))(lambda r: O.last_n_runs(r, 25, True).select("id", "template", "status"))
 query("g04_duplicate_configs", "SELECT id, previous FROM (SELECT id, lag(id) OVER (PARTITION BY template, config, cohort ORDER BY id) AS previous FROM runs) x WHERE id - previous <= 10", ("runs",))(O.duplicate_configs)
 query("i09_retention", "SELECT i.template, i.cohort, f.folds_scored, f.fold_mean / nullif(i.score, 0) AS retention FROM (SELECT template, cohort, max(score) AS score FROM runs WHERE status = 'scored' GROUP BY 1, 2) i LEFT JOIN (SELECT template, cohort, count(*) AS folds_scored, avg(score) AS fold_mean FROM runs WHERE status = 'scored' GROUP BY 1, 2) f USING (template, cohort)", ("runs",))(lambda r: O.retention_report(r.where("status = 'scored'").groupBy("template", "cohort").agg(F.max("score").alias("score")), r, ["template", "cohort"]).select("template", "cohort", "folds_scored", "retention"))

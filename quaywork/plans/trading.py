@@ -262,7 +262,24 @@ chained("i10_funding_adjust", ("bars", "funding"), [*_BASE, ("cost", _COST)], f"
     lambda b, f: A.interval_sum_join(O.trade_costs(O.barrier_label(O.entry_fill(_sig(b), b), b)).select("symbol", F.col("i").alias("a"), F.col("exit_i").alias("z"), "net"), f.select(F.concat(F.lit("Brand#1"), F.substring("symbol", 2, 1)).alias("symbol"), (F.floor(F.col("t") / DAY) - 19700).cast("long").alias("k"), "rate"), ["symbol"], "a", "z", "k", "rate", "funding").withColumn("funding", F.col("funding").cast("long"))
 )
 chained("d32_cross_coin_report", ("bars",), [*_RUN, *_stats(), ("ev", _evaluated(min_trades=5))], "SELECT 'base' AS config, count(*) FILTER (status = 'scored') AS scored, avg(CASE WHEN status = 'scored' THEN score END) AS mean, min(CASE WHEN status = 'scored' THEN score WHEN status = 'catastrophic' THEN -1000 ELSE -9999 END) AS worst, count(*) AS folds, CASE WHEN count(*) FILTER (status = 'scored') >= 2 THEN stddev_pop(CASE WHEN status = 'scored' THEN score END) ELSE 0 END AS sigma, count(*) FILTER (status = 'scored') = count(*) AS consistent FROM ev", keep=True)(lambda b: O.fold_rollup(O.evaluate(_run(b), b, min_trades=5).withColumn("config", F.lit("base")), ["config"]))
-chained("d33_replay_report", ("bars",), _RUN, "SELECT symbol, count(*) AS trades, sum(gross) AS gross, sum(cost) AS fees, sum(net) AS net, avg(net) / nullif(stddev_pop(net), 0) AS sharpe FROM sim GROUP BY symbol", keep=True)(lambda b: O.replay_report(_run(b)))
+_FUNDED = [
+    *_RUN,
+    ("fd", f"SELECT s.symbol, s.i, s.gross, s.cost, s.net, s.nav_before, s.hold_bars, s.units * s.entry * coalesce(sum(f.rate), 0) / 1e6 * CASE WHEN s.direction = 'long' THEN 1 ELSE -1 END AS funding FROM sim s LEFT JOIN {_FUND} f ON f.symbol = s.symbol AND f.k >= s.i AND f.k < s.exit_i GROUP BY s.symbol, s.i, s.gross, s.cost, s.net, s.nav_before, s.hold_bars, s.units, s.entry, s.direction"),
+    ("nv", "SELECT *, first_value(nav_before) OVER w AS v0, first_value(nav_before) OVER w + sum(net) OVER w AS va, first_value(nav_before) OVER w + sum(net - funding) OVER w AS vb FROM fd WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING)"),
+    ("pk", "SELECT *, greatest(v0, max(va) OVER w) AS pa, greatest(v0, max(vb) OVER w) AS pb FROM nv WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING)"),
+    ("rp", """SELECT symbol, trades, gross, fees, funding, net, net_funded, max_dd, v0 + net AS final_nav, v0 + net_funded AS final_nav_funded, CASE WHEN trades >= 2 AND sa > 0 THEN ma / sa * y ELSE 0 END AS sharpe, CASE WHEN trades >= 2 AND sb > 0 THEN mb / sb * y ELSE 0 END AS sharpe_funded FROM (
+ SELECT symbol, count(*) AS trades, sum(gross) AS gross, sum(cost) AS fees, sum(funding) AS funding, sum(net) AS net, sum(net - funding) AS net_funded, max(greatest(0, (pa - va) / pa, (pb - vb) / pb)) AS max_dd, any_value(v0) AS v0, avg(net / v0) AS ma, stddev_pop(net / v0) AS sa, avg((net - funding) / v0) AS mb, stddev_pop((net - funding) / v0) AS sb, sqrt(365 / greatest(avg(hold_bars), 1e-6)) AS y FROM pk GROUP BY symbol) x"""),
+]
+
+
+def _replayed(b, f):
+    ticks = f.select(F.concat(F.lit("Brand#1"), F.substring("symbol", 2, 1)).alias("symbol"), (F.floor(F.col("t") / DAY) - 19700).cast("long").alias("k"), "rate")
+    paid = A.interval_sum_join(_run(b), ticks, ["symbol"], "i", "exit_i", "k", "rate", "rates")
+    return O.replay_report(paid.withColumn("funding", F.col("units") * F.col("entry") * F.col("rates") / 1e6 * F.when(F.col("direction") == "long", 1).otherwise(-1)))
+
+
+chained("d33_replay_report", ("bars", "funding"), _FUNDED, "SELECT * FROM rp", keep=True)(_replayed)
+chained("d33_replay_totals", ("bars", "funding"), _FUNDED, "SELECT *, coalesce(funding / nullif(abs(net), 0) * 100, 0) AS funding_pct, mean_sharpe >= 1 AND median_sharpe >= 0.5 AND max_dd <= 0.25 AS go FROM (SELECT count(*) AS groups, sum(gross) AS gross, sum(fees) AS fees, sum(funding) AS funding, sum(net) AS net, sum(net_funded) AS net_funded, median(sharpe_funded) AS median_sharpe, avg(sharpe_funded) AS mean_sharpe, max(max_dd) AS max_dd FROM rp) x", keep=True)(lambda b, f: O.replay_totals(_replayed(b, f)))
 
 # --- ladders and lookups without a twin before -----------------------------------------------------------------------
 

@@ -216,6 +216,26 @@ def load_current(versions: DataFrame, at: str = "built_at") -> DataFrame:
     return versions.join(F.broadcast(versions.agg(F.max(at).alias(at))), at)
 
 
+def save_version(df: DataFrame, root: str, name: str) -> None:
+    """Writes a version under a name and then points to it: whoever reads sees the old version or the whole new one. A name
+    that is saved again is replaced; one writer at a time."""
+    spark = df.sparkSession
+    path = f"{root}/versions/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    pointer = f"{root}/pointers"
+    n = spark.read.parquet(pointer).agg(F.max("n")).first()[0] + 1 if exists(spark, pointer) else 0
+    spark.createDataFrame([(n, name, path)], "n long, name string, path string").coalesce(1).write.mode("append").parquet(pointer)
+
+
+def load_version(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
+    """The version last saved under ``name``, or the current one: that last saved at all."""
+    pointer = f"{root}/pointers"
+    found = spark.read.parquet(pointer).where(F.lit(True) if name is None else F.col("name") == name).agg(F.max_by("path", "n")).first()[0] if exists(spark, pointer) else None
+    if found is None:
+        raise FileNotFoundError(f"no version {name or 'at all'} in {root}")
+    return spark.read.parquet(found)
+
+
 def read_cohorts(df: DataFrame, column: str = "raw") -> DataFrame:
     m = df.select(F.explode(F.from_json(column, "map<string,array<string>>")).alias("cohort", "symbols"))
     return m.select("cohort", F.explode("symbols").alias("symbol")).withColumn("symbol", F.regexp_replace("symbol", "_PERP$", "-PERP"))

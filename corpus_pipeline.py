@@ -11,10 +11,17 @@ from quaywork.llm import decontamination, ngram_jaccard, packing, suffix_dedup,
 from quaywork.llm.common import scratch, table
 
 
+def _beside(docs: DataFrame, names: tuple[str, ...], stage) -> DataFrame:
+    """What ``stage`` gives, where columns of ``docs`` that have names of its own results are out of its way."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c in names}
+    out = stage(docs.withColumnsRenamed(aside)).drop(*names)
+    return out.withColumnsRenamed({v: c for c, v in aside.items()}).select(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not call toxic."""
+    """Documents that the toxicity model does not call toxic (a score below 0.5), those without an id or text among them."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.5").drop("score")
+    return _beside(docs, ("score",), lambda d: toxicity.score(d, model).where("score < 0.5"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +32,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 100 bytes that also start earlier; a text of which nothing is left goes."""
-    kept = suffix_dedup.remove_repeats(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
-    left = kept.where("octet_length(text) > 0 or n_removed = 0")
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Texts without the strings of 100 bytes that also start earlier, ``n_chars`` anew; a text of which nothing is left
+    goes, one that was empty or null stays."""
+
+    def stage(d: DataFrame) -> DataFrame:
+        kept = suffix_dedup.remove_repeats(d, carry=[c for c in d.columns if c not in ("doc_id", "text")])
+        left = kept.where("octet_length(text) > 0 or n_removed = 0")
+        return left.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in d.columns else left
+
+    return _beside(docs, ("n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "stops"), stage)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    """Documents without a benchmark window, those without an id, text or words among them."""
+    results = ("n_words", "n_hit", "items", "spans")
+    return _beside(docs, results, lambda d: decontamination.contamination(d, table(spark, sf_dir, "benchmark")).where("n_hit = 0"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ class Exits(StatefulProcessor):
 
 
 class Silence(StatefulProcessor):
-    """The last time of a symbol, and what has been said of it since."""
+    """The last time of a symbol that the watermark has passed, what has been said of it since, and times that wait."""
 
     def __init__(self, stale_us: int, very_us: int):
         self.stale, self.very = stale_us, very_us
@@ -103,6 +103,7 @@ class Silence(StatefulProcessor):
     def init(self, handle):
         self.handle = handle
         self.last = handle.getValueState("last", "us long, seen boolean, said string")
+        self.waiting = handle.getListState("waiting", "us long")
 
     def handleInitialState(self, key, initialState, timerValues):
         since = int(initialState["us"].max())
@@ -110,26 +111,49 @@ class Silence(StatefulProcessor):
         _rearm(self.handle, [since + self.stale])
 
     def handleInputRows(self, key, rows, timerValues):
-        now = max(int(f["us"].max()) for f in rows if len(f))
-        us, seen, said = self.last.get() if self.last.exists() else (now, False, "fresh")
-        last = max(now, us) if seen else now
-        self.last.update((last, True, "fresh" if last > us or not seen else said))
-        if last > us or not seen:
-            _rearm(self.handle, [last + self.stale])
-        if said != "fresh" and (last > us or not seen):
-            yield self._row(key, last, True, "fresh", last)
+        new = sorted({t for f in rows for t in f["us"].tolist()})
+        if new:
+            self.waiting.appendList([(t,) for t in new])
+            at = [t * 1000 for t in self.handle.listTimers()]
+            if not at or new[0] < min(at):
+                _rearm(self.handle, [*new[:1], *at])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        us, seen, said = self.last.get()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        state = "very_stale" if seen and passed > us + self.very else "stale"
-        _rearm(self.handle, [us + self.very] if seen and state == "stale" else [])
-        if state != said:
-            self.last.update((us, seen, state))
-            yield self._row(key, us, seen, state, us + (self.very if state == "very_stale" else self.stale))
-
-    def _row(self, key, us, seen, state, at):
-        return pd.DataFrame({"symbol": [key[0]], "last_us": pd.Series([us if seen else None], dtype="Int64"), "state": [state], "at_us": [at]})
+        times = sorted(t for (t,) in self.waiting.get())
+        state, out = self.last.get() if self.last.exists() else None, []
+
+        def say(what: str, at: int) -> None:
+            nonlocal state
+            out.append((key[0], state[0] if state[1] else None, what, at))
+            state = (state[0], state[1], what)
+
+        def silent_until(now: int) -> None:
+            if state[2] == "fresh" and now > state[0] + self.stale:
+                say("stale", state[0] + self.stale)
+            if state[2] == "stale" and state[1] and now > state[0] + self.very:
+                say("very_stale", state[0] + self.very)
+
+        for t in (t for t in times if t < passed):
+            if state is not None:
+                silent_until(t)
+            back = state is not None and state[2] != "fresh"
+            state = (t, True, state[2] if back else "fresh")
+            if back:
+                say("fresh", t)
+        left = [t for t in times if t >= passed]
+        if left:
+            self.waiting.put([(t,) for t in left])
+        else:
+            self.waiting.clear()
+        if state is not None:
+            silent_until(passed)
+            self.last.update(state)
+            left += [state[0] + self.stale] if state[2] == "fresh" else [state[0] + self.very] if state[2] == "stale" and state[1] else []
+        _rearm(self.handle, left)
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "last_us", "state", "at_us"]).astype({"last_us": "Int64"})
 
     def close(self):
         pass

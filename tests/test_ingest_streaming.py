@@ -142,13 +142,10 @@ def test_stream_freshness(spark, tmp_path, rocks, split):
     bars = arrivals(spark, tmp_path, "f", "symbol string, ts timestamp", [[r] for r in rows] if split else [rows])
     universe = spark.createDataFrame([(s, hour(0)) for s in ("a", "b", "c", "never")], "symbol string, since timestamp")
     got = run(spark, tmp_path, streams.stream_freshness(bars, universe, 8 * 3_600_000_000, 30 * 3_600_000_000), f"fresh_{split}")
-    last = {}
-    for r in sorted(got, key=lambda r: (r.at, r.state)):
-        last[r.symbol] = (r.last_ts, r.state, r.at)
-    assert last["a"] == (hour(3), "very_stale", hour(33)) and last["never"] == (None, "stale", hour(8)) and last.get("c", (None, "fresh"))[1] == "fresh"
-    assert last.get("b", (None, "fresh"))[1] == "fresh"
-    if split:
-        assert [(r.state, r.at) for r in sorted(got, key=lambda r: r.at) if r.symbol == "b"] == [("stale", hour(28)), ("fresh", hour(40))]
+    said = sorted((r.symbol, r.at, r.state, r.last_ts) for r in got)
+    assert said == [
+        ("a", hour(11), "stale", hour(3)), ("a", hour(33), "very_stale", hour(3)), ("b", hour(8), "stale", hour(0)), ("b", hour(10), "fresh", hour(10)), ("b", hour(18), "stale", hour(10)), ("b", hour(20), "fresh", hour(20)), ("b", hour(28), "stale", hour(20)), ("b", hour(40), "fresh", hour(40)), ("c", hour(8), "stale", None), ("c", hour(39), "fresh", hour(39)), ("never", hour(8), "stale", None),
+    ]
 
 
 def test_stream_bars_shadow(spark, tmp_path):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import kept
+
 #: Ranks of the sketch are right to n / ACCURACY; the range it leaves is cut into PARTS.
 ACCURACY, PARTS = 20_000, 1_024
 
@@ -16,7 +18,8 @@ def exact_quantiles(df: DataFrame, by: list[str], column: str | Column, quantile
     above are left out) says how far within them the rank lies; the range is cut into equal parts, and only the part
     that holds the rank is sorted. All are sums before any shuffle, so a group that holds all rows is spread over all
     tasks. What is sorted is some hundred-thousandth of a group, or fewer where values are equal. A sketch that does
-    not enclose its rank ends the job rather than give a wrong value. Null and NaN values and rows with a null in ``by`` are
+    not enclose its rank ends the job rather than give a wrong value. What a sketch gives depends on the order in which
+    its parts arrive, so it is made once and written down, as are the counts. Null and NaN values and rows with a null in ``by`` are
     left out; a group of
     them alone gives no row. Without ``by`` there is one row, or none.
     """
@@ -31,14 +34,14 @@ def exact_quantiles(df: DataFrame, by: list[str], column: str | Column, quantile
     at = lambda x: F.element_at("_s", asked.index(x) + 1)
     few = F.col("_n") < ACCURACY  # there a rank's neighbour may lie beyond the slack
     wanted = [F.struct(F.lit(k).alias("q"), F.when(few, F.col("_min")).otherwise(at(lo)).alias("lo"), F.when(few, F.col("_max")).otherwise(at(hi)).alias("hi"), ((F.col("_n") - 1) * F.lit(float(q))).alias("place")) for k, (q, (lo, hi)) in enumerate(zip(quantiles.values(), edges, strict=True))]
-    g = g.select(*keys, F.array(*wanted).alias("_w"))
+    g = kept(g.select(*keys, F.array(*wanted).alias("_w")))
     rows = d.join(g if by else F.broadcast(g), keys)  # without groups, g is one row
     rows = rows.select(*keys, "_v", F.explode("_w").alias("_w")).where("_v <= _w.hi")
     own = [*keys, "_w"]
     counted = rows.groupBy(*own, F.when(F.col("_v") >= F.col("_w.lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
     width = F.nullif(F.col("_w.hi") - F.col("_w.lo"), F.lit(0.0))
     part = F.when(F.col("_v").isNull(), -1).otherwise(F.coalesce(F.least(F.floor((F.col("_v") - F.col("_w.lo")) / width * PARTS), F.lit(PARTS)), F.lit(0)))
-    counted = counted.withColumn("_part", part.cast("int"))
+    counted = kept(counted.withColumn("_part", part.cast("int")))
     a, b = F.floor("_w.place"), F.ceil("_w.place")
     over = Window.partitionBy(*own).orderBy("_part")
     parts = counted.groupBy(*own, "_part").agg(F.sum("_c").alias("_m")).withColumn("_before", F.sum("_m").over(over) - F.col("_m"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -94,69 +96,103 @@ class Exits(StatefulProcessor):
         pass
 
 
-class Silence(StatefulProcessor):
-    """The last time of a symbol that the watermark has passed, what has been said of it since, and times that wait."""
+class _Lane(StatefulProcessor):
+    """What the keys of one lane hold, as one value, and one timer at the first of their times.
 
-    def __init__(self, stale_us: int, very_us: int):
-        self.stale, self.very = stale_us, very_us
+    A key of its own costs calls to the state store whenever it has rows or a timer, so many keys share a lane. ``keys``
+    is a JSON list of a key and what it holds.
+    """
 
     def init(self, handle):
         self.handle = handle
-        self.last = handle.getValueState("last", "us long, seen boolean, said string")
-        self.waiting = handle.getListState("waiting", "us long")
+        self.held = handle.getValueState("held", "keys string, armed long")
+
+    def _load(self) -> tuple[dict, int | None]:
+        found = self.held.get()
+        return ({}, None) if found is None else ({k[0]: k[1:] for k in json.loads(found[0])}, found[1])
+
+    def _save(self, keys: dict, armed: int | None, at_us: list[int]) -> None:
+        due = min(at_us) // 1000 + 1 if at_us else None
+        if due != armed:
+            if armed is not None:
+                self.handle.deleteTimer(armed)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if keys:
+            self.held.update((json.dumps([[k, *v] for k, v in keys.items()], separators=(",", ":")), due))
+        else:
+            self.held.clear()
+
+    def close(self):
+        pass
+
+
+class Silence(_Lane):
+    """The last time of each symbol that the watermark has passed, what has been said of it since, and times that wait."""
+
+    def __init__(self, stale_us: int, very_us: int):
+        self.stale, self.very = stale_us, very_us
 
     def handleInitialState(self, key, initialState, timerValues):
-        since = int(initialState["us"].max())
-        self.last.update((since, False, "fresh"))
-        _rearm(self.handle, [since + self.stale])
+        symbols, armed = self._load()
+        for symbol, us in zip(initialState["symbol"].tolist(), initialState["us"].tolist(), strict=True):
+            since = max(int(us), symbols[symbol][0] if symbol in symbols else int(us))
+            symbols[symbol] = [since, False, "fresh", []]
+        self._save(symbols, armed, self._times(symbols))
 
     def handleInputRows(self, key, rows, timerValues):
-        new = sorted({t for f in rows for t in f["us"].tolist()})
+        new: dict = {}
+        for f in rows:
+            for symbol, us in zip(f["symbol"].tolist(), f["us"].tolist(), strict=True):
+                new.setdefault(symbol, set()).add(us)
         if new:
-            self.waiting.appendList([(t,) for t in new])
-            at = [t * 1000 for t in self.handle.listTimers()]
-            if not at or new[0] < min(at):
-                _rearm(self.handle, [*new[:1], *at])
+            symbols, armed = self._load()
+            for symbol, times in new.items():
+                symbols.setdefault(symbol, [None, False, "", []])[3] += sorted(times)
+            self._save(symbols, armed, self._times(symbols))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        times = sorted(t for (t,) in self.waiting.get())
-        state, out = self.last.get() if self.last.exists() else None, []
+        symbols, armed = self._load()
+        out: list[tuple] = []
+        for symbol, held in symbols.items():
+            self._pass(symbol, held, passed, out)
+        self._save(symbols, armed, self._times(symbols))
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "last_us", "state", "at_us"]).astype({"last_us": "Int64"})
 
-        def say(what: str, at: int) -> None:
-            nonlocal state
-            out.append((key[0], state[0] if state[1] else None, what, at))
-            state = (state[0], state[1], what)
+    def _pass(self, symbol, held: list, passed: int, out: list[tuple]) -> None:
+        """Takes the times of a symbol that the watermark has passed, in order."""
+        last, seen, said, waiting = held
 
         def silent_until(now: int) -> None:
-            if state[2] == "fresh" and now > state[0] + self.stale:
-                say("stale", state[0] + self.stale)
-            if state[2] == "stale" and state[1] and now > state[0] + self.very:
-                say("very_stale", state[0] + self.very)
-
-        for t in (t for t in times if t < passed):
-            if state is not None:
+            nonlocal said
+            if said == "fresh" and now > last + self.stale:
+                said = "stale"
+                out.append((symbol, last if seen else None, said, last + self.stale))
+            if said == "stale" and seen and now > last + self.very:
+                said = "very_stale"
+                out.append((symbol, last, said, last + self.very))
+
+        for t in sorted(t for t in waiting if t < passed):
+            if last is not None:
                 silent_until(t)
-            back = state is not None and state[2] != "fresh"
-            state = (t, True, state[2] if back else "fresh")
+            back = last is not None and said != "fresh"
+            last, seen, said = t, True, "fresh"
             if back:
-                say("fresh", t)
-        left = [t for t in times if t >= passed]
-        if left:
-            self.waiting.put([(t,) for t in left])
-        else:
-            self.waiting.clear()
-        if state is not None:
+                out.append((symbol, t, said, t))
+        if last is not None:
             silent_until(passed)
-            self.last.update(state)
-            left += [state[0] + self.stale] if state[2] == "fresh" else [state[0] + self.very] if state[2] == "stale" and state[1] else []
-        _rearm(self.handle, left)
-        if out:
-            yield pd.DataFrame(out, columns=["symbol", "last_us", "state", "at_us"]).astype({"last_us": "Int64"})
-
-    def close(self):
-        pass
+        held[:] = last, seen, said, [t for t in waiting if t >= passed]
+
+    def _times(self, symbols: dict) -> list[int]:
+        """The times at which there is something to do."""
+        at = []
+        for last, seen, said, waiting in symbols.values():
+            at += [min(waiting)] if waiting else []
+            at += [last + self.stale] if said == "fresh" else [last + self.very] if said == "stale" and seen else []
+        return at
 
 
 class Settlement(StatefulProcessor):

@@ -18,6 +18,12 @@ from ..sources import ingest
 from . import machines
 
 DAY_US = 86_400_000_000
+#: Keys of one hash are one lane of state: what calls to the state store cost does not grow with the keys.
+LANES = 4096
+
+
+def _lane(key: str, lanes: int):
+    return F.pmod(F.xxhash64(key), F.lit(lanes)).alias("lane")
 
 
 def _started(df: DataFrame, each: Callable[[DataFrame, int], object], checkpoint: str):
@@ -112,16 +118,17 @@ def stream_barriers(bars: DataFrame, positions: DataFrame, ends: DataFrame | Non
     return out.select("id", "symbol", F.timestamp_micros("us").alias("ts"), "price", "reason")
 
 
-def stream_freshness(bars: DataFrame, universe: DataFrame | None = None, stale_us: int = 8 * 3_600_000_000, very_us: int = 7 * DAY_US, delay: str = "1 hour") -> DataFrame:
+def stream_freshness(bars: DataFrame, universe: DataFrame | None = None, stale_us: int = 8 * 3_600_000_000, very_us: int = 7 * DAY_US, delay: str = "1 hour", lanes: int = LANES) -> DataFrame:
     """(symbol, last_ts, state, at): a row whenever a symbol has been silent for ``stale_us`` (``stale``) and ``very_us``
     (``very_stale``), and when it comes back (``fresh``).
 
     ``universe`` (symbol, since) is the state that the stream begins with: a symbol that never has a bar is ``stale`` from
-    ``since`` on, ``last_ts`` null. A symbol's state is its last time and one timer, armed anew by every bar.
+    ``since`` on, ``last_ts`` null. Of a symbol its last time is held, and the times that wait for the watermark; symbols
+    are dealt to ``lanes``, of which each is one key with one value and one timer.
     """
-    first = None if universe is None else universe.select("symbol", F.unix_micros("since").alias("us")).groupBy("symbol")
-    timed = bars.select("symbol", "ts").withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    out = timed.groupBy("symbol").transformWithStateInPandas(machines.Silence(stale_us, very_us), "symbol string, last_us long, state string, at_us long", "append", "eventTime", first)
+    first = None if universe is None else universe.select("symbol", F.unix_micros("since").alias("us"), _lane("symbol", lanes)).groupBy("lane")
+    timed = bars.select("symbol", "ts").withWatermark("ts", delay).select("symbol", F.unix_micros("ts").alias("us"), "ts", _lane("symbol", lanes))
+    out = timed.groupBy("lane").transformWithStateInPandas(machines.Silence(stale_us, very_us), "symbol string, last_us long, state string, at_us long", "append", "eventTime", first)
     return out.select("symbol", F.timestamp_micros("last_us").alias("last_ts"), "state", F.timestamp_micros("at_us").alias("at"))
 
 

@@ -210,3 +210,26 @@ def test_upsert_keeps_columns_and_other_errors(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)parquet|footer"):
         ingest.upsert_partitioned(old, f"file://{bad}", ["k"], "part")
     assert (bad / "x.parquet").exists()
+
+
+def state_rows(spark, stream, tmp_path, name):
+    """What the stream gives, and the most keys that its state has held."""
+    q = stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/{name}").option("checkpointLocation", f"file://{tmp_path}/cp-{name}").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return spark.read.schema(stream.schema).parquet(f"file://{tmp_path}/{name}").collect(), max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"])
+
+
+def test_symbols_share_lanes_of_state(spark, tmp_path, rocks):
+    """State of few lanes, however many keys; each key is told as if it were alone."""
+    names = [f"s{k}" for k in range(30)]
+    bars = [[(s, day(1, k % 5)) for k, s in enumerate(names)], [(s, day(3)) for s in names[::3]], [("~", day(9))]]
+    universe = spark.createDataFrame([(s, day(1)) for s in [*names, "never"]], "symbol string, since timestamp")
+    got, n = state_rows(spark, streams.stream_freshness(arrivals(spark, tmp_path, "lb", "symbol string, ts timestamp", bars), universe, 86_400_000_000, 2 * 86_400_000_000 + 1, lanes=3), tmp_path, "lf")
+    want = [("never", day(2), "stale", None)]
+    for k, s in enumerate(names):
+        at = [day(1, k % 5), day(3)] if k % 3 == 0 else [day(1, k % 5)]
+        for t in at:
+            want += [(s, t, "fresh", t)] * (t == day(3)) + [(s, t + dt.timedelta(days=1), "stale", t)]
+        want.append((s, at[-1] + dt.timedelta(days=2, microseconds=1), "very_stale", at[-1]))
+    assert sorted((r.symbol, r.at, r.state, r.last_ts or dt.datetime.min) for r in got) == sorted((s, a, w, t or dt.datetime.min) for s, a, w, t in want)
+    assert n <= 3 * 3  # values, and timers in two orders

@@ -195,57 +195,52 @@ class Silence(_Lane):
         return at
 
 
-class Settlement(StatefulProcessor):
-    """The last final update of a market, and its positions with what has been said of them."""
+class Settlement(_Lane):
+    """The last final update of each market, and its positions with what has been said of them."""
 
     def __init__(self, keep_us: int):
         self.keep = keep_us
 
-    def init(self, handle):
-        self.handle = handle
-        self.final = handle.getValueState("final", "us long, state string, result string")
-        self.held = handle.getListState("held", "id long, us long, side string, reward long, risk long, said string, pnl long, revision int")
-
     def handleInputRows(self, key, rows, timerValues):
-        final = self.final.get() if self.final.exists() else None
-        held, changed, seen = list(self.held.get()), False, []
+        new: dict = {}
         for f in rows:
-            seen += f["seen"].tolist()
-            for us, id_, a, b, reward, risk in zip(f["us"].tolist(), f["id"], f["a"], f["b"], f["reward"].tolist(), f["risk"].tolist(), strict=True):
-                if pd.isna(id_):
-                    # of two updates at one time the greater counts, whichever comes first
-                    final = max(final or (us, a, b or ""), (us, a, b or ""))
-                else:
-                    held.append((int(id_), us, a, int(reward), int(risk), "", 0, -1))
-                changed = True
-        if not changed:
+            for row in zip(*(f[c].tolist() for c in ("ticker", "seen", "us", "id", "a", "b", "reward", "risk")), strict=True):
+                new.setdefault(row[0], []).append(row[1:])
+        if not new:
             return
-        out, now = [], []
-        for p in held:
+        markets, armed = self._load()
+        out: list[tuple] = []
+        for ticker, given in new.items():
+            self._settle(ticker, markets.setdefault(ticker, [None, None, []]), given, out)
+        self._save(markets, armed, [until for _, until, _ in markets.values() if until is not None])
+        if out:
+            yield pd.DataFrame(out, columns=["id", "ticker", "state", "pnl", "revision"])
+
+    def _settle(self, ticker, market: list, given: list[tuple], out: list[tuple]) -> None:
+        final, until, held = market
+        final = final and tuple(final)
+        for _, us, id_, a, b, reward, risk in given:
+            if pd.isna(id_):
+                # of two updates at one time the greater counts, whichever comes first
+                final = max(final or (us, a, b or ""), (us, a, b or ""))
+            else:
+                held.append([int(id_), us, a, int(reward), int(risk), "", 0, -1])
+        for p in held if final is not None else ():
             id_, us, side, reward, risk, said, pnl, revision = p
-            if final is not None and us <= final[0]:
+            if us <= final[0]:
                 won = (side == "sell_yes") == (final[2] == "no")
                 new = (final[1], 0 if final[1] == "void" else reward if won else -risk)
                 if new != (said, pnl) or revision < 0:
-                    revision += 1
-                    out.append((id_, key[0], *new, revision))
-                    said, pnl = new
-            now.append((id_, us, side, reward, risk, said, pnl, revision))
-        if now:
-            self.held.put(now)
-        if final is not None:
-            self.final.update(final)
-            _rearm(self.handle, [max(int(f) for f in seen) + self.keep])
-        if out:
-            yield pd.DataFrame(out, columns=["id", "ticker", "state", "pnl", "revision"])
+                    p[5:] = *new, revision + 1
+                    out.append((id_, ticker, *new, revision + 1))
+        market[:] = final, until if final is None else max(int(g[0]) for g in given) + self.keep, held
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        left = [p for p in self.held.get() if p[7] < 0]  # the settled ones are done with
-        if left:
-            self.held.put(left)
-        else:
-            self.held.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        markets, armed = self._load()
+        for market in markets.values():
+            final, until, held = market
+            if until is not None and until // 1000 + 1 <= passed:
+                market[:] = final, None, [p for p in held if p[7] < 0]  # the settled ones are done with
+        self._save(markets, armed, [until for _, until, _ in markets.values() if until is not None])
         return iter(())
-
-    def close(self):
-        pass

@@ -65,22 +65,22 @@ def stream_candidates(books: DataFrame, markets: DataFrame, curves: DataFrame, r
     return _started(books, scan, checkpoint)
 
 
-def stream_settle(updates: DataFrame, positions: DataFrame, delay: str = "1 hour", keep_us: int = 30 * DAY_US) -> DataFrame:
+def stream_settle(updates: DataFrame, positions: DataFrame, delay: str = "1 hour", keep_us: int = 30 * DAY_US, lanes: int = LANES) -> DataFrame:
     """(id, ticker, state, pnl, revision) of positions as their markets end, both sides as streams.
 
-    A market is one key. Its state is its last final update by time (``updates``: ticker, ts, status, result) and its
-    positions (``positions``: id, ticker, entered_at, side, reward_cents, risk_cents), whichever comes first and however
-    long between. A position that was entered by the time of that update is resolved, with its profit, or void; a later
-    update that says otherwise gives a row of the next ``revision``. What is settled is kept for such corrections, for
-    ``keep_us`` after the last row of the market; what is not is kept as long as it takes. Rows may have a time of arrival,
-    ``seen_at`` (else it is that of the batch): the watermark and timers go by it, so old positions and updates are
-    not late.
+    Markets are dealt to ``lanes``; a lane is one key of the state store. Of a market its last final update by time is
+    held (``updates``: ticker, ts, status, result) and its positions (``positions``: id, ticker, entered_at, side,
+    reward_cents, risk_cents), whichever comes first and however long between. A position that was entered by the time of
+    that update is resolved, with its profit, or void; a later update that says otherwise gives a row of the next
+    ``revision``. What is settled is kept for such corrections, for ``keep_us`` after the last row of the market; what is
+    not is kept as long as it takes. Rows may have a time of arrival, ``seen_at`` (else it is that of the batch): the
+    watermark and timers go by it, so old positions and updates are not late.
     """
     seen = lambda d: F.col("seen_at") if "seen_at" in d.columns else F.current_timestamp()
-    u = updates.select("ticker", seen(updates).alias("at"), F.unix_micros("ts").alias("us"), F.lit(None).cast("long").alias("id"), S.market_state("status", "result").alias("a"), F.lower("result").alias("b"), F.lit(0).cast("long").alias("reward"), F.lit(0).cast("long").alias("risk")).where("a <> 'open'")
-    p = positions.select("ticker", seen(positions).alias("at"), F.unix_micros("entered_at").alias("us"), "id", F.col("side").alias("a"), F.lit("").alias("b"), F.col("reward_cents").cast("long").alias("reward"), F.col("risk_cents").cast("long").alias("risk"))
-    both = u.unionByName(p).withWatermark("at", delay).withColumn("seen", F.unix_micros("at"))
-    return both.groupBy("ticker").transformWithStateInPandas(machines.Settlement(keep_us), "id long, ticker string, state string, pnl long, revision int", "append", "eventTime")
+    u = updates.select("ticker", seen(updates).alias("at"), F.unix_micros("ts").alias("us"), F.lit(None).cast("string").alias("id"), S.market_state("status", "result").alias("a"), F.lower("result").alias("b"), F.lit(0).cast("long").alias("reward"), F.lit(0).cast("long").alias("risk")).where("a <> 'open'")
+    p = positions.select("ticker", seen(positions).alias("at"), F.unix_micros("entered_at").alias("us"), F.col("id").cast("string").alias("id"), F.col("side").alias("a"), F.lit("").alias("b"), F.col("reward_cents").cast("long").alias("reward"), F.col("risk_cents").cast("long").alias("risk"))
+    both = u.unionByName(p).withWatermark("at", delay).select("*", F.unix_micros("at").alias("seen"), _lane("ticker", lanes))
+    return both.groupBy("lane").transformWithStateInPandas(machines.Settlement(keep_us), "id long, ticker string, state string, pnl long, revision int", "append", "eventTime")
 
 
 def stream_quote_snapshots(quotes: DataFrame, root: str, checkpoint: str):

@@ -233,3 +233,14 @@ def test_symbols_share_lanes_of_state(spark, tmp_path, rocks):
         want.append((s, at[-1] + dt.timedelta(days=2, microseconds=1), "very_stale", at[-1]))
     assert sorted((r.symbol, r.at, r.state, r.last_ts or dt.datetime.min) for r in got) == sorted((s, a, w, t or dt.datetime.min) for s, a, w, t in want)
     assert n <= 3 * 3  # values, and timers in two orders
+
+
+def test_markets_share_lanes_of_state(spark, tmp_path, rocks):
+    names, big = [f"s{k}" for k in range(30)], 2**60 + 1
+    u = [[(s, day(2), "settled", "no") for s in names], [(s, day(3), "settled", "yes") for s in names[::2]]]
+    p = [[(big + k, s, day(1), "sell_yes", 30, 70) for k, s in enumerate(names)]]
+    ups = arrivals(spark, tmp_path, "lu", "ticker string, ts timestamp, status string, result string", u)
+    held = arrivals(spark, tmp_path, "lp", "id long, ticker string, entered_at timestamp, side string, reward_cents long, risk_cents long", p)
+    got, n = state_rows(spark, streams.stream_settle(ups, held, lanes=3), tmp_path, "ls")
+    assert sorted((r.id, r.revision, r.pnl) for r in got) == sorted([(big + k, 0, 30) for k in range(30)] + [(big + k, 1, -70) for k in range(0, 30, 2)])
+    assert n <= 3 * 3

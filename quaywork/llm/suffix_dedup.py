@@ -30,17 +30,23 @@ def _words(text: np.ndarray) -> np.ndarray:
     return ((w[:-4] << np.uint64(32)) | w[4:])[: len(text) + 8]
 
 
+def _places(n: int):
+    """A type for places of a text of ``n`` bytes; most arrays hold places, so this decides how much memory a text takes."""
+    return np.int32 if n < 2**31 - 4096 else np.int64
+
+
 def _sort_directly(at: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
     """``at`` sorted by the suffixes that start there, at least to ``depth`` bytes.
 
     Sorts by 8 bytes, then by 8 more within each group of ties, and so on. Groups whose members have one hash over
     all of ``depth`` are equal and need no further sorting.
     """
-    last = len(word) - 1
+    last, kind = len(word) - 1, at.dtype
     at = at[np.argsort(word[at])]
     key = word[at]
-    group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) if len(at) else key
-    where = np.arange(len(at))
+    group = np.cumsum(np.r_[True, key[1:] != key[:-1]], dtype=kind) if len(at) else at
+    where = np.arange(len(at), dtype=kind)
+    del key
     digest = None
     for off in range(8, depth, 8):
         # keep groups of several that are not known to be equal
@@ -71,28 +77,28 @@ def _sort_directly(at: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
         order = np.lexsort((k, group))
         at[where] = places[order]
         k, group, digest = k[order], group[order], digest[order]
-        group = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (group[1:] != group[:-1])])
+        group = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (group[1:] != group[:-1])], dtype=kind)
     return at
 
 
 def suffix_array(text: np.ndarray, depth: int, word: np.ndarray | None = None) -> np.ndarray:
     """Starts of the suffixes of ``text`` (uint8, ending in 0) in order of their first ``depth`` bytes at least."""
-    n = len(text)
+    kind = _places(len(text))
     word = _words(text) if word is None else word
     # small: smaller than the next suffix; equal first bytes take the answer of the next place with another byte
     nxt = np.r_[text[1:], 0]
-    differ = np.flatnonzero(text != nxt)
-    at = np.searchsorted(differ, np.arange(n))
+    differ = text != nxt
     known = np.append(text[differ] < nxt[differ], True)
-    small = known[at]
+    small = known[np.cumsum(differ, dtype=kind) - differ]
     small[-1] = True
-    direct = _sort_directly(np.flatnonzero(small), word, depth)
+    del nxt, differ, known
+    direct = _sort_directly(np.flatnonzero(small).astype(kind), word, depth)
     bounds = np.searchsorted(text[direct], np.arange(257))
     pushed: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
     for c in range(256):
         part = [np.concatenate(pushed[c])] if pushed[c] else []
-        wave = part[0] if part else np.empty(0, np.int64)
+        wave = part[0] if part else np.empty(0, kind)
         while len(wave):  # large suffixes before suffixes of the same first byte
             wave = wave[wave > 0] - 1
             wave = wave[(text[wave] == c) & ~small[wave]]
@@ -116,21 +122,23 @@ def suffix_array(text: np.ndarray, depth: int, word: np.ndarray | None = None) -
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, word: np.ndarray | None = None) -> np.ndarray:
     """Of each suffix with the one before it in ``sa``, up to ``most`` bytes (0 for the first)."""
     word = _words(text) if word is None else word
-    lcp, last = np.zeros(len(sa), np.int64), len(word) - 1
-    on = np.arange(1, len(sa))
-    for k in range(0, most, 8):
-        differ = word[np.minimum(sa[on] + k, last)] ^ word[np.minimum(sa[on - 1] + k, last)]
-        lcp[on] = k + 8
-        off = differ != 0
-        at, differ = on[off], differ[off]
-        lead = np.zeros(len(at), np.int64)
-        for b in range(1, 8):  # whole bytes that agree
-            lead += differ < np.uint64(1 << (8 * (8 - b)))
-        lcp[at] = k + lead
-        on = on[~off]
-        if not len(on):
-            break
-    return np.minimum(lcp, most)
+    lcp, last = np.zeros(len(sa), _places(most)), len(word) - 1
+    step = 1 << 18  # at once, so that what is needed besides is bounded
+    for s in range(1, len(sa), step):
+        on = np.arange(s, min(s + step, len(sa)))
+        for k in range(0, most, 8):
+            differ = word[np.minimum(sa[on] + k, last)] ^ word[np.minimum(sa[on - 1] + k, last)]
+            lcp[on] = k + 8
+            off = differ != 0
+            at, differ = on[off], differ[off]
+            lead = np.zeros(len(at), np.int64)
+            for b in range(1, 8):  # whole bytes that agree
+                lead += differ < np.uint64(1 << (8 * (8 - b)))
+            lcp[at] = k + lead
+            on = on[~off]
+            if not len(on):
+                break
+    return np.minimum(lcp, most, out=lcp)
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------
@@ -340,17 +348,21 @@ def _bucket_rows(length: int):
             word = _words(text)
             sa = suffix_array(text, length, word)
             lcp = common_prefixes(text, sa, length, word)
-            del word
+            kind = _places(len(text))
+            del word, text, inside
             whole = lcp >= length
-            groups = np.cumsum(~whole)
+            del lcp
+            groups = np.cumsum(~whole, dtype=kind)
             tied = whole | np.r_[whole[1:], False]
             places, groups = sa[tied], groups[tied]
+            del sa, whole, tied
             if len(places):
-                k = np.searchsorted(ends, places, "right")
-                rank = np.empty(len(heads), np.int64)
+                k = np.searchsorted(ends, places, "right").astype(kind)
+                rank = np.empty(len(heads), kind)
                 order = np.lexsort((heads["at"], heads["row"], heads["batch"], heads["id"]))
                 rank[order] = np.arange(len(order))
-                at = places - (ends[k] - sizes[k] - 1)
+                at = (places - (ends - sizes - 1)[k]).astype(kind)
+                del places
                 inside = at < heads["strings"][k]  # others run past the end of their stretch
                 k, at, groups = k[inside], at[inside], groups[inside]
                 sort = np.lexsort((at, rank[k], groups))

@@ -373,3 +373,24 @@ def test_packing_takes_long_runs_of_blanks(spark):
         assert [r.start for r in own] == np.concatenate([[0], np.cumsum([r.length for r in own])[:-1]]).tolist()
         assert {r.doc_tokens for r in own} == {len(ids)} and sum(r.length for r in own) == len(ids)
         assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+
+
+def test_memory_of_a_bucket_of_strings():
+    """The strings of one bucket take some 45 bytes for each of theirs, places in 32 bits."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    sd, r, n = suffix_dedup, np.random.default_rng(1), 120_000
+    base = r.integers(98, 120, 200_000, dtype=np.uint8)
+    heads = np.zeros(5, sd._HEAD)
+    heads["id"], heads["row"], heads["strings"] = range(5), range(5), n - 99
+    flat = b"".join(np.r_[base[k * 9 : n // 2 + k * 9], r.integers(98, 120, n // 2, dtype=np.uint8)].tobytes() for k in range(5))
+    t = pa.table({"heads": pa.array([heads.tobytes()], pa.binary()), "bytes": pa.array([flat], pa.binary()), "gone": pa.array([b""], pa.binary()), "batch": pa.array([0], pa.int32())})
+    tracemalloc.start()
+    found = sd._bucket_rows(100)(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    gone = np.concatenate([np.frombuffer(g, sd._GONE) for g in found.column("gone").to_pylist()])
+    assert sorted((g["row"], g["at"], g["stop"]) for g in gone) == [(k, 0, n // 2 - 9) for k in range(1, 5)]
+    assert peak < 55 * len(flat)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,23 @@ from quaywork.llm import decontamination, ngram_jaccard, packing, suffix_dedup,
 from quaywork.llm.common import scratch, table
 
 
+#: Rows of a batch between Spark and Python, at most: a batch of whole texts is held by the executor and its worker at once.
+BATCH = 2000
+
+
+def small_batches(stage):
+    """``stage`` with batches of ``BATCH`` rows, from then on in its session; a smaller number that is set there stays."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= BATCH:
+            spark.conf.set(key, str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _beside(docs: DataFrame, names: tuple[str, ...], stage) -> DataFrame:
     """What ``stage`` gives, where columns of ``docs`` that have names of its own results are out of its way."""
     aside = {c: f"_own_{c}" for c in docs.columns if c in names}
@@ -56,7 +74,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("repeats", drop_repeats), ("benchmark", drop_benchmark), ("packing", pack)]
+STAGES = [(name, small_batches(stage)) for name, stage in (("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("repeats", drop_repeats), ("benchmark", drop_benchmark), ("packing", pack))]
 
 #: SQL cannot express the language models, the suffix arrays or the tokenizer.
 ORACLE_SQL = None

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM
+from .common import ALNUM, lean
 
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>"
 
@@ -113,7 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             mine[p].append(i)
         kept = [c for c in found.columns if with_text or parts > 1 or c != text_name]
         types = dict(found.dtypes)
-        found = found.mapInArrow(_scan(spark.sparkContext.broadcast(dict(mine)), text_name, kept), ", ".join([*[f"{c} {types[c]}" for c in kept], RESULT]))
+        found = found.mapInArrow(lean(_scan(spark.sparkContext.broadcast(dict(mine)), text_name, kept)), ", ".join([*[f"{c} {types[c]}" for c in kept], RESULT]))
         if parts > 1:
             found = found.withColumnsRenamed({c: f"{c}_{k}" for c in ("n_words", "n_hit", "items", "spans")})
     if parts > 1:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, connected_components, cut, n_buckets, shingles
+from .common import LOWER, WordHashes, connected_components, cut, lean, n_buckets, shingles
 
 #: Groups up to this size pair all members; tokens up to this frequency are indexed singly.
 RARE = 24
@@ -301,7 +301,7 @@ def _verify(percent: int):
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_verify(percent)), "a long, b long")
 
 
 def _block_links(percent: int):
@@ -380,12 +380,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = n_buckets(spark)
-    seen = d.mapInArrow(_prefix_rows(width, percent, buckets), "bucket int, hashes binary, ids binary, sizes binary, met binary").groupBy("bucket").applyInArrow(_meet, "id long, n long, met long")
+    seen = d.mapInArrow(lean(_prefix_rows(width, percent, buckets)), "bucket int, hashes binary, ids binary, sizes binary, met binary").groupBy("bucket").applyInArrow(_meet, "id long, n long, met long")
     seen = cut(seen.groupBy("id", "n").agg(F.sum("met").alias("met"), F.count("*").cast("int").alias("rows")))
     need = 1 + F.floor(F.floor((F.min("n") * percent + 99) / 100) / 10)
     met = seen.groupBy("id").agg(F.sum("met").alias("met"), need.alias("need")).where("met >= need").select("id")
     met = F.broadcast(met) if met.count() <= few else met
-    sets = d.join(met, "id").mapInArrow(_set_rows(width), "id long, digest binary, n long, tokens binary").select("id", "digest", "tokens")
+    sets = d.join(met, "id").mapInArrow(lean(_set_rows(width)), "id long, digest binary, n long, tokens binary").select("id", "digest", "tokens")
     # a set is a node, numbered by its digest; ``head`` is the smallest id that has it
     sets = cut(sets.repartition("digest").sortWithinPartitions("digest", "id").mapInArrow(_head_rows, "id long, head long, node long, tokens binary"))
     batches = max(1, buckets // 2)
@@ -393,7 +393,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by_batch = heads.groupBy("batch")
     shared = by_batch.applyInArrow(_count_rows(buckets), "bucket int, batch int, hashes binary, counts binary").groupBy("bucket").applyInArrow(_shared_rows, "batch int, hashes binary, df binary")
     sigs = cut(by_batch.cogroup(shared.groupBy("batch")).applyInArrow(_signature_rows(percent), "sig long, id long, n long"))
-    pairs = sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_pair_rows(percent), "a long, b long").distinct()
+    pairs = sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(lean(_pair_rows(percent)), "a long, b long").distinct()
     links = cut(_linked(pairs, heads, percent))
     labels = cut(connected_components(links))
     big = sigs.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > RARE).select("sig")
@@ -407,5 +407,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component = connected_components(by_id.union(sets.select("id", "head")).where("u <> v"), "u", "v")
     sizes = seen.where("n is not null").select("id", "n", F.explode(F.sequence(F.lit(1), "rows")))
     done = sizes.join(component.withColumnRenamed("node", "id"), "id", "left")
-    nameless = d.where("id is null").mapInArrow(_set_rows(width), "id long, digest binary, n long, tokens binary").select("id", "n", F.lit(None).cast("long").alias("component"))
+    nameless = d.where("id is null").mapInArrow(lean(_set_rows(width)), "id long, digest binary, n long, tokens binary").select("id", "n", F.lit(None).cast("long").alias("component"))
     return done.select("id", "n", F.coalesce("component", "id").alias("component")).union(nameless).toDF(id_col, "n_shingles", "component_id")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _LOADED: dict = {}
 #: Runs of so many blanks go to the tokenizer itself: the fast encoder's pattern runs out of stack on about 15 times as many.
@@ -223,4 +225,4 @@ def pack(
     cols = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")]
     if loss_col:
         cols.append(F.transform(loss_col, lambda s: F.struct(s["start"].cast("long").alias("start"), s["stop"].cast("long").alias("stop"))).alias("spans"))
-    return docs.select(*cols).mapInArrow(_pack_rows(tokenizer, end_id, limits, window), COLUMNS)
+    return docs.select(*cols).mapInArrow(lean(_pack_rows(tokenizer, end_id, limits, window)), COLUMNS)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, n_buckets
+from .common import mix, n_buckets, release
 
 # --- suffix arrays ---------------------------------------------------------------------------------------------
 
@@ -253,6 +253,7 @@ def _stretch_rows(length: int, gram: int, buckets: int):
     def run(docs, repeated):
         import xxhash
 
+        release()  # of the groups before
         b, h = _Batch(docs, length, gram), _cat(repeated, "hashes", np.uint64)
         out = {"bucket": [], "batch": [], "heads": [], "bytes": [], "gone": []}
         if len(h) and len(b.anchor):
@@ -332,6 +333,7 @@ def _distinct(heads: np.ndarray, flat: bytes, length: int):
 
 def _bucket_rows(length: int):
     def run(t):
+        release()  # of the buckets before
         heads = np.frombuffer(b"".join(t.column("heads").to_pylist()), _HEAD)
         passed = [(b, g) for b, g in zip(t.column("batch").to_pylist(), t.column("gone").to_pylist(), strict=True) if g]
         if len(heads):
@@ -389,6 +391,7 @@ _OUT = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans"
 
 def _apply_rows(length: int, gram: int, with_text: bool, carry: list[str]):
     def run(docs, spans):
+        release()  # of the groups before
         b = _Batch(docs, 2**62, gram)
         gone = _merged(np.frombuffer(b"".join(spans.column("gone").to_pylist()), _GONE))
         first, last = np.searchsorted(gone["row"], np.arange(len(b.ids))), np.searchsorted(gone["row"], np.arange(len(b.ids)), "right")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, n_buckets
+from .common import ALNUM, lean, n_buckets
 
 ORDER, SHARED = 5, 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -286,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = [(r[0], r[1]) for r in picked.collect()]  # bounded by 2 * sample
     small = spark.createDataFrame(ids, f"id {kind}, label int")
     # copies of a text would make its own expressions look common in its class
-    rows = d.join(F.broadcast(small), "id").select("label", "text").distinct().mapInArrow(_gram_rows, "label int, gram binary, n binary").collect()
+    rows = d.join(F.broadcast(small), "id").select("label", "text").distinct().mapInArrow(lean(_gram_rows), "label int, gram binary, n binary").collect()
     counts = {}
     for c in (0, 1):
         g, n = (np.frombuffer(b"".join(bytes(r[k]) for r in rows if r["label"] == c), t) for k, t in (("gram", np.uint64), ("n", np.int64)))
@@ -295,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(counts, discount, sure)
     vocabulary = spark.sparkContext.broadcast(model.vocabulary)
     buckets = n_buckets(spark)
-    found = d.select("text").mapInArrow(_count_rows(buckets), "bucket int, hashes binary, counts binary").groupBy("bucket").applyInArrow(_sum_rows(vocabulary), "hashes binary, counts binary").collect()
+    found = d.select("text").mapInArrow(lean(_count_rows(buckets)), "bucket int, hashes binary, counts binary").groupBy("bucket").applyInArrow(_sum_rows(vocabulary), "hashes binary, counts binary").collect()
     shared = np.zeros(len(model.vocabulary))
     for r in found:  # a row for each bucket; together no more than the models' own grams
         shared[np.searchsorted(model.vocabulary, np.frombuffer(bytes(r["hashes"]), np.uint64))] = np.frombuffer(bytes(r["counts"]), np.int64)
@@ -304,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = given.where("part = 4").withColumn("h", order).orderBy("h", "id").limit(calibration).select("id", "label")
     held_ids = [(r[0], r[1]) for r in held.collect()]  # bounded by calibration
     held = spark.createDataFrame(held_ids, f"id {kind}, label int")
-    fit = d.join(F.broadcast(held), "id").select("label", "text").mapInArrow(_evidence_rows(ready), "label int, mean double, n long").toPandas()
+    fit = d.join(F.broadcast(held), "id").select("label", "text").mapInArrow(lean(_evidence_rows(ready)), "label int, mean double, n long").toPandas()
     if fit["label"].nunique() == 2:
         model.calibrate(fit["mean"].to_numpy(), fit["n"].to_numpy(), fit["label"].to_numpy())
     return model

@@ -134,3 +134,47 @@ def test_archived_pages_equal_hashes(spark):
         first = last[raw] == r.page_id
         assert (r.payload_bytes, r.payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
         assert r.record_type == ("response" if first else "revisit") and r.refers_to == (None if first else last[raw])
+
+
+def test_stages_take_small_batches(spark, pipeline, docs):
+    """A batch of whole texts is held by an executor and its worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, kept in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            spark.conf.set(key, given)
+            for _, stage in pipeline.STAGES:
+                stage(spark, docs.limit(0), SF)
+                assert spark.conf.get(key) == kept
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_worker_gives_memory_back():
+    """What a task has freed does not stay with its worker."""
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np
+import pyarrow
+from quaywork.llm.common import lean
+
+def rows(batches):
+    first = np.ones(3_800_000)  # 30 MB, whose release lets the allocator hold as much
+    del first
+    for b in batches:
+        held = [np.ones(12_000) for _ in range(2_000)]
+        end = np.ones(12_000)  # lies above them
+        del held
+        yield end
+
+def resident():
+    return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+
+kept = list(lean(rows)(iter([1])))
+print(resident())
+"""
+    used = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    plain = float(subprocess.run([sys.executable, "-c", code.replace("lean(rows)", "rows")], capture_output=True, text=True, check=True).stdout)
+    assert used < plain - 100
